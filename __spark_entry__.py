@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.oracle import ORACLE
-from shelfwise.plans import reports
-from shelfwise.sources.derived import DRIVER_AS_OF, load_driver_inventory
+from shelfwise.plans import reports, sales
+from shelfwise.plans.allocation import allocate_window
+from shelfwise.sources.derived import DEMAND_FROM, DEMAND_TO, DRIVER_AS_OF, load_driver_inventory
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 ASOF = DRIVER_AS_OF
@@ -45,6 +46,18 @@ def _no_asof(fn, **kwargs) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _fefo(part: str, mode: str = "partial") -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        res = allocate_window(load_driver_inventory(spark, sf_dir, ASOF), ASOF, DEMAND_FROM, DEMAND_TO, mode)
+        if part == "allocations":
+            return _normalize(res.allocations)
+        if part == "batches":
+            return res.batches.select("batch_id", "product_id", "quantity", "status")
+        return _normalize(res.shortfalls)
+    run.__doc__ = f"M-2 FEFO allocation ({mode}): {part}."
+    return run
+
+
 def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "product_total_stock": _report(reports.product_total_stock),
@@ -67,6 +80,14 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "batch_drilldown": _report(reports.batch_drilldown),
         "drilldown_totals": _report(reports.drilldown_totals),
         "batch_counts": _no_asof(reports.batch_counts),
+        "sales_today": _report(sales.sales_today),
+        "sales_history": _report(sales.sales_history),
+        "sales_by_daypart": _report(sales.sales_by_daypart),
+        "activity_feed": _report(sales.activity_feed, n=4),
+        "fefo_allocations": _fefo("allocations"),
+        "fefo_batches_after": _fefo("batches"),
+        "fefo_shortfalls": _fefo("shortfalls"),
+        "fefo_strict": _fefo("allocations", mode="strict"),
     }
 
 
