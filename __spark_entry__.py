@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.oracle import ORACLE
-from shelfwise.plans import reports, sales
+from shelfwise.functions.dates import AsOf
+from shelfwise.plans import checks, jobs, reports, sales
 from shelfwise.plans.allocation import allocate_window
+from shelfwise.sources import requests as req
 from shelfwise.sources.derived import DEMAND_FROM, DEMAND_TO, DRIVER_AS_OF, load_driver_inventory
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -58,6 +60,124 @@ def _fefo(part: str, mode: str = "partial") -> Callable[[SparkSession, str], Dat
     return run
 
 
+def _job(fn) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _normalize(fn(spark, sf_dir, load_driver_inventory(spark, sf_dir, ASOF)))
+    run.__doc__ = fn.__doc__
+    return run
+
+
+BATCH_COLS = ["batch_id", "product_id", "batch_number", "quantity", "original_quantity", "received_date",
+              "expiry_date", "manufactured_date", "supplier_name", "status"]
+MOVE_COLS = ["movement_id", "batch_id", "movement_type", "quantity", "remaining_quantity", "movement_date",
+             "notes", "performed_by"]
+PRODUCT_COLS = ["product_id", "product_name", "category", "price", "current_stock", "reorder_level",
+                "reorder_quantity"]
+
+
+def _receive(spark, sf_dir, inv):
+    """M-1 receive: the new batch rows."""
+    return jobs.receive(req.receive_requests(spark, sf_dir, ASOF), inv, ASOF).added["product_batches"].select(BATCH_COLS)
+
+
+def _receive_rejects(spark, sf_dir, inv):
+    """M-1 receive: rejected requests with their reason."""
+    return jobs.receive(req.receive_requests(spark, sf_dir, ASOF), inv, ASOF).rejects
+
+
+def _receive_stock(spark, sf_dir, inv):
+    """M-1 receive: legacy stock of every product afterwards."""
+    res = jobs.receive(req.receive_requests(spark, sf_dir, ASOF), inv, ASOF)
+    return res.inventory.products.select("product_id", "current_stock")
+
+
+def _next_numbers(spark, sf_dir, inv):
+    """W-5 / C-16: proposed batch numbers for the receipt requests."""
+    return jobs.next_batch_numbers(req.receive_requests(spark, sf_dir, ASOF), inv)
+
+
+def _dispose(spark, sf_dir, inv):
+    """M-3 dispose: the new ledger rows."""
+    return jobs.dispose(req.dispose_requests(spark, sf_dir, inv, ASOF), inv, ASOF).added["batch_movements"].select(MOVE_COLS)
+
+
+def _dispose_rejects(spark, sf_dir, inv):
+    """M-3 dispose: requests for unknown or empty batches."""
+    return jobs.dispose(req.dispose_requests(spark, sf_dir, inv, ASOF), inv, ASOF).rejects
+
+
+def _dispose_state(spark, sf_dir, inv):
+    """M-3 dispose: batch quantity and status, and product legacy stock, afterwards."""
+    res = jobs.dispose(req.dispose_requests(spark, sf_dir, inv, ASOF), inv, ASOF)
+    return res.inventory.batches.select("batch_id", "product_id", "quantity", "status").join(
+        res.inventory.products.select("product_id", "current_stock"), "product_id", "left")
+
+
+def _adjust(spark, sf_dir, inv):
+    """M-4 adjust: the new restock ledger rows."""
+    return jobs.adjust(req.adjust_requests(inv, ASOF), inv, ASOF).added["batch_movements"].select(MOVE_COLS)
+
+
+def _adjust_state(spark, sf_dir, inv):
+    """M-4 adjust: batch quantity/status and product legacy stock afterwards."""
+    res = jobs.adjust(req.adjust_requests(inv, ASOF), inv, ASOF)
+    return res.inventory.batches.select("batch_id", "product_id", "quantity", "status").join(
+        res.inventory.products.select("product_id", "current_stock"), "product_id", "left")
+
+
+RECLASSIFY_ASOF = AsOf.of("1998-11-28", "1998-11-28 10:00:00")
+
+
+def _reclassify(spark, sf_dir, inv):
+    """M-5 reclassify every batch's status 180 days after the tables' as-of day."""
+    return jobs.reclassify(inv.batches, RECLASSIFY_ASOF).select("batch_id", "quantity", "status")
+
+
+def _add_products(spark, sf_dir, inv):
+    """M-6 add products: the inserted rows with their new ids."""
+    return jobs.add_products(req.new_product_requests(spark, sf_dir), inv, ASOF).added["products"].select(PRODUCT_COLS)
+
+
+def _add_rejects(spark, sf_dir, inv):
+    """M-6 add products: rejected requests."""
+    return jobs.add_products(req.new_product_requests(spark, sf_dir), inv, ASOF).rejects
+
+
+def _update_products(spark, sf_dir, inv):
+    """M-7 update products: every product afterwards."""
+    return jobs.update_products(req.update_product_requests(spark, sf_dir), inv, ASOF).inventory.products.select(PRODUCT_COLS)
+
+
+def _delete_products(spark, sf_dir, inv):
+    """M-8 delete products: outcome per request (deleted, has_sales, not_found)."""
+    ids = req.delete_requests(spark, sf_dir)
+    res = jobs.delete_products(ids, inv)
+    deleted = ids.join(res.added["deleted_products"], "product_id", "left_semi").withColumn("outcome", F.lit("deleted"))
+    refused = ids.join(res.rejects, "request_id", "inner").withColumnRenamed("reject_reason", "outcome")
+    return deleted.unionByName(refused)
+
+
+def _delete_cascade(spark, sf_dir, inv):
+    """M-8 delete products: rows left in products, batches and movements (one row each)."""
+    out = jobs.delete_products(req.delete_requests(spark, sf_dir), inv).inventory
+    parts = [df.agg(F.count(F.lit(1)).alias("rows_left")).select(F.lit(name).alias("table_name"), "rows_left")
+             for name, df in (("products", out.products), ("product_batches", out.batches),
+                              ("batch_movements", out.movements))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _rebuild(spark, sf_dir, inv):
+    """M-9 rebuild legacy stock from batch quantities."""
+    return jobs.rebuild_legacy(inv)
+
+
+def _check(fn, with_asof=False):
+    def run(spark, sf_dir, inv):
+        return fn(inv, ASOF) if with_asof else fn(inv)
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "product_total_stock": _report(reports.product_total_stock),
@@ -88,6 +208,29 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fefo_batches_after": _fefo("batches"),
         "fefo_shortfalls": _fefo("shortfalls"),
         "fefo_strict": _fefo("allocations", mode="strict"),
+        "receive_batches": _job(_receive),
+        "receive_rejects": _job(_receive_rejects),
+        "receive_stock": _job(_receive_stock),
+        "next_batch_number": _job(_next_numbers),
+        "dispose_batches": _job(_dispose),
+        "dispose_rejects": _job(_dispose_rejects),
+        "dispose_state": _job(_dispose_state),
+        "adjust_stock": _job(_adjust),
+        "adjust_state": _job(_adjust_state),
+        "reclassify_status": _job(_reclassify),
+        "add_products": _job(_add_products),
+        "add_product_rejects": _job(_add_rejects),
+        "update_products": _job(_update_products),
+        "delete_products": _job(_delete_products),
+        "delete_cascade": _job(_delete_cascade),
+        "rebuild_legacy": _job(_rebuild),
+        "check_unique": _job(_check(checks.check_unique)),
+        "check_foreign_keys": _job(_check(checks.check_foreign_keys)),
+        "check_domains": _job(_check(checks.check_domains)),
+        "check_nulls": _job(_check(checks.check_nulls)),
+        "check_ledger": _job(_check(checks.check_ledger)),
+        "check_status": _job(_check(checks.check_status, with_asof=True)),
+        "check_dates": _job(_check(checks.check_dates)),
     }
 
 

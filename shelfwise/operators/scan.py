@@ -76,7 +76,9 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     aggs += [F.max_by(F.col(src), F.when(F.col(src).isNotNull(), order_key)).alias(f"_z_{name}")
              for name, src in fills.items()]
     summary = local.groupBy(_PART, *keys).agg(*aggs)
-    w_carry = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    # Without keys the summary has one row per range, so an unpartitioned window is small.
+    w_carry = (Window.partitionBy(*keys) if keys else Window).orderBy(_PART) \
+        .rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
         _PART, *keys,
         *[F.sum(f"_t_{name}").over(w_carry).alias(f"_o_{name}") for name in sums],

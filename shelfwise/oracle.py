@@ -374,3 +374,247 @@ accepted_lines AS (
   SELECT l.* FROM lines l JOIN acc a ON a.sale_item_id = l.sale_item_id AND a.accepted)"""
 ORACLE["fefo_strict"] = ("WITH RECURSIVE " + q(
     "SELECT * FROM alloc", _FEFO_CTES + ",\n" + _STRICT + ",\n" + _fefo_alloc("accepted_lines"))[len("WITH "):])
+
+# ---- state-change jobs ---------------------------------------------------------------
+_RECEIVE_REQ = f"""rq0 AS (
+  SELECT l_returnflag, l_partkey, l_suppkey, CAST(l_shipdate AS DATE) AS ship,
+         CAST(SUM(l_quantity) AS INTEGER) AS units, CAST(MIN(l_extendedprice) AS DECIMAL(10,2)) AS purchase_price
+  FROM lineitem
+  WHERE l_returnflag IN ('N', 'R') AND l_shipdate >= TIMESTAMP '1998-05-22 00:00:00'
+    AND l_shipdate <= TIMESTAMP '1998-06-11 00:00:00'
+  GROUP BY ALL),
+rq AS (
+  SELECT rq0.*, 'BTH-' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) || '-'
+                || strftime(ship, '%Y-%m-%d') AS num, s.s_name
+  FROM rq0 LEFT JOIN supplier s ON s.s_suppkey = rq0.l_suppkey),
+req AS (
+  SELECT l_returnflag || ':' || num AS request_id, l_partkey AS product_id, trim(' ' || num || ' ') AS bn,
+         CASE WHEN (l_partkey + l_suppkey) % 11 = 0 THEN 0 ELSE units END AS quantity,
+         ship - 30 AS manufactured_date, ship + 800 AS expiry_date, trim(s_name) AS supplier_name,
+         purchase_price, l_suppkey AS user_id
+  FROM rq),
+pre AS (
+  SELECT req.*, CASE
+      WHEN NOT (product_id > 0) THEN 'invalid_product_id'
+      WHEN NOT (quantity > 0) THEN 'invalid_quantity'
+      WHEN length(bn) = 0 THEN 'empty_batch_number'
+      WHEN product_id NOT IN (SELECT product_id FROM products) THEN 'unknown_product'
+      WHEN EXISTS (SELECT 1 FROM product_batches b WHERE b.product_id = req.product_id AND b.batch_number = req.bn)
+        THEN 'duplicate_batch'
+      WHEN bn IN (SELECT batch_id FROM product_batches) THEN 'batch_id_taken' END AS r0
+  FROM req),
+rec AS (
+  SELECT *, CASE WHEN r0 IS NOT NULL THEN r0
+                 WHEN request_id <> MIN(CASE WHEN r0 IS NULL THEN request_id END) OVER (PARTITION BY bn)
+                   THEN 'duplicate_in_request' END AS reject_reason
+  FROM pre)"""
+ORACLE["receive_batches"] = q(f"""
+SELECT bn AS batch_id, product_id, bn AS batch_number, quantity, quantity AS original_quantity,
+       {AS_OF} AS received_date, expiry_date, manufactured_date, supplier_name, 'available' AS status
+FROM rec WHERE reject_reason IS NULL""", _RECEIVE_REQ)
+ORACLE["receive_rejects"] = q("SELECT request_id, reject_reason FROM rec WHERE reject_reason IS NOT NULL",
+                              _RECEIVE_REQ)
+ORACLE["receive_stock"] = q("""
+SELECT p.product_id, CAST(p.current_stock + COALESCE(a.units, 0) AS INTEGER) AS current_stock
+FROM products p LEFT JOIN (SELECT product_id, SUM(quantity) AS units FROM rec WHERE reject_reason IS NULL GROUP BY 1) a
+  ON a.product_id = p.product_id""", _RECEIVE_REQ)
+ORACLE["next_batch_number"] = q("""
+SELECT r.request_id, r.product_id,
+       COALESCE(c.n, 0) + ROW_NUMBER() OVER (PARTITION BY r.product_id ORDER BY r.request_id) AS sequence,
+       'BTH-' || CAST(r.product_id AS VARCHAR)
+         || printf('%03d', COALESCE(c.n, 0) + ROW_NUMBER() OVER (PARTITION BY r.product_id ORDER BY r.request_id)) AS batch_number
+FROM req r LEFT JOIN (SELECT product_id, COUNT(*) AS n FROM product_batches GROUP BY 1) c ON c.product_id = r.product_id""",
+                                 _RECEIVE_REQ)
+
+_DISPOSE_REQ = f"""dreq AS (
+  SELECT 'D:' || batch_id AS request_id, batch_id,
+         CASE WHEN quantity % 2 = 0 THEN 'damage' END AS reason, CAST(NULL AS BIGINT) AS user_id
+  FROM product_batches WHERE expiry_date <= DATE '1998-07-01'
+  UNION ALL
+  SELECT 'G:' || bid, bid, NULL, NULL FROM (
+    SELECT DISTINCT 'RET-' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) || '-'
+                    || strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d') AS bid
+    FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate > TIMESTAMP '1998-05-02 00:00:00'
+      AND l_shipdate <= TIMESTAMP '1998-06-01 00:00:00')),
+dfound AS (
+  SELECT r.*, b.quantity AS qty, b.batch_number, b.product_id
+  FROM dreq r JOIN product_batches b ON b.batch_id = r.batch_id JOIN products p ON p.product_id = b.product_id)"""
+ORACLE["dispose_batches"] = q(f"""
+SELECT batch_id || ':' || COALESCE(reason, 'expiry') || ':' || request_id AS movement_id, batch_id,
+       COALESCE(reason, 'expiry') AS movement_type, -qty AS quantity, 0 AS remaining_quantity,
+       {NOW} AS movement_date, 'Batch disposed: ' || batch_number AS notes, user_id AS performed_by
+FROM dfound WHERE qty > 0""", _DISPOSE_REQ)
+ORACLE["dispose_rejects"] = q("""
+SELECT request_id, 'batch_not_found' AS reject_reason FROM dreq WHERE request_id NOT IN (SELECT request_id FROM dfound)
+UNION ALL
+SELECT request_id, 'nothing_to_dispose' FROM dfound WHERE qty = 0""", _DISPOSE_REQ)
+ORACLE["dispose_state"] = q("""
+SELECT b.batch_id, b.product_id,
+       CASE WHEN d.batch_id IS NULL THEN b.quantity ELSE 0 END AS quantity,
+       CASE WHEN d.batch_id IS NULL THEN b.status ELSE 'depleted' END AS status,
+       CAST(CASE WHEN o.units IS NULL THEN p.current_stock ELSE GREATEST(0, p.current_stock - o.units) END AS INTEGER)
+         AS current_stock
+FROM product_batches b
+LEFT JOIN (SELECT DISTINCT batch_id FROM dfound WHERE qty > 0) d ON d.batch_id = b.batch_id
+LEFT JOIN products p ON p.product_id = b.product_id
+LEFT JOIN (SELECT product_id, SUM(qty) AS units FROM dfound WHERE qty > 0 GROUP BY 1) o ON o.product_id = b.product_id""",
+                              _DISPOSE_REQ)
+
+_ADJUST_REQ = """areq AS (
+  SELECT 'A:' || batch_id AS request_id, product_id, batch_id, original_quantity % 9 + 1 AS added_stock
+  FROM product_batches WHERE received_date > DATE '1998-04-17'
+  UNION ALL
+  SELECT 'P:' || batch_id, product_id, NULL, 5
+  FROM product_batches WHERE received_date > DATE '1998-04-17' AND product_id % 3 = 0)"""
+ORACLE["adjust_stock"] = q(f"""
+SELECT r.batch_id || ':restock:' || r.request_id AS movement_id, r.batch_id, 'restock' AS movement_type,
+       r.added_stock AS quantity,
+       CAST(b.quantity + SUM(r.added_stock) OVER (PARTITION BY r.batch_id ORDER BY r.request_id
+                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER)
+         AS remaining_quantity,
+       {NOW} AS movement_date, 'Stock updated via inventory management' AS notes,
+       CAST(NULL AS BIGINT) AS performed_by
+FROM areq r JOIN product_batches b ON b.batch_id = r.batch_id""", _ADJUST_REQ)
+ORACLE["adjust_state"] = q(f"""
+SELECT b.batch_id, b.product_id, CAST(b.quantity + COALESCE(t.added, 0) AS INTEGER) AS quantity,
+       CASE WHEN t.added IS NULL THEN b.status
+            WHEN b.quantity + t.added = 0 THEN 'depleted'
+            WHEN b.expiry_date < {AS_OF} THEN 'expired'
+            WHEN b.quantity + t.added <= 10 THEN 'low_stock' ELSE 'available' END AS status,
+       CAST(p.current_stock + COALESCE(pa.added, 0) AS INTEGER) AS current_stock
+FROM product_batches b
+LEFT JOIN (SELECT batch_id, SUM(added_stock) AS added FROM areq WHERE batch_id IS NOT NULL GROUP BY 1) t
+  ON t.batch_id = b.batch_id
+LEFT JOIN products p ON p.product_id = b.product_id
+LEFT JOIN (SELECT product_id, SUM(added_stock) AS added FROM areq GROUP BY 1) pa ON pa.product_id = b.product_id""",
+                             _ADJUST_REQ)
+
+ORACLE["reclassify_status"] = q("""
+SELECT batch_id, quantity,
+       CASE WHEN quantity = 0 THEN 'depleted' WHEN expiry_date < DATE '1998-11-28' THEN 'expired'
+            WHEN quantity <= 10 THEN 'low_stock' ELSE 'available' END AS status
+FROM product_batches""")
+
+_NEW_REQ = """nreq AS (
+  SELECT s_suppkey AS request_id, trim('  ' || s_name || ' kit ') AS product_name,
+         'Medical Supplies & Equipment' AS category, CAST(s_acctbal AS DECIMAL(10,2)) AS price
+  FROM supplier)"""
+ORACLE["add_products"] = q("""
+SELECT (SELECT MAX(product_id) FROM products) + ROW_NUMBER() OVER (ORDER BY request_id) AS product_id,
+       product_name, category, CAST(price AS DOUBLE) AS price, 0 AS current_stock,
+       50 AS reorder_level, 100 AS reorder_quantity
+FROM nreq WHERE length(product_name) > 0 AND length(category) > 0 AND price > 0""", _NEW_REQ)
+ORACLE["add_product_rejects"] = q("""
+SELECT request_id, CASE WHEN length(product_name) = 0 THEN 'empty_name'
+                        WHEN length(category) = 0 THEN 'empty_category' ELSE 'invalid_price' END AS reject_reason
+FROM nreq WHERE NOT (length(product_name) > 0 AND length(category) > 0 AND price > 0)""", _NEW_REQ)
+
+ORACLE["update_products"] = q("""
+SELECT p.product_id,
+       CASE WHEN p.product_id > 0 THEN trim(pt.p_brand || ' ' || pt.p_name) ELSE p.product_name END AS product_name,
+       CASE WHEN p.product_id > 0 THEN trim(pt.p_type) ELSE p.category END AS category,
+       CAST(CASE WHEN p.product_id > 0 THEN CAST(pt.p_retailprice + pt.p_size AS DECIMAL(10,2)) ELSE p.price END
+            AS DOUBLE) AS price,
+       p.current_stock, p.reorder_level, p.reorder_quantity
+FROM products p JOIN part pt ON pt.p_partkey = p.product_id""")
+
+_DELETE_REQ = """xreq AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS request_id, p_partkey AS product_id FROM part
+  UNION ALL
+  SELECT 'c' || CAST(c_custkey AS VARCHAR), c_custkey + 1000000000 FROM customer),
+xout AS (
+  SELECT request_id, product_id,
+         CASE WHEN product_id NOT IN (SELECT product_id FROM products) THEN 'not_found'
+              WHEN product_id IN (SELECT product_id FROM sale_items) THEN 'has_sales'
+              ELSE 'deleted' END AS outcome
+  FROM xreq)"""
+ORACLE["delete_products"] = q("SELECT * FROM xout", _DELETE_REQ)
+ORACLE["delete_cascade"] = q("""
+SELECT 'products' AS table_name, COUNT(*) AS rows_left FROM products
+  WHERE product_id NOT IN (SELECT product_id FROM xout WHERE outcome = 'deleted')
+UNION ALL
+SELECT 'product_batches', COUNT(*) FROM product_batches
+  WHERE product_id NOT IN (SELECT product_id FROM xout WHERE outcome = 'deleted')
+UNION ALL
+SELECT 'batch_movements', COUNT(*) FROM batch_movements m
+  WHERE m.batch_id NOT IN (SELECT batch_id FROM product_batches
+                           WHERE product_id IN (SELECT product_id FROM xout WHERE outcome = 'deleted'))""",
+                                _DELETE_REQ)
+
+ORACLE["rebuild_legacy"] = q("""
+SELECT p.product_id, p.current_stock AS legacy_stock, CAST(COALESCE(SUM(pb.quantity), 0) AS BIGINT) AS batch_stock,
+       CAST(p.current_stock - COALESCE(SUM(pb.quantity), 0) AS BIGINT) AS difference
+FROM products p LEFT JOIN product_batches pb ON pb.product_id = p.product_id
+GROUP BY p.product_id, p.current_stock""")
+
+# ---- integrity checks ------------------------------------------------------------------
+_UNIQUE = [("products", "product_id"), ("product_batches", "batch_id"), ("product_batches", "product_id,batch_number"),
+           ("batch_movements", "movement_id"), ("sales", "sale_id"), ("sale_items", "sale_item_id"),
+           ("users", "id"), ("users", "username")]
+ORACLE["check_unique"] = q("\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{k}' AS key_columns, "
+    f"(SELECT COUNT(*) FROM (SELECT {k} FROM {t} GROUP BY {k} HAVING COUNT(*) > 1)) AS duplicate_keys"
+    for t, k in _UNIQUE))
+_FKS = [("batch_movements", "batch_id", "product_batches", "batch_id"),
+        ("batch_movements", "sale_item_id", "sale_items", "sale_item_id"),
+        ("batch_movements", "performed_by", "users", "id"),
+        ("product_batches", "product_id", "products", "product_id"),
+        ("sales", "user_id", "users", "id"),
+        ("sale_items", "product_id", "products", "product_id"),
+        ("sale_items", "sale_id", "sales", "sale_id")]
+ORACLE["check_foreign_keys"] = q("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS child_table, '{cc}' AS child_column, '{p}' AS parent_table, "
+    f"(SELECT COUNT(*) FROM {c} x WHERE x.{cc} IS NOT NULL AND NOT EXISTS "
+    f"(SELECT 1 FROM {p} y WHERE y.{pc} = x.{cc})) AS orphans"
+    for c, cc, p, pc in _FKS))
+_DOMAINS = [("batch_movements", "movement_type", "'sale','restock','adjustment','return','expiry','damage'"),
+            ("product_batches", "status", "'available','low_stock','expired','depleted'"),
+            ("sales", "payment_method", "'cash','gcash'"),
+            ("users", "role", "'admin','staff'"),
+            ("users", "status", "'active','inactive'")]
+ORACLE["check_domains"] = q("\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, "
+    f"(SELECT COUNT(*) FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN ({d})) AS violations"
+    for t, c, d in _DOMAINS))
+_NOT_NULL = {
+    "products": ["product_id", "product_name", "category", "price", "current_stock"],
+    "product_batches": ["batch_id", "product_id", "batch_number", "quantity", "original_quantity", "received_date",
+                        "manufactured_date_zero", "expiry_date_zero"],
+    "batch_movements": ["movement_id", "batch_id", "movement_type", "quantity", "remaining_quantity",
+                        "movement_date"],
+    "sales": ["sale_id", "user_id", "total_amount", "sale_date"],
+    "sale_items": ["sale_item_id", "sale_id", "product_id", "quantity", "subtotal"],
+    "users": ["id", "username"],
+}
+ORACLE["check_nulls"] = q("\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, (SELECT COUNT(*) FROM {t} WHERE {c} IS NULL) AS nulls"
+    for t, cols in _NOT_NULL.items() for c in cols))
+ORACLE["check_ledger"] = q("""
+SELECT 'sum_vs_quantity' AS check_name, COUNT(*) AS mismatches
+FROM product_batches b LEFT JOIN (SELECT batch_id, SUM(quantity) AS s FROM batch_movements GROUP BY 1) m
+  ON m.batch_id = b.batch_id
+WHERE COALESCE(m.s, 0) <> b.quantity
+UNION ALL
+SELECT 'running_balance', COUNT(*) FROM (
+  SELECT remaining_quantity, SUM(quantity) OVER (PARTITION BY batch_id ORDER BY movement_date, movement_id
+                                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bal
+  FROM batch_movements) WHERE bal <> remaining_quantity
+UNION ALL
+SELECT 'orphan_movements', COUNT(DISTINCT batch_id) FROM batch_movements
+WHERE batch_id NOT IN (SELECT batch_id FROM product_batches)""")
+ORACLE["check_status"] = q(f"""
+SELECT COUNT(*) AS batches,
+       COUNT(CASE WHEN status IS DISTINCT FROM (CASE WHEN quantity = 0 THEN 'depleted'
+            WHEN expiry_date < {AS_OF} THEN 'expired' WHEN quantity <= 10 THEN 'low_stock'
+            ELSE 'available' END) THEN 1 END) AS mismatches
+FROM product_batches""")
+ORACLE["check_dates"] = q("""
+SELECT 'products' AS table_name, 'manufactured_after_expiry' AS check_name,
+       COUNT(CASE WHEN manufactured_date > expiry_date THEN 1 END) AS n FROM products
+UNION ALL SELECT 'products', 'zero_expiry', 0 UNION ALL SELECT 'products', 'zero_manufactured', 0
+UNION ALL
+SELECT 'product_batches', 'manufactured_after_expiry', COUNT(CASE WHEN manufactured_date > expiry_date THEN 1 END)
+FROM product_batches
+UNION ALL SELECT 'product_batches', 'zero_expiry', COUNT(CASE WHEN expiry_date_zero THEN 1 END) FROM product_batches
+UNION ALL SELECT 'product_batches', 'zero_manufactured', COUNT(CASE WHEN manufactured_date_zero THEN 1 END)
+FROM product_batches""")
