@@ -19,6 +19,7 @@ from shelfwise.functions.dates import AsOf
 from shelfwise.plans import checks, jobs, reports, sales
 from shelfwise.plans.allocation import allocate_window
 from shelfwise.sources import requests as req
+from shelfwise.streaming import streams
 from shelfwise.sources.derived import DEMAND_FROM, DEMAND_TO, DRIVER_AS_OF, load_driver_inventory
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -178,6 +179,19 @@ def _check(fn, with_asof=False):
     return run
 
 
+def _stream(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        if kind == "daily":
+            return streams.stream_daily_sales(spark, events)
+        if kind == "stock":
+            return streams.stream_running_stock(spark, events)
+        users = load_driver_inventory(spark, sf_dir, ASOF).users
+        return streams.stream_activity(spark, events, users, n=10)
+    run.__doc__ = f"X stream ({kind}) replayed from a landed copy of the events table."
+    return run
+
+
 def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "product_total_stock": _report(reports.product_total_stock),
@@ -231,6 +245,9 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "check_ledger": _job(_check(checks.check_ledger)),
         "check_status": _job(_check(checks.check_status, with_asof=True)),
         "check_dates": _job(_check(checks.check_dates)),
+        "stream_daily_sales": _stream("daily"),
+        "stream_batch_stock": _stream("stock"),
+        "stream_activity": _stream("activity"),
     }
 
 

@@ -618,3 +618,17 @@ FROM product_batches
 UNION ALL SELECT 'product_batches', 'zero_expiry', COUNT(CASE WHEN expiry_date_zero THEN 1 END) FROM product_batches
 UNION ALL SELECT 'product_batches', 'zero_manufactured', COUNT(CASE WHEN manufactured_date_zero THEN 1 END)
 FROM product_batches""")
+
+# ---- streams: the batch equivalents over the events table ------------------------------
+ORACLE["stream_daily_sales"] = """
+SELECT CAST(ts AS DATE) AS day, SUM(value) AS total_sales, COUNT(*) AS sales_count
+FROM events WHERE event_type = 'purchase' GROUP BY 1"""
+ORACLE["stream_batch_stock"] = """
+SELECT user_id, CAST(SUM(CASE WHEN event_type = 'purchase' THEN -1 ELSE 1 END) AS BIGINT) AS stock,
+       COUNT(*) AS moves
+FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1"""
+ORACLE["stream_activity"] = """
+SELECT e.event_id, e.ts, e.user_id, e.event_type, e.value, c.c_name AS username
+FROM events e JOIN customer c ON c.c_custkey = e.user_id
+WHERE e.event_type IN ('purchase', 'error')
+ORDER BY e.ts DESC, e.event_id DESC LIMIT 10"""
