@@ -19,6 +19,7 @@ from shelfwise.functions.dates import AsOf
 from shelfwise.plans import checks, jobs, reports, sales
 from shelfwise.plans.allocation import allocate_window
 from shelfwise.sources import requests as req
+from shelfwise.sources import sinks
 from shelfwise.streaming import streams
 from shelfwise.sources.derived import DEMAND_FROM, DEMAND_TO, DRIVER_AS_OF, load_driver_inventory
 
@@ -192,6 +193,14 @@ def _stream(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _documents(spark, sf_dir, inv):
+    """S-3 batch documents (pages of 4 batches), flattened to one row per batch."""
+    return sinks.flatten_documents(sinks.batch_documents(inv, ASOF, page_size=DOC_PAGE))
+
+
+DOC_PAGE = 4
+
+
 def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "product_total_stock": _report(reports.product_total_stock),
@@ -245,6 +254,7 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "check_ledger": _job(_check(checks.check_ledger)),
         "check_status": _job(_check(checks.check_status, with_asof=True)),
         "check_dates": _job(_check(checks.check_dates)),
+        "batch_documents": _job(_documents),
         "stream_daily_sales": _stream("daily"),
         "stream_batch_stock": _stream("stock"),
         "stream_activity": _stream("activity"),

@@ -632,3 +632,19 @@ SELECT e.event_id, e.ts, e.user_id, e.event_type, e.value, c.c_name AS username
 FROM events e JOIN customer c ON c.c_custkey = e.user_id
 WHERE e.event_type IN ('purchase', 'error')
 ORDER BY e.ts DESC, e.event_id DESC LIMIT 10"""
+
+# S-3: documents flattened, pages of 4 batches.
+ORACLE["batch_documents"] = q(f"""
+SELECT d.product_id, CAST((d.pos - 1) // 4 AS BIGINT) AS page, t.total_stock, t.active_count, t.label,
+       d.pos, d.batch_id, d.batch_number, d.quantity, d.expiry_date, d.status, d.manufactured_date, d.supplier_name
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY expiry_date, batch_id) AS pos
+      FROM product_batches WHERE quantity > 0) d
+LEFT JOIN (
+  SELECT p.product_id,
+         CAST(COALESCE(SUM(CASE WHEN {ACTIVE360} THEN pb.quantity ELSE 0 END), 0) AS BIGINT) AS total_stock,
+         COUNT(CASE WHEN {ACTIVE360} THEN 1 END) AS active_count,
+         CASE WHEN COALESCE(SUM(CASE WHEN {ACTIVE360} THEN pb.quantity ELSE 0 END), 0) > 200 THEN 'Good Stock'
+              WHEN COALESCE(SUM(CASE WHEN {ACTIVE360} THEN pb.quantity ELSE 0 END), 0) >= 50 THEN 'Low in Stock'
+              ELSE 'Critical Stock' END AS label
+  FROM products p LEFT JOIN product_batches pb ON p.product_id = pb.product_id
+  GROUP BY p.product_id) t ON t.product_id = d.product_id""")
