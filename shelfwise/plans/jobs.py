@@ -4,6 +4,9 @@ The reference changes one row per HTTP request. Here each job takes the current
 ``Inventory`` and a DataFrame of requests and returns a ``JobResult``: the new table
 state, the rows it added, and the rejected requests with a reason. Requests carry a
 ``request_id`` that orders them (the order the reference would have run them in).
+Every movement a run writes is dated ``asof.now``; within a run the ledger order is the
+request order (the id embeds ``request_id``), and successive runs must use increasing
+``now`` so that the ledger's (date, id) order is the order the runs happened in.
 Nothing is written; ``sources.sinks.write_state`` persists a new table version.
 """
 
@@ -39,6 +42,14 @@ def _union_all(frames):
     return out
 
 
+def _with_optional(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """Add absent optional request columns as typed NULLs."""
+    for name, dtype in cols.items():
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(None).cast(dtype))
+    return df
+
+
 def _first_per_key(req: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
     """Split requests into the first per key (by request_id) and the later repeats.
 
@@ -225,7 +236,9 @@ def add_products(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResult:
     Ids continue after the largest existing id, in request order (a distributed row
     number, not ``monotonically_increasing_id``, so reruns give the same ids).
     """
-    req = (requests.withColumn("product_name", F.trim("product_name"))
+    req = _with_optional(requests, {"manufactured_date": "date", "expiry_date": "date",
+                                    "how_to_use": "string", "side_effects": "string"})
+    req = (req.withColumn("product_name", F.trim("product_name"))
            .withColumn("category", F.trim("category")))
     ok, bad = rules.split_valid(req, {
         "empty_name": rules.non_empty("product_name"),
@@ -254,7 +267,9 @@ UPDATABLE = ("product_name", "category", "price", "manufactured_date", "expiry_d
 def update_products(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResult:
     """M-7: overwrite product attributes by id; the last request per id wins.
 
-    Legacy stock is kept (the reference's edit form resets it to 0: not reproduced).
+    The columns of ``UPDATABLE`` present in the requests are overwritten (the reference's
+    form sends all of them). Legacy stock is kept (the reference's edit resets it to 0:
+    not reproduced).
     """
     req = (requests.withColumn("product_name", F.trim("product_name"))
            .withColumn("category", F.trim("category")))
@@ -265,13 +280,14 @@ def update_products(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResul
         "invalid_price": F.col("price") > 0,
     })
     missing = ok.join(inv.products.select("product_id"), "product_id", "left_anti")
+    fields = [c for c in UPDATABLE if c in requests.columns]
     last = (ok.groupBy("product_id")
-            .agg(F.max_by(F.struct(*UPDATABLE), F.col("request_id")).alias("_new")))
+            .agg(F.max_by(F.struct(*fields), F.col("request_id")).alias("_new")))
     j = inv.products.join(last, "product_id", "left")
     hit = F.col("_new").isNotNull()
     cols = []
     for c in inv.products.columns:
-        if c in UPDATABLE:
+        if c in fields:
             cols.append(F.when(hit, F.col(f"_new.{c}").cast(inv.products.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         elif c == "updated_at":
             cols.append(F.when(hit, asof.t).otherwise(F.col(c)).alias(c))
