@@ -48,26 +48,31 @@ class AsOf:
 
 
 def is_zero(col: str) -> Column:
+    """Null-safe zero-date flag (for negation and output columns)."""
     return F.coalesce(F.col(f"{col}_zero"), F.lit(False))
 
 
+# The comparisons below use SQL three-valued logic: a zero date compares as NULL, which
+# ``where`` and ``when`` treat as false. They stay plain column-vs-literal comparisons
+# (OR the raw zero flag) so Parquet can push them down and skip row groups; wrap them in
+# ``coalesce(.., false)`` only where a result is negated or emitted as a column.
 def before(col: str, day: dt.date) -> Column:
     """``col < day`` with a zero date counting as before everything."""
-    return is_zero(col) | F.coalesce(F.col(col) < F.lit(day), F.lit(False))
+    return F.col(f"{col}_zero") | (F.col(col) < F.lit(day))
 
 
 def after(col: str, day: dt.date) -> Column:
     """``col > day``; a zero date is never after anything."""
-    return F.coalesce(F.col(col) > F.lit(day), F.lit(False))
+    return F.col(col) > F.lit(day)
 
 
 def at_or_after(col: str, day: dt.date) -> Column:
-    return F.coalesce(F.col(col) >= F.lit(day), F.lit(False))
+    return F.col(col) >= F.lit(day)
 
 
 def at_or_before(col: str, day: dt.date) -> Column:
     """``col <= day`` with a zero date counting as before everything."""
-    return is_zero(col) | F.coalesce(F.col(col) <= F.lit(day), F.lit(False))
+    return F.col(f"{col}_zero") | (F.col(col) <= F.lit(day))
 
 
 def days_left(col: str, asof: AsOf) -> Column:
@@ -80,7 +85,7 @@ def midnight_passed(col: str, asof: AsOf) -> Column:
 
     A zero date parses to a date in year -1, so it has always passed.
     """
-    return is_zero(col) | F.coalesce(asof.t > F.col(col).cast("timestamp"), F.lit(False))
+    return is_zero(col) | (asof.t > F.col(col).cast("timestamp"))
 
 
 def whole_days_until(col: str, asof: AsOf) -> Column:
@@ -106,4 +111,4 @@ def zero_aware_min(col: str, cond: Column | None = None) -> tuple[Column, Column
     """``MIN`` where a zero date wins: returns (min of real dates, any zero flag)."""
     value = F.col(col) if cond is None else F.when(cond, F.col(col))
     zero = is_zero(col) if cond is None else (cond & is_zero(col))
-    return F.min(value), F.max(zero.cast("int")) == F.lit(1)
+    return F.min(value), F.coalesce(F.max(zero.cast("int")) == F.lit(1), F.lit(False))

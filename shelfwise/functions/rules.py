@@ -3,6 +3,10 @@
 Each stock rule is a Boolean Column over a batch row (``quantity``, ``status``,
 ``expiry_date`` and its zero flag). Reports never inline a rule; they name it, so the
 six meanings of "stock" stay distinct.
+
+Predicates follow SQL three-valued logic (a zero date or NULL status gives NULL, which
+filters treat as false) so they push down to Parquet; ``stock_rule`` is the null-safe
+form for negation and output columns, ``stock_filter`` the pushable form for ``where``.
 """
 
 from __future__ import annotations
@@ -63,18 +67,28 @@ STOCK_RULES = {
 
 
 def stock_rule(name: str, asof: AsOf) -> Column:
-    """F-5 by name; ``legacy`` is the stored column and has no batch predicate."""
+    """F-5 by name, never NULL; ``legacy`` is the stored column and has no predicate."""
     return F.coalesce(STOCK_RULES[name](asof), F.lit(False))
 
 
-def search(df: DataFrame, term: str | None) -> DataFrame:
+def stock_filter(name: str, asof: AsOf) -> Column:
+    """F-5 by name for ``where``: the same rule, left pushable (NULL means false)."""
+    return STOCK_RULES[name](asof)
+
+
+def search(df: DataFrame, term: str | None, accent_insensitive: bool = False) -> DataFrame:
     """F-1: case-insensitive substring search on name or category.
 
     Empty and ``"0"`` mean no filter (PHP truthiness). ``%`` and ``_`` typed by the user
-    stay wildcards, as in the reference.
+    stay wildcards, as in the reference. ``accent_insensitive`` matches the reference's
+    collation more closely (case- and accent-blind) with a literal substring test.
     """
     if not term or term == "0":
         return df
+    if accent_insensitive:
+        t = F.lit(term)
+        return df.where(F.contains(F.collate(F.col("product_name"), "UNICODE_CI_AI"), t)
+                        | F.contains(F.collate(F.col("category"), "UNICODE_CI_AI"), t))
     pattern = f"%{term}%"
     return df.where(F.col("product_name").ilike(pattern) | F.col("category").ilike(pattern))
 
@@ -126,7 +140,7 @@ def expiring_soon(asof: AsOf) -> Column:
     """F-9: on hand with 365..545 days left (day 365 is also in F-8)."""
     lo, hi = EXPIRING_SOON_DAYS
     e = F.col("expiry_date")
-    return (_qty() > 0) & F.coalesce((e >= F.lit(asof.plus(lo))) & (e <= F.lit(asof.plus(hi))), F.lit(False))
+    return (_qty() > 0) & (e >= F.lit(asof.plus(lo))) & (e <= F.lit(asof.plus(hi)))
 
 
 def in_expiring_view(asof: AsOf) -> Column:
@@ -135,7 +149,7 @@ def in_expiring_view(asof: AsOf) -> Column:
     A NULL status fails ``<>`` as in SQL.
     """
     return ((_qty() > 0) & dates.at_or_before("expiry_date", asof.plus(EXPIRING_VIEW_DAYS))
-            & F.coalesce(_status() != "depleted", F.lit(False)))
+            & (_status() != "depleted"))
 
 
 def split_valid(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

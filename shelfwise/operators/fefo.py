@@ -46,7 +46,7 @@ class FefoResult:
 
 def supply_intervals(batches: DataFrame, asof: AsOf) -> DataFrame:
     """W-1 on supply: allocatable batches with quantity > 0 and their [s_lo, s_hi)."""
-    cand = (batches.where(rules.stock_rule("allocatable", asof) & (F.col("quantity") > 0))
+    cand = (batches.where(rules.stock_filter("allocatable", asof) & (F.col("quantity") > 0))
             .select("product_id", "batch_id", "expiry_date", "received_date",
                     F.col("quantity").cast("long").alias("s_qty")))
     sup = running_sum(cand, ["product_id"], SUPPLY_ORDER, "s_qty", "s_hi")

@@ -200,3 +200,20 @@ def batch_counts(inv: Inventory) -> DataFrame:
     counts = inv.batches.groupBy("product_id").agg(F.count(F.lit(1)).alias("batch_count"))
     return (inv.products.select("product_id").join(counts, "product_id", "left")
             .select("product_id", F.coalesce("batch_count", F.lit(0).cast("long")).alias("batch_count")))
+
+
+# --------------------------------------------------------------------------- D-1
+def register_sql_functions(inv: Inventory, asof: AsOf, view: str = "product_batches") -> None:
+    """D-1 for SQL users: ``available_stock(product_id)`` as a temporary SQL function.
+
+    The stored function of the reference becomes a SQL function over a temp view of the
+    batches; Catalyst decorrelates its scalar subquery into one aggregate and a join when
+    it is called for many products.
+    """
+    spark = inv.batches.sparkSession
+    inv.batches.createOrReplaceTempView(view)
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION available_stock(pid BIGINT) RETURNS BIGINT
+        RETURN (SELECT COALESCE(SUM(CAST(quantity AS BIGINT)), 0) FROM {view}
+                WHERE product_id = pid AND status IN ('available', 'low_stock')
+                  AND expiry_date > DATE '{asof.day.isoformat()}')""")

@@ -22,8 +22,10 @@ def _at(days):
 
 
 def _eval(spark, rows, col):
+    # predicates use SQL logic: NULL (unknown) acts as false in filters
     df = _batches(spark, rows).select("batch_id", col.alias("v"))
-    return {r.batch_id: r.v for r in df.collect()}
+    boolean = df.schema["v"].dataType.typeName() == "boolean"
+    return {r.batch_id: (bool(r.v) if boolean else r.v) for r in df.collect()}
 
 
 def test_stock_rule_day_boundaries(spark):
@@ -156,3 +158,21 @@ def test_null_reorder_level_is_dropped_by_having(spark):
     empty = spark.createDataFrame([], "x int")
     inv = Inventory(products, batches, empty, empty, empty, empty)
     assert [r.product_id for r in reorder_list(inv, ASOF).collect()] == [1]
+
+
+def test_accent_insensitive_search(spark):
+    df = spark.createDataFrame([("Paracétamol", "OTC"), ("Ibuprofen", "OTC")], "product_name string, category string")
+    assert rules.search(df, "paracetamol").count() == 0
+    assert rules.search(df, "PARACETAMOL", accent_insensitive=True).count() == 1
+
+
+def test_sql_function_matches_available_stock(spark):
+    from shelfwise.plans import reports
+    from shelfwise.sources.tables import load
+    inv = load(spark, __file__.rsplit("/", 1)[0] + "/fixtures/dump", fmt="csv")
+    reports.register_sql_functions(inv, ASOF)
+    inv.products.createOrReplaceTempView("products_t")
+    got = {r.product_id: r.a for r in spark.sql(
+        "SELECT product_id, available_stock(product_id) AS a FROM products_t").collect()}
+    want = {r.product_id: r.available for r in reports.available_stock(inv, ASOF).collect()}
+    assert got == want and sum(got.values()) == 4390
