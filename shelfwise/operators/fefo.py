@@ -90,9 +90,10 @@ def strict_accept(lines: DataFrame, sup_total: DataFrame, order=DEMAND_ORDER) ->
     within the product's supply. Each round: the undecided lines whose prefix sum fits
     the remaining capacity are accepted; the first line that does not fit is rejected,
     and so is every later line larger than the capacity left after the accepted prefix
-    (capacity only shrinks). The rest stay undecided with that smaller capacity. Every
-    round decides at least one line per product that still has undecided lines; all
-    rounds are distributed scans and every round's state is checkpointed.
+    (capacity only shrinks). The rest stay undecided with that smaller capacity, unless
+    together they fit in it, in which case all are accepted. Every round decides at
+    least one line per product that still has undecided lines; all rounds are
+    distributed scans and every round's state is checkpointed.
     Returns (sale_item_id, accepted).
     """
     state = (lines.join(sup_total, "product_id", "left")
@@ -116,6 +117,17 @@ def strict_accept(lines: DataFrame, sup_total: DataFrame, order=DEMAND_ORDER) ->
                     .when(is_first, F.lit(False))
                     .when(F.col("q") > new_cap, F.lit(False)))
         j = cut_lineage(j.withColumn("accepted", verdict).withColumn("next_cap", new_cap))
+        # Shortcut: when a product's still-undecided lines fit together in the capacity
+        # left, each of them fits in turn, so all are accepted now.
+        rest = (j.where(F.col("accepted").isNull()).groupBy("product_id")
+                .agg(F.sum("q").alias("_rest"), F.first("next_cap").alias("_cap"))
+                .where(F.col("_rest") <= F.col("_cap"))
+                .select("product_id", F.lit(True).alias("_all_fit")))
+        j = (j.join(rest, "product_id", "left")
+             .withColumn("accepted", F.when(F.col("accepted").isNull() & F.col("_all_fit"), F.lit(True))
+                         .otherwise(F.col("accepted")))
+             .drop("_all_fit"))
+        j = cut_lineage(j)
         decided.append(j.where(F.col("accepted").isNotNull()).select("sale_item_id", "accepted"))
         state = cut_lineage(j.where(F.col("accepted").isNull())
                             .select(*[c for c in state.columns if c != "cap"], F.col("next_cap").alias("cap")))
