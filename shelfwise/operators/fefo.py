@@ -45,10 +45,8 @@ class FefoResult:
 
 
 def supply_intervals(batches: DataFrame, asof: AsOf) -> DataFrame:
-    """W-1 on supply: allocatable batches with quantity > 0 and their [s_lo, s_hi)."""
-    cand = (batches.where(rules.stock_filter("allocatable", asof) & (F.col("quantity") > 0))
-            .select("product_id", "batch_id", "expiry_date", "received_date",
-                    F.col("quantity").cast("long").alias("s_qty")))
+    """W-1 on supply alone: allocatable batches with quantity > 0 and their [s_lo, s_hi)."""
+    cand = _candidates(batches, asof)
     sup = running_sum(cand, ["product_id"], SUPPLY_ORDER, "s_qty", "s_hi")
     return sup.withColumn("s_lo", F.col("s_hi") - F.col("s_qty"))
 
@@ -60,6 +58,34 @@ def demand_intervals(lines: DataFrame, order=DEMAND_ORDER) -> DataFrame:
     return dem.withColumn("d_lo", F.col("d_hi") - F.col("d_qty"))
 
 
+def _candidates(batches: DataFrame, asof: AsOf) -> DataFrame:
+    return (batches.where(rules.stock_filter("allocatable", asof) & (F.col("quantity") > 0))
+            .select("product_id", "batch_id", "expiry_date", "received_date",
+                    F.col("quantity").cast("long").alias("s_qty")))
+
+
+def paired_intervals(cand: DataFrame, lines: DataFrame, order=DEMAND_ORDER) -> tuple[DataFrame, DataFrame]:
+    """W-1 for supply and demand in one scan: [s_lo, s_hi) per batch and [d_lo, d_hi)
+    per line. Rows are keyed by (product, side); each side's order columns are NULL on
+    the other side's rows, so within a key the order is that side's own order.
+    """
+    s = cand.select("product_id", F.lit(0).alias("_side"), F.col("s_qty").alias("_q"),
+                    *[F.col(c).alias(f"_so{i}") for i, c in enumerate(SUPPLY_ORDER)],
+                    F.col("batch_id").alias("_bid"))
+    d = lines.select("product_id", F.lit(1).alias("_side"), F.col("quantity").cast("long").alias("_q"),
+                     *[F.col(c).alias(f"_do{i}") for i, c in enumerate(order)],
+                     F.struct("sale_item_id", "sale_id", "tag_item", "user_id").alias("_dem"))
+    both = s.unionByName(d, allowMissingColumns=True)
+    order_cols = [f"_so{i}" for i in range(len(SUPPLY_ORDER))] + [f"_do{i}" for i in range(len(order))]
+    scanned = ordered_scan(both, ["product_id", "_side"], order_cols, sums={"_hi": F.col("_q")})
+    sup = scanned.where(F.col("_side") == 0).select(
+        "product_id", F.col("_bid").alias("batch_id"), F.col("_q").alias("s_qty"),
+        F.col("_hi").alias("s_hi"), (F.col("_hi") - F.col("_q")).alias("s_lo"))
+    dem = scanned.where(F.col("_side") == 1).select(
+        "product_id", "_dem.*", F.col("_hi").alias("d_hi"), (F.col("_hi") - F.col("_q")).alias("d_lo"))
+    return sup, dem
+
+
 def overlap_sweep(sup: DataFrame, dem: DataFrame) -> DataFrame:
     """J-9 without pairs: merge interval starts and carry the other side forward."""
     b_struct = F.struct("batch_id", "s_lo", "s_hi")
@@ -165,14 +191,14 @@ def allocate(demand: DataFrame, batches: DataFrame, asof: AsOf, mode: str = "par
         lines = lines.withColumn("_has_item", F.lit(True))
     live = lines.where((F.col("quantity") > 0) & F.col("_has_item"))
 
-    sup = supply_intervals(batches, asof)
+    cand = _candidates(batches, asof)
     if mode == "strict":
-        totals = sup.groupBy("product_id").agg(F.sum("s_qty").alias("s_total"))
+        totals = cand.groupBy("product_id").agg(F.sum("s_qty").alias("s_total"))
         decisions = strict_accept(live.select("product_id", "quantity", *order), totals, order)
         live = live.join(decisions.where("accepted").select("sale_item_id"), "sale_item_id", "left_semi")
     else:
         decisions = live.select("sale_item_id", F.lit(True).alias("accepted"))
-    dem = demand_intervals(live, order)
+    sup, dem = paired_intervals(cand, live, order)
     alloc = overlap_sweep(sup, dem)
 
     per_line = alloc.groupBy("sale_item_id").agg(F.sum("taken").cast("long").alias("allocated"))

@@ -163,8 +163,9 @@ def load_driver_inventory(spark: SparkSession, sf_dir: str, asof: AsOf = DRIVER_
 
 
 def materialize(spark: SparkSession, inv: Inventory, path: str) -> Inventory:
-    """Write the six tables as Parquet under ``path`` and read them back."""
+    """Write the six tables as Parquet under ``path`` (clustered like stored state) and
+    read them back."""
+    from shelfwise.sources.sinks import write_tables
     from shelfwise.sources.tables import load
-    for name, df in inv.as_dict().items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+    write_tables(inv, path)
     return load(spark, path)
