@@ -142,7 +142,7 @@ def strict_accept(lines: DataFrame, sup_total: DataFrame, order=DEMAND_ORDER) ->
         verdict = (F.when(fits, F.lit(True))
                     .when(is_first, F.lit(False))
                     .when(F.col("q") > new_cap, F.lit(False)))
-        j = cut_lineage(j.withColumn("accepted", verdict).withColumn("next_cap", new_cap))
+        j = j.withColumn("accepted", verdict).withColumn("next_cap", new_cap)
         # Shortcut: when a product's still-undecided lines fit together in the capacity
         # left, each of them fits in turn, so all are accepted now.
         rest = (j.where(F.col("accepted").isNull()).groupBy("product_id")
@@ -153,10 +153,10 @@ def strict_accept(lines: DataFrame, sup_total: DataFrame, order=DEMAND_ORDER) ->
              .withColumn("accepted", F.when(F.col("accepted").isNull() & F.col("_all_fit"), F.lit(True))
                          .otherwise(F.col("accepted")))
              .drop("_all_fit"))
-        j = cut_lineage(j)
+        j = cut_lineage(j)       # one checkpoint per round: the round's decisions
         decided.append(j.where(F.col("accepted").isNotNull()).select("sale_item_id", "accepted"))
-        state = cut_lineage(j.where(F.col("accepted").isNull())
-                            .select(*[c for c in state.columns if c != "cap"], F.col("next_cap").alias("cap")))
+        state = (j.where(F.col("accepted").isNull())
+                 .select(*[c for c in state.columns if c != "cap"], F.col("next_cap").alias("cap")))
     out = decided[0] if decided else lines.sparkSession.createDataFrame([], "sale_item_id string, accepted boolean")
     for part in decided[1:]:
         out = out.unionByName(part)
