@@ -102,11 +102,13 @@ def overlap_sweep(sup: DataFrame, dem: DataFrame) -> DataFrame:
     d = F.when(F.col("kind") == 1, F.col("d")).otherwise(F.col("cd"))
     pairs = scanned.select("product_id", b.alias("b"), d.alias("d")).where(
         F.col("b").isNotNull() & F.col("d").isNotNull())
-    taken = F.least("b.s_hi", "d.d_hi") - F.greatest("b.s_lo", "d.d_lo")
-    return (pairs.withColumn("taken", taken).where(F.col("taken") > 0)
+    start = F.greatest("b.s_lo", "d.d_lo")
+    taken = F.least("b.s_hi", "d.d_hi") - start
+    return (pairs.withColumn("taken", taken).withColumn("start_pos", start).where(F.col("taken") > 0)
             .select("product_id", "d.sale_item_id", "d.sale_id", "d.tag_item", "d.user_id", "b.batch_id",
                     F.col("taken").cast("int").alias("taken"),
-                    (F.col("b.s_hi") - F.least("b.s_hi", "d.d_hi")).cast("int").alias("remaining_after")))
+                    (F.col("b.s_hi") - F.least("b.s_hi", "d.d_hi")).cast("int").alias("remaining_after"),
+                    "start_pos"))
 
 
 def strict_accept(lines: DataFrame, sup_total: DataFrame, order=DEMAND_ORDER) -> DataFrame:
@@ -218,9 +220,11 @@ def allocate(demand: DataFrame, batches: DataFrame, asof: AsOf, mode: str = "par
                    .withColumn("updated_at", F.when(touched, asof.t).otherwise(F.col("updated_at")))
                    .select(*batches.columns))
 
+    # Within a batch, allocations start at increasing supply positions in demand order;
+    # the zero-padded start keeps the ledger's (date, id) order equal to that order.
     movements = alloc.select(
-        F.concat_ws(":", F.coalesce("tag_item", "sale_item_id"), F.col("batch_id").cast("string"),
-                    F.lit("sale")).alias("movement_id"),
+        F.concat_ws(":", F.col("batch_id").cast("string"), F.lit("sale"),
+                    F.format_string("%019d", F.col("start_pos"))).alias("movement_id"),
         "batch_id", F.col("tag_item").alias("sale_item_id"), F.lit("sale").alias("movement_type"),
         (-F.col("taken")).alias("quantity"), F.col("remaining_after").alias("remaining_quantity"),
         asof.t.alias("movement_date"), F.lit(None).cast("string").alias("notes"),
@@ -235,4 +239,4 @@ def allocate(demand: DataFrame, batches: DataFrame, asof: AsOf, mode: str = "par
         new_products = (products.join(served, "product_id", "left")
                         .withColumn("current_stock", F.col("current_stock") - F.coalesce("_sold", F.lit(0)))
                         .select(*products.columns))
-    return FefoResult(alloc, movements, new_batches, shortfalls, new_products, decisions)
+    return FefoResult(alloc.drop("start_pos"), movements, new_batches, shortfalls, new_products, decisions)

@@ -216,7 +216,8 @@ ORACLE["catalog_out"] = _catalog_sql(having="HAVING total_stock = 0")
 ORACLE["catalog_expiring"] = _catalog_sql(status="AND status = 'expiring'")
 ORACLE["catalog_expired"] = _catalog_sql(status="AND status = 'expired'")
 ORACLE["stock_listing"] = (
-    "SELECT *, COALESCE(strftime(nearest_expiry, '%b %d, %Y'), 'N/A') AS next_expiry FROM ("
+    "SELECT *, COALESCE(strftime(nearest_expiry, '%b %d, %Y'), 'N/A') AS next_expiry, "
+    "printf('PRD-%03d', product_id) AS product_code FROM ("
     + _catalog_sql() + ")")
 
 # R-11

@@ -155,9 +155,10 @@ def catalog(inv: Inventory, asof: AsOf, term: str | None = None, category: str |
 
 
 def stock_listing(inv: Inventory, asof: AsOf, **filters) -> DataFrame:
-    """R-10: the catalogue query plus the next-expiry display text."""
+    """R-10: the catalogue query plus the next-expiry display text and product code."""
     df = catalog(inv, asof, **filters)
-    return df.withColumn("next_expiry", labels.date_text(F.col("nearest_expiry")))
+    return (df.withColumn("next_expiry", labels.date_text(F.col("nearest_expiry")))
+              .withColumn("product_code", labels.padded_id("PRD-", F.col("product_id"))))
 
 
 # --------------------------------------------------------------------------- R-11, R-12
