@@ -187,6 +187,8 @@ def _stream(kind: str) -> Callable[[SparkSession, str], DataFrame]:
             return streams.stream_daily_sales(spark, events)
         if kind == "stock":
             return streams.stream_running_stock(spark, events)
+        if kind == "ledger":
+            return streams.stream_ledger_stock(spark, load_driver_inventory(spark, sf_dir, ASOF).movements)
         users = load_driver_inventory(spark, sf_dir, ASOF).users
         return streams.stream_activity(spark, events, users, n=10)
     run.__doc__ = f"X stream ({kind}) replayed from a landed copy of the events table."
@@ -258,6 +260,7 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_daily_sales": _stream("daily"),
         "stream_batch_stock": _stream("stock"),
         "stream_activity": _stream("activity"),
+        "stream_ledger_stock": _stream("ledger"),
     }
 
 

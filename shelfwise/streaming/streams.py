@@ -39,7 +39,7 @@ FEED_EVENTS = ("purchase", "error")
 # -----------------------------------------------------------------------------------------
 
 
-def land_events(events: DataFrame, path: str, parts: int = 8) -> str:
+def land_events(events: DataFrame, path: str, parts: int = 4) -> str:
     """Write an event table into a landing folder as ``parts`` time slices, oldest first.
 
     Each slice is its own append, so file modification times follow event time and a
@@ -166,7 +166,7 @@ def newest_version(spark: SparkSession, out: str, before: int | None = None) ->
     return df.where(F.col("_version") == top).drop("_version")
 
 
-def replay(spark: SparkSession, events: DataFrame, name: str, parts: int = 8) -> tuple[str, str, str]:
+def replay(spark: SparkSession, events: DataFrame, name: str, parts: int = 4) -> tuple[str, str, str]:
     """Land ``events`` and return (landing, output, checkpoint) paths under the shared folder."""
     base = scratch_path(spark, name)
     landing = land_events(events, f"{base}/landing", parts)
@@ -205,3 +205,43 @@ def stream_activity(spark: SparkSession, events: DataFrame, users: DataFrame, n:
         return spark.createDataFrame([], "event_id long, ts timestamp, user_id long, event_type string, "
                                          "value double, username string")
     return top.select("event_id", "ts", "user_id", "event_type", "value", "username")
+
+
+# ---- X-2 over the stock ledger itself ------------------------------------------------
+LEDGER_FIELDS = ("movement_id", "batch_id", "movement_type", "quantity", "movement_date")
+LEDGER_SCHEMA = T.StructType([T.StructField("batch_id", T.StringType()), T.StructField("stock", T.LongType()),
+                              T.StructField("movements", T.LongType())])
+
+
+def ledger_stock(movements: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """X-2 on the ledger: stock per batch as the running sum of signed movements.
+
+    Repeated deliveries of a movement id within the watermark count once.
+    """
+    m = (movements.withWatermark("movement_date", watermark)
+         .dropDuplicatesWithinWatermark(["movement_id"]))
+    return m.groupBy("batch_id").agg(F.sum(F.col("quantity").cast("long")).alias("stock"),
+                                     F.count(F.lit(1)).alias("movements"))
+
+
+def stream_ledger_stock(spark: SparkSession, movements: DataFrame, parts: int = 4,
+                        watermark: str = "1 day") -> DataFrame:
+    """Replay a ledger table in time order as a stream and return stock per batch."""
+    base = scratch_path(spark, "ledger-stock")
+    landing, out, ckpt = f"{base}/landing", f"{base}/out", f"{base}/checkpoint"
+    typed = movements.select(*LEDGER_FIELDS)
+    schema = typed.schema
+    bounds = typed.agg(F.min("movement_date").alias("lo"), F.max("movement_date").alias("hi")).first()
+    if bounds["lo"] is not None:
+        lo, hi = bounds["lo"], bounds["hi"]
+        step = (hi - lo) / parts
+        for i in range(parts):
+            cond = F.col("movement_date") >= F.lit(lo + step * i)
+            if i < parts - 1:
+                cond = cond & (F.col("movement_date") < F.lit(lo + step * (i + 1)))
+            typed.where(cond).coalesce(1).write.mode("append").parquet(landing)
+    else:
+        typed.write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    run_update(ledger_stock(stream, watermark), out, ckpt)
+    return latest(spark, out, ["batch_id"], LEDGER_SCHEMA)
