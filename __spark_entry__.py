@@ -191,7 +191,8 @@ def _stream(kind: str) -> Callable[[SparkSession, str], DataFrame]:
             return streams.stream_ledger_stock(spark, load_driver_inventory(spark, sf_dir, ASOF).movements)
         users = load_driver_inventory(spark, sf_dir, ASOF).users
         return streams.stream_activity(spark, events, users, n=10)
-    run.__doc__ = f"X stream ({kind}) replayed from a landed copy of the events table."
+    source = "the derived stock ledger" if kind == "ledger" else "the events table"
+    run.__doc__ = f"X stream ({kind}) replayed in time order from a landed copy of {source}."
     return run
 
 

@@ -11,8 +11,10 @@ Each query de-duplicates repeated deliveries by event id within the watermark. R
 go to Parquet folders under the shared checkpoint folder through ``foreachBatch``: update
 mode writes the changed rows of each micro-batch tagged with the batch id, and
 ``latest`` resolves the current value per key (newest batch wins). Tests and the
-registry replay a landing folder with ``availableNow``; production would use
-``processingTime='60 seconds'`` on the same plan.
+registry replay a table into a landing folder one event-time slice at a time, running
+the query with ``availableNow`` after each slice on one checkpoint (offsets and the
+watermark carry over); production would use ``processingTime='60 seconds'`` on the same
+plan.
 """
 
 from __future__ import annotations
@@ -39,29 +41,40 @@ FEED_EVENTS = ("purchase", "error")
 # -----------------------------------------------------------------------------------------
 
 
-def land_events(events: DataFrame, path: str, parts: int = 4) -> str:
-    """Write an event table into a landing folder as ``parts`` time slices, oldest first.
+def typed_events(events: DataFrame) -> DataFrame:
+    return events.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENTS.fields])
 
-    Each slice is its own append, so file modification times follow event time and a
-    replay with one file per trigger delivers the feed in order (nothing is late).
-    """
-    typed = events.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENTS.fields])
-    bounds = typed.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+
+def time_slices(df: DataFrame, ts_col: str, parts: int) -> list:
+    """Conditions cutting ``df`` into ``parts`` consecutive event-time slices."""
+    bounds = df.agg(F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi")).first()
     if bounds["lo"] is None:
-        typed.write.mode("append").parquet(path)
-        return path
+        return [F.lit(True)]
     lo, hi = bounds["lo"], bounds["hi"]
     step = (hi - lo) / parts
+    conds = []
     for i in range(parts):
-        start = lo + step * i
-        cond = F.col("ts") >= F.lit(start)
+        cond = F.col(ts_col) >= F.lit(lo + step * i)
         if i < parts - 1:
-            cond = cond & (F.col("ts") < F.lit(lo + step * (i + 1)))
-        typed.where(cond).coalesce(1).write.mode("append").parquet(path)
-    return path
+            cond = cond & (F.col(ts_col) < F.lit(lo + step * (i + 1)))
+        conds.append(cond)
+    return conds
+
+
+def replay_in_order(df: DataFrame, ts_col: str, landing: str, parts: int, run) -> None:
+    """Deliver ``df`` to a landing folder one event-time slice at a time, running the
+    streaming query to completion (``availableNow``) after each slice.
+
+    The query keeps one checkpoint, so offsets and the watermark carry over between runs
+    and each run reads only the newly landed slice: the feed arrives in time order
+    without relying on file modification times.
+    """
+    for cond in time_slices(df, ts_col, parts):
+        df.where(cond).coalesce(1).write.mode("append").parquet(landing)
+        run()
 
 
-def read_events(spark: SparkSession, path: str, max_files: int | None = 1) -> DataFrame:
+def read_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(EVENTS)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -166,11 +179,10 @@ def newest_version(spark: SparkSession, out: str, before: int | None = None) ->
     return df.where(F.col("_version") == top).drop("_version")
 
 
-def replay(spark: SparkSession, events: DataFrame, name: str, parts: int = 4) -> tuple[str, str, str]:
-    """Land ``events`` and return (landing, output, checkpoint) paths under the shared folder."""
+def replay_paths(spark: SparkSession, name: str) -> tuple[str, str, str]:
+    """(landing, output, checkpoint) paths for a replay under the shared folder."""
     base = scratch_path(spark, name)
-    landing = land_events(events, f"{base}/landing", parts)
-    return landing, f"{base}/out", f"{base}/checkpoint"
+    return f"{base}/landing", f"{base}/out", f"{base}/checkpoint"
 
 
 # ---- end-to-end runs over a landed copy of an event table ----------------------------
@@ -184,22 +196,28 @@ def feed_order():
     return (F.col("ts").desc(), F.col("event_id").desc())
 
 
-def stream_daily_sales(spark: SparkSession, events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    landing, out, ckpt = replay(spark, events, "daily-sales")
-    run_update(daily_sales(read_events(spark, landing), watermark), out, ckpt)
+def stream_daily_sales(spark: SparkSession, events: DataFrame, watermark: str = "1 hour",
+                       parts: int = 4) -> DataFrame:
+    landing, out, ckpt = replay_paths(spark, "daily-sales")
+    replay_in_order(typed_events(events), "ts", landing, parts,
+                    lambda: run_update(daily_sales(read_events(spark, landing), watermark), out, ckpt))
     return latest(spark, out, ["day"], DAILY_SCHEMA)
 
 
-def stream_running_stock(spark: SparkSession, events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    landing, out, ckpt = replay(spark, events, "running-stock")
-    run_update(running_stock(read_events(spark, landing), "user_id", watermark), out, ckpt)
+def stream_running_stock(spark: SparkSession, events: DataFrame, watermark: str = "1 hour",
+                         parts: int = 4) -> DataFrame:
+    landing, out, ckpt = replay_paths(spark, "running-stock")
+    replay_in_order(typed_events(events), "ts", landing, parts,
+                    lambda: run_update(running_stock(read_events(spark, landing), "user_id", watermark), out, ckpt))
     return latest(spark, out, ["user_id"], STOCK_SCHEMA)
 
 
 def stream_activity(spark: SparkSession, events: DataFrame, users: DataFrame, n: int = 10,
-                    watermark: str = "1 hour") -> DataFrame:
-    landing, out, ckpt = replay(spark, events, "activity")
-    run_top_n(activity(read_events(spark, landing), users, watermark), out, ckpt, n, feed_order())
+                    watermark: str = "1 hour", parts: int = 4) -> DataFrame:
+    landing, out, ckpt = replay_paths(spark, "activity")
+    replay_in_order(typed_events(events), "ts", landing, parts,
+                    lambda: run_top_n(activity(read_events(spark, landing), users, watermark), out, ckpt, n,
+                                      feed_order()))
     top = newest_version(spark, out)
     if top is None:
         return spark.createDataFrame([], "event_id long, ts timestamp, user_id long, event_type string, "
@@ -227,21 +245,10 @@ def ledger_stock(movements: DataFrame, watermark: str = "1 day") -> DataFrame:
 def stream_ledger_stock(spark: SparkSession, movements: DataFrame, parts: int = 4,
                         watermark: str = "1 day") -> DataFrame:
     """Replay a ledger table in time order as a stream and return stock per batch."""
-    base = scratch_path(spark, "ledger-stock")
-    landing, out, ckpt = f"{base}/landing", f"{base}/out", f"{base}/checkpoint"
+    landing, out, ckpt = replay_paths(spark, "ledger-stock")
     typed = movements.select(*LEDGER_FIELDS)
     schema = typed.schema
-    bounds = typed.agg(F.min("movement_date").alias("lo"), F.max("movement_date").alias("hi")).first()
-    if bounds["lo"] is not None:
-        lo, hi = bounds["lo"], bounds["hi"]
-        step = (hi - lo) / parts
-        for i in range(parts):
-            cond = F.col("movement_date") >= F.lit(lo + step * i)
-            if i < parts - 1:
-                cond = cond & (F.col("movement_date") < F.lit(lo + step * (i + 1)))
-            typed.where(cond).coalesce(1).write.mode("append").parquet(landing)
-    else:
-        typed.write.mode("append").parquet(landing)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    run_update(ledger_stock(stream, watermark), out, ckpt)
+    replay_in_order(typed, "movement_date", landing, parts,
+                    lambda: run_update(ledger_stock(spark.readStream.schema(schema).parquet(landing), watermark),
+                                       out, ckpt))
     return latest(spark, out, ["batch_id"], LEDGER_SCHEMA)

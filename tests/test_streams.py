@@ -27,13 +27,15 @@ def test_repeated_delivery_counts_once_and_late_rows_drop(spark):
     rows = [(1, BASE + dt.timedelta(hours=1), 7, "purchase", 10.0, None),
             (2, BASE + dt.timedelta(hours=2), 7, "signup", 0.0, None),
             (3, BASE + dt.timedelta(days=2), 7, "purchase", 5.0, None)]
-    # the same events delivered again, plus one event 2 days older than the newest: late
-    replayed = rows + [rows[0], rows[2], (4, BASE + dt.timedelta(hours=3), 7, "purchase", 99.0, None)]
-    ev = _events(spark, replayed)
-    landing, out, ckpt = streams.replay(spark, ev.where("event_id <> 4 or ts is null"), "late-test", parts=2)
-    # deliver the late event after the others, in its own file
-    _events(spark, [replayed[-1]]).write.mode("append").parquet(landing)
-    streams.run_update(streams.daily_sales(streams.read_events(spark, landing)), out, ckpt)
+    # the same events delivered again, in time order
+    ev = streams.typed_events(_events(spark, rows + [rows[0], rows[2]]))
+    landing, out, ckpt = streams.replay_paths(spark, "late-test")
+    run = lambda: streams.run_update(streams.daily_sales(streams.read_events(spark, landing)), out, ckpt)
+    streams.replay_in_order(ev, "ts", landing, 2, run)
+    # an event 2 days older than the newest arrives after the stream has moved on: late
+    late = streams.typed_events(_events(spark, [(4, BASE + dt.timedelta(hours=3), 7, "purchase", 99.0, None)]))
+    late.write.mode("append").parquet(landing)
+    run()
     got = {r.day: (r.total_sales, r.sales_count) for r in
            streams.latest(spark, out, ["day"], streams.DAILY_SCHEMA).collect()}
     assert got == {dt.date(2024, 1, 1): (10.0, 1), dt.date(2024, 1, 3): (5.0, 1)}
