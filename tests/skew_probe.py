@@ -1,10 +1,11 @@
 """Skew probe: one key holds a third of the rows; compare the largest task of a plain
 per-key window with that of ``operators.scan.ordered_scan``.
 
-Usage: python tests/skew_probe.py [sf_dir]
+Usage: python tests/skew_probe.py [sf_dir] [partitions]
 Rows come from the driver's lineitem table; every part key divisible by 3 is mapped to
 key 0, so key 0 holds about a third of all rows. Task sizes are read from Spark's event
-log, written to a fresh scratch folder.
+log, written to a fresh scratch folder. AQE partition coalescing is off so that task
+sizes reflect the partitioning itself.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F  # noqa: E402
 def _max_task_records(log_dir: str, job_group: str) -> tuple[int, int]:
     """(largest shuffle-read record count of one task, total) for stages of a job group."""
     stage_jobs, best, total = {}, 0, 0
-    for path in glob.glob(os.path.join(log_dir, "*")):
+    for path in glob.glob(os.path.join(log_dir, "**", "*"), recursive=True):
+        if os.path.isdir(path):
+            continue
         with open(path) as f:
             events = [json.loads(line) for line in f]
         for e in events:
@@ -45,11 +48,14 @@ def _max_task_records(log_dir: str, job_group: str) -> tuple[int, int]:
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
+    parts = int(sys.argv[2]) if len(sys.argv) > 2 else 64
     log_dir = tempfile.mkdtemp(prefix="skew-probe-events-")
     spark = (SparkSession.builder.master("local[8]").appName("skew-probe")
-             .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "16")
+             .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", str(parts))
              .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", log_dir)
-             .config("spark.sql.adaptive.enabled", "true").getOrCreate())
+             .config("spark.eventLog.rolling.enabled", "false").config("spark.eventLog.compress", "false")
+             .config("spark.sql.adaptive.enabled", "true")
+             .config("spark.sql.adaptive.coalescePartitions.enabled", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     from shelfwise.operators.scan import ordered_scan
     from shelfwise.session import shared_dir
@@ -75,7 +81,7 @@ def main() -> None:
     for name in results:
         biggest, total = _max_task_records(log_dir, name)
         results[name].update(largest_task_shuffle_records=biggest, shuffle_records=total)
-    print(json.dumps({"rows": rows, "hot_key_rows": hot, "partitions": 16, **results}))
+    print(json.dumps({"rows": rows, "hot_key_rows": hot, "partitions": parts, **results}))
 
 
 if __name__ == "__main__":
