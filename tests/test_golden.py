@@ -104,3 +104,11 @@ def test_movement_types_and_statuses(inv):
     assert mt == {"restock": 42, "expiry": 3}
     st = {r.status: r["count"] for r in inv.batches.groupBy("status").count().collect()}
     assert st == {"available": 40, "depleted": 2}
+
+
+def test_available_stock_for_chosen_ids(spark, inv):
+    ids = spark.createDataFrame([(1,), (26,), (9999,)], "product_id long")
+    got = {r.product_id: r.available for r in reports.available_stock(inv, ASOF, ids).collect()}
+    whole = {r.product_id: r.available for r in reports.available_stock(inv, ASOF).collect()}
+    assert got == {1: whole[1], 26: whole[26], 9999: 0}
+    assert sum(whole.values()) == 4390
