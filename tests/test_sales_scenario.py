@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.dates import AsOf
 from shelfwise.operators.fefo import allocate
-from shelfwise.plans import reports, sales
+from shelfwise.plans import sales
 from shelfwise.sources.tables import conform, load
 
 ASOF = AsOf.of("2025-11-17", "2025-11-17 10:00:00")
