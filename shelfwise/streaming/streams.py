@@ -112,18 +112,27 @@ def activity(events: DataFrame, users: DataFrame, watermark: str = "1 hour") ->
     return feed.join(u, "user_id", "inner").select("event_id", "ts", "user_id", "event_type", "value", "username")
 
 
-def run_update(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Run an aggregation in update mode to completion; each batch's changed rows are
-    appended under ``out`` with their batch id."""
+def _start(writer, trigger: str | None):
+    """``trigger=None`` drains what is available and waits (tests, replays); a duration
+    such as ``"60 seconds"`` starts a continuous query and returns it (the dashboard)."""
+    if trigger is None:
+        q = writer.trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q
+    return writer.trigger(processingTime=trigger).start()
+
+
+def run_update(stream: DataFrame, out: str, checkpoint: str, trigger: str | None = None):
+    """Run an aggregation in update mode; each batch's changed rows are appended under
+    ``out`` with their batch id."""
     def write(batch: DataFrame, batch_id: int) -> None:
         # A batch replayed after a failure replaces its own partition (idempotent).
         (batch.withColumn("_batch", F.lit(batch_id).cast("long"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("_batch").parquet(out))
 
-    q = (stream.writeStream.outputMode("update").foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    return _start(stream.writeStream.outputMode("update").foreachBatch(write)
+                  .option("checkpointLocation", checkpoint), trigger)
 
 
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -145,12 +154,13 @@ def latest(spark: SparkSession, out: str, keys, schema: T.StructType) -> DataFra
             .select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values]))
 
 
-def run_top_n(stream: DataFrame, out: str, checkpoint: str, n: int, order) -> str:
+def run_top_n(stream: DataFrame, out: str, checkpoint: str, n: int, order, trigger: str | None = None):
     """X-3 sink: after each micro-batch keep the newest ``n`` rows seen so far.
 
     Each batch appends a new version (``_version`` = batch id) built from the previous
     version plus the batch, so only n + batch rows are handled and nothing is rewritten
     in place; a batch replayed after a failure rewrites the same version number.
+    ``newest_version`` reads the current top n.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -160,10 +170,8 @@ def run_top_n(stream: DataFrame, out: str, checkpoint: str, n: int, order) -> st
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("_version").parquet(out))
 
-    q = (stream.writeStream.outputMode("append").foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return out
+    return _start(stream.writeStream.outputMode("append").foreachBatch(write)
+                  .option("checkpointLocation", checkpoint), trigger)
 
 
 def newest_version(spark: SparkSession, out: str, before: int | None = None) -> DataFrame | None:

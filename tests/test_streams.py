@@ -65,3 +65,18 @@ def test_ledger_stream_matches_batch_and_dedupes(spark):
     assert got == want
     qty = {r.batch_id: r.quantity for r in inv.batches.collect()}
     assert all(got[b] == qty[b] for b in got)
+
+
+def test_continuous_trigger_starts_and_stops(spark):
+    ev = streams.typed_events(_events(spark, [(1, BASE, 7, "purchase", 3.0, None)]))
+    landing, out, ckpt = streams.replay_paths(spark, "live")
+    ev.write.mode("append").parquet(landing)
+    q = streams.run_update(streams.daily_sales(streams.read_events(spark, landing)), out, ckpt,
+                           trigger="1 second")
+    try:
+        q.processAllAvailable()
+        assert q.isActive
+    finally:
+        q.stop()
+    got = streams.latest(spark, out, ["day"], streams.DAILY_SCHEMA).collect()
+    assert [(r.day, r.total_sales) for r in got] == [(BASE.date(), 3.0)]
