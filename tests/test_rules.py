@@ -175,3 +175,35 @@ def test_sql_function_matches_available_stock(spark):
         "SELECT product_id, available_stock(product_id) AS a FROM products_t").collect()}
     want = {r.product_id: r.available for r in reports.available_stock(inv, ASOF).collect()}
     assert got == want and sum(got.values()) == 4390
+
+
+def test_unit_thresholds(spark):
+    df = spark.createDataFrame([(u, 50) for u in (0, 1, 49, 50, 51, 200, 201)], "u long, lvl int")
+    out = df.select("u", labels.summary_label(F.col("u")).alias("s"),
+                    labels.stock_class(F.col("u"), F.col("lvl")).alias("c"),
+                    labels.repurchase_colour(F.col("u")).alias("r")).collect()
+    got = {r.u: (r.s, r.c, r.r) for r in out}
+    assert got[0] == ("Critical Stock", "status-red", "red")
+    assert got[1] == ("Critical Stock", "status-orange", "orange")
+    assert got[49] == ("Critical Stock", "status-orange", "orange")
+    assert got[50] == ("Low in Stock", "status-orange", "orange")
+    assert got[51] == ("Low in Stock", "status-green", "orange")
+    assert got[200] == ("Low in Stock", "status-green", "orange")
+    assert got[201] == ("Good Stock", "status-green", "orange")
+
+
+def test_overall_status_levels(spark):
+    df = spark.createDataFrame([(1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1), (0, 0, 0, 0)],
+                               "d long, o long, e long, l long")
+    status, colour = labels.overall_status(F.col("d"), F.col("o"), F.col("e"), F.col("l"))
+    got = [(r.s, r.c) for r in df.select(status.alias("s"), colour.alias("c")).collect()]
+    assert got == [("Critical", "red"), ("Critical", "red"), ("Warning", "orange"), ("Warning", "orange"),
+                   ("Good", "green")]
+
+
+def test_card_status_and_in_use(spark):
+    days = F.col("d")
+    df = spark.createDataFrame([(-1, False, False), (359, True, False), (360, True, False), (360, False, False),
+                                (None, False, True)], "d int, iu boolean, z boolean")
+    got = [r.s for r in df.select(labels.card_status(days, F.col("iu"), F.col("z")).alias("s")).collect()]
+    assert got == ["Expired", "Near Expiry", "In Use", "Available", "Expired"]
