@@ -466,7 +466,7 @@ _ADJUST_REQ = """areq AS (
   FROM product_batches WHERE received_date > DATE '1998-04-17'
   UNION ALL
   SELECT 'P:' || batch_id, product_id, NULL, 5
-  FROM product_batches WHERE received_date > DATE '1998-04-17' AND product_id % 3 = 0)"""
+  FROM product_batches WHERE received_date > DATE '1998-04-17')"""
 ORACLE["adjust_stock"] = q(f"""
 SELECT r.batch_id || ':restock:' || r.request_id AS movement_id, r.batch_id, 'restock' AS movement_type,
        r.added_stock AS quantity,

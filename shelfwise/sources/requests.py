@@ -71,13 +71,13 @@ def dispose_requests(spark: SparkSession, sf_dir: str, inv: Inventory, asof: AsO
 
 
 def adjust_requests(inv: Inventory, asof: AsOf) -> DataFrame:
-    """Top-ups for batches received in the last 45 days (named batch), and for their
-    products when the product id is divisible by 3 (product only, no batch)."""
+    """Top-ups for every batch received in the last 45 days: one naming the batch, and
+    one for its product only (no batch)."""
     recent = inv.batches.where(F.col("received_date") > F.lit(asof.plus(-ADJUST_WINDOW_DAYS)))
     named = recent.select(F.concat(F.lit("A:"), F.col("batch_id")).alias("request_id"), "product_id", "batch_id",
                           ((F.col("original_quantity") % 9) + 1).alias("added_stock"),
                           F.lit(None).cast("long").alias("user_id"))
-    plain = recent.where(F.col("product_id") % 3 == 0).select(
+    plain = recent.select(
         F.concat(F.lit("P:"), F.col("batch_id")).alias("request_id"), "product_id",
         F.lit(None).cast("string").alias("batch_id"), F.lit(5).alias("added_stock"),
         F.lit(None).cast("long").alias("user_id"))
@@ -99,14 +99,13 @@ def new_product_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def update_product_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rename and re-price of every part (brand prefixed, price plus size)."""
+    """A rename and re-price of every part (brand prefixed, price plus size); other
+    attributes are not sent, so they keep their values."""
     p = _read(spark, sf_dir, "part")
     return p.select(
         F.col("p_partkey").alias("request_id"), F.col("p_partkey").alias("product_id"),
         F.concat_ws(" ", "p_brand", "p_name").alias("product_name"), F.col("p_type").alias("category"),
-        (F.col("p_retailprice") + F.col("p_size")).cast("decimal(10,2)").alias("price"),
-        F.lit(None).cast("date").alias("manufactured_date"), F.lit(None).cast("date").alias("expiry_date"),
-        F.lit(None).cast("string").alias("how_to_use"), F.lit(None).cast("string").alias("side_effects"))
+        (F.col("p_retailprice") + F.col("p_size")).cast("decimal(10,2)").alias("price"))
 
 
 def delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
