@@ -41,11 +41,13 @@ def _col(c) -> Column:
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  sums: dict[str, Column] | None = None,
                  fills: dict[str, str] | None = None,
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, balanced: bool = False) -> DataFrame:
     """Add inclusive running ``sums`` and forward ``fills`` per ``keys`` in ``order``.
 
     ``sums`` maps an output name to a numeric expression; ``fills`` maps an output name
     to a column whose last non-NULL value (up to and including the row) is carried.
+    ``balanced`` places the range pieces by range instead of by hash for the local
+    window: a smaller largest task, at the price of one more sampling pass.
     """
     sums = sums or {}
     fills = fills or {}
@@ -58,6 +60,11 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         staged = staged.withColumn(f"_v_{name}", expr)
     ranged = (staged.repartitionByRange(n, *[F.col(c) for c in keys + order])
               .withColumn(_PART, F.spark_partition_id()))
+    if balanced:
+        # One range piece per task: range-partitioning on the range index itself keeps the
+        # pieces apart (a hash of it would put several pieces of a hot key in one task) and
+        # already satisfies the window's clustering on (range, keys).
+        ranged = ranged.repartitionByRange(n, F.col(_PART))
 
     w_local = (Window.partitionBy(_PART, *keys).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -72,6 +72,7 @@ def main() -> None:
         ("window", lambda: df.withColumn("cum", F.sum("q").over(
             Window.partitionBy("k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))),
         ("ordered_scan", lambda: ordered_scan(df, ["k"], order, sums={"cum": F.col("q")})),
+        ("ordered_scan_balanced", lambda: ordered_scan(df, ["k"], order, sums={"cum": F.col("q")}, balanced=True)),
     ]:
         spark.sparkContext.setJobGroup(name, name)
         t = time.time()
