@@ -44,3 +44,11 @@ def test_running_count_is_row_number(spark):
     pdf["rn"] = pdf.groupby("k").cumcount() + 1
     got = out.sort_values(["k", "o", "id"])
     assert list(got["rn"]) == list(pdf["rn"])
+
+
+def test_balanced_placement_gives_the_same_running_values(spark):
+    df, rows = _frame(spark, n=1500, seed=9)
+    a = ordered_scan(df, ["k"], ["o", "id"], sums={"cum": F.col("q")}, partitions=6).toPandas()
+    b = ordered_scan(df, ["k"], ["o", "id"], sums={"cum": F.col("q")}, partitions=6, balanced=True).toPandas()
+    key = ["k", "o", "id"]
+    assert list(a.sort_values(key)["cum"]) == list(b.sort_values(key)["cum"])
