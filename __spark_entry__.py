@@ -230,6 +230,7 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "catalog_expiring": _report(reports.catalog, expiry_status="expiring"),
         "catalog_expired": _report(reports.catalog, expiry_status="expired"),
         "stock_listing": _report(reports.stock_listing),
+        "batch_badges": _report(reports.batch_badges),
         "batch_drilldown": _report(reports.batch_drilldown),
         "drilldown_totals": _report(reports.drilldown_totals),
         "batch_counts": _no_asof(reports.batch_counts),

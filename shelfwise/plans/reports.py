@@ -218,3 +218,13 @@ def register_sql_functions(inv: Inventory, asof: AsOf, view: str = "product_batc
         RETURN (SELECT COALESCE(SUM(CAST(quantity AS BIGINT)), 0) FROM {view}
                 WHERE product_id = pid AND status IN ('available', 'low_stock')
                   AND expiry_date > DATE '{asof.day.isoformat()}')""")
+
+
+# --------------------------------------------------------------------------- C-5
+def batch_badges(inv: Inventory, asof: AsOf) -> DataFrame:
+    """C-5 per product: earliest on-hand expiry, on-hand batch count and the badge."""
+    df = products_with_stats(inv.products.select("product_id"), inv.batches, asof)
+    return df.select("product_id",
+                     _zero_nulled("earliest_expiry", "earliest_expiry_zero").alias("earliest_expiry"),
+                     F.col("on_hand_count").alias("on_hand_batches"),
+                     labels.batch_badge(asof, "earliest_expiry").alias("badge"))
