@@ -52,3 +52,22 @@ def test_balanced_placement_gives_the_same_running_values(spark):
     b = ordered_scan(df, ["k"], ["o", "id"], sums={"cum": F.col("q")}, partitions=6, balanced=True).toPandas()
     key = ["k", "o", "id"]
     assert list(a.sort_values(key)["cum"]) == list(b.sort_values(key)["cum"])
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=st.lists(st.tuples(st.integers(0, 3), st.integers(0, 5), st.integers(-5, 9)), min_size=1, max_size=60),
+       parts=st.integers(1, 7))
+def test_running_sum_property(spark, rows, parts):
+    data = [(k, o, i, v) for i, (k, o, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "k long, o long, id long, v long")
+    got = {r.id: r.cum for r in ordered_scan(df, ["k"], ["o", "id"], sums={"cum": F.col("v")},
+                                             partitions=parts).collect()}
+    want, totals = {}, {}
+    for k, o, i, v in sorted(data, key=lambda x: (x[0], x[1], x[2])):
+        totals[k] = totals.get(k, 0) + v
+        want[i] = totals[k]
+    assert got == want
