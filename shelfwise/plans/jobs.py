@@ -64,7 +64,7 @@ def _first_per_key(req: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
 
 # --------------------------------------------------------------------------- M-1
 def receive(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResult:
-    """M-1: add batches (``sp_add_batch``) after validation and duplicate checks.
+    """M-1: add batches (the add-batch procedure) after validation and duplicate checks.
 
     Requests: request_id, product_id, batch_number, quantity, manufactured_date,
     expiry_date, supplier_name, purchase_price, user_id. The new batch is ``available``
