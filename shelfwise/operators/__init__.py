@@ -1,0 +1 @@
+"""shelfwise.operators."""

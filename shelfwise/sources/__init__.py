@@ -1,0 +1 @@
+"""shelfwise.sources."""
