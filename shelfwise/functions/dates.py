@@ -39,7 +39,9 @@ class AsOf:
 
     @property
     def t(self) -> Column:
-        return F.lit(self.now).cast("timestamp")
+        # Parsed as text in the session time zone, like every date-to-timestamp cast, so
+        # "now" and stored midnights agree whatever zone the Python process runs in.
+        return F.to_timestamp(F.lit(self.now.isoformat(sep=" ")))
 
     @property
     def has_time(self) -> bool:
