@@ -240,3 +240,37 @@ def allocate(demand: DataFrame, batches: DataFrame, asof: AsOf, mode: str = "par
                         .withColumn("current_stock", F.col("current_stock") - F.coalesce("_sold", F.lit(0)))
                         .select(*products.columns))
     return FefoResult(alloc.drop("start_pos"), movements, new_batches, shortfalls, new_products, decisions)
+
+
+def allocate_by_day(demand: DataFrame, batches: DataFrame, mode: str = "partial",
+                    at=None, day_col: str = "demand_date", order=DEMAND_ORDER) -> FefoResult:
+    """M-2 over several days: each day's lines are allocated at that day's as-of, in day
+    order, against the batches left by the days before (batches expire in between).
+
+    The loop runs once per calendar day that has demand (a count bounded by the dates,
+    not by the data); each day is a distributed allocation and the batch state after it
+    is checkpointed. ``at`` is the time of day used as "now" (default midnight).
+    """
+    import datetime as dt
+
+    from shelfwise.functions.dates import AsOf
+    days = sorted(r[0] for r in demand.select(day_col).distinct().collect() if r[0] is not None)
+    current = batches
+    allocs, moves, shorts, decisions = [], [], [], []
+    for day in days:
+        asof = AsOf.of(day, dt.datetime.combine(day, at or dt.time()))
+        res = allocate(demand.where(F.col(day_col) == F.lit(day)), current, asof, mode=mode, order=order)
+        current = cut_lineage(res.batches)
+        allocs.append(cut_lineage(res.allocations.withColumn("day", F.lit(day))))
+        moves.append(res.movements)
+        shorts.append(res.shortfalls)
+        decisions.append(res.decisions)
+    if not days:
+        return allocate(demand, batches, AsOf.of(dt.date(1970, 1, 1)), mode=mode, order=order)
+
+    def union(frames):
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
+    return FefoResult(union(allocs), union(moves), current, union(shorts), None, union(decisions))
