@@ -32,6 +32,21 @@ from shelfwise.sources import sinks
 from shelfwise.sources.derived import DEMAND_FROM, DEMAND_TO, DRIVER_AS_OF, load_driver_inventory
 from shelfwise.streaming import streams
 
+# The training-data operators and their pipeline are an optional part: without their folder
+# every other query still registers. Only their absence is tolerated, not errors inside them.
+try:
+    from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
+    from corpus_pipeline import run as run_pipeline
+    from shelfwise.llm.oracle import ORACLE as LLM_ORACLE
+    from shelfwise.llm.queries import QUERIES as LLM_QUERIES
+except ModuleNotFoundError as missing:
+    if missing.name not in {"corpus_pipeline", "shelfwise.llm", "shelfwise.llm.oracle", "shelfwise.llm.queries"}:
+        raise
+    LLM_QUERIES, LLM_ORACLE = {}, {}
+else:
+    LLM_QUERIES = {**LLM_QUERIES, "pipeline": run_pipeline}
+    LLM_ORACLE = {**LLM_ORACLE, **({"pipeline": PIPELINE_SQL} if PIPELINE_SQL else {})}
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 ASOF = DRIVER_AS_OF
 SEARCH_TERM = "blue"
@@ -281,9 +296,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _registry()
+    return {**_registry(), **LLM_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     names = set(queries())
-    return {k: v for k, v in ORACLE.items() if k in names}
+    return {k: v for k, v in {**ORACLE, **LLM_ORACLE}.items() if k in names}
