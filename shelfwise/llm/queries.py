@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import lines, mixing, substring, suffix
+from shelfwise.llm import lines, minhash, mixing, substring, suffix
 from shelfwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_units", "n_removed", "n_chars_removed", "kept_sha256")
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all ``documents`` by BagMinHash and verified overlap."""
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of ``documents`` inside a 100-byte string that starts earlier, by suffix arrays."""
     return suffix.remove(table(spark, sf_dir, "documents")).select(
@@ -37,6 +42,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_mixing": op5_mixing,
     "op7_line_dedup": op7_line_dedup,
