@@ -45,9 +45,10 @@ def raw_strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), ends
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text",
-           limit: int = CHUNK_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """Row slices of a batch whose texts total about ``limit`` bytes (one whole text at least).
+def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES,
+           most: int = 4096) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Row slices of a batch of at most ``most`` rows whose texts total about ``limit`` bytes
+    (one whole text at least).
 
     Yields the slice, the concatenated bytes and the texts' offsets in them.
     """
@@ -55,7 +56,7 @@ def chunks(batch: pa.RecordBatch, text: str = "text",
     row, n = 0, len(ends) - 1
     while row < n:
         stop = int(np.searchsorted(ends, ends[row] + limit, side="right")) - 1
-        stop = min(n, max(stop, row + 1))
+        stop = min(n, row + most, max(stop, row + 1))
         yield slice(row, stop), data[ends[row]:ends[stop]], ends[row:stop + 1] - ends[row]
         row = stop
 

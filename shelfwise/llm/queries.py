@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfwise.llm import lines, minhash, mixing, substring, suffix
+from shelfwise.llm import html, langid, lines, minhash, mixing, substring, suffix, toxicity
 from shelfwise.llm.common import table
 
+def _fold(of: int) -> Column:
+    """The fold of a document: crc32 of its id as text, modulo ``of`` (a null id is in fold 0)."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of, F.lit(0))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -40,10 +46,34 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the labelled ones outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(_fold(4) != 2))
+    return langid.predict(docs, model).select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by tree scoring."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels outside fold 1 of 3."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon = toxicity.learn(docs, labels.where(_fold(3) != 1))
+    return toxicity.predict(docs, lexicon).select(
+        "doc_id", (_fold(3) == 1).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "n_hits")
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_mixing": op5_mixing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_language_id": op8_language_id,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_toxicity": op10_toxicity,
 }
