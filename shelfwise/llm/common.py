@@ -103,22 +103,27 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, stops, np.searchsorted(ends, starts, side="right") - 1
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers, modulo 2**64, of an odd base and of its inverse."""
+    made = np.full((2, n), np.array([[_BASE], [_BACK]], np.uint64))
+    made[:, :1] = 1
+    made = np.cumprod(made, axis=1, dtype=np.uint64)
+    return made[0], made[1]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: its bytes as polynomial coefficients, then mixed.
+    """A 64-bit hash of each word: its bytes as coefficients of a polynomial, then mixed.
 
-    Sums of ``(byte + 1) * base**(word end - position)`` come from one pass over the bytes.
+    The sums of all words are differences of one running sum over the bytes.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = stops - starts
-    at = ranges(starts, lengths)
-    back = np.repeat(stops, lengths) - at - 1
-    powers = np.cumprod(np.full(int(lengths.max()), _BASE, np.uint64))
-    terms = (data[at].astype(np.uint64) + np.uint64(1)) * powers[back]
-    return mix64(np.add.reduceat(terms, np.cumsum(lengths) - lengths))
+    forward, back = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * forward[:-1], out=total[1:])
+    return mix64((total[stops] - total[starts]) * back[starts])
 
 
 def shingle_hashes(hashes: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

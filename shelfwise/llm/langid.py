@@ -48,6 +48,7 @@ GRAMS = (1, 2, 3, 4)
 MAX_TRAIN = 2000
 RIDGE, STEPS = 1e-4, 150
 SHARPNESS = 6.0
+MIN_SCORE = 0.3  # under it ``accepted`` rejects a text: hardly better than chance among four languages
 
 # Bytes to letters: ASCII letters to lower case, other ASCII to blank, bytes of other characters as they are.
 _LETTER = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -178,3 +179,20 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     [batch.column(0).slice(rows.start, n), pa.array(label, pa.string()), pa.array(score, pa.float64())],
                     names=["doc_id", "lang_pred", "score"])
     return _texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, model: Model | None, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without texts of unknown language.
+
+    Rejected are ``und`` and what scores under ``min_score``.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.asarray(batch.column("_letters")) & (model is not None)
+            for rows, data, ends in chunks(batch, "_lowered", most=256):
+                if keep[rows].any():
+                    keep[rows] &= model.predict(features(data, ends))[1] >= min_score
+            yield batch.drop_columns(["_letters", "_lowered"]).filter(pa.array(keep))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return (docs.withColumn("_letters", text.rlike("\\p{L}")).withColumn("_lowered", F.lower(text))
+            .mapInArrow(run, docs.schema))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import keyed_texts
+from shelfwise.llm.common import id_key, keyed_texts
 from shelfwise.session import cut_lineage
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -249,39 +249,77 @@ def probe(keys: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
 
 def dedup(docs: DataFrame, index: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
     """One row per document: what stays of it after every repeated key's later lines went."""
-    maybe = probe(line_keys(docs), filters, shards)
-    repeated = index.where("refs > 1").select("key", "first")
-    drops = (maybe.join(repeated.hint("merge"), "key").where("_k <> first")
-             .groupBy("_k").agg(F.collect_set("key").alias("drop")))
-    joined = keyed_texts(docs).join(drops, "_k", "left").select("doc_id", "text", "drop")
+    joined = _marked(keyed_texts(docs), docs, index, filters, shards).select("doc_id", "text", "drop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()),
-                 ("kept_text", pa.string()), ("kept_sha256", pa.string())]
+        schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()),
+                            ("kept_text", pa.string()), ("kept_sha256", pa.string())])
         for batch in batches:
             for part in range(0, batch.num_rows, 512):
                 some, rows = batch.slice(part, 512), []
                 for doc_id, text, drop in zip(some.column(0).to_pylist(), some.column(1), some.column(2).to_pylist()):
-                    held = text.as_buffer().to_pybytes().split(b"\n")
-                    kept = held
-                    if drop:
-                        gone = set(drop)
-                        kept = [x for x in held if line_key(x) not in gone]
+                    held, kept = _kept(text, drop)
                     rest = b"\n".join(kept)
                     rows.append((doc_id, len(held), len(held) - len(kept), rest.decode("utf-8"),
                                  hashlib.sha256(rest).hexdigest()))
-                columns = list(zip(*rows)) or [()] * len(types)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, types)],
-                                                 names=[name for name, _ in types])
+                columns = list(zip(*rows)) or [()] * len(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
     return joined.mapInArrow(run, DEDUPED)
 
 
-def dedup_corpus(docs: DataFrame) -> DataFrame:
-    """Index a corpus, build its filters, and dedup it against them.
+def _marked(texts: DataFrame, docs: DataFrame, index: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """``texts`` (with _k) and the repeated keys each document is not the first holder of."""
+    maybe = probe(line_keys(docs), filters, shards)
+    repeated = index.where("refs > 1").select("key", "first")
+    drops = (maybe.join(repeated.hint("merge"), "key").where("_k <> first")
+             .groupBy("_k").agg(F.collect_set("key").alias("drop")))
+    return texts.join(drops, "_k", "left")
+
+
+def _kept(text: pa.Scalar, drop: list[bytes] | None) -> tuple[list[bytes], list[bytes]]:
+    """All lines of a text, and those that stay."""
+    held = text.as_buffer().to_pybytes().split(b"\n")
+    if not drop:
+        return held, held
+    gone = set(drop)
+    return held, [x for x in held if line_key(x) not in gone]
+
 
-    The repeated keys are written to the shared checkpoint folder: the count that sizes the
-    shards, the filters and the exact join all read them.
+def indexed(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The repeated keys of a corpus, their filters, and the number of shards.
+
+    The keys are written to the shared checkpoint folder: the count that sizes the shards, the
+    filters and the exact join all read them.
     """
     index = cut_lineage(build(docs).where("refs > 1"))
     shards = shard_count(index)
-    return dedup(docs, index, build_filters(index, shards), shards)
+    return index, build_filters(index, shards), shards
+
+
+def dedup_corpus(docs: DataFrame) -> DataFrame:
+    """Index a corpus, build its filters, and dedup it against them."""
+    return dedup(docs, *indexed(docs))
+
+
+def rewrite(docs: DataFrame) -> DataFrame:
+    """The rows of a corpus (doc_id, text, lang, source, n_chars) with their remaining text.
+
+    ``n_chars`` is the new length; documents that lost all their lines are left out.
+    """
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    texts = docs.select(id_key("doc_id").alias("_k"), *columns)
+    joined = _marked(texts, docs, *indexed(docs)).select(*columns, "drop")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, keep = [], []
+            for old, drop in zip(batch.column("text"), batch.column("drop").to_pylist()):
+                kept = _kept(old, drop)[1] if drop else None
+                text.append(old.as_py() if kept is None else b"\n".join(kept).decode("utf-8"))
+                keep.append(kept is None or bool(kept))
+            changed = [pa.array(text, pa.string()) if name == "text"
+                       else pa.array([None if x is None else len(x) for x in text], pa.int64()) if name == "n_chars"
+                       else batch.column(name) for name in columns]
+            yield pa.RecordBatch.from_arrays(changed, names=columns).filter(pa.array(keep))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    return joined.select([F.col(c).cast(t) for c, t in (x.split() for x in schema.split(", "))] + ["drop"]).mapInArrow(run, schema)

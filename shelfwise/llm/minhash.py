@@ -263,3 +263,9 @@ def classes(docs: DataFrame) -> DataFrame:
     return signed.join(named.hint("merge"), "body").select(
         F.when(F.col("_k") != NULL_ID, F.col("_k")).alias("doc_id"),
         F.when(F.col("comp") != NULL_ID, F.col("comp")).alias("class_id"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of the smallest doc_id of each class."""
+    first = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import html, langid, lines, minhash, mixing, substring, suffix, toxicity
+from shelfwise.llm import ann, decontam, html, langid, lines, minhash, mixing, substring, suffix, toxicity
 from shelfwise.llm.common import table
 
 def _fold(of: int) -> Column:
@@ -35,11 +35,22 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of all ``embeddings`` to each whose vec_id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all ``documents`` to target weights, in training order."""
     return mixing.curriculum(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a copy of a ``benchmark`` item, the item, and the alignment's score."""
+    return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line dedup of ``documents`` through cuckoo filters and exact reference counts."""
     done = lines.dedup_corpus(table(spark, sf_dir, "documents"))
@@ -71,7 +82,9 @@ QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_mixing": op5_mixing,
+    "op6_decontamination": op6_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_language_id": op8_language_id,
     "op9_html_extraction": op9_html_extraction,

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import chunks, keyed_texts, mix64, ranges, raw_strings
+from shelfwise.llm.common import chunks, keyed_texts, mix64, powers, ranges, raw_strings
 
 SPAN = 100
 GRAM = 20
@@ -54,16 +54,6 @@ BUCKET = 4096  # wordings of one anchor that are sorted together
 _N_BITS, _OFFSET_BITS = 7, 36
 _N_MASK, _OFFSET_MASK = (1 << _N_BITS) - 1, (1 << _OFFSET_BITS) - 1
 
-_BASE = 0x9E3779B97F4A7C15
-_BACK = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    made = np.full(n, base, np.uint64)
-    made[:1] = 1
-    return np.cumprod(made)
-
-
 def _words(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position on as one number (zeros follow the end)."""
     padded = np.zeros(len(data) + 8, np.uint8)
@@ -74,7 +64,7 @@ def _words(data: np.ndarray) -> np.ndarray:
 def _pieces(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Anchor hash, piece hash, text number, first window and number of windows of each piece."""
     counts = np.maximum(np.diff(ends) - SPAN + 1, 0)
-    forward, back = _powers(_BASE, SEGMENT + 2 * SPAN), _powers(_BACK, SEGMENT + 2 * SPAN)
+    forward, back = powers(min(len(data), SEGMENT + SPAN) + 1)
     for low in range(0, max(len(data) - SPAN + 1, 0), SEGMENT):
         part = data[low:low + SEGMENT + SPAN - 1]
         word = _words(part)

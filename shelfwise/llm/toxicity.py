@@ -218,7 +218,7 @@ def _choose(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     usual = Counter(s for t in clean for s in stems(t) & known)
     lift = {s: support[s] / len(toxic) / ((usual[s] + 0.5) / len(clean)) for s in known}
     good = {s for s in known if lift[s] >= MIN_LIFT}
-    # A stem grows while one longer form has nearly all its texts.
+    # A stem grows while one longer form has nearly all its toxic texts, or most of them and far fewer others.
     longer = defaultdict(list)
     for s in good:
         longer[s[:-1]].append(s)
@@ -226,7 +226,8 @@ def _choose(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     def grown(s: str) -> str:
         while True:
             best = max(longer[s], key=lambda x: (support[x], x), default=None)
-            if best is None or support[best] < 0.95 * support[s]:
+            share = support[best] / support[s] if best else 0.0
+            if share < 0.6 or share < 0.95 and usual[best] + 0.5 > 0.25 * (usual[s] + 0.5):
                 return s
             s = best
     roots = {grown(s) for s in good if s[:-1] not in good}
