@@ -18,15 +18,16 @@ bucket. A pair at the threshold misses all buckets with probability 3e-6. A buck
 not expanded into pairs:
 
 1. each document is verified against one leader, the smallest document of the bucket it shares
-   most often; verified links give a first set of components;
-2. then all pairs of a bucket whose members are still in different components are verified,
-   those of the bucket's largest component only against the others. So no candidate pair between
-   components is left out, while near copies, being in one component by then, cost nothing. A pair
-   whose signatures agree so rarely that a similarity of 0.8 is over five standard deviations off
-   is not verified.
+   most often; verified links give a first set of components (``verify``);
+2. documents connected by buckets form a group; those outside a group's largest component are then
+   compared to all of the group (``connect``), in cells of bounded size that skip pairs already
+   connected and return found links only. So no candidate pair between components is left out,
+   while near copies, being in one component by then, cost nothing. A pair whose signatures agree
+   so rarely that a similarity of 0.8 is over five standard deviations off is not verified.
 
-Verification reads texts: leaders and members meet sorted by leader, and a leader of many gets a
-share of them per piece (``PIECE``), so no task holds a whole group.
+Both read only texts that share a bucket with another one, written once to the shared folder.
+Leaders and members meet sorted by leader, and a leader of many gets a share of them per piece
+(``PIECE``), so no task holds a whole group.
 
 Edge cases: null text is empty; texts without words are equal to their exact copies only; a null
 doc_id ranks last; rows that repeat a doc_id each get their class; an empty table gives an empty
@@ -39,12 +40,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import NULL_ID, chunks, keyed_texts, mix64, shingle_hashes, word_hashes, words
 from shelfwise.llm.components import components
-from shelfwise.session import cut_lineage
+from shelfwise.session import cut_lineage, scratch_path
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -143,6 +144,11 @@ def _fill(best: np.ndarray, texts: np.ndarray, shingle: np.ndarray, count: np.nd
         x, turn = np.r_[x[u], times], np.r_[turn[u], np.zeros(len(mine), np.uint64)]
 
 
+def _body() -> Column:
+    """The digest of a whole text."""
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
 def sign(docs: DataFrame) -> DataFrame:
     """(_k, body, sig): the digest of each text and its signature (null without words)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +161,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 sig = pa.array([s.tobytes() if any_ else None for s, any_ in zip(signed, some)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(rows.start, n) for i in (0, 1)] + [sig],
                                                  names=["_k", "body", "sig"])
-    texts = keyed_texts(docs).select("_k", F.unhex(F.md5(F.col("text").cast("binary"))).alias("body"),
-                                     F.lower("text").alias("text"))
+    texts = keyed_texts(docs).select("_k", _body().alias("body"), F.lower("text").alias("text"))
     return texts.mapInArrow(run, "_k long, body binary, sig binary")
 
 
@@ -178,19 +183,18 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(least / max(1, a[1].sum() + b[1].sum() - least))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The (node, other) pairs whose documents' bags are similar enough.
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The (node, other) pairs whose documents' bags are similar enough, by (rep, text) rows.
 
     ``other`` leads: its members are dealt to pieces of about ``PIECE``, each with a copy of it.
     """
     sizes = pairs.groupBy("other").agg((F.count("*") / PIECE).cast("int").alias("_pieces"))
     members = pairs.join(sizes.hint("merge"), "other").select(
-        F.col("node").alias("_k"), "other", F.pmod(F.xxhash64("node"), F.col("_pieces") + 1).cast("int").alias("piece"),
+        F.col("node").alias("rep"), "other", F.pmod(F.xxhash64("node"), F.col("_pieces") + 1).cast("int").alias("piece"),
         F.lit(1).alias("member"))
-    leaders = sizes.select(F.col("other").alias("_k"), "other",
+    leaders = sizes.select(F.col("other").alias("rep"), "other",
                            F.explode(F.sequence(F.lit(0), F.col("_pieces"))).alias("piece"), F.lit(0).alias("member"))
-    texts = keyed_texts(docs).select("_k", F.lower("text").alias("text"))
-    asked = members.unionByName(leaders).join(texts, "_k")
+    asked = members.unionByName(leaders).join(texts.select("rep", "text"), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, led = None, None
@@ -198,68 +202,124 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> D
             found: list[tuple[int, int]] = []
             for rows, data, ends in chunks(batch):
                 n = len(ends) - 1
-                owner, shingle, count = bags(data, ends)
-                cut = np.searchsorted(owner, np.arange(n + 1))
                 ks, others, member = (batch.column(i).slice(rows.start, n).to_pylist() for i in (0, 1, 3))
-                for i in range(n):
-                    bag = shingle[cut[i]:cut[i + 1]], count[cut[i]:cut[i + 1]]
+                for i, bag in enumerate(_split(data, ends)):
                     if not member[i]:
                         lead, led = others[i], bag
                     elif lead == others[i] and similarity(led, bag) >= threshold:
                         found.append((ks[i], others[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)],
-                                             names=["node", "other"])
-    return (asked.repartition("other", "piece").sortWithinPartitions("other", "piece", "member", "_k")
-            .select("_k", "other", "piece", "member", "text").mapInArrow(run, "node long, other long").distinct())
+            yield _links(found)
+    return (asked.repartition("other", "piece").sortWithinPartitions("other", "piece", "member", "rep")
+            .select("rep", "other", "piece", "member", "text").mapInArrow(run, "node long, other long").distinct())
 
 
-def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The (node, other) pairs whose signatures agree often enough."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(n, SIZE) for i in (2, 3))
-            mask = pa.array((a == b).mean(axis=1) >= LEAST_ESTIMATE)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], names=["node", "other"])
-    signed = reps.select("rep", "sig")
-    return (pairs.join(signed.select(F.col("rep").alias("node"), F.col("sig").alias("_a")), "node")
-            .join(signed.select(F.col("rep").alias("other"), F.col("sig").alias("_b")), "other")
-            .select("node", "other", "_a", "_b").mapInArrow(run, "node long, other long"))
+def _split(data: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The bag of each text: sorted hashes and counts."""
+    owner, shingle, count = bags(data, ends)
+    cut = np.searchsorted(owner, np.arange(len(ends)))
+    return [(shingle[a:b], count[a:b]) for a, b in zip(cut[:-1], cut[1:])]
 
 
-def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Adds ``comp``, the root of ``rep`` (itself if it has no other)."""
-    named = roots.select(F.col("node").alias("rep"), "root").hint("merge")
-    return rows.join(named, "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)],
+                                      names=["node", "other"])
+
+
+def connect(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links between different components of a group of candidates.
+
+    ``members`` are (rep, grp, comp, sig, text). Documents outside the group's largest component
+    are compared to all of the group, in cells of at most about ``PIECE`` by ``PIECE`` documents. A
+    cell joins components as it finds links and compares no pair within one, so it returns
+    fewer links than it holds documents.
+    """
+    comps = members.groupBy("grp", "comp").agg(F.count("*").alias("_n"))
+    torn = (comps.groupBy("grp").agg(F.max_by("comp", F.struct("_n", "comp")).alias("_main"), F.sum("_n").alias("_all"),
+                                     F.max("_n").alias("_most"), F.count("*").alias("_comps"))
+            .where("_comps > 1")
+            .select("grp", "_main", (F.col("_all") / PIECE).cast("int").alias("_in"),
+                    ((F.col("_all") - F.col("_most")) / PIECE).cast("int").alias("_out")))
+    rows = members.join(torn.hint("merge"), "grp")
+    place = [F.pmod(F.xxhash64("rep"), F.col(c) + 1).cast("int") for c in ("_out", "_in")]
+    every = [F.explode(F.sequence(F.lit(0), F.col(c))) for c in ("_out", "_in")]
+    columns = ["rep", "comp", "sig", "text"]
+    outside = rows.where("comp <> _main").select("grp", place[0].alias("i"), every[1].alias("j"), F.lit(0).alias("side"), *columns)
+    inside = rows.select("grp", place[1].alias("j"), every[0].alias("i"), F.lit(1).alias("side"), *columns)
+
+    def cell(held: list[tuple]) -> list[tuple[int, int]]:
+        """Links of a cell's (side, rep, comp, sig, bag) rows, those of side 0 against side 1."""
+        out, all_ = ([x for x in held if x[0] == side] for side in (0, 1))
+        if not out or not all_:
+            return []
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        signed = np.frombuffer(b"".join(x[3] for x in all_), np.uint32).reshape(len(all_), -1)
+        found = []
+        for _, rep, comp, sig, bag in out:
+            alike = (signed == np.frombuffer(sig, np.uint32)).mean(axis=1)
+            for at in np.argsort(-alike, kind="stable"):
+                if alike[at] < LEAST_ESTIMATE:
+                    break
+                other = all_[at]
+                if find(comp) != find(other[2]) and similarity(bag, other[4]) >= threshold:
+                    root[find(comp)] = find(other[2])
+                    found.append((max(rep, other[1]), min(rep, other[1])))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for rows_, data, ends in chunks(batch):
+                some = batch.slice(rows_.start, len(ends) - 1)
+                columns_ = [some.column(i).to_pylist() for i in range(7)]
+                for *where, side, rep, comp, sig, bag in zip(*columns_, _split(data, ends)):
+                    if where != at:
+                        found += cell(held)
+                        at, held = where, []
+                    held.append((side, rep, comp, sig, bag))
+            yield _links(found)
+        yield _links(cell(held))
+    dealt = outside.unionByName(inside).repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side", "rep")
+    return dealt.select("grp", "i", "j", "side", "rep", "comp", "sig", "text").mapInArrow(run, "node long, other long")
+
+
+def _named(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """Adds ``name``, the root of ``rep`` (itself if it has no other)."""
+    known = roots.select(F.col("node").alias("rep"), F.col("root").alias("_root")).hint("merge")
+    return rows.join(known, "rep", "left").withColumn(name, F.coalesce("_root", "rep")).drop("_root")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): one row per row of ``docs``; equal class ids are near duplicates."""
     signed = cut_lineage(sign(docs))
     reps = signed.groupBy("body").agg(F.min("_k").alias("rep"), F.any_value("sig").alias("sig"))
-    banded = cut_lineage(band_rows(reps))
+    met = cut_lineage(band_rows(reps).where("rep > lead").groupBy("rep", "lead").agg(F.count("*").alias("_n")))
+
+    # The texts that share a band with another one; all that follows reads only these.
+    some = met.select("rep").union(met.select("lead")).distinct()
+    path = scratch_path(docs.sparkSession, "near-duplicates")
+    (reps.join(some.hint("merge"), "rep")
+     .join(keyed_texts(docs).select(F.col("_k").alias("rep"), _body().alias("body"), F.lower("text").alias("text")),
+           ["rep", "body"]).select("rep", "sig", "text").write.parquet(path))
+    texts = docs.sparkSession.read.parquet(path)
 
     # One leader each: of the leaders in its buckets, the one met most often.
-    met = banded.where("rep > lead").groupBy("rep", "lead").agg(F.count("*").alias("_n"))
     first = (met.groupBy("rep").agg(F.max(F.struct("_n", (-F.col("lead")).alias("_l"))).alias("_best"))
              .select(F.col("rep").alias("node"), (-F.col("_best._l")).alias("other")))
-    links = cut_lineage(verify(first, docs))
-    comps = cut_lineage(_rooted(banded.select("key", "rep"), components(links)))
-
-    # Then whatever shares a bucket across components.
-    counts = comps.groupBy("key", "comp").agg(F.count("*").alias("_n"))
-    mixed = (counts.groupBy("key").agg(F.max_by("comp", F.struct("_n", "comp")).alias("main"), F.count("*").alias("_comps"))
-             .where("_comps > 1").select("key", "main"))
-    torn = comps.join(mixed.hint("merge"), "key")
-    outside = torn.where("comp <> main").select("key", F.col("rep").alias("_x"), F.col("comp").alias("_xc"))
-    meet = torn.select("key", "rep", "comp", (F.col("comp") == F.col("main")).alias("_in"))
-    # Outsiders meet the main component, and one another once.
-    crossing = (outside.join(meet.hint("merge"), "key").where("_xc <> comp and (_in or _x < rep)")
-                .select(F.greatest("_x", "rep").alias("node"), F.least("_x", "rep").alias("other")).distinct())
-    more = verify(cut_lineage(plausible(crossing, reps)), docs)
-    roots = components(links.unionByName(more))
-
-    named = _rooted(reps.select("body", "rep"), roots).select("body", "comp")
+    links = cut_lineage(verify(first, texts))
+
+    # Then all that is connected by buckets, as far as it is not one component.
+    groups = components(met.select(F.col("rep").alias("node"), F.col("lead").alias("other")))
+    members = _named(_named(texts, groups, "grp"), components(links), "comp")
+    roots = components(links.unionByName(connect(members)))
+
+    named = _named(reps.select("body", "rep"), roots, "comp").select("body", "comp")
     return signed.join(named.hint("merge"), "body").select(
         F.when(F.col("_k") != NULL_ID, F.col("_k")).alias("doc_id"),
         F.when(F.col("comp") != NULL_ID, F.col("comp")).alias("class_id"))
