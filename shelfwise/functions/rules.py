@@ -94,10 +94,10 @@ def search(df: DataFrame, term: str | None, accent_insensitive: bool = False) ->
 
 
 def by_category(df: DataFrame, category: str | None) -> DataFrame:
-    """F-2: category equality; empty means no filter."""
+    """F-2: category equality, in any case (as the source's collation has it); empty means no filter."""
     if not category or category == "0":
         return df
-    return df.where(F.col("category") == F.lit(category))
+    return df.where(F.lower("category") == F.lower(F.lit(category)))
 
 
 def by_stock_level(df: DataFrame, level: str | None, col: str = "total_stock") -> DataFrame:

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.functions import labels, rules
 from shelfwise.functions.dates import AsOf
@@ -159,16 +160,21 @@ def strict_accept(lines: DataFrame, sup_total: DataFrame, order=DEMAND_ORDER) ->
         decided.append(j.where(F.col("accepted").isNotNull()).select("sale_item_id", "accepted"))
         state = (j.where(F.col("accepted").isNull())
                  .select(*[c for c in state.columns if c != "cap"], F.col("next_cap").alias("cap")))
-    out = decided[0] if decided else lines.sparkSession.createDataFrame([], "sale_item_id string, accepted boolean")
+    out = decided[0] if decided else lines.sparkSession.createDataFrame(
+        [], T.StructType([lines.schema["sale_item_id"], T.StructField("accepted", T.BooleanType())]))
     for part in decided[1:]:
         out = out.unionByName(part)
     return out
 
 
 def _tags(items: DataFrame) -> DataFrame:
-    """W-3: the latest sale item of each (sale, product)."""
-    return (items.groupBy("sale_id", "product_id")
-            .agg(F.max_by("sale_item_id", F.struct("line_no", "sale_item_id")).alias("tag_item")))
+    """W-3: the latest sale item of each (sale, product): the greatest key.
+
+    Text keys end in their line's number, which does not sort as text, so the line leads.
+    """
+    numeric = isinstance(items.schema["sale_item_id"].dataType, T.IntegralType)
+    latest = F.col("sale_item_id") if numeric else F.struct("line_no", "sale_item_id")
+    return items.groupBy("sale_id", "product_id").agg(F.max_by("sale_item_id", latest).alias("tag_item"))
 
 
 def allocate(demand: DataFrame, batches: DataFrame, asof: AsOf, mode: str = "partial",

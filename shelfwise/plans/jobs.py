@@ -307,7 +307,7 @@ def delete_products(ids: DataFrame, inv: Inventory) -> JobResult:
     """
     found = ids.join(inv.products.select("product_id"), "product_id", "left_semi")
     not_found = ids.join(inv.products.select("product_id"), "product_id", "left_anti")
-    sold = inv.sale_items.select("product_id")
+    sold = inv.sale_items.select("product_id").distinct()  # combined map-side: a best seller is one row per task
     refused = found.join(sold, "product_id", "left_semi")
     gone = found.join(sold, "product_id", "left_anti").select("product_id").distinct()
     products = inv.products.join(gone, "product_id", "left_anti")

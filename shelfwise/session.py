@@ -7,7 +7,6 @@ session only pins what changes results (time zone, ANSI) and what changes plans
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -43,22 +42,19 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster-shared folder named by ``spark.checkpoint.dir``.
+    """The cluster-shared folder named by ``spark.checkpoint.dir``; without one this is an error.
 
-    Only when the session has none (local tests) is a private temporary folder set.
+    No machine-local folder stands in for it: other executors could not read what is written there.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="shelfwise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path below the shared folder (never reused, never deleted)."""
+    """A fresh, unique path below the shared folder (never reused)."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 

@@ -111,6 +111,9 @@ USERS = T.StructType([
     T.StructField("status", T.StringType(), True),
 ])
 
+# Keys that are text in some sources and whole numbers in others; a source's numbers stay numbers.
+OPEN_KEYS = ("batch_id", "movement_id", "sale_item_id")
+
 SCHEMAS = {
     "products": PRODUCTS,
     "product_batches": BATCHES,

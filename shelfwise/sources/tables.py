@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,11 +58,17 @@ def clean_dates(df: DataFrame, cols) -> DataFrame:
 
 
 def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select the schema's columns in order with its types; absent columns are NULL."""
-    present = set(df.columns)
+    """Select the schema's columns in order with its types; absent columns are NULL.
+
+    Batch, movement and sale-item keys may be text or whole numbers. Numbers stay numbers (as
+    BIGINT), so that 9 comes before 10 wherever a key breaks ties.
+    """
+    present = {f.name: f.dataType for f in df.schema.fields}
     cols = []
     for f in schema.fields:
-        if f.name in present:
+        if f.name in schemas.OPEN_KEYS and isinstance(present.get(f.name), T.IntegralType):
+            cols.append(F.col(f.name).cast("long").alias(f.name))
+        elif f.name in present:
             cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
         elif f.name.endswith("_zero"):
             cols.append(F.lit(False).alias(f.name))
@@ -75,11 +81,12 @@ def conform(name: str, df: DataFrame) -> DataFrame:
     return _conform(df, schemas.SCHEMAS[name])
 
 
-def load(spark: SparkSession, path: str, fmt: str = "parquet") -> Inventory:
+def load(spark: SparkSession, path: str, fmt: str = "parquet", numeric_keys: bool = False) -> Inventory:
     """S-1: read ``<path>/<table>.<fmt>`` for the six tables.
 
     Parquet is read with its own schema and conformed; CSV (the small golden fixture)
-    is read as strings with the header and typed here, with zero dates cleaned.
+    is read as strings with the header and typed here, with zero dates cleaned; there
+    ``numeric_keys`` says that batch, movement and sale-item keys are whole numbers.
     """
     tables = {}
     for name, schema in schemas.SCHEMAS.items():
@@ -92,6 +99,8 @@ def load(spark: SparkSession, path: str, fmt: str = "parquet") -> Inventory:
             for f in schema.fields:
                 if f.name in raw.columns and isinstance(f.dataType, T.BooleanType) and not f.name.endswith("_zero"):
                     raw = raw.withColumn(f.name, F.lower(F.col(f.name)).isin("1", "true"))
+                if numeric_keys and f.name in raw.columns and f.name in schemas.OPEN_KEYS:
+                    raw = raw.withColumn(f.name, F.col(f.name).cast("long"))
             df = raw
         else:
             df = spark.read.parquet(location)
@@ -101,7 +110,3 @@ def load(spark: SparkSession, path: str, fmt: str = "parquet") -> Inventory:
         movements=tables["batch_movements"], sales=tables["sales"],
         sale_items=tables["sale_items"], users=tables["users"],
     )
-
-
-def lit_date(value) -> Column:
-    return F.lit(value).cast("date")

@@ -10,12 +10,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 @pytest.fixture(scope="session")
 def spark():
+    from pyspark.sql import SparkSession
+
     from shelfwise.session import build_session
+    shared = SparkSession.builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="shelfwise-test-ckpt-"))
+    shared.config("spark.driver.memory", "6g")
     s = build_session("local[4]", 8, app_name="shelfwise-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        path = tempfile.mkdtemp(prefix="shelfwise-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", path)
-        s.sparkContext.setCheckpointDir(path)
     yield s
 
 

@@ -36,10 +36,10 @@ def test_expiry_range_is_pushed_to_parquet(spark, tmp_path):
     assert "ReadSchema: struct<product_id:bigint,quantity:int,expiry_date:date,status:string,expiry_date_zero:boolean>" in plan
 
 
-def test_feed_reads_recent_rows_and_pushes_key_lists(spark, tmp_path):
+def test_feed_joins_only_its_top_rows(spark, tmp_path):
     from shelfwise.plans import sales
     from shelfwise.sources.derived import DRIVER_AS_OF, load_driver_inventory, materialize
     inv = materialize(spark, load_driver_inventory(spark, SF001), str(tmp_path / "f"))
     plan = _plan(sales.activity_feed(inv, DRIVER_AS_OF, n=4))
-    assert "GreaterThanOrEqual(movement_date," in plan        # a look-back window reached the scan
-    assert "In(batch_id, [" in plan and "In(product_id, [" in plan
+    assert "TakeOrderedAndProject" in plan and "LeftSemi" in plan
+    assert "In(batch_id" not in plan                          # no keys were collected while planning
