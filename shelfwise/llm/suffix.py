@@ -206,7 +206,9 @@ def fetch(texts: DataFrame, settled: DataFrame) -> DataFrame:
             rows += [(k, k, at, None) for k, at in again]
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
-    joined = settled.where("size(open) > 0").join(texts, ["_k", "_v"]).select("_k", "text", "open")
+    # The columns that are not used here keep both sides equal to those that ``remove`` joins, so
+    # that Spark reads the same exchanges again.
+    joined = settled.where("size(open) > 0").join(texts, ["_k", "_v"]).select("_k", "text", "open", "again", "doc_id")
     return joined.mapInArrow(run, "h long, _k long, at long, piece binary")
 
 
@@ -367,8 +369,8 @@ def remove(docs: DataFrame) -> DataFrame:
                .agg(F.collect_list(F.when(F.col("kind") == 0, F.col("at"))).alias("again"),
                     F.collect_list(F.when(F.col("kind") > 0, F.struct("h", "at", "kind"))).alias("open")))
     sorted_ = sort_blocks(fetch(texts, settled)).groupBy("_k", version).agg(F.collect_list("at").alias("more"))
-    joined = (texts.join(settled.select("_k", "_v", "again"), ["_k", "_v"], "left")
-              .join(sorted_, ["_k", "_v"], "left").select("doc_id", "text", "again", "more"))
+    joined = (texts.join(settled, ["_k", "_v"], "left").join(sorted_, ["_k", "_v"], "left")
+              .select("doc_id", "text", "again", "more", "open"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
