@@ -29,7 +29,7 @@ from shelfwise.plans import checks, jobs, reports, sales
 from shelfwise.plans.allocation import allocate_window
 from shelfwise.sources import requests as req
 from shelfwise.sources import sinks
-from shelfwise.sources.derived import DEMAND_FROM, DEMAND_TO, DRIVER_AS_OF, load_driver_inventory
+from shelfwise.sources.derived import DEMAND_FROM, DEMAND_TO, DRIVER_AS_OF, load_driver_inventory, with_faults
 from shelfwise.streaming import streams
 
 # The training-data operators and their pipeline are an optional part: without their folder
@@ -103,23 +103,23 @@ PRODUCT_COLS = ["product_id", "product_name", "category", "price", "current_stoc
 
 def _receive(spark, sf_dir, inv):
     """M-1 receive: the new batch rows."""
-    return jobs.receive(req.receive_requests(spark, sf_dir, ASOF), inv, ASOF).added["product_batches"].select(BATCH_COLS)
+    return jobs.receive(req.receive_requests(spark, sf_dir), inv, ASOF).added["product_batches"].select(BATCH_COLS)
 
 
 def _receive_rejects(spark, sf_dir, inv):
     """M-1 receive: rejected requests with their reason."""
-    return jobs.receive(req.receive_requests(spark, sf_dir, ASOF), inv, ASOF).rejects
+    return jobs.receive(req.receive_requests(spark, sf_dir), inv, ASOF).rejects
 
 
 def _receive_stock(spark, sf_dir, inv):
     """M-1 receive: legacy stock of every product afterwards."""
-    res = jobs.receive(req.receive_requests(spark, sf_dir, ASOF), inv, ASOF)
+    res = jobs.receive(req.receive_requests(spark, sf_dir), inv, ASOF)
     return res.inventory.products.select("product_id", "current_stock")
 
 
 def _next_numbers(spark, sf_dir, inv):
     """W-5 / C-16: proposed batch numbers for the receipt requests."""
-    return jobs.next_batch_numbers(req.receive_requests(spark, sf_dir, ASOF), inv)
+    return jobs.next_batch_numbers(req.receive_requests(spark, sf_dir), inv)
 
 
 def _dispose(spark, sf_dir, inv):
@@ -141,12 +141,12 @@ def _dispose_state(spark, sf_dir, inv):
 
 def _adjust(spark, sf_dir, inv):
     """M-4 adjust: the new restock ledger rows."""
-    return jobs.adjust(req.adjust_requests(inv, ASOF), inv, ASOF).added["batch_movements"].select(MOVE_COLS)
+    return jobs.adjust(req.adjust_requests(inv), inv, ASOF).added["batch_movements"].select(MOVE_COLS)
 
 
 def _adjust_state(spark, sf_dir, inv):
     """M-4 adjust: batch quantity/status and product legacy stock afterwards."""
-    res = jobs.adjust(req.adjust_requests(inv, ASOF), inv, ASOF)
+    res = jobs.adjust(req.adjust_requests(inv), inv, ASOF)
     return res.inventory.batches.select("batch_id", "product_id", "quantity", "status").join(
         res.inventory.products.select("product_id", "current_stock"), "product_id", "left")
 
@@ -178,7 +178,7 @@ def _delete_products(spark, sf_dir, inv):
     """M-8 delete products: outcome per request (deleted, has_sales, not_found)."""
     ids = req.delete_requests(spark, sf_dir)
     res = jobs.delete_products(ids, inv)
-    deleted = ids.join(res.added["deleted_products"], "product_id", "left_semi").withColumn("outcome", F.lit("deleted"))
+    deleted = res.added["deleted_requests"].withColumn("outcome", F.lit("deleted"))
     refused = ids.join(res.rejects, "request_id", "inner").withColumnRenamed("reject_reason", "outcome")
     return deleted.unionByName(refused)
 
@@ -199,8 +199,9 @@ def _rebuild(spark, sf_dir, inv):
 
 def _check(fn, with_asof=False):
     def run(spark, sf_dir, inv):
-        return fn(inv, ASOF) if with_asof else fn(inv)
-    run.__doc__ = fn.__doc__
+        broken = with_faults(inv)
+        return fn(broken, ASOF) if with_asof else fn(broken)
+    run.__doc__ = f"On tables with planted faults. {fn.__doc__}"
     return run
 
 

@@ -122,6 +122,11 @@ def money_text(amount: Column) -> Column:
     return F.format_number(F.round(amount.cast("decimal(38,4)"), 2), 2)
 
 
+def peso_text(amount: Column) -> Column:
+    """C-14 with the currency sign; NULL for NULL."""
+    return F.concat(F.lit("₱"), money_text(amount))
+
+
 def ucfirst(c: Column) -> Column:
     """C-15: upper-case the first letter only."""
     return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))
@@ -137,11 +142,6 @@ def batch_code(product_id: Column, seq: Column) -> Column:
     return F.concat(F.lit("BTH-"), product_id.cast("string"), F.format_string("%03d", seq.cast("long")))
 
 
-def clamp_take(have: Column, want: Column) -> Column:
-    """C-17 ``LEAST(have, want)`` with SQL NULL semantics (NULL if either is NULL)."""
-    return F.when(have.isNull() | want.isNull(), F.lit(None)).otherwise(F.least(have, want))
-
-
 def non_negative(x: Column) -> Column:
     """C-17 ``GREATEST(0, x)`` with SQL NULL semantics."""
     return F.when(x.isNull(), F.lit(None)).otherwise(F.greatest(F.lit(0), x))

@@ -10,7 +10,9 @@ computes the same inclusive running values in two levels:
 3. One summary row per (range, key) — at most #keys + #ranges rows — gets the totals
    of the preceding ranges of its key by a window over the range index (a hot key has
    at most one row per range there).
-4. Local values plus the carry-in give the global running values.
+4. Local values plus the carry-in give the global running values. Only the first key of
+   a range can go on from an earlier range, so at most one carry row per range is kept
+   and broadcast: the data rows are not shuffled again.
 
 The locally scanned data is checkpointed (reliable, in ``spark.checkpoint.dir``) before
 the summary is taken. Range bounds are sampled per execution, so two plan branches that
@@ -90,10 +92,12 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         _PART, *keys,
         *[F.sum(f"_t_{name}").over(w_carry).alias(f"_o_{name}") for name in sums],
         *[F.last(f"_z_{name}", ignorenulls=True).over(w_carry).alias(f"_c_{name}") for name in fills],
-    )
-    out = local.join(carry, [_PART, *keys], "left")
+        F.count(F.lit(1)).over(w_carry).alias("_o_pieces"),
+    ).where("_o_pieces > 0")
+    out = local.join(F.broadcast(carry), [_PART, *keys], "left")
     for name in sums:
-        out = out.withColumn(name, F.col(f"_l_{name}") + F.coalesce(F.col(f"_o_{name}"), F.lit(0)))
+        before, here = F.col(f"_o_{name}"), F.col(f"_l_{name}")
+        out = out.withColumn(name, F.coalesce(before + here, here, before))
     for name in fills:
         out = out.withColumn(name, F.coalesce(F.col(f"_f_{name}"), F.col(f"_c_{name}")))
     helpers = [c for c in out.columns if c == _PART or c.startswith(("_v_", "_l_", "_f_", "_o_", "_c_"))]

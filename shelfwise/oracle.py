@@ -16,8 +16,12 @@ products AS (
   SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category,
          CAST(p_retailprice AS DECIMAL(10,2)) AS price,
          CAST(p_size * 7 AS INTEGER) AS current_stock,
-         DATE '1997-06-01' + CAST((p_partkey * 7) % 900 AS INTEGER) - 730 AS manufactured_date,
-         DATE '1997-06-01' + CAST((p_partkey * 7) % 900 AS INTEGER) AS expiry_date,
+         CASE WHEN p_partkey % 50 <> 9
+              THEN DATE '1997-06-01' + CAST((p_partkey * 7) % 900 AS INTEGER) - 730 END AS manufactured_date,
+         CASE WHEN p_partkey % 50 <> 7
+              THEN DATE '1997-06-01' + CAST((p_partkey * 7) % 900 AS INTEGER) END AS expiry_date,
+         p_partkey % 50 = 9 AS manufactured_date_zero, p_partkey % 50 = 7 AS expiry_date_zero,
+         p_brand AS how_to_use, p_name AS side_effects, {NOW} AS created_at, {NOW} AS updated_at,
          CAST(p_size * 2 AS INTEGER) AS reorder_level,
          CAST(p_size * 6 AS INTEGER) AS reorder_quantity
   FROM part),
@@ -34,20 +38,22 @@ b1 AS (
                    ELSE FLOOR(original_quantity * ((product_id + 2 * supp_id) % 10) / 10.0) END AS INTEGER) AS quantity,
          received_date + CAST(730 + 90 * (product_id % 5) + 30 * (supp_id % 6) AS INTEGER) AS expiry_date,
          'BTH-' || CAST(product_id AS VARCHAR) || '-' || CAST(supp_id AS VARCHAR) || '-'
-                || strftime(received_date, '%Y-%m-%d') AS batch_number
+                || strftime(received_date, '%Y-%m-%d') AS batch_id,
+         'LOT-' || CAST(supp_id AS VARCHAR) || '-' || strftime(received_date, '%Y-%m-%d') AS batch_number
   FROM b0),
 product_batches AS (
-  SELECT b1.batch_number AS batch_id, b1.product_id, b1.batch_number, b1.quantity, b1.original_quantity,
+  SELECT b1.batch_id, b1.product_id, b1.batch_number, b1.quantity, b1.original_quantity,
          b1.received_date - 30 AS manufactured_date, b1.expiry_date, s.s_name AS supplier_name,
          b1.purchase_price, b1.received_date,
          CASE WHEN b1.quantity = 0 THEN 'depleted'
               WHEN b1.expiry_date < {AS_OF} THEN 'expired'
               WHEN b1.quantity <= 10 THEN 'low_stock'
               ELSE 'available' END AS status,
-         b1.supp_id, FALSE AS expiry_date_zero, FALSE AS manufactured_date_zero
+         b1.supp_id, FALSE AS expiry_date_zero, FALSE AS manufactured_date_zero,
+         CAST(b1.received_date AS TIMESTAMP) AS created_at, {NOW} AS updated_at
   FROM b1 LEFT JOIN supplier s ON s.s_suppkey = b1.supp_id),
 batch_movements AS (
-  SELECT batch_id || ':restock' AS movement_id, batch_id, NULL AS sale_item_id, 'restock' AS movement_type,
+  SELECT batch_id || ':restock' AS movement_id, batch_id, CAST(NULL AS VARCHAR) AS sale_item_id, 'restock' AS movement_type,
          original_quantity AS quantity, original_quantity AS remaining_quantity,
          CAST(received_date AS TIMESTAMP) AS movement_date,
          'New batch added: ' || batch_number AS notes, supp_id AS performed_by
@@ -69,6 +75,7 @@ sale_items AS (
            || strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d') AS sale_item_id,
          l_orderkey AS sale_id, l_linenumber AS line_no, l_partkey AS product_id, l_suppkey AS supp_id,
          CAST(l_quantity AS INTEGER) AS quantity, CAST(l_extendedprice AS DECIMAL(10,2)) AS subtotal,
+         CAST(l_extendedprice / l_quantity AS DECIMAL(10,2)) AS unit_price, CAST(l_shipdate AS TIMESTAMP) AS created_at,
          CAST(l_shipdate AS DATE) AS demand_date
   FROM lineitem WHERE l_returnflag = 'A'),
 users AS (
@@ -103,7 +110,7 @@ ACTIVE360 = (f"pb.quantity > 0 AND pb.status = 'available' AND pb.expiry_date >
 def _catalog_sql(where: str = "", having: str = "", status: str = "") -> str:
     ctes = f"""cat0 AS (
   SELECT p.product_id, p.product_name, p.category, p.current_stock, p.price, p.expiry_date,
-         p.manufactured_date, p.reorder_level,
+         p.manufactured_date, p.reorder_level, p.how_to_use, p.side_effects, p.expiry_date_zero,
          CAST(COALESCE(SUM(CASE WHEN {FRESH} THEN pb.quantity ELSE 0 END), 0) AS BIGINT) AS total_stock,
          COUNT(CASE WHEN pb.status = 'available' AND (pb.expiry_date - {AS_OF}) > 365 THEN pb.batch_id END) AS batch_count,
          MIN(CASE WHEN pb.status = 'available' AND (pb.expiry_date - {AS_OF}) > 365 THEN pb.expiry_date END) AS nearest_expiry,
@@ -114,10 +121,12 @@ def _catalog_sql(where: str = "", having: str = "", status: str = "") -> str:
   GROUP BY ALL
   {having}),
 cat1 AS (
-  SELECT *, COALESCE(nearest_expiry, expiry_date) AS sd, earliest - 1 AS e1 FROM cat0),
+  SELECT *, COALESCE(nearest_expiry, expiry_date) AS sd, nearest_expiry IS NULL AND expiry_date_zero AS sz,
+         earliest - 1 AS e1 FROM cat0),
 cat2 AS (
   SELECT *,
-    CASE WHEN sd IS NULL THEN 'fresh'
+    CASE WHEN sz THEN 'expired'
+         WHEN sd IS NULL THEN 'fresh'
          WHEN {NOW} > CAST(sd AS TIMESTAMP) THEN 'expired'
          WHEN FLOOR((epoch(CAST(sd AS TIMESTAMP)) - epoch({NOW})) / 86400) <= 180 THEN 'expiring'
          ELSE 'fresh' END AS status,
@@ -125,7 +134,7 @@ cat2 AS (
   FROM cat1)"""
     body = f"""
 SELECT product_id, product_name, category, current_stock, CAST(price AS DOUBLE) AS price, expiry_date,
-       manufactured_date, reorder_level, total_stock, batch_count, nearest_expiry, status,
+       manufactured_date, how_to_use, side_effects, reorder_level, total_stock, batch_count, nearest_expiry, status,
        CASE WHEN total_stock > reorder_level THEN 'status-green'
             WHEN total_stock > 0 THEN 'status-orange' ELSE 'status-red' END AS stock_class,
        on_hand_batches,
@@ -264,6 +273,7 @@ ORACLE["sales_history"] = q(f"""
 SELECT s.sale_id, s.sale_date, CAST(s.total_amount AS DOUBLE) AS total_amount, s.payment_method,
        COUNT(si.sale_item_id) AS item_count, printf('TXN-%03d', s.sale_id) AS txn_id,
        strftime(s.sale_date, '%I:%M %p') AS time_text,
+       '₱' || format('{{:,.2f}}', s.total_amount) AS amount_text,
        upper(substr(s.payment_method, 1, 1)) || substr(s.payment_method, 2) AS payment_label
 FROM sales s LEFT JOIN sale_items si ON s.sale_id = si.sale_id
 WHERE s.{_DAY}
@@ -288,7 +298,10 @@ SELECT activity_type, movement_type, quantity, movement_date, notes, product_nam
        CASE WHEN mins < 60 THEN CAST(CAST(FLOOR(mins) AS BIGINT) AS VARCHAR) || ' mins ago'
             WHEN mins < 1440 THEN CAST(CAST(FLOOR(mins / 60) AS BIGINT) AS VARCHAR) || ' hrs ago'
             ELSE CAST(CAST(FLOOR(mins / 1440) AS BIGINT) AS VARCHAR) || ' days ago' END AS time_ago,
-       CASE WHEN activity_type = 'batch' THEN COALESCE(NULLIF(username, ''), 'admin') ELSE username END AS "user"
+       CASE WHEN activity_type = 'batch' THEN COALESCE(NULLIF(username, ''), 'admin') ELSE username END AS "user",
+       ABS(quantity) AS abs_quantity,
+       CASE WHEN total_amount IS NOT NULL THEN '₱' || format('{{:,.2f}}', total_amount) END AS amount_text,
+       upper(substr(payment_method, 1, 1)) || substr(payment_method, 2) AS payment_label
 FROM (
   SELECT *, (epoch({NOW}) - epoch(movement_date)) / 60.0 AS mins FROM (
     SELECT 'batch' AS activity_type, bm.movement_type, bm.quantity, bm.movement_date, bm.notes,
@@ -381,15 +394,13 @@ _RECEIVE_REQ = f"""rq0 AS (
   SELECT l_returnflag, l_partkey, l_suppkey, CAST(l_shipdate AS DATE) AS ship,
          CAST(SUM(l_quantity) AS INTEGER) AS units, CAST(MIN(l_extendedprice) AS DECIMAL(10,2)) AS purchase_price
   FROM lineitem
-  WHERE l_returnflag IN ('N', 'R') AND l_shipdate >= TIMESTAMP '1998-05-22 00:00:00'
-    AND l_shipdate <= TIMESTAMP '1998-06-11 00:00:00'
+  WHERE l_returnflag IN ('N', 'R')
   GROUP BY ALL),
 rq AS (
-  SELECT rq0.*, 'BTH-' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) || '-'
-                || strftime(ship, '%Y-%m-%d') AS num, s.s_name
+  SELECT rq0.*, 'LOT-' || CAST(l_suppkey AS VARCHAR) || '-' || strftime(ship, '%Y-%m-%d') AS num, s.s_name
   FROM rq0 LEFT JOIN supplier s ON s.s_suppkey = rq0.l_suppkey),
 req AS (
-  SELECT l_returnflag || ':' || num AS request_id, l_partkey AS product_id, trim(' ' || num || ' ') AS bn,
+  SELECT l_returnflag || ':' || CAST(l_partkey AS VARCHAR) || ':' || num AS request_id, l_partkey AS product_id, trim(' ' || num || ' ') AS bn,
          CASE WHEN (l_partkey + l_suppkey) % 11 = 0 THEN 0 ELSE units END AS quantity,
          ship - 30 AS manufactured_date, ship + 800 AS expiry_date, trim(s_name) AS supplier_name,
          purchase_price, l_suppkey AS user_id
@@ -401,16 +412,15 @@ pre AS (
       WHEN length(bn) = 0 THEN 'empty_batch_number'
       WHEN product_id NOT IN (SELECT product_id FROM products) THEN 'unknown_product'
       WHEN EXISTS (SELECT 1 FROM product_batches b WHERE b.product_id = req.product_id AND b.batch_number = req.bn)
-        THEN 'duplicate_batch'
-      WHEN bn IN (SELECT batch_id FROM product_batches) THEN 'batch_id_taken' END AS r0
+        THEN 'duplicate_batch' END AS r0
   FROM req),
 rec AS (
   SELECT *, CASE WHEN r0 IS NOT NULL THEN r0
-                 WHEN request_id <> MIN(CASE WHEN r0 IS NULL THEN request_id END) OVER (PARTITION BY bn)
+                 WHEN request_id <> MIN(CASE WHEN r0 IS NULL THEN request_id END) OVER (PARTITION BY product_id, bn)
                    THEN 'duplicate_in_request' END AS reject_reason
   FROM pre)"""
 ORACLE["receive_batches"] = q(f"""
-SELECT bn AS batch_id, product_id, bn AS batch_number, quantity, quantity AS original_quantity,
+SELECT CAST(product_id AS VARCHAR) || ':' || bn AS batch_id, product_id, bn AS batch_number, quantity, quantity AS original_quantity,
        {AS_OF} AS received_date, expiry_date, manufactured_date, supplier_name, 'available' AS status
 FROM rec WHERE reject_reason IS NULL""", _RECEIVE_REQ)
 ORACLE["receive_rejects"] = q("SELECT request_id, reject_reason FROM rec WHERE reject_reason IS NOT NULL",
@@ -429,24 +439,28 @@ FROM req r LEFT JOIN (SELECT product_id, COUNT(*) AS n FROM product_batches GROU
 
 _DISPOSE_REQ = f"""dreq AS (
   SELECT 'D:' || batch_id AS request_id, batch_id,
-         CASE WHEN quantity % 2 = 0 THEN 'damage' END AS reason, CAST(NULL AS BIGINT) AS user_id
-  FROM product_batches WHERE expiry_date <= DATE '1998-07-01'
+         CASE WHEN quantity % 2 = 0 THEN 'damage' WHEN quantity % 3 = 0 THEN 'lost' END AS reason,
+         CAST(NULL AS BIGINT) AS user_id
+  FROM product_batches WHERE expiry_date <= DATE '1999-06-01'
   UNION ALL
   SELECT 'G:' || bid, bid, NULL, NULL FROM (
     SELECT DISTINCT 'RET-' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) || '-'
                     || strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d') AS bid
-    FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate > TIMESTAMP '1998-05-02 00:00:00'
-      AND l_shipdate <= TIMESTAMP '1998-06-01 00:00:00')),
+    FROM lineitem WHERE l_returnflag = 'R')),
 dfound AS (
   SELECT r.*, b.quantity AS qty, b.batch_number, b.product_id
-  FROM dreq r JOIN product_batches b ON b.batch_id = r.batch_id JOIN products p ON p.product_id = b.product_id)"""
+  FROM dreq r JOIN product_batches b ON b.batch_id = r.batch_id JOIN products p ON p.product_id = b.product_id
+  WHERE r.reason IS DISTINCT FROM 'lost')"""
 ORACLE["dispose_batches"] = q(f"""
 SELECT batch_id || ':' || COALESCE(reason, 'expiry') || ':' || request_id AS movement_id, batch_id,
        COALESCE(reason, 'expiry') AS movement_type, -qty AS quantity, 0 AS remaining_quantity,
        {NOW} AS movement_date, 'Batch disposed: ' || batch_number AS notes, user_id AS performed_by
 FROM dfound WHERE qty > 0""", _DISPOSE_REQ)
 ORACLE["dispose_rejects"] = q("""
-SELECT request_id, 'batch_not_found' AS reject_reason FROM dreq WHERE request_id NOT IN (SELECT request_id FROM dfound)
+SELECT request_id, 'invalid_reason' AS reject_reason FROM dreq WHERE reason = 'lost'
+UNION ALL
+SELECT request_id, 'batch_not_found' FROM dreq
+WHERE reason IS DISTINCT FROM 'lost' AND request_id NOT IN (SELECT request_id FROM dfound)
 UNION ALL
 SELECT request_id, 'nothing_to_dispose' FROM dfound WHERE qty = 0""", _DISPOSE_REQ)
 ORACLE["dispose_state"] = q("""
@@ -463,10 +477,10 @@ LEFT JOIN (SELECT product_id, SUM(qty) AS units FROM dfound WHERE qty > 0 GROUP
 
 _ADJUST_REQ = """areq AS (
   SELECT 'A:' || batch_id AS request_id, product_id, batch_id, original_quantity % 9 + 1 AS added_stock
-  FROM product_batches WHERE received_date > DATE '1998-04-17'
+  FROM product_batches
   UNION ALL
   SELECT 'P:' || batch_id, product_id, NULL, 5
-  FROM product_batches WHERE received_date > DATE '1998-04-17')"""
+  FROM product_batches)"""
 ORACLE["adjust_stock"] = q(f"""
 SELECT r.batch_id || ':restock:' || r.request_id AS movement_id, r.batch_id, 'restock' AS movement_type,
        r.added_stock AS quantity,
@@ -548,14 +562,55 @@ SELECT p.product_id, p.current_stock AS legacy_stock, CAST(COALESCE(SUM(pb.quant
 FROM products p LEFT JOIN product_batches pb ON pb.product_id = p.product_id
 GROUP BY p.product_id, p.current_stock""")
 
-# ---- integrity checks ------------------------------------------------------------------
+# ---- integrity checks, on the tables with planted faults ---------------------------------
+_FAULTS = """f_products AS (
+  SELECT * REPLACE (CASE WHEN product_id % 7 <> 0 THEN product_name END AS product_name,
+                    CASE WHEN product_id % 11 <> 0 THEN price END AS price,
+                    CASE WHEN product_id % 5 = 0 THEN category ELSE 'Health & Personal Care' END AS category,
+                    CASE WHEN product_id % 9 = 0 THEN expiry_date + 1 ELSE manufactured_date END AS manufactured_date)
+  FROM (SELECT * FROM products UNION ALL SELECT * FROM products WHERE product_id % 19 = 0)),
+f_product_batches AS (
+  SELECT * REPLACE (CASE WHEN product_id % 7 = 0 THEN 'lost' ELSE status END AS status,
+                    CASE WHEN product_id % 11 <> 0 THEN received_date END AS received_date,
+                    CASE WHEN product_id % 13 = 0 THEN product_id + 1000000000 ELSE product_id END AS product_id,
+                    CASE WHEN product_id % 17 = 0 THEN quantity + 1 ELSE quantity END AS quantity,
+                    CASE WHEN product_id % 31 = 0 THEN expiry_date + 1 ELSE manufactured_date END AS manufactured_date,
+                    CASE WHEN product_id % 19 <> 0 AND product_id % 23 <> 0 THEN expiry_date END AS expiry_date,
+                    product_id % 19 = 0 AS expiry_date_zero)
+  FROM (SELECT * FROM product_batches UNION ALL SELECT * FROM product_batches WHERE product_id % 29 = 0)),
+f_batch_movements AS (
+  SELECT * REPLACE (CASE WHEN performed_by % 7 = 0 THEN 'gift' ELSE movement_type END AS movement_type,
+                    CASE WHEN performed_by % 11 = 0 THEN remaining_quantity + 1 ELSE remaining_quantity END
+                      AS remaining_quantity,
+                    CASE WHEN performed_by % 13 = 0 THEN 'none-' || batch_id ELSE batch_id END AS batch_id,
+                    CASE WHEN performed_by % 17 = 0 THEN NULL ELSE quantity END AS quantity,
+                    CASE WHEN performed_by % 3 = 0 THEN 'none' ELSE sale_item_id END AS sale_item_id,
+                    CASE WHEN performed_by % 19 = 0 THEN performed_by + 1000000000 ELSE performed_by END AS performed_by)
+  FROM (SELECT * FROM batch_movements UNION ALL SELECT * FROM batch_movements WHERE performed_by % 23 = 0)),
+f_sales AS (
+  SELECT * REPLACE (CASE WHEN sale_id % 7 = 0 THEN 'card' ELSE payment_method END AS payment_method,
+                    CASE WHEN sale_id % 11 <> 0 THEN total_amount END AS total_amount,
+                    CASE WHEN sale_id % 13 = 0 THEN user_id + 1000000000 ELSE user_id END AS user_id)
+  FROM (SELECT * FROM sales UNION ALL SELECT * FROM sales WHERE sale_id % 17 = 0)),
+f_sale_items AS (
+  SELECT * REPLACE (CASE WHEN sale_id % 7 = 0 THEN product_id + 1000000000 ELSE product_id END AS product_id,
+                    CASE WHEN sale_id % 13 <> 0 THEN subtotal END AS subtotal,
+                    CASE WHEN sale_id % 17 <> 0 THEN unit_price END AS unit_price,
+                    CASE WHEN sale_id % 11 = 0 THEN sale_id + 1000000000 ELSE sale_id END AS sale_id)
+  FROM (SELECT * FROM sale_items UNION ALL SELECT * FROM sale_items WHERE sale_id % 19 = 0)),
+f_users AS (
+  SELECT * REPLACE (CASE WHEN id % 7 = 0 THEN 'guest' ELSE role END AS role,
+                    CASE WHEN id % 11 = 0 THEN 'gone' ELSE status END AS status,
+                    CASE WHEN id % 17 = 0 THEN 'shared' WHEN id % 13 <> 0 THEN username END AS username)
+  FROM (SELECT * FROM users UNION ALL SELECT * FROM users WHERE id % 19 = 0))"""
+
 _UNIQUE = [("products", "product_id"), ("product_batches", "batch_id"), ("product_batches", "product_id,batch_number"),
            ("batch_movements", "movement_id"), ("sales", "sale_id"), ("sale_items", "sale_item_id"),
            ("users", "id"), ("users", "username")]
 ORACLE["check_unique"] = q("\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, '{k}' AS key_columns, "
-    f"(SELECT COUNT(*) FROM (SELECT {k} FROM {t} GROUP BY {k} HAVING COUNT(*) > 1)) AS duplicate_keys"
-    for t, k in _UNIQUE))
+    f"(SELECT COUNT(*) FROM (SELECT {k} FROM f_{t} GROUP BY {k} HAVING COUNT(*) > 1)) AS duplicate_keys"
+    for t, k in _UNIQUE), _FAULTS)
 _FKS = [("batch_movements", "batch_id", "product_batches", "batch_id"),
         ("batch_movements", "sale_item_id", "sale_items", "sale_item_id"),
         ("batch_movements", "performed_by", "users", "id"),
@@ -565,60 +620,66 @@ _FKS = [("batch_movements", "batch_id", "product_batches", "batch_id"),
         ("sale_items", "sale_id", "sales", "sale_id")]
 ORACLE["check_foreign_keys"] = q("\nUNION ALL\n".join(
     f"SELECT '{c}' AS child_table, '{cc}' AS child_column, '{p}' AS parent_table, "
-    f"(SELECT COUNT(*) FROM {c} x WHERE x.{cc} IS NOT NULL AND NOT EXISTS "
-    f"(SELECT 1 FROM {p} y WHERE y.{pc} = x.{cc})) AS orphans"
-    for c, cc, p, pc in _FKS))
+    f"(SELECT COUNT(*) FROM f_{c} x WHERE x.{cc} IS NOT NULL AND NOT EXISTS "
+    f"(SELECT 1 FROM f_{p} y WHERE y.{pc} = x.{cc})) AS orphans"
+    for c, cc, p, pc in _FKS), _FAULTS)
 _DOMAINS = [("batch_movements", "movement_type", "'sale','restock','adjustment','return','expiry','damage'"),
+            ("products", "category", "'Prescription Medicines','Over-the-Counter (OTC) Products',"
+                                     "'Health & Personal Care','Medical Supplies & Equipment'"),
             ("product_batches", "status", "'available','low_stock','expired','depleted'"),
             ("sales", "payment_method", "'cash','gcash'"),
             ("users", "role", "'admin','staff'"),
             ("users", "status", "'active','inactive'")]
 ORACLE["check_domains"] = q("\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, "
-    f"(SELECT COUNT(*) FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN ({d})) AS violations"
-    for t, c, d in _DOMAINS))
+    f"(SELECT COUNT(*) FROM f_{t} WHERE {c} IS NOT NULL AND {c} NOT IN ({d})) AS violations"
+    for t, c, d in _DOMAINS), _FAULTS)
 _NOT_NULL = {
-    "products": ["product_id", "product_name", "category", "price", "current_stock"],
-    "product_batches": ["batch_id", "product_id", "batch_number", "quantity", "original_quantity", "received_date",
-                        "manufactured_date_zero", "expiry_date_zero"],
+    "products": ["product_id", "product_name", "category", "price", "current_stock", "manufactured_date",
+                 "expiry_date", "created_at", "updated_at"],
+    "product_batches": ["batch_id", "product_id", "batch_number", "quantity", "original_quantity",
+                        "manufactured_date", "expiry_date", "received_date", "created_at", "updated_at"],
     "batch_movements": ["movement_id", "batch_id", "movement_type", "quantity", "remaining_quantity",
                         "movement_date"],
     "sales": ["sale_id", "user_id", "total_amount", "sale_date"],
-    "sale_items": ["sale_item_id", "sale_id", "product_id", "quantity", "subtotal"],
+    "sale_items": ["sale_item_id", "sale_id", "product_id", "quantity", "unit_price", "subtotal", "created_at"],
     "users": ["id", "username"],
 }
+_ZERO_DATES = ("manufactured_date", "expiry_date")
 ORACLE["check_nulls"] = q("\nUNION ALL\n".join(
-    f"SELECT '{t}' AS table_name, '{c}' AS column_name, (SELECT COUNT(*) FROM {t} WHERE {c} IS NULL) AS nulls"
-    for t, cols in _NOT_NULL.items() for c in cols))
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, "
+    f"(SELECT COUNT(*) FROM f_{t} WHERE {c} IS NULL{f' AND NOT {c}_zero' if c in _ZERO_DATES else ''}) AS nulls"
+    for t, cols in _NOT_NULL.items() for c in cols), _FAULTS)
 ORACLE["check_ledger"] = q("""
 SELECT 'sum_vs_quantity' AS check_name, COUNT(*) AS mismatches
-FROM product_batches b LEFT JOIN (SELECT batch_id, SUM(quantity) AS s FROM batch_movements GROUP BY 1) m
+FROM f_product_batches b LEFT JOIN (SELECT batch_id, SUM(quantity) AS s FROM f_batch_movements GROUP BY 1) m
   ON m.batch_id = b.batch_id
 WHERE COALESCE(m.s, 0) <> b.quantity
 UNION ALL
 SELECT 'running_balance', COUNT(*) FROM (
   SELECT remaining_quantity, SUM(quantity) OVER (PARTITION BY batch_id ORDER BY movement_date, movement_id
                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bal
-  FROM batch_movements) WHERE bal <> remaining_quantity
+  FROM f_batch_movements) WHERE bal <> remaining_quantity
 UNION ALL
-SELECT 'orphan_movements', COUNT(DISTINCT batch_id) FROM batch_movements
-WHERE batch_id NOT IN (SELECT batch_id FROM product_batches)""")
+SELECT 'orphan_movements', COUNT(DISTINCT batch_id) FROM f_batch_movements
+WHERE batch_id NOT IN (SELECT batch_id FROM f_product_batches)""", _FAULTS)
 ORACLE["check_status"] = q(f"""
 SELECT COUNT(*) AS batches,
        COUNT(CASE WHEN status IS DISTINCT FROM (CASE WHEN quantity = 0 THEN 'depleted'
-            WHEN expiry_date < {AS_OF} THEN 'expired' WHEN quantity <= 10 THEN 'low_stock'
+            WHEN expiry_date_zero OR expiry_date < {AS_OF} THEN 'expired' WHEN quantity <= 10 THEN 'low_stock'
             ELSE 'available' END) THEN 1 END) AS mismatches
-FROM product_batches""")
+FROM f_product_batches""", _FAULTS)
 ORACLE["check_dates"] = q("""
 SELECT 'products' AS table_name, 'manufactured_after_expiry' AS check_name,
-       COUNT(CASE WHEN manufactured_date > expiry_date THEN 1 END) AS n FROM products
-UNION ALL SELECT 'products', 'zero_expiry', 0 UNION ALL SELECT 'products', 'zero_manufactured', 0
+       COUNT(CASE WHEN manufactured_date > expiry_date THEN 1 END) AS n FROM f_products
+UNION ALL SELECT 'products', 'zero_expiry', COUNT(CASE WHEN expiry_date_zero THEN 1 END) FROM f_products
+UNION ALL SELECT 'products', 'zero_manufactured', COUNT(CASE WHEN manufactured_date_zero THEN 1 END) FROM f_products
 UNION ALL
 SELECT 'product_batches', 'manufactured_after_expiry', COUNT(CASE WHEN manufactured_date > expiry_date THEN 1 END)
-FROM product_batches
-UNION ALL SELECT 'product_batches', 'zero_expiry', COUNT(CASE WHEN expiry_date_zero THEN 1 END) FROM product_batches
+FROM f_product_batches
+UNION ALL SELECT 'product_batches', 'zero_expiry', COUNT(CASE WHEN expiry_date_zero THEN 1 END) FROM f_product_batches
 UNION ALL SELECT 'product_batches', 'zero_manufactured', COUNT(CASE WHEN manufactured_date_zero THEN 1 END)
-FROM product_batches""")
+FROM f_product_batches""", _FAULTS)
 
 # ---- streams: the batch equivalents over the events table ------------------------------
 ORACLE["stream_daily_sales"] = """

@@ -111,10 +111,8 @@ def check_dates(inv: Inventory) -> DataFrame:
     for name, df in (("products", inv.products), ("product_batches", inv.batches)):
         after = F.col("manufactured_date") > F.col("expiry_date")
         agg = df.agg(F.count(F.when(after, 1)).alias("manufactured_after_expiry"),
-                     F.count(F.when(F.coalesce("expiry_date_zero", F.lit(False)), 1)).alias("zero_expiry")
-                     if "expiry_date_zero" in df.columns else F.lit(0).cast("long").alias("zero_expiry"),
-                     F.count(F.when(F.coalesce("manufactured_date_zero", F.lit(False)), 1)).alias("zero_manufactured")
-                     if "manufactured_date_zero" in df.columns else F.lit(0).cast("long").alias("zero_manufactured"))
+                     F.count(F.when(F.col("expiry_date_zero"), 1)).alias("zero_expiry"),
+                     F.count(F.when(F.col("manufactured_date_zero"), 1)).alias("zero_manufactured"))
         rows.append(agg.selectExpr(
             f"'{name}' as table_name",
             "stack(3, 'manufactured_after_expiry', manufactured_after_expiry, 'zero_expiry', zero_expiry, "

@@ -4,8 +4,10 @@ The reference changes one row per HTTP request. Here each job takes the current
 ``Inventory`` and a DataFrame of requests and returns a ``JobResult``: the new table
 state, the rows it added, and the rejected requests with a reason. Requests carry a
 ``request_id`` that orders them (the order the reference would have run them in).
+Keys of added rows go on after the table's largest whole-number key, in request order
+(``operators.keys``); tables with text keys get text that embeds what makes the row unique.
 Every movement a run writes is dated ``asof.now``; within a run the ledger order is the
-request order (the id embeds ``request_id``), and successive runs must use increasing
+request order, and successive runs must use increasing
 ``now`` so that the ledger's (date, id) order is the order the runs happened in.
 Nothing is written; ``sources.sinks.write_state`` persists a new table version.
 """
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import labels, rules
 from shelfwise.functions.dates import AsOf
+from shelfwise.operators.keys import new_keys
 from shelfwise.operators.scan import running_count, running_sum
 from shelfwise.sources import schemas
 from shelfwise.sources.tables import Inventory, conform
@@ -69,9 +72,8 @@ def receive(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResult:
     Requests: request_id, product_id, batch_number, quantity, manufactured_date,
     expiry_date, supplier_name, purchase_price, user_id. The new batch is ``available``
     whatever its size (the status trigger only runs on updates), received today, with a
-    ``restock`` movement; legacy stock grows by the quantity. The batch key is the batch
-    number (as in the stand-in tables), so a number already used by another product is
-    rejected too.
+    ``restock`` movement; legacy stock grows by the quantity. A batch number is unique
+    within its product only: two products may share one.
     """
     req = (requests.withColumn("batch_number", F.trim("batch_number"))
            .withColumn("supplier_name", F.trim("supplier_name")))
@@ -85,19 +87,20 @@ def receive(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResult:
     existing = inv.batches.select("product_id", "batch_number")
     dup = known.join(existing, ["product_id", "batch_number"], "left_semi")
     fresh_req = known.join(existing, ["product_id", "batch_number"], "left_anti")
-    taken_ids = inv.batches.select(F.col("batch_id").alias("batch_number"))
-    id_taken = fresh_req.join(taken_ids, "batch_number", "left_semi")
-    fresh_req = fresh_req.join(taken_ids, "batch_number", "left_anti")
-    first, repeat = _first_per_key(fresh_req, ["batch_number"])
+    first, repeat = _first_per_key(fresh_req, ["product_id", "batch_number"])
+    first = new_keys(first, inv.batches, "batch_id", ["request_id"],
+                     F.concat_ws(":", F.col("product_id").cast("string"), "batch_number"))
+    first = new_keys(first, inv.movements, "movement_id", ["request_id"],
+                     F.concat_ws(":", F.col("batch_id").cast("string"), F.lit("restock"),
+                                 F.date_format(asof.t, "yyyyMMddHHmmss")))
 
     new_batches = conform("product_batches", first.select(
-        F.col("batch_number").alias("batch_id"), "product_id", "batch_number", "quantity",
+        "batch_id", "product_id", "batch_number", "quantity",
         F.col("quantity").alias("original_quantity"), "manufactured_date", "expiry_date",
         "supplier_name", "purchase_price", asof.d.alias("received_date"),
         F.lit("available").alias("status"), asof.t.alias("created_at"), asof.t.alias("updated_at")))
     new_moves = conform("batch_movements", first.select(
-        F.concat_ws(":", "batch_number", F.lit("restock"), F.date_format(asof.t, "yyyyMMddHHmmss")).alias("movement_id"),
-        F.col("batch_number").alias("batch_id"), F.lit("restock").alias("movement_type"),
+        "movement_id", "batch_id", F.lit("restock").alias("movement_type"),
         "quantity", F.col("quantity").alias("remaining_quantity"), asof.t.alias("movement_date"),
         F.concat(F.lit("New batch added: "), F.col("batch_number")).alias("notes"),
         F.col("user_id").alias("performed_by")))
@@ -107,7 +110,7 @@ def receive(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResult:
                 .withColumn("updated_at", F.when(F.col("_add").isNotNull(), asof.t).otherwise(F.col("updated_at")))
                 .select(*inv.products.columns))
     rejects = _union_all([bad.select("request_id", "reject_reason"), _reject(unknown, "unknown_product"),
-                          _reject(dup, "duplicate_batch"), _reject(id_taken, "batch_id_taken"),
+                          _reject(dup, "duplicate_batch"),
                           _reject(repeat, "duplicate_in_request")])
     out = inv.with_(batches=inv.batches.unionByName(new_batches),
                     movements=inv.movements.unionByName(new_moves), products=products)
@@ -137,9 +140,10 @@ def dispose(requests: DataFrame, inv: Inventory, asof: AsOf, replay: bool = Fals
     The batch keeps its row with quantity 0 and status ``depleted``; the ledger gets
     ``-quantity`` with remaining 0; legacy stock drops, clamped at 0. A batch that is
     already empty, or named again later in the same run, would only add a 0-unit row:
-    that is skipped unless ``replay``.
+    that is skipped unless ``replay``. Any other reason is rejected.
     """
-    req = requests.withColumn("reason", F.coalesce(F.col("reason"), F.lit("expiry")))
+    req, odd = rules.split_valid(requests.withColumn("reason", F.coalesce(F.col("reason"), F.lit("expiry"))),
+                                 {"invalid_reason": F.col("reason").isin(*schemas.DISPOSAL_REASONS)})
     b = inv.batches.select("batch_id", "product_id", "batch_number", F.col("quantity").alias("_qty"))
     b = b.join(inv.products.select("product_id"), "product_id", "left_semi")
     found = req.join(b, "batch_id", "inner")
@@ -152,9 +156,10 @@ def dispose(requests: DataFrame, inv: Inventory, asof: AsOf, replay: bool = Fals
     else:
         skipped.append(effective.where(F.col("_units") == 0))
         effective = effective.where(F.col("_units") > 0)
-    moves = conform("batch_movements", effective.select(
-        F.concat_ws(":", "batch_id", "reason", F.col("request_id").cast("string")).alias("movement_id"),
-        "batch_id", F.col("reason").alias("movement_type"), (-F.col("_units")).alias("quantity"),
+    keyed = new_keys(effective, inv.movements, "movement_id", ["request_id"],
+                     F.concat_ws(":", F.col("batch_id").cast("string"), "reason", F.col("request_id").cast("string")))
+    moves = conform("batch_movements", keyed.select(
+        "movement_id", "batch_id", F.col("reason").alias("movement_type"), (-F.col("_units")).alias("quantity"),
         F.lit(0).alias("remaining_quantity"), asof.t.alias("movement_date"),
         F.concat(F.lit("Batch disposed: "), F.col("batch_number")).alias("notes"),
         F.col("user_id").alias("performed_by")))
@@ -169,7 +174,7 @@ def dispose(requests: DataFrame, inv: Inventory, asof: AsOf, replay: bool = Fals
                 .withColumn("current_stock", F.when(F.col("_out").isNull(), F.col("current_stock"))
                             .otherwise(labels.non_negative(F.col("current_stock") - F.col("_out"))))
                 .select(*inv.products.columns))
-    rejects = _union_all([_reject(missing, "batch_not_found")]
+    rejects = _union_all([odd.select("request_id", "reject_reason"), _reject(missing, "batch_not_found")]
                          + [_reject(s, "nothing_to_dispose") for s in skipped])
     out = inv.with_(batches=batches, movements=inv.movements.unionByName(moves), products=products)
     return JobResult(out, {"batch_movements": moves}, rejects)
@@ -192,9 +197,11 @@ def adjust(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResult:
     valid = known.join(no_batch.select("request_id"), "request_id", "left_anti")
     to_batch = running_sum(valid.where(F.col("batch_id").isNotNull()).join(b, "batch_id", "inner"),
                            ["batch_id"], ["request_id"], "added_stock", "_run")
+    to_batch = new_keys(to_batch, inv.movements, "movement_id", ["request_id"],
+                        F.concat_ws(":", F.col("batch_id").cast("string"), F.lit("restock"),
+                                    F.col("request_id").cast("string")))
     moves = conform("batch_movements", to_batch.select(
-        F.concat_ws(":", "batch_id", F.lit("restock"), F.col("request_id").cast("string")).alias("movement_id"),
-        "batch_id", F.lit("restock").alias("movement_type"), F.col("added_stock").alias("quantity"),
+        "movement_id", "batch_id", F.lit("restock").alias("movement_type"), F.col("added_stock").alias("quantity"),
         (F.col("_old") + F.col("_run")).alias("remaining_quantity"), asof.t.alias("movement_date"),
         F.lit("Stock updated via inventory management").alias("notes"), F.col("user_id").alias("performed_by")))
     per_batch = valid.where(F.col("batch_id").isNotNull()).groupBy("batch_id") \
@@ -271,8 +278,8 @@ def update_products(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResul
     form sends all of them). Legacy stock is kept (the reference's edit resets it to 0:
     not reproduced).
     """
-    req = (requests.withColumn("product_name", F.trim("product_name"))
-           .withColumn("category", F.trim("category")))
+    texts = ("product_name", "category", "how_to_use", "side_effects")
+    req = requests.withColumns({c: F.trim(c) for c in texts if c in requests.columns})
     ok, bad = rules.split_valid(req, {
         "invalid_product_id": F.col("product_id") > 0,
         "empty_name": rules.non_empty("product_name"),
@@ -289,6 +296,8 @@ def update_products(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResul
     for c in inv.products.columns:
         if c in fields:
             cols.append(F.when(hit, F.col(f"_new.{c}").cast(inv.products.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+        elif c.endswith("_zero") and c.removesuffix("_zero") in fields:
+            cols.append(F.when(hit, F.lit(False)).otherwise(F.col(c)).alias(c))   # the sent date replaces it
         elif c == "updated_at":
             cols.append(F.when(hit, asof.t).otherwise(F.col(c)).alias(c))
         else:
@@ -302,21 +311,24 @@ def update_products(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResul
 def delete_products(ids: DataFrame, inv: Inventory) -> JobResult:
     """M-8: delete products, cascading to their batches and those batches' movements.
 
-    Refused when a sale item refers to the product (that key restricts); unknown ids are
-    reported. ``ids``: request_id, product_id.
+    Refused when a sale item refers to the product (that key restricts); unknown ids, and
+    later requests for a product that an earlier one deletes, are reported. ``ids``:
+    request_id, product_id.
     """
     found = ids.join(inv.products.select("product_id"), "product_id", "left_semi")
     not_found = ids.join(inv.products.select("product_id"), "product_id", "left_anti")
     sold = inv.sale_items.select("product_id").distinct()  # combined map-side: a best seller is one row per task
     refused = found.join(sold, "product_id", "left_semi")
-    gone = found.join(sold, "product_id", "left_anti").select("product_id").distinct()
+    first, later = _first_per_key(found.join(sold, "product_id", "left_anti"), ["product_id"])
+    gone = first.select("product_id")
     products = inv.products.join(gone, "product_id", "left_anti")
     gone_batches = inv.batches.join(gone, "product_id", "left_semi").select("batch_id")
     batches = inv.batches.join(gone, "product_id", "left_anti")
     movements = inv.movements.join(gone_batches, "batch_id", "left_anti")
-    rejects = _union_all([_reject(not_found, "not_found"), _reject(refused, "has_sales")])
+    rejects = _union_all([_reject(not_found, "not_found"), _reject(later, "not_found"), _reject(refused, "has_sales")])
     return JobResult(inv.with_(products=products, batches=batches, movements=movements),
-                     {"deleted_products": gone, "deleted_batches": gone_batches}, rejects)
+                     {"deleted_products": gone, "deleted_requests": first.select("request_id", "product_id"),
+                      "deleted_batches": gone_batches}, rejects)
 
 
 # --------------------------------------------------------------------------- M-9

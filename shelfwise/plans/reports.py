@@ -21,6 +21,11 @@ def _zero_nulled(col: str, flag: str):
     return F.when(F.col(flag), F.lit(None).cast("date")).otherwise(F.col(col))
 
 
+def _only(df: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """Rows of the asked products (all without ``ids``), cut before any aggregate."""
+    return df if ids is None else df.join(ids.select("product_id").distinct(), "product_id", "left_semi")
+
+
 # --------------------------------------------------------------------------- R-1
 def product_total_stock(inv: Inventory, asof: AsOf, ordered: bool = False) -> DataFrame:
     """R-1: products with unexpired batch stock, available batch count, nearest expiry."""
@@ -72,7 +77,7 @@ def available_stock(inv: Inventory, asof: AsOf, ids: DataFrame | None = None) ->
     exist; by default every product is listed.
     """
     keys = (inv.products if ids is None else ids).select("product_id")
-    stats = batch_stats(inv.batches, asof).select("product_id", "allocatable_stock")
+    stats = batch_stats(_only(inv.batches, ids), asof).select("product_id", "allocatable_stock")
     return (keys.join(stats, "product_id", "left")
             .select("product_id", F.coalesce("allocatable_stock", F.lit(0).cast("long")).alias("available")))
 
@@ -138,13 +143,14 @@ def catalog(inv: Inventory, asof: AsOf, term: str | None = None, category: str |
     nearest_zero = F.col("fresh_min_expiry_zero")
     status_date = F.when(nearest_zero, F.lit(None).cast("date")).otherwise(
         F.coalesce(F.col("fresh_min_expiry"), F.col("expiry_date")))
+    own_zero = F.col("fresh_min_expiry").isNull() & F.col("expiry_date_zero")
     df = (df.withColumn("status_date", status_date)
-            .withColumn("status_date_zero", nearest_zero)
+            .withColumn("status_date_zero", nearest_zero | own_zero)
             .withColumn("status", labels.product_expiry_status(asof, "status_date")))
     df = rules.by_expiry_status(df, expiry_status)
     return df.select(
         "product_id", "product_name", "category", "current_stock", "price", "expiry_date",
-        "manufactured_date", "reorder_level", "total_stock",
+        "manufactured_date", "how_to_use", "side_effects", "reorder_level", "total_stock",
         F.col("fresh_count").alias("batch_count"),
         _zero_nulled("fresh_min_expiry", "fresh_min_expiry_zero").alias("nearest_expiry"),
         "status",
@@ -162,15 +168,16 @@ def stock_listing(inv: Inventory, asof: AsOf, **filters) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- R-11, R-12
-def batch_drilldown(inv: Inventory, asof: AsOf) -> DataFrame:
-    """R-11: every on-hand batch with days left, card status (C-6) and the W-2 flag.
+def batch_drilldown(inv: Inventory, asof: AsOf, ids: DataFrame | None = None) -> DataFrame:
+    """R-11: every on-hand batch (of the products ``ids``, if given) with days left, card
+    status (C-6) and the W-2 flag.
 
     W-2 "in use" is the batch with the fewest days left among those with at least 360
     days, first by batch id on ties: a per-product ``min(struct(expiry, batch_id))``
     (partially aggregated, so a hot product is no problem), joined back on the unique
     batch id rather than on the product.
     """
-    b = inv.batches.where(rules.on_hand())
+    b = _only(inv.batches.where(rules.on_hand()), ids)
     eligible = dates.at_or_after("expiry_date", asof.plus(rules.ACTIVE_MIN_DAYS))
     in_use = (b.where(eligible).groupBy("product_id")
               .agg(F.min(F.struct("expiry_date", "batch_id")).getField("batch_id").alias("batch_id"))
@@ -186,9 +193,9 @@ def batch_drilldown(inv: Inventory, asof: AsOf) -> DataFrame:
                     (dates.is_zero("expiry_date") | (days < rules.ACTIVE_MIN_DAYS)).alias("disposable")))
 
 
-def drilldown_totals(inv: Inventory, asof: AsOf) -> DataFrame:
-    """R-12: per product, active360 stock and batch count with the C-7 label."""
-    df = products_with_stats(inv.products.select("product_id"), inv.batches, asof)
+def drilldown_totals(inv: Inventory, asof: AsOf, ids: DataFrame | None = None) -> DataFrame:
+    """R-12: per product (of ``ids``, if given), active360 stock and batch count with the C-7 label."""
+    df = products_with_stats(_only(inv.products.select("product_id"), ids), _only(inv.batches, ids), asof)
     return df.select("product_id",
                      F.col("active360_stock").alias("total_stock"),
                      F.col("active360_count").alias("active_count"),
@@ -196,10 +203,10 @@ def drilldown_totals(inv: Inventory, asof: AsOf) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- R-16, W-5
-def batch_counts(inv: Inventory) -> DataFrame:
-    """R-16: number of batches per product (all statuses), 0 for none."""
-    counts = inv.batches.groupBy("product_id").agg(F.count(F.lit(1)).alias("batch_count"))
-    return (inv.products.select("product_id").join(counts, "product_id", "left")
+def batch_counts(inv: Inventory, ids: DataFrame | None = None) -> DataFrame:
+    """R-16: number of batches per product (of ``ids``, if given; all statuses), 0 for none."""
+    counts = _only(inv.batches, ids).groupBy("product_id").agg(F.count(F.lit(1)).alias("batch_count"))
+    return (_only(inv.products.select("product_id"), ids).join(counts, "product_id", "left")
             .select("product_id", F.coalesce("batch_count", F.lit(0).cast("long")).alias("batch_count")))
 
 

@@ -28,15 +28,21 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def products_from(part: DataFrame, asof: AsOf) -> DataFrame:
-    expiry = F.date_add(F.lit(PRODUCT_EXPIRY_BASE), ((F.col("p_partkey") * 7) % 900).cast("int"))
+    key = F.col("p_partkey")
+    expiry = F.date_add(F.lit(PRODUCT_EXPIRY_BASE), ((key * 7) % 900).cast("int"))
+    zero_expiry, zero_made = key % 50 == 7, key % 50 == 9
     return conform("products", part.select(
         F.col("p_partkey").alias("product_id"),
         F.col("p_name").alias("product_name"),
         F.col("p_type").alias("category"),
         F.col("p_retailprice").cast("decimal(10,2)").alias("price"),
         (F.col("p_size") * 7).cast("int").alias("current_stock"),
-        F.date_sub(expiry, 730).alias("manufactured_date"),
-        expiry.alias("expiry_date"),
+        F.when(~zero_made, F.date_sub(expiry, 730)).alias("manufactured_date"),
+        F.when(~zero_expiry, expiry).alias("expiry_date"),
+        zero_made.alias("manufactured_date_zero"),
+        zero_expiry.alias("expiry_date_zero"),
+        F.col("p_brand").alias("how_to_use"),
+        F.col("p_name").alias("side_effects"),
         asof.t.alias("created_at"),
         asof.t.alias("updated_at"),
         (F.col("p_size") * 2).cast("int").alias("reorder_level"),
@@ -62,8 +68,9 @@ def batch_rows(lineitem: DataFrame, supplier: DataFrame, asof: AsOf) -> DataFram
             .otherwise(F.floor(F.col("original_quantity") * ((p + 2 * s) % 10) / F.lit(10.0)))
             .cast("int"))
     shelf_days = (F.lit(730) + 90 * (p % 5) + 30 * (s % 6)).cast("int")
-    number = F.concat_ws("-", F.lit("BTH"), p.cast("string"), s.cast("string"),
-                         F.date_format("received_date", "yyyy-MM-dd"))
+    day = F.date_format("received_date", "yyyy-MM-dd")
+    key = F.concat_ws("-", F.lit("BTH"), p.cast("string"), s.cast("string"), day)
+    number = F.concat_ws("-", F.lit("LOT"), s.cast("string"), day)   # unique within a product only
     names = supplier.select(F.col("s_suppkey").alias("supp_id"), F.col("s_name").alias("supplier_name"))
     out = (grouped
            .withColumn("quantity", qty)
@@ -72,7 +79,7 @@ def batch_rows(lineitem: DataFrame, supplier: DataFrame, asof: AsOf) -> DataFram
            .withColumn("expiry_date_zero", F.lit(False))
            .withColumn("manufactured_date_zero", F.lit(False))
            .withColumn("batch_number", number)
-           .withColumn("batch_id", number)
+           .withColumn("batch_id", key)
            .withColumn("created_at", F.col("received_date").cast("timestamp"))
            .withColumn("updated_at", asof.t)
            .join(names, "supp_id", "left"))
@@ -162,6 +169,55 @@ def load_driver_inventory(spark: SparkSession, sf_dir: str, asof: AsOf = DRIVER_
     )
 
 
+def _twice(df: DataFrame, cond) -> DataFrame:
+    return df.unionByName(df.where(cond))
+
+
+def with_faults(inv: Inventory) -> Inventory:
+    """The tables with planted faults of each kind the integrity checks look for."""
+    def each(key: str, n: int):
+        return F.col(key) % n == 0
+
+    def unless(key: str, n: int, col: str):
+        return F.when(F.coalesce(~each(key, n), F.lit(True)), F.col(col))
+
+    def shifted(key: str, n: int, col: str):
+        return F.when(each(key, n), F.col(col) + F.lit(1_000_000_000)).otherwise(F.col(col))
+
+    def swapped(key: str, n: int, col: str, value):
+        return F.when(each(key, n), value).otherwise(F.col(col))
+
+    p, perf = "product_id", "performed_by"
+    products = _twice(inv.products, each(p, 19)).withColumns({
+        "product_name": unless(p, 7, "product_name"), "price": unless(p, 11, "price"),
+        "category": F.when(each(p, 5), F.col("category")).otherwise(F.lit("Health & Personal Care")),
+        "manufactured_date": swapped(p, 9, "manufactured_date", F.date_add("expiry_date", 1))})
+    batches = _twice(inv.batches, each(p, 29)).withColumns({
+        "status": swapped(p, 7, "status", F.lit("lost")), "received_date": unless(p, 11, "received_date"),
+        "product_id": shifted(p, 13, "product_id"),
+        "quantity": swapped(p, 17, "quantity", F.col("quantity") + 1),
+        "manufactured_date": swapped(p, 31, "manufactured_date", F.date_add("expiry_date", 1)),
+        "expiry_date": F.when((F.col(p) % 19 != 0) & (F.col(p) % 23 != 0), F.col("expiry_date")),
+        "expiry_date_zero": each(p, 19)})
+    movements = _twice(inv.movements, each(perf, 23)).withColumns({
+        "movement_type": swapped(perf, 7, "movement_type", F.lit("gift")),
+        "remaining_quantity": swapped(perf, 11, "remaining_quantity", F.col("remaining_quantity") + 1),
+        "batch_id": swapped(perf, 13, "batch_id", F.concat(F.lit("none-"), F.col("batch_id"))),
+        "quantity": unless(perf, 17, "quantity"),
+        "sale_item_id": swapped(perf, 3, "sale_item_id", F.lit("none")),
+        "performed_by": shifted(perf, 19, "performed_by")})
+    sales = _twice(inv.sales, each("sale_id", 17)).withColumns({
+        "payment_method": swapped("sale_id", 7, "payment_method", F.lit("card")),
+        "total_amount": unless("sale_id", 11, "total_amount"), "user_id": shifted("sale_id", 13, "user_id")})
+    items = _twice(inv.sale_items, each("sale_id", 19)).withColumns({
+        "product_id": shifted("sale_id", 7, "product_id"), "subtotal": unless("sale_id", 13, "subtotal"),
+        "unit_price": unless("sale_id", 17, "unit_price"), "sale_id": shifted("sale_id", 11, "sale_id")})
+    users = _twice(inv.users, each("id", 19)).withColumns({
+        "role": swapped("id", 7, "role", F.lit("guest")), "status": swapped("id", 11, "status", F.lit("gone")),
+        "username": F.when(each("id", 17), F.lit("shared")).otherwise(unless("id", 13, "username"))})
+    return Inventory(products, batches, movements, sales, items, users)
+
+
 def materialize(spark: SparkSession, inv: Inventory, path: str) -> Inventory:
     """Write the six tables as Parquet under ``path`` (clustered like stored state) and
     read them back."""

@@ -9,37 +9,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.functions import rules
 from shelfwise.functions.dates import AsOf
 from shelfwise.sources.tables import Inventory
 
-RECEIVE_WINDOW_DAYS = 10
-ADJUST_WINDOW_DAYS = 45
-DISPOSE_WINDOW_DAYS = 30
-
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def receive_requests(spark: SparkSession, sf_dir: str, asof: AsOf) -> DataFrame:
-    """Receipts of flag N and R lines shipped within 10 days of as_of, per part/supplier/day.
+def receive_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts of all flag N and R lines, per part/supplier/day.
 
     Lines shipped up to as_of with flag N are already batches (duplicates); N and R of
-    the same day collide with each other; a part/supplier pair divisible by 11 asks for
-    0 units (invalid).
+    the same day collide with each other; products that one supplier ships on a day share
+    a batch number; a part/supplier pair divisible by 11 asks for 0 units (invalid).
     """
-    lo = F.lit(asof.plus(-RECEIVE_WINDOW_DAYS)).cast("timestamp_ntz")
-    hi = F.lit(asof.plus(RECEIVE_WINDOW_DAYS)).cast("timestamp_ntz")
-    li = (_read(spark, sf_dir, "lineitem")
-          .where(F.col("l_returnflag").isin("N", "R") & (F.col("l_shipdate") >= lo) & (F.col("l_shipdate") <= hi)))
+    li = _read(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("N", "R"))
     g = (li.groupBy("l_returnflag", "l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("ship"))
          .agg(F.sum("l_quantity").cast("int").alias("units"),
               F.min("l_extendedprice").cast("decimal(10,2)").alias("purchase_price")))
     sup = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    number = F.concat_ws("-", F.lit("BTH"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
-                         F.date_format("ship", "yyyy-MM-dd"))
+    number = F.concat_ws("-", F.lit("LOT"), F.col("l_suppkey").cast("string"), F.date_format("ship", "yyyy-MM-dd"))
     return g.join(sup, "l_suppkey", "left").select(
-        F.concat_ws(":", "l_returnflag", number).alias("request_id"),
+        F.concat_ws(":", "l_returnflag", F.col("l_partkey").cast("string"), number).alias("request_id"),
         F.col("l_partkey").alias("product_id"),
         F.concat(F.lit(" "), number, F.lit(" ")).alias("batch_number"),
         F.when((F.col("l_partkey") + F.col("l_suppkey")) % 11 == 0, F.lit(0)).otherwise(F.col("units")).alias("quantity"),
@@ -52,17 +45,14 @@ def receive_requests(spark: SparkSession, sf_dir: str, asof: AsOf) -> DataFrame:
 
 
 def dispose_requests(spark: SparkSession, sf_dir: str, inv: Inventory, asof: AsOf) -> DataFrame:
-    """Write-offs for batches expiring within 30 days (empty ones included), plus ids of
-    flag-R receipts of the last 30 days, which are not batches."""
-    lim = F.lit(asof.plus(DISPOSE_WINDOW_DAYS))
-    b = inv.batches.where(F.col("expiry_date") <= lim).select(
+    """Write-offs for batches with at most 365 days left (empty ones included; an odd number
+    of units that is divisible by 3 names a reason that is none), plus ids of flag-R receipts,
+    which are not batches."""
+    b = inv.batches.where(F.col("expiry_date") <= F.lit(asof.plus(rules.FRESH_MIN_DAYS))).select(
         F.concat(F.lit("D:"), F.col("batch_id")).alias("request_id"), "batch_id",
-        F.when(F.col("quantity") % 2 == 0, F.lit("damage")).otherwise(F.lit(None)).alias("reason"),
+        F.when(F.col("quantity") % 2 == 0, F.lit("damage")).when(F.col("quantity") % 3 == 0, F.lit("lost")).alias("reason"),
         F.lit(None).cast("long").alias("user_id"))
-    lo = F.lit(asof.plus(-DISPOSE_WINDOW_DAYS)).cast("timestamp_ntz")
-    hi = F.lit(asof.day).cast("timestamp_ntz")
-    li = (_read(spark, sf_dir, "lineitem")
-          .where((F.col("l_returnflag") == "R") & (F.col("l_shipdate") > lo) & (F.col("l_shipdate") <= hi)))
+    li = _read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
     ghost = li.select(F.concat_ws("-", F.lit("RET"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
                                   F.date_format(F.to_date("l_shipdate"), "yyyy-MM-dd")).alias("batch_id")).distinct()
     ghost = ghost.select(F.concat(F.lit("G:"), F.col("batch_id")).alias("request_id"), "batch_id",
@@ -70,14 +60,12 @@ def dispose_requests(spark: SparkSession, sf_dir: str, inv: Inventory, asof: AsO
     return b.unionByName(ghost)
 
 
-def adjust_requests(inv: Inventory, asof: AsOf) -> DataFrame:
-    """Top-ups for every batch received in the last 45 days: one naming the batch, and
-    one for its product only (no batch)."""
-    recent = inv.batches.where(F.col("received_date") > F.lit(asof.plus(-ADJUST_WINDOW_DAYS)))
-    named = recent.select(F.concat(F.lit("A:"), F.col("batch_id")).alias("request_id"), "product_id", "batch_id",
+def adjust_requests(inv: Inventory) -> DataFrame:
+    """Top-ups for every batch: one naming the batch, and one for its product only (no batch)."""
+    named = inv.batches.select(F.concat(F.lit("A:"), F.col("batch_id")).alias("request_id"), "product_id", "batch_id",
                           ((F.col("original_quantity") % 9) + 1).alias("added_stock"),
                           F.lit(None).cast("long").alias("user_id"))
-    plain = recent.select(
+    plain = inv.batches.select(
         F.concat(F.lit("P:"), F.col("batch_id")).alias("request_id"), "product_id",
         F.lit(None).cast("string").alias("batch_id"), F.lit(5).alias("added_stock"),
         F.lit(None).cast("long").alias("user_id"))

@@ -1,8 +1,7 @@
 """Explicit schemas, enum domains and column defaults of the six inventory tables.
 
-Keys are ``LongType`` (the driver tables use long keys); the batch key of tables derived
-from the driver data is the batch number string, so key columns are typed loosely by
-the loaders and every operator only needs keys to be comparable.
+Keys are ``LongType``, but for those of ``OPEN_KEYS``: they are text in the tables derived from
+the driver data and whole numbers in others, and the loaders keep what the source has.
 """
 
 from __future__ import annotations
@@ -14,23 +13,20 @@ MONEY = T.DecimalType(10, 2)
 # ---- fixed values (must equal the reference's table definitions) ----------------
 BATCH_STATUSES = ("available", "low_stock", "expired", "depleted")
 MOVEMENT_TYPES = ("sale", "restock", "adjustment", "return", "expiry", "damage")
+DISPOSAL_REASONS = ("expiry", "damage")
 PAYMENT_METHODS = ("cash", "gcash")
 USER_ROLES = ("admin", "staff")
 USER_STATUSES = ("active", "inactive")
 DEFAULT_REORDER_LEVEL = 50
 DEFAULT_REORDER_QUANTITY = 100
 LOW_STOCK_BATCH_UNITS = 10          # a batch at or below this is `low_stock`
-# -----------------------------------------------------------------------------------
-
-# The reference's product categories are an enum of four labels; tables derived from
-# the driver data use their own category values, so the domain is a parameter of the
-# domain check rather than a hard rule.
-REFERENCE_CATEGORIES = (
+PRODUCT_CATEGORIES = (
     "Prescription Medicines",
     "Over-the-Counter (OTC) Products",
     "Health & Personal Care",
     "Medical Supplies & Equipment",
 )
+# -----------------------------------------------------------------------------------
 
 PRODUCTS = T.StructType([
     T.StructField("product_id", T.LongType(), False),
@@ -46,6 +42,8 @@ PRODUCTS = T.StructType([
     T.StructField("updated_at", T.TimestampType(), True),
     T.StructField("reorder_level", T.IntegerType(), True),
     T.StructField("reorder_quantity", T.IntegerType(), True),
+    T.StructField("manufactured_date_zero", T.BooleanType(), False),
+    T.StructField("expiry_date_zero", T.BooleanType(), False),
 ])
 
 BATCHES = T.StructType([
@@ -147,6 +145,7 @@ FOREIGN_KEYS = [
 # Enum domains (I-3): (table, column, allowed values).
 DOMAINS = [
     ("batch_movements", "movement_type", MOVEMENT_TYPES),
+    ("products", "category", PRODUCT_CATEGORIES),
     ("product_batches", "status", BATCH_STATUSES),
     ("sales", "payment_method", PAYMENT_METHODS),
     ("users", "role", USER_ROLES),
@@ -154,5 +153,14 @@ DOMAINS = [
 ]
 
 # NOT NULL columns (I-4).
-NOT_NULL = {name: [f.name for f in schema.fields if not f.nullable]
-            for name, schema in SCHEMAS.items()}
+NOT_NULL = {
+    "products": ["product_id", "product_name", "category", "price", "current_stock", "manufactured_date",
+                 "expiry_date", "created_at", "updated_at"],
+    "product_batches": ["batch_id", "product_id", "batch_number", "quantity", "original_quantity",
+                        "manufactured_date", "expiry_date", "received_date", "created_at", "updated_at"],
+    "batch_movements": ["movement_id", "batch_id", "movement_type", "quantity", "remaining_quantity",
+                        "movement_date"],
+    "sales": ["sale_id", "user_id", "total_amount", "sale_date"],
+    "sale_items": ["sale_item_id", "sale_id", "product_id", "quantity", "unit_price", "subtotal", "created_at"],
+    "users": ["id", "username"],
+}

@@ -70,7 +70,7 @@ def replay_in_order(df: DataFrame, ts_col: str, landing: str, parts: int, run) -
     without relying on file modification times.
     """
     for cond in time_slices(df, ts_col, parts):
-        df.where(cond).coalesce(1).write.mode("append").parquet(landing)
+        df.where(cond).write.mode("append").parquet(landing)
         run()
 
 
@@ -239,24 +239,24 @@ LEDGER_SCHEMA = T.StructType([T.StructField("batch_id", T.StringType()), T.Struc
                               T.StructField("movements", T.LongType())])
 
 
-def ledger_stock(movements: DataFrame, watermark: str = "1 day") -> DataFrame:
+def ledger_stock(movements: DataFrame) -> DataFrame:
     """X-2 on the ledger: stock per batch as the running sum of signed movements.
 
-    Repeated deliveries of a movement id within the watermark count once.
+    A movement id counts once however often and however late it is delivered: a balance may
+    lose no row, so there is no watermark, and the ids seen stay in the state store (on
+    disk), which grows with the ledger.
     """
-    m = (movements.withWatermark("movement_date", watermark)
-         .dropDuplicatesWithinWatermark(["movement_id"]))
+    m = movements.dropDuplicates(["movement_id"])
     return m.groupBy("batch_id").agg(F.sum(F.col("quantity").cast("long")).alias("stock"),
                                      F.count(F.lit(1)).alias("movements"))
 
 
-def stream_ledger_stock(spark: SparkSession, movements: DataFrame, parts: int = 4,
-                        watermark: str = "1 day") -> DataFrame:
+def stream_ledger_stock(spark: SparkSession, movements: DataFrame, parts: int = 4) -> DataFrame:
     """Replay a ledger table in time order as a stream and return stock per batch."""
     landing, out, ckpt = replay_paths(spark, "ledger-stock")
     typed = movements.select(*LEDGER_FIELDS)
     schema = typed.schema
     replay_in_order(typed, "movement_date", landing, parts,
-                    lambda: run_update(ledger_stock(spark.readStream.schema(schema).parquet(landing), watermark),
+                    lambda: run_update(ledger_stock(spark.readStream.schema(schema).parquet(landing)),
                                        out, ckpt))
     return latest(spark, out, ["batch_id"], LEDGER_SCHEMA)

@@ -97,7 +97,7 @@ def test_adjust_running_remaining(spark, inv):
 def test_receive_then_dispose_restores_totals(spark, inv):
     req = spark.createDataFrame([("r1", 6, "RT-1", 25, None, dt.date(2028, 1, 1), None, None, 1)], RECEIVE)
     step1 = jobs.receive(req, inv, ASOF).inventory
-    d = spark.createDataFrame([("d1", "RT-1", None, 1)], "request_id string, batch_id string, reason string, user_id long")
+    d = spark.createDataFrame([("d1", "6:RT-1", None, 1)], "request_id string, batch_id string, reason string, user_id long")
     # a later run has a later "now": the ledger orders movements by date, then id
     step2 = jobs.dispose(d, step1, AsOf.of("2025-11-17", "2025-11-17 10:05:00")).inventory
     total = lambda i: i.products.agg(F.sum("current_stock")).first()[0]

@@ -55,3 +55,22 @@ def test_ledger_of_numbered_movements_balances(spark):
 def test_dump_keys_load_as_numbers(spark):
     inv = load(spark, FIXTURE, fmt="csv", numeric_keys=True)
     assert dict(inv.batches.dtypes)["batch_id"] == "bigint" and inv.batches.where("batch_id is null").count() == 0
+
+
+def test_received_rows_continue_the_numbers_and_share_a_batch_number(spark):
+    from shelfwise.plans import jobs
+    inv = load(spark, FIXTURE, fmt="csv", numeric_keys=True)
+    req = spark.createDataFrame(
+        [("r1", 6, "LOT-7", 40), ("r2", 7, "LOT-7", 5), ("r3", 6, "LOT-7", 1)],
+        "request_id string, product_id long, batch_number string, quantity int") \
+        .withColumns({"manufactured_date": F.lit(None).cast("date"), "expiry_date": F.lit(dt.date(2028, 1, 1)),
+                      "supplier_name": F.lit("acme"), "purchase_price": F.lit(None).cast("decimal(10,2)"),
+                      "user_id": F.lit(1).cast("long")})
+    res = jobs.receive(req, inv, AsOf.of("2025-11-17", "2025-11-17 10:00:00"))
+    batch = inv.batches.agg(F.max("batch_id")).first()[0]
+    move = inv.movements.agg(F.max("movement_id")).first()[0]
+    assert sorted((b.batch_id, b.product_id) for b in res.added["product_batches"].collect()) == \
+        [(batch + 1, 6), (batch + 2, 7)]
+    assert sorted((m.movement_id, m.batch_id) for m in res.added["batch_movements"].collect()) == \
+        [(move + 1, batch + 1), (move + 2, batch + 2)]
+    assert [(r.request_id, r.reject_reason) for r in res.rejects.collect()] == [("r3", "duplicate_in_request")]

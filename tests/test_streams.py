@@ -80,3 +80,16 @@ def test_continuous_trigger_starts_and_stops(spark):
         q.stop()
     got = streams.latest(spark, out, ["day"], streams.DAILY_SCHEMA).collect()
     assert [(r.day, r.total_sales) for r in got] == [(BASE.date(), 3.0)]
+
+
+def test_ledger_stream_keeps_late_movements(spark):
+    kind = "movement_id string, batch_id string, movement_type string, quantity int, movement_date timestamp"
+    now = spark.createDataFrame([("m2", "b", "sale", -2, BASE + dt.timedelta(days=40))], kind)
+    late = spark.createDataFrame([("m1", "b", "restock", 9, BASE)], kind)
+    landing, out, ckpt = streams.replay_paths(spark, "late-ledger")
+    for delivery in (now, late, late):
+        delivery.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(now.schema).parquet(landing)
+        streams.run_update(streams.ledger_stock(stream), out, ckpt)
+    row = streams.latest(spark, out, ["batch_id"], streams.LEDGER_SCHEMA).first()
+    assert (row.stock, row.movements) == (7, 2)
