@@ -26,10 +26,10 @@ from pyspark.sql import types as T  # noqa: E402
 from shelfwise.functions.dates import AsOf
 from shelfwise.oracle import ORACLE
 from shelfwise.plans import checks, jobs, reports, sales
-from shelfwise.plans.allocation import allocate_window
+from shelfwise.plans.allocation import allocate_sales, allocate_sales_by_day
 from shelfwise.sources import requests as req
 from shelfwise.sources import sinks
-from shelfwise.sources.derived import DEMAND_FROM, DEMAND_TO, DRIVER_AS_OF, load_driver_inventory, with_faults
+from shelfwise.sources.derived import DRIVER_AS_OF, load_driver_inventory, with_faults
 from shelfwise.streaming import streams
 
 # The training-data operators and their pipeline are an optional part: without their folder
@@ -76,7 +76,7 @@ def _no_asof(fn, **kwargs) -> Callable[[SparkSession, str], DataFrame]:
 
 def _fefo(part: str, mode: str = "partial") -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        res = allocate_window(load_driver_inventory(spark, sf_dir, ASOF), ASOF, DEMAND_FROM, DEMAND_TO, mode)
+        res = allocate_sales(load_driver_inventory(spark, sf_dir, ASOF), ASOF, mode)
         if part == "allocations":
             return _normalize(res.allocations)
         if part == "batches":
@@ -86,6 +86,13 @@ def _fefo(part: str, mode: str = "partial") -> Callable[[SparkSession, str], Dat
     return run
 
 
+def _fefo_by_day(mode: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _normalize(allocate_sales_by_day(load_driver_inventory(spark, sf_dir, ASOF), mode).allocations)
+    run.__doc__ = f"M-2 FEFO allocation ({mode}), each sale line at the as-of of its own day."
+    return run
+
+
 def _job(fn) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _normalize(fn(spark, sf_dir, load_driver_inventory(spark, sf_dir, ASOF)))
@@ -260,6 +267,8 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fefo_batches_after": _fefo("batches"),
         "fefo_shortfalls": _fefo("shortfalls"),
         "fefo_strict": _fefo("allocations", mode="strict"),
+        "fefo_by_day": _fefo_by_day("partial"),
+        "fefo_by_day_strict": _fefo_by_day("strict"),
         "receive_batches": _job(_receive),
         "receive_rejects": _job(_receive_rejects),
         "receive_stock": _job(_receive_stock),

@@ -19,11 +19,10 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from shelfwise.plans import reports, sales  # noqa: E402
-from shelfwise.plans.allocation import allocate_window  # noqa: E402
+from shelfwise.plans.allocation import allocate_sales  # noqa: E402
 from shelfwise.plans.checks import check_ledger  # noqa: E402
 from shelfwise.session import build_session, scratch_path  # noqa: E402
-from shelfwise.sources.derived import (DEMAND_FROM, DEMAND_TO, DRIVER_AS_OF,  # noqa: E402
-                                       load_driver_inventory, materialize)
+from shelfwise.sources.derived import DRIVER_AS_OF, load_driver_inventory, materialize  # noqa: E402
 
 
 def _sf(path: str) -> float | str:
@@ -51,8 +50,8 @@ def main() -> None:
         "r9_catalog": lambda: reports.catalog(inv, asof),
         "r11_batch_drilldown": lambda: reports.batch_drilldown(inv, asof),
         "r15_activity_feed": lambda: sales.activity_feed(inv, asof, n=4),
-        "m2_fefo_partial": lambda: allocate_window(inv, asof, DEMAND_FROM, DEMAND_TO, "partial").allocations,
-        "m2_fefo_strict": lambda: allocate_window(inv, asof, DEMAND_FROM, DEMAND_TO, "strict").allocations,
+        "m2_fefo_partial": lambda: allocate_sales(inv, asof, "partial").allocations,
+        "m2_fefo_strict": lambda: allocate_sales(inv, asof, "strict").allocations,
         "i5_check_ledger": lambda: check_ledger(inv),
     }
     results = {}

@@ -2,37 +2,46 @@
 
 The reference drains batches one demand call at a time with a cursor. Because batches
 form a queue of fixed order per product, sequential draining equals the overlap of two
-running-sum intervals: batch ``b`` covers ``[s_lo, s_hi)`` of the product's supply line,
-demand line ``d`` covers ``[d_lo, d_hi)`` of its demand line, and ``d`` takes
+families of intervals on the product's supply line: batch ``b`` covers ``[s_lo, s_hi)``,
+demand line ``d`` covers ``[d_lo, d_hi)``, and ``d`` takes
 ``min(s_hi, d_hi) - max(s_lo, d_lo)`` units from ``b`` when that is positive.
 
+At one as-of day the intervals are running sums. Day by day, batches expire between the
+lines: a line starts where the line before it ended, or after the last unit that has
+expired by its day (its ``floor``), whichever is later. Queue order is expiry order, so the
+expired units are always a prefix, and ``d_hi = max(d_hi of the line before, floor) + q``
+solves to a running sum plus a running maximum: no loop over days or lines.
+
 Matching intervals is done by a sweep, not by a join on product (which would test all
 pairs of a product): supply starts and demand starts are merged in position order and
 each start carries forward the interval of the other side that contains it. Every
 overlapping pair starts at exactly one of these starts, so the output is linear in the
-input. Running sums and carries use ``operators.scan`` (no single task per product).
+input. Running values use ``operators.scan`` (no single task per product).
 
 Modes:
 - ``partial``: what fits stays taken; a line that is short keeps its partial take.
 - ``strict``: a line that does not fit whole takes nothing (the caller rolls back).
-  Acceptance is decided in rounds of distributed prefix sums (see ``strict_accept``).
+  Acceptance is decided in at most 64 rounds of prefix sums (see ``strict_accept``).
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.functions import labels, rules
 from shelfwise.functions.dates import AsOf
+from shelfwise.operators.keys import new_keys
 from shelfwise.operators.scan import ordered_scan, running_sum
 from shelfwise.session import cut_lineage
 
 SUPPLY_ORDER = ["expiry_date", "received_date", "batch_id"]
 DEMAND_ORDER = ["demand_date", "sale_id", "line_no", "supp_id", "sale_item_id"]
+LINE_FIELDS = ["sale_item_id", "sale_id", "tag_item", "user_id"]
 
 
 @dataclass
@@ -45,52 +54,56 @@ class FefoResult:
     decisions: DataFrame
 
 
-def supply_intervals(batches: DataFrame, asof: AsOf) -> DataFrame:
-    """W-1 on supply alone: allocatable batches with quantity > 0 and their [s_lo, s_hi)."""
-    cand = _candidates(batches, asof)
-    sup = running_sum(cand, ["product_id"], SUPPLY_ORDER, "s_qty", "s_hi")
-    return sup.withColumn("s_lo", F.col("s_hi") - F.col("s_qty"))
-
-
-def demand_intervals(lines: DataFrame, order=DEMAND_ORDER) -> DataFrame:
-    """W-1 on demand: lines and their [d_lo, d_hi) in demand order."""
-    dem = running_sum(lines.withColumn("d_qty", F.col("quantity").cast("long")),
-                      ["product_id"], order, "d_qty", "d_hi")
-    return dem.withColumn("d_lo", F.col("d_hi") - F.col("d_qty"))
-
+def _candidates(batches: DataFrame, allocatable: Column) -> DataFrame:
+    return (batches.where(allocatable & (F.col("quantity") > 0))
+            .select("product_id", *SUPPLY_ORDER, F.col("quantity").cast("long").alias("s_qty")))
 
-def _candidates(batches: DataFrame, asof: AsOf) -> DataFrame:
-    return (batches.where(rules.stock_filter("allocatable", asof) & (F.col("quantity") > 0))
-            .select("product_id", "batch_id", "expiry_date", "received_date",
-                    F.col("quantity").cast("long").alias("s_qty")))
 
+def _positions(cand: DataFrame, lines: DataFrame, order, by_day: bool) -> tuple[DataFrame, DataFrame]:
+    """W-1: running supply per batch and, for each line, the supply that has expired by its day.
 
-def paired_intervals(cand: DataFrame, lines: DataFrame, order=DEMAND_ORDER) -> tuple[DataFrame, DataFrame]:
-    """W-1 for supply and demand in one scan: [s_lo, s_hi) per batch and [d_lo, d_hi)
-    per line. Rows are keyed by (product, side); each side's order columns are NULL on
-    the other side's rows, so within a key the order is that side's own order.
+    Returns (product_id, batch_id, s_lo, s_hi) and the lines with ``q`` and ``floor``. Day by
+    day, batches and lines are merged by (product, date), the batches of a date first: those
+    have expired on it. At one as-of day nothing expires and the floor is 0.
     """
-    s = cand.select("product_id", F.lit(0).alias("_side"), F.col("s_qty").alias("_q"),
-                    *[F.col(c).alias(f"_so{i}") for i, c in enumerate(SUPPLY_ORDER)],
-                    F.col("batch_id").alias("_bid"))
-    d = lines.select("product_id", F.lit(1).alias("_side"), F.col("quantity").cast("long").alias("_q"),
+    lines = lines.withColumn("q", F.col("quantity").cast("long"))
+    if not by_day:
+        sup = running_sum(cand, ["product_id"], SUPPLY_ORDER, "s_qty", "s_hi")
+        return _supply(sup), lines.withColumn("floor", F.lit(0).cast("long"))
+    s = cand.select("product_id", F.col("expiry_date").alias("_on"), F.lit(0).alias("_side"), "s_qty",
+                    *[F.col(c).alias(f"_so{i}") for i, c in enumerate(SUPPLY_ORDER)], "batch_id")
+    d = lines.select("product_id", F.col(order[0]).alias("_on"), F.lit(1).alias("_side"),
                      *[F.col(c).alias(f"_do{i}") for i, c in enumerate(order)],
-                     F.struct("sale_item_id", "sale_id", "tag_item", "user_id").alias("_dem"))
-    both = s.unionByName(d, allowMissingColumns=True)
-    order_cols = [f"_so{i}" for i in range(len(SUPPLY_ORDER))] + [f"_do{i}" for i in range(len(order))]
-    scanned = ordered_scan(both, ["product_id", "_side"], order_cols, sums={"_hi": F.col("_q")})
-    sup = scanned.where(F.col("_side") == 0).select(
-        "product_id", F.col("_bid").alias("batch_id"), F.col("_q").alias("s_qty"),
-        F.col("_hi").alias("s_hi"), (F.col("_hi") - F.col("_q")).alias("s_lo"))
-    dem = scanned.where(F.col("_side") == 1).select(
-        "product_id", "_dem.*", F.col("_hi").alias("d_hi"), (F.col("_hi") - F.col("_q")).alias("d_lo"))
-    return sup, dem
+                     F.struct(*lines.columns).alias("_line"))
+    merged = ordered_scan(
+        s.unionByName(d, allowMissingColumns=True), ["product_id"],
+        ["_on", "_side", *[f"_so{i}" for i in range(len(SUPPLY_ORDER))], *[f"_do{i}" for i in range(len(order))]],
+        sums={"s_hi": F.coalesce("s_qty", F.lit(0).cast("long"))})
+    dem = merged.where(F.col("_side") == 1).select("_line.*", F.col("s_hi").alias("floor"))
+    return _supply(merged.where(F.col("_side") == 0)), dem
+
+
+def _supply(sup: DataFrame) -> DataFrame:
+    return sup.select("product_id", "batch_id", "s_hi", (F.col("s_hi") - F.col("s_qty")).alias("s_lo"))
+
+
+def _demand_intervals(lines: DataFrame, order, by_day: bool) -> DataFrame:
+    """[d_lo, d_hi) per line: ``d_hi`` is the running demand plus the running maximum of how far
+    a line's floor lies above the demand before it."""
+    dem = running_sum(lines, ["product_id"], order, "q", "_sum")
+    if by_day:
+        dem = ordered_scan(dem, ["product_id"], order,
+                           maxes={"_skip": F.col("floor") - (F.col("_sum") - F.col("q"))})
+        hi = F.col("_sum") + F.greatest(F.col("_skip"), F.lit(0))
+    else:
+        hi = F.col("_sum")
+    return dem.select("product_id", *LINE_FIELDS, hi.alias("d_hi"), (hi - F.col("q")).alias("d_lo"))
 
 
 def overlap_sweep(sup: DataFrame, dem: DataFrame) -> DataFrame:
     """J-9 without pairs: merge interval starts and carry the other side forward."""
     b_struct = F.struct("batch_id", "s_lo", "s_hi")
-    d_struct = F.struct("sale_item_id", "sale_id", "tag_item", "user_id", "d_lo", "d_hi")
+    d_struct = F.struct(*LINE_FIELDS, "d_lo", "d_hi")
     s_ev = sup.select("product_id", F.col("s_lo").alias("pos"), F.lit(0).alias("kind"),
                       F.col("batch_id").cast("string").alias("tb"),
                       b_struct.alias("b"), F.lit(None).cast(dem.select(d_struct).schema[0].dataType).alias("d"))
@@ -105,61 +118,62 @@ def overlap_sweep(sup: DataFrame, dem: DataFrame) -> DataFrame:
         F.col("b").isNotNull() & F.col("d").isNotNull())
     start = F.greatest("b.s_lo", "d.d_lo")
     taken = F.least("b.s_hi", "d.d_hi") - start
+    # Both figures are at most one batch's quantity, an int.
     return (pairs.withColumn("taken", taken).withColumn("start_pos", start).where(F.col("taken") > 0)
-            .select("product_id", "d.sale_item_id", "d.sale_id", "d.tag_item", "d.user_id", "b.batch_id",
+            .select("product_id", *[f"d.{c}" for c in LINE_FIELDS], "b.batch_id",
                     F.col("taken").cast("int").alias("taken"),
                     (F.col("b.s_hi") - F.least("b.s_hi", "d.d_hi")).cast("int").alias("remaining_after"),
                     "start_pos"))
 
 
-def strict_accept(lines: DataFrame, sup_total: DataFrame, order=DEMAND_ORDER) -> DataFrame:
+def strict_accept(lines: DataFrame, sup_total: DataFrame, order=DEMAND_ORDER, by_day: bool = False) -> DataFrame:
     """Decide which lines fit whole when lines are served one by one in ``order``.
 
-    A line is accepted when the accepted units before it plus its own quantity stay
-    within the product's supply. Each round: the undecided lines whose prefix sum fits
-    the remaining capacity are accepted; the first line that does not fit is rejected,
-    and so is every later line larger than the capacity left after the accepted prefix
-    (capacity only shrinks). The rest stay undecided with that smaller capacity, unless
-    together they fit in it, in which case all are accepted. Every round decides at
-    least one line per product that still has undecided lines; all rounds are
-    distributed scans and every round's state is checkpointed.
+    ``lines``: product_id, q, floor and the order's columns; a line fits when ``q`` is at most
+    the units left, and the units left only shrink. Let ``p`` be the greatest power of two that
+    is at most a product's units left. While at least ``p`` are left, every line under ``p``
+    fits; a line of ``p`` or more that fits leaves less than ``p``. So in one round a product
+    accepts its lines under ``p`` by a prefix sum, up to the first line that either finds less
+    than ``p`` left (it waits for the next round) or is large and fits (it is accepted); the
+    large lines before that one are refused. After a round a product is done or its units left
+    have fewer binary digits: at most 64 rounds whatever the data, one checkpoint each.
     Returns (sale_item_id, accepted).
     """
-    state = (lines.join(sup_total, "product_id", "left")
-             .withColumn("cap", F.coalesce(F.col("s_total"), F.lit(0).cast("long")))
-             .drop("s_total")
-             .withColumn("q", F.col("quantity").cast("long")))
-    state = cut_lineage(state)
+    state = cut_lineage(lines.join(sup_total, "product_id", "left")
+                        .withColumn("total", F.coalesce("s_total", F.lit(0).cast("long"))).drop("s_total")
+                        .withColumn("at", F.lit(0).cast("long")))
+    keep = state.columns
+    here = F.struct(*order)
     decided = []
     while state.take(1):
-        scanned = running_sum(state, ["product_id"], order, "q", "c")
-        over = scanned.where(F.col("c") > F.col("cap"))
-        first = (over.groupBy("product_id")
-                 .agg(F.min_by(F.struct("sale_item_id", "c", "q"), F.struct(*order)).alias("f"))
-                 .select("product_id", F.col("f.sale_item_id").alias("first_id"),
-                         (F.col("f.c") - F.col("f.q")).alias("used")))
+        state = state.withColumn("p", F.expr("if(total > at, shiftleft(1L, length(bin(total - at)) - 1), 0L)"))
+        small = F.col("q") < F.col("p")
+        scanned = running_sum(state.withColumn("small", small), ["product_id"], order,
+                              F.when(small, F.col("q")).otherwise(F.lit(0).cast("long")), "_sum")
+        scanned = scanned.withColumn("_before", F.col("_sum") - F.when(F.col("small"), F.col("q"))
+                                     .otherwise(F.lit(0).cast("long")))
+        if by_day:
+            scanned = ordered_scan(scanned, ["product_id"], order,
+                                   maxes={"_skip": F.greatest("at", F.col("floor") - F.col("_before"))})
+            before = F.col("_skip") + F.col("_before")
+        else:
+            before = F.col("at") + F.col("_before")
+        left = F.col("total") - before
+        waits = (F.col("p") > 0) & (left < F.col("p"))
+        lands = ~F.col("small") & (F.col("p") > 0) & (F.col("q") <= left)
+        scanned = scanned.withColumn("_waits", waits)
+        first = (scanned.where(waits | lands).groupBy("product_id")
+                 .agg(F.min(here).alias("_stop"),
+                      F.min_by(F.struct(F.col("_waits").alias("waits"),
+                                        (before + F.when(waits, F.lit(0)).otherwise(F.col("q"))).alias("next")),
+                               here).alias("_ev")))
         j = scanned.join(first, "product_id", "left")
-        fits = F.col("c") <= F.col("cap")
-        new_cap = F.col("cap") - F.col("used")
-        is_first = F.col("sale_item_id") == F.col("first_id")
-        verdict = (F.when(fits, F.lit(True))
-                    .when(is_first, F.lit(False))
-                    .when(F.col("q") > new_cap, F.lit(False)))
-        j = j.withColumn("accepted", verdict).withColumn("next_cap", new_cap)
-        # Shortcut: when a product's still-undecided lines fit together in the capacity
-        # left, each of them fits in turn, so all are accepted now.
-        rest = (j.where(F.col("accepted").isNull()).groupBy("product_id")
-                .agg(F.sum("q").alias("_rest"), F.first("next_cap").alias("_cap"))
-                .where(F.col("_rest") <= F.col("_cap"))
-                .select("product_id", F.lit(True).alias("_all_fit")))
-        j = (j.join(rest, "product_id", "left")
-             .withColumn("accepted", F.when(F.col("accepted").isNull() & F.col("_all_fit"), F.lit(True))
-                         .otherwise(F.col("accepted")))
-             .drop("_all_fit"))
-        j = cut_lineage(j)       # one checkpoint per round: the round's decisions
+        is_stop = F.col("_stop").isNotNull() & (here == F.col("_stop"))
+        later = F.col("_stop").isNotNull() & ((here > F.col("_stop")) | (is_stop & F.col("_ev.waits")))
+        j = cut_lineage(j.withColumn("accepted", F.when(~later, F.col("small") | is_stop))
+                        .withColumn("_next", F.col("_ev.next")))
         decided.append(j.where(F.col("accepted").isNotNull()).select("sale_item_id", "accepted"))
-        state = (j.where(F.col("accepted").isNull())
-                 .select(*[c for c in state.columns if c != "cap"], F.col("next_cap").alias("cap")))
+        state = j.where(F.col("accepted").isNull()).withColumn("at", F.col("_next")).select(*keep)
     out = decided[0] if decided else lines.sparkSession.createDataFrame(
         [], T.StructType([lines.schema["sale_item_id"], T.StructField("accepted", T.BooleanType())]))
     for part in decided[1:]:
@@ -167,47 +181,48 @@ def strict_accept(lines: DataFrame, sup_total: DataFrame, order=DEMAND_ORDER) ->
     return out
 
 
-def _tags(items: DataFrame) -> DataFrame:
-    """W-3: the latest sale item of each (sale, product): the greatest key.
+def _tags(items: DataFrame, demand: DataFrame) -> DataFrame:
+    """W-3: the latest sale item of each (sale, product) that has demand: the greatest key.
 
     Text keys end in their line's number, which does not sort as text, so the line leads.
     """
+    wanted = demand.select("sale_id", "product_id").distinct()
     numeric = isinstance(items.schema["sale_item_id"].dataType, T.IntegralType)
     latest = F.col("sale_item_id") if numeric else F.struct("line_no", "sale_item_id")
-    return items.groupBy("sale_id", "product_id").agg(F.max_by("sale_item_id", latest).alias("tag_item"))
+    return (items.join(wanted, ["sale_id", "product_id"], "left_semi")
+            .groupBy("sale_id", "product_id").agg(F.max_by("sale_item_id", latest).alias("tag_item")))
 
 
-def allocate(demand: DataFrame, batches: DataFrame, asof: AsOf, mode: str = "partial",
-             products: DataFrame | None = None, sale_items: DataFrame | None = None,
-             order=DEMAND_ORDER) -> FefoResult:
-    """Allocate ``demand`` lines (sale-item shaped rows) to ``batches`` at ``asof``.
-
-    Lines with quantity <= 0 take nothing. When ``sale_items`` is given, movements are
-    tagged with the latest item of the line's (sale, product) from it and lines without
-    one are rejected, as the reference's lookup ends the call; otherwise the demand rows
-    themselves are the items.
-    """
+def _run(demand: DataFrame, batches: DataFrame, allocatable: Column, touched_asof: AsOf, instant: Column,
+         mode: str, products: DataFrame | None, sale_items: DataFrame | None,
+         ledger: DataFrame | None, order, by_day: bool) -> FefoResult:
     if mode not in ("partial", "strict"):
         raise ValueError(f"unknown mode {mode!r}")
+    order = list(order)
     if "user_id" not in demand.columns:
         demand = demand.withColumn("user_id", F.lit(None).cast("long"))
-    items = sale_items if sale_items is not None else demand
-    lines = demand.join(_tags(items), ["sale_id", "product_id"], "left")
+    lines = demand.join(_tags(demand if sale_items is None else sale_items, demand),
+                        ["sale_id", "product_id"], "left")
+    served = F.col("quantity") > 0
     if sale_items is not None:
-        lines = lines.withColumn("_has_item", F.col("tag_item").isNotNull())
-    else:
-        lines = lines.withColumn("_has_item", F.lit(True))
-    live = lines.where((F.col("quantity") > 0) & F.col("_has_item"))
-
-    cand = _candidates(batches, asof)
+        served = served & F.col("tag_item").isNotNull()
+    if by_day:
+        served = served & F.col(order[0]).isNotNull()
+    needed = list(dict.fromkeys(["product_id", "quantity", *LINE_FIELDS, *order]))
+    live = lines.where(served).select(*needed)
+
+    cand = _candidates(batches, allocatable)
+    sup, live = _positions(cand, live, order, by_day)
     if mode == "strict":
         totals = cand.groupBy("product_id").agg(F.sum("s_qty").alias("s_total"))
-        decisions = strict_accept(live.select("product_id", "quantity", *order), totals, order)
+        wanted = list(dict.fromkeys(["product_id", "sale_item_id", "q", "floor", *order]))
+        decisions = strict_accept(live.select(*wanted), totals, order, by_day)
         live = live.join(decisions.where("accepted").select("sale_item_id"), "sale_item_id", "left_semi")
     else:
         decisions = live.select("sale_item_id", F.lit(True).alias("accepted"))
-    sup, dem = paired_intervals(cand, live, order)
-    alloc = overlap_sweep(sup, dem)
+    alloc = overlap_sweep(sup, _demand_intervals(live, order, by_day))
+    if by_day:
+        alloc = alloc.join(demand.select("sale_item_id", F.col(order[0]).alias("day")), "sale_item_id")
 
     per_line = alloc.groupBy("sale_item_id").agg(F.sum("taken").cast("long").alias("allocated"))
     shortfalls = (lines.join(per_line, "sale_item_id", "left")
@@ -217,66 +232,67 @@ def allocate(demand: DataFrame, batches: DataFrame, asof: AsOf, mode: str = "par
                   .withColumn("short", F.greatest(F.col("requested") - F.col("allocated"), F.lit(0)))
                   .where(F.col("short") > 0))
 
-    per_batch = alloc.groupBy("batch_id").agg(F.sum("taken").cast("int").alias("_taken"))
+    per_batch = alloc.groupBy("batch_id").agg(F.sum("taken").cast("int").alias("_taken"),
+                                              F.max(instant).alias("_last"))
     touched = F.col("_taken").isNotNull()
-    new_batches = batches.join(per_batch, "batch_id", "left")
-    new_batches = (new_batches
+    new_batches = (batches.join(per_batch, "batch_id", "left")
                    .withColumn("quantity", F.col("quantity") - F.coalesce("_taken", F.lit(0)))
-                   .withColumn("status", F.when(touched, labels.batch_status(asof)).otherwise(F.col("status")))
-                   .withColumn("updated_at", F.when(touched, asof.t).otherwise(F.col("updated_at")))
+                   .withColumn("status", F.when(touched, labels.batch_status(touched_asof)).otherwise(F.col("status")))
+                   .withColumn("updated_at", F.coalesce("_last", "updated_at"))
                    .select(*batches.columns))
 
-    # Within a batch, allocations start at increasing supply positions in demand order;
-    # the zero-padded start keeps the ledger's (date, id) order equal to that order.
-    movements = alloc.select(
-        F.concat_ws(":", F.col("batch_id").cast("string"), F.lit("sale"),
-                    F.format_string("%019d", F.col("start_pos"))).alias("movement_id"),
-        "batch_id", F.col("tag_item").alias("sale_item_id"), F.lit("sale").alias("movement_type"),
+    # Within a batch, allocations start at increasing supply positions in demand order: keys in
+    # that order (numbers that go on, or text with a zero-padded start) keep the ledger's
+    # (date, id) order equal to it.
+    text_key = F.concat_ws(":", F.col("batch_id").cast("string"), F.lit("sale"),
+                           F.format_string("%019d", F.col("start_pos")))
+    keyed = (new_keys(alloc, ledger, "movement_id", ["batch_id", "start_pos"], text_key)
+             if ledger is not None else alloc.withColumn("movement_id", text_key))
+    movements = keyed.select(
+        "movement_id", "batch_id", F.col("tag_item").alias("sale_item_id"), F.lit("sale").alias("movement_type"),
         (-F.col("taken")).alias("quantity"), F.col("remaining_after").alias("remaining_quantity"),
-        asof.t.alias("movement_date"), F.lit(None).cast("string").alias("notes"),
+        instant.alias("movement_date"), F.lit(None).cast("string").alias("notes"),
         F.col("user_id").alias("performed_by"))
 
     new_products = None
     if products is not None:
-        served = (lines.where(F.col("quantity") > 0)
-                  .join(shortfalls.select("sale_item_id"), "sale_item_id", "left_anti")
-                  .join(decisions.where("accepted").select("sale_item_id"), "sale_item_id", "left_semi")
-                  .groupBy("product_id").agg(F.sum("quantity").cast("int").alias("_sold")))
-        new_products = (products.join(served, "product_id", "left")
-                        .withColumn("current_stock", F.col("current_stock") - F.coalesce("_sold", F.lit(0)))
+        sold = (lines.where(F.col("quantity") > 0)
+                .join(shortfalls.select("sale_item_id"), "sale_item_id", "left_anti")
+                .join(decisions.where("accepted").select("sale_item_id"), "sale_item_id", "left_semi")
+                .groupBy("product_id").agg(F.sum("quantity").alias("_sold")))
+        new_products = (products.join(sold, "product_id", "left")
+                        .withColumn("current_stock", F.col("current_stock") - F.coalesce("_sold", F.lit(0).cast("long")))
                         .select(*products.columns))
     return FefoResult(alloc.drop("start_pos"), movements, new_batches, shortfalls, new_products, decisions)
 
 
-def allocate_by_day(demand: DataFrame, batches: DataFrame, mode: str = "partial",
-                    at=None, day_col: str = "demand_date", order=DEMAND_ORDER) -> FefoResult:
-    """M-2 over several days: each day's lines are allocated at that day's as-of, in day
-    order, against the batches left by the days before (batches expire in between).
+def allocate(demand: DataFrame, batches: DataFrame, asof: AsOf, mode: str = "partial",
+             products: DataFrame | None = None, sale_items: DataFrame | None = None,
+             ledger: DataFrame | None = None, order=DEMAND_ORDER) -> FefoResult:
+    """Allocate ``demand`` lines (sale-item shaped rows) to ``batches`` at ``asof``.
+
+    Lines with quantity <= 0 take nothing. When ``sale_items`` is given, movements are
+    tagged with the latest item of the line's (sale, product) from it and lines without
+    one are rejected, as the reference's lookup ends the call; otherwise the demand rows
+    themselves are the items. Movement keys go on after those of ``ledger`` if its keys are
+    numbers; without a ledger they are text.
+    """
+    return _run(demand, batches, rules.stock_filter("allocatable", asof), asof, asof.t, mode, products,
+                sale_items, ledger, order, by_day=False)
+
+
+def allocate_by_day(demand: DataFrame, batches: DataFrame, mode: str = "partial", at: dt.time | None = None,
+                    products: DataFrame | None = None, sale_items: DataFrame | None = None,
+                    ledger: DataFrame | None = None, order=DEMAND_ORDER) -> FefoResult:
+    """M-2 over many days: each line is served at the as-of of its own day, in ``order``, from
+    what the lines before it left; batches expire in between. All days run as one job.
 
-    The loop runs once per calendar day that has demand (a count bounded by the dates,
-    not by the data); each day is a distributed allocation and the batch state after it
-    is checkpointed. ``at`` is the time of day used as "now" (default midnight).
+    The order's first column is the day; a line without a day takes nothing. ``at`` is the time
+    of day used as "now" (default midnight). The allocations have the column ``day``.
     """
-    import datetime as dt
-
-    from shelfwise.functions.dates import AsOf
-    days = sorted(r[0] for r in demand.select(day_col).distinct().collect() if r[0] is not None)
-    current = batches
-    allocs, moves, shorts, decisions = [], [], [], []
-    for day in days:
-        asof = AsOf.of(day, dt.datetime.combine(day, at or dt.time()))
-        res = allocate(demand.where(F.col(day_col) == F.lit(day)), current, asof, mode=mode, order=order)
-        current = cut_lineage(res.batches)
-        allocs.append(cut_lineage(res.allocations.withColumn("day", F.lit(day))))
-        moves.append(res.movements)
-        shorts.append(res.shortfalls)
-        decisions.append(res.decisions)
-    if not days:
-        return allocate(demand, batches, AsOf.of(dt.date(1970, 1, 1)), mode=mode, order=order)
-
-    def union(frames):
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
-    return FefoResult(union(allocs), union(moves), current, union(shorts), None, union(decisions))
+    instant = F.to_timestamp(F.concat_ws(" ", F.col("day").cast("string"), F.lit((at or dt.time()).isoformat())))
+    # Every real date is after this day, the first of the source's date type: which batches have
+    # expired by a line's day is left to its floor, and one that a line touches has not expired.
+    start = AsOf.of(dt.date(1000, 1, 1))
+    return _run(demand, batches, rules.stock_filter("allocatable", start), start, instant, mode, products,
+                sale_items, ledger, order, by_day=True)

@@ -1,4 +1,4 @@
-"""Ordered scans per key (running sums, forward fill) that tolerate one huge key.
+"""Ordered scans per key (running sums and maxima, forward fill) that tolerate one huge key.
 
 ``Window.partitionBy(key).orderBy(...)`` sends a whole key group to one task; when a
 product holds a third of all rows that task holds a third of the data. This operator
@@ -43,22 +43,24 @@ def _col(c) -> Column:
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  sums: dict[str, Column] | None = None,
                  fills: dict[str, str] | None = None,
-                 partitions: int | None = None, balanced: bool = False) -> DataFrame:
-    """Add inclusive running ``sums`` and forward ``fills`` per ``keys`` in ``order``.
+                 partitions: int | None = None, balanced: bool = False,
+                 maxes: dict[str, Column] | None = None) -> DataFrame:
+    """Add inclusive running ``sums``, ``maxes`` and forward ``fills`` per ``keys`` in ``order``.
 
-    ``sums`` maps an output name to a numeric expression; ``fills`` maps an output name
-    to a column whose last non-NULL value (up to and including the row) is carried.
+    ``sums`` and ``maxes`` map an output name to a numeric expression; ``fills`` maps an output
+    name to a column whose last non-NULL value (up to and including the row) is carried.
     ``balanced`` places the range pieces by range instead of by hash for the local
     window: a smaller largest task, at the price of one more sampling pass.
     """
     sums = sums or {}
     fills = fills or {}
+    maxes = maxes or {}
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys, order = list(keys), list(order)
 
     staged = df
-    for name, expr in sums.items():
+    for name, expr in {**sums, **maxes}.items():
         staged = staged.withColumn(f"_v_{name}", expr)
     ranged = (staged.repartitionByRange(n, *[F.col(c) for c in keys + order])
               .withColumn(_PART, F.spark_partition_id()))
@@ -73,15 +75,18 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     local = ranged
     for name in sums:
         local = local.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(w_local))
+    for name in maxes:
+        local = local.withColumn(f"_l_{name}", F.max(f"_v_{name}").over(w_local))
     for name, src in fills.items():
         local = local.withColumn(f"_f_{name}", F.last(F.col(src), ignorenulls=True).over(w_local))
 
-    if not sums and not fills:
+    if not sums and not fills and not maxes:
         return df
     local = cut_lineage(local)
 
     order_key = F.struct(*[F.col(c) for c in order])
     aggs = [F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums]
+    aggs += [F.max(f"_v_{name}").alias(f"_t_{name}") for name in maxes]
     aggs += [F.max_by(F.col(src), F.when(F.col(src).isNotNull(), order_key)).alias(f"_z_{name}")
              for name, src in fills.items()]
     summary = local.groupBy(_PART, *keys).agg(*aggs)
@@ -91,6 +96,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     carry = summary.select(
         _PART, *keys,
         *[F.sum(f"_t_{name}").over(w_carry).alias(f"_o_{name}") for name in sums],
+        *[F.max(f"_t_{name}").over(w_carry).alias(f"_o_{name}") for name in maxes],
         *[F.last(f"_z_{name}", ignorenulls=True).over(w_carry).alias(f"_c_{name}") for name in fills],
         F.count(F.lit(1)).over(w_carry).alias("_o_pieces"),
     ).where("_o_pieces > 0")
@@ -98,6 +104,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     for name in sums:
         before, here = F.col(f"_o_{name}"), F.col(f"_l_{name}")
         out = out.withColumn(name, F.coalesce(before + here, here, before))
+    for name in maxes:
+        out = out.withColumn(name, F.greatest(f"_o_{name}", f"_l_{name}"))   # skips NULLs
     for name in fills:
         out = out.withColumn(name, F.coalesce(F.col(f"_f_{name}"), F.col(f"_c_{name}")))
     helpers = [c for c in out.columns if c == _PART or c.startswith(("_v_", "_l_", "_f_", "_o_", "_c_"))]

@@ -30,7 +30,7 @@ b0 AS (
          CAST(SUM(l_quantity) AS INTEGER) AS original_quantity,
          CAST(MIN(l_extendedprice) AS DECIMAL(10,2)) AS purchase_price
   FROM lineitem
-  WHERE l_returnflag = 'N' AND l_shipdate <= TIMESTAMP '1998-06-01 00:00:00'
+  WHERE l_shipdate <= TIMESTAMP '1998-06-01 00:00:00'
   GROUP BY 1, 2, 3),
 b1 AS (
   SELECT *,
@@ -77,7 +77,7 @@ sale_items AS (
          CAST(l_quantity AS INTEGER) AS quantity, CAST(l_extendedprice AS DECIMAL(10,2)) AS subtotal,
          CAST(l_extendedprice / l_quantity AS DECIMAL(10,2)) AS unit_price, CAST(l_shipdate AS TIMESTAMP) AS created_at,
          CAST(l_shipdate AS DATE) AS demand_date
-  FROM lineitem WHERE l_returnflag = 'A'),
+  FROM lineitem),
 users AS (
   SELECT c_custkey AS id, c_name AS username,
          CASE WHEN c_custkey % 10 = 0 THEN 'admin' ELSE 'staff' END AS role, 'active' AS status
@@ -334,8 +334,7 @@ tags AS (
     SELECT *, ROW_NUMBER() OVER (PARTITION BY sale_id, product_id ORDER BY line_no DESC, sale_item_id DESC) AS rn
     FROM sale_items) WHERE rn = 1),
 lines AS (
-  SELECT si.*, t.tag_item FROM sale_items si LEFT JOIN tags t USING (sale_id, product_id)
-  WHERE si.demand_date > DATE '1998-06-01' AND si.demand_date <= DATE '1998-12-01')"""
+  SELECT si.*, t.tag_item FROM sale_items si LEFT JOIN tags t USING (sale_id, product_id))"""
 
 
 def _fefo_alloc(lines_rel: str) -> str:
@@ -389,12 +388,48 @@ accepted_lines AS (
 ORACLE["fefo_strict"] = ("WITH RECURSIVE " + q(
     "SELECT * FROM alloc", _FEFO_CTES + ",\n" + _STRICT + ",\n" + _fefo_alloc("accepted_lines"))[len("WITH "):])
 
+# M-2 day by day: each product's lines one after another. A line starts after the units used so far
+# and after those of batches that have expired by its day.
+def _by_day(mode: str) -> str:
+    takes = "n.quantity" if mode == "partial" else "CASE WHEN n.quantity <= n.total - GREATEST(a.pos, n.gone) THEN n.quantity ELSE 0 END"
+    return q(f"""
+SELECT n.product_id, n.sale_item_id, n.sale_id, n.tag_item, CAST(NULL AS BIGINT) AS user_id, s.batch_id,
+       n.demand_date AS day,
+       CAST(LEAST(s.s_hi, a.pos) - GREATEST(s.s_hi - s.s_qty, a.pos - a.took) AS INTEGER) AS taken,
+       CAST(s.s_hi - LEAST(s.s_hi, a.pos) AS INTEGER) AS remaining_after
+FROM acc a JOIN num n ON n.product_id = a.product_id AND n.rn = a.rn
+JOIN queue s ON s.product_id = a.product_id AND s.s_hi > a.pos - a.took AND s.s_hi - s.s_qty < a.pos
+WHERE a.took > 0""", _FEFO_CTES + f""",
+queue AS (
+  SELECT product_id, batch_id, expiry_date, quantity AS s_qty,
+         SUM(quantity) OVER (PARTITION BY product_id ORDER BY expiry_date, received_date, batch_id
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s_hi
+  FROM product_batches WHERE status IN ('available', 'low_stock') AND quantity > 0),
+gone AS (
+  SELECT l.sale_item_id, MAX(s.s_hi) AS gone FROM lines l
+  JOIN queue s ON s.product_id = l.product_id AND s.expiry_date <= l.demand_date GROUP BY 1),
+num AS (
+  SELECT l.*, CAST(COALESCE(g.gone, 0) AS BIGINT) AS gone, CAST(COALESCE(t.total, 0) AS BIGINT) AS total,
+         ROW_NUMBER() OVER (PARTITION BY l.product_id
+                            ORDER BY l.demand_date, l.sale_id, l.line_no, l.supp_id, l.sale_item_id) AS rn
+  FROM lines l LEFT JOIN gone g ON g.sale_item_id = l.sale_item_id
+  LEFT JOIN (SELECT product_id, MAX(s_hi) AS total FROM queue GROUP BY 1) t ON t.product_id = l.product_id
+  WHERE l.quantity > 0),
+acc(product_id, rn, pos, took) AS (
+  SELECT DISTINCT product_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM num
+  UNION ALL
+  SELECT n.product_id, n.rn, CAST(GREATEST(a.pos, n.gone) + {takes} AS BIGINT), CAST({takes} AS BIGINT)
+  FROM acc a JOIN num n ON n.product_id = a.product_id AND n.rn = a.rn + 1)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+ORACLE["fefo_by_day"] = _by_day("partial")
+ORACLE["fefo_by_day_strict"] = _by_day("strict")
+
 # ---- state-change jobs ---------------------------------------------------------------
 _RECEIVE_REQ = f"""rq0 AS (
   SELECT l_returnflag, l_partkey, l_suppkey, CAST(l_shipdate AS DATE) AS ship,
          CAST(SUM(l_quantity) AS INTEGER) AS units, CAST(MIN(l_extendedprice) AS DECIMAL(10,2)) AS purchase_price
   FROM lineitem
-  WHERE l_returnflag IN ('N', 'R')
   GROUP BY ALL),
 rq AS (
   SELECT rq0.*, 'LOT-' || CAST(l_suppkey AS VARCHAR) || '-' || strftime(ship, '%Y-%m-%d') AS num, s.s_name

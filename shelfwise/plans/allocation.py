@@ -1,4 +1,4 @@
-"""M-2 as a job: allocate the sale lines of a demand window to batches at ``as_of``."""
+"""M-2 as a job over the inventory tables: sale lines as demand, served from the batches."""
 
 from __future__ import annotations
 
@@ -7,18 +7,28 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from shelfwise.functions.dates import AsOf
-from shelfwise.operators.fefo import FefoResult, allocate
+from shelfwise.operators.fefo import FefoResult, allocate, allocate_by_day
 from shelfwise.sources.tables import Inventory
 
 
-def demand_window(inv: Inventory, start: dt.date, end: dt.date):
-    """Sale lines with a demand date in (start, end]."""
+def demand_lines(inv: Inventory, start: dt.date | None = None, end: dt.date | None = None):
+    """The sale lines, or those with a demand date in (start, end]."""
     d = F.col("demand_date")
-    return inv.sale_items.where((d > F.lit(start)) & (d <= F.lit(end)))
+    lines = inv.sale_items
+    if start is not None:
+        lines = lines.where(d > F.lit(start))
+    return lines if end is None else lines.where(d <= F.lit(end))
 
 
-def allocate_window(inv: Inventory, asof: AsOf, start: dt.date, end: dt.date,
-                    mode: str = "partial") -> FefoResult:
-    """FEFO over one as-of day's batches; movements are tagged from the whole item table."""
-    return allocate(demand_window(inv, start, end), inv.batches, asof, mode=mode,
-                    products=inv.products, sale_items=inv.sale_items)
+def allocate_sales(inv: Inventory, asof: AsOf, mode: str = "partial",
+                   start: dt.date | None = None, end: dt.date | None = None) -> FefoResult:
+    """FEFO at one as-of day's batches; movements are tagged from the whole item table."""
+    return allocate(demand_lines(inv, start, end), inv.batches, asof, mode=mode, products=inv.products,
+                    sale_items=inv.sale_items, ledger=inv.movements)
+
+
+def allocate_sales_by_day(inv: Inventory, mode: str = "partial",
+                          start: dt.date | None = None, end: dt.date | None = None) -> FefoResult:
+    """FEFO with each line served at the as-of of its own day."""
+    return allocate_by_day(demand_lines(inv, start, end), inv.batches, mode=mode, products=inv.products,
+                           sale_items=inv.sale_items, ledger=inv.movements)

@@ -18,7 +18,6 @@ from shelfwise.sources.tables import Inventory, conform
 
 # ---- fixed values of the stand-in mapping ---------------------------------------------
 DRIVER_AS_OF = AsOf.of("1998-06-01", "1998-06-01 10:00:00")
-DEMAND_FROM, DEMAND_TO = dt.date(1998, 6, 1), dt.date(1998, 12, 1)   # M-2 demand window
 PRODUCT_EXPIRY_BASE = dt.date(1997, 6, 1)
 # ---------------------------------------------------------------------------------------
 
@@ -51,13 +50,12 @@ def products_from(part: DataFrame, asof: AsOf) -> DataFrame:
 
 
 def batch_rows(lineitem: DataFrame, supplier: DataFrame, asof: AsOf) -> DataFrame:
-    """Receipts: flag-N lines shipped up to ``as_of``, one batch per part/supplier/day.
+    """Receipts: the lines shipped up to ``as_of``, one batch per part/supplier/day.
 
     Keeps ``supp_id`` next to the batch columns (the movement rows need it).
     """
     lines = (lineitem
-             .where((F.col("l_returnflag") == "N")
-                    & (F.col("l_shipdate") <= F.lit(asof.day).cast("timestamp_ntz")))
+             .where(F.col("l_shipdate") <= F.lit(asof.day).cast("timestamp_ntz"))
              .select(F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("supp_id"),
                      F.to_date("l_shipdate").alias("received_date"), "l_quantity", "l_extendedprice"))
     grouped = (lines.groupBy("product_id", "supp_id", "received_date")
@@ -128,12 +126,11 @@ def sales_from(orders: DataFrame) -> DataFrame:
 
 
 def sale_items_from(lineitem: DataFrame) -> DataFrame:
-    lines = lineitem.where(F.col("l_returnflag") == "A")
     demand_date = F.to_date("l_shipdate")
     key = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
                       F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
                       F.date_format(demand_date, "yyyy-MM-dd"))
-    return conform("sale_items", lines.select(
+    return conform("sale_items", lineitem.select(
         key.alias("sale_item_id"),
         F.col("l_orderkey").alias("sale_id"),
         F.col("l_linenumber").alias("line_no"),

@@ -19,13 +19,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def receive_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Receipts of all flag N and R lines, per part/supplier/day.
+    """Receipts of all lines, per flag/part/supplier/day.
 
-    Lines shipped up to as_of with flag N are already batches (duplicates); N and R of
-    the same day collide with each other; products that one supplier ships on a day share
+    Lines shipped up to as_of are already batches (duplicates); later lines of
+    the same day that differ in their flag collide with each other; products that one supplier ships on a day share
     a batch number; a part/supplier pair divisible by 11 asks for 0 units (invalid).
     """
-    li = _read(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("N", "R"))
+    li = _read(spark, sf_dir, "lineitem")
     g = (li.groupBy("l_returnflag", "l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("ship"))
          .agg(F.sum("l_quantity").cast("int").alias("units"),
               F.min("l_extendedprice").cast("decimal(10,2)").alias("purchase_price")))
@@ -46,8 +46,8 @@ def receive_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dispose_requests(spark: SparkSession, sf_dir: str, inv: Inventory, asof: AsOf) -> DataFrame:
     """Write-offs for batches with at most 365 days left (empty ones included; an odd number
-    of units that is divisible by 3 names a reason that is none), plus ids of flag-R receipts,
-    which are not batches."""
+    of units that is divisible by 3 names a reason that is none), plus the ids of returns
+    (flag R), which are not batches."""
     b = inv.batches.where(F.col("expiry_date") <= F.lit(asof.plus(rules.FRESH_MIN_DAYS))).select(
         F.concat(F.lit("D:"), F.col("batch_id")).alias("request_id"), "batch_id",
         F.when(F.col("quantity") % 2 == 0, F.lit("damage")).when(F.col("quantity") % 3 == 0, F.lit("lost")).alias("reason"),

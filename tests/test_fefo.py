@@ -7,6 +7,7 @@ import pytest
 
 from shelfwise.functions.dates import AsOf
 from shelfwise.operators.fefo import allocate
+from shelfwise.session import cut_lineage
 from shelfwise.sources.tables import conform
 
 ASOF = AsOf.of("2025-01-01", "2025-01-01 09:00:00")
@@ -152,3 +153,21 @@ def test_allocation_by_day_matches_sequential(spark, mode):
     res = allocate_by_day(d, b, mode=mode)
     got = {(r.sale_item_id, r.batch_id): (r.taken, r.remaining_after) for r in res.allocations.collect()}
     assert got == _simulate_days(batches, lines, mode)
+
+
+def test_strict_rounds_do_not_grow_with_the_lines(spark, monkeypatch):
+    """Lines 1, 20, 1, 19, 1, 18, ... on 20 units: each large line just misses."""
+    from shelfwise.operators import fefo
+    sizes = [q for i in range(20) for q in (1, 20 - i)]
+    lines = spark.createDataFrame([(1, i, q, 0) for i, q in enumerate(sizes)],
+                                  "product_id long, sale_item_id long, q long, floor long")
+    totals = spark.createDataFrame([(1, 20)], "product_id long, s_total long")
+    cuts = []
+    monkeypatch.setattr(fefo, "cut_lineage", lambda df: cuts.append(1) or cut_lineage(df))
+    got = {r.sale_item_id: r.accepted for r in fefo.strict_accept(lines, totals, ["sale_item_id"]).collect()}
+    left, want = 20, {}
+    for i, q in enumerate(sizes):
+        want[i] = q <= left
+        left -= q if want[i] else 0
+    assert got == want
+    assert len(cuts) <= 1 + 6       # the start, and a round for each binary digit of 20 and one for none left
