@@ -139,6 +139,13 @@ def _dispose_rejects(spark, sf_dir, inv):
     return jobs.dispose(req.dispose_requests(spark, sf_dir, inv, ASOF), inv, ASOF).rejects
 
 
+def _dispose_replay(spark, sf_dir, inv):
+    """M-3 dispose with every request sent twice and replayed: the ledger rows, empty ones included."""
+    once = req.dispose_requests(spark, sf_dir, inv, ASOF)
+    twice = once.unionByName(once.withColumn("request_id", F.concat(F.lit("Z"), "request_id")))
+    return jobs.dispose(twice, inv, ASOF, replay=True).added["batch_movements"].select(MOVE_COLS)
+
+
 def _dispose_state(spark, sf_dir, inv):
     """M-3 dispose: batch quantity and status, and product legacy stock, afterwards."""
     res = jobs.dispose(req.dispose_requests(spark, sf_dir, inv, ASOF), inv, ASOF)
@@ -166,6 +173,12 @@ def _reclassify(spark, sf_dir, inv):
     return jobs.reclassify(inv.batches, RECLASSIFY_ASOF).select("batch_id", "quantity", "status")
 
 
+def _reclassify_updated(spark, sf_dir, inv):
+    """M-5 reclassify only the batches that disposal requests name."""
+    named = req.dispose_requests(spark, sf_dir, inv, ASOF)
+    return jobs.reclassify(inv.batches, RECLASSIFY_ASOF, only=named).select("batch_id", "quantity", "status")
+
+
 def _add_products(spark, sf_dir, inv):
     """M-6 add products: the inserted rows with their new ids."""
     return jobs.add_products(req.new_product_requests(spark, sf_dir), inv, ASOF).added["products"].select(PRODUCT_COLS)
@@ -228,6 +241,11 @@ def _stream(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _stream_feed(spark, sf_dir, inv):
+    """X-3 live feed: movements and sales replayed in time order as one stream."""
+    return streams.stream_feed(spark, inv, ASOF, n=4)
+
+
 def _documents(spark, sf_dir, inv):
     """S-3 batch documents (pages of 4 batches), flattened to one row per batch."""
     return sinks.flatten_documents(sinks.batch_documents(inv, ASOF, page_size=DOC_PAGE))
@@ -245,6 +263,9 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "inventory_kpis": _report(reports.inventory_kpis),
         "repurchase_list": _report(reports.repurchase_list),
         "repurchase_search": _report(reports.repurchase_list, term=SEARCH_TERM),
+        "repurchase_ordered": _report(reports.repurchase_list, ordered=True),
+        "reorder_ordered": _report(reports.reorder_list, ordered=True),
+        "expiring_ordered": _report(reports.expiring_batches, ordered=True),
         "repurchase_totals": _report(reports.repurchase_totals),
         "catalog_all": _report(reports.catalog),
         "catalog_search": _report(reports.catalog, term=SEARCH_TERM),
@@ -276,9 +297,11 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dispose_batches": _job(_dispose),
         "dispose_rejects": _job(_dispose_rejects),
         "dispose_state": _job(_dispose_state),
+        "dispose_replay": _job(_dispose_replay),
         "adjust_stock": _job(_adjust),
         "adjust_state": _job(_adjust_state),
         "reclassify_status": _job(_reclassify),
+        "reclassify_updated": _job(_reclassify_updated),
         "add_products": _job(_add_products),
         "add_product_rejects": _job(_add_rejects),
         "update_products": _job(_update_products),
@@ -297,6 +320,7 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_batch_stock": _stream("stock"),
         "stream_activity": _stream("activity"),
         "stream_ledger_stock": _stream("ledger"),
+        "stream_feed": _job(_stream_feed),
     }
 
 

@@ -461,7 +461,7 @@ FROM rec WHERE reject_reason IS NULL""", _RECEIVE_REQ)
 ORACLE["receive_rejects"] = q("SELECT request_id, reject_reason FROM rec WHERE reject_reason IS NOT NULL",
                               _RECEIVE_REQ)
 ORACLE["receive_stock"] = q("""
-SELECT p.product_id, CAST(p.current_stock + COALESCE(a.units, 0) AS INTEGER) AS current_stock
+SELECT p.product_id, CAST(p.current_stock + COALESCE(a.units, 0) AS BIGINT) AS current_stock
 FROM products p LEFT JOIN (SELECT product_id, SUM(quantity) AS units FROM rec WHERE reject_reason IS NULL GROUP BY 1) a
   ON a.product_id = p.product_id""", _RECEIVE_REQ)
 ORACLE["next_batch_number"] = q("""
@@ -491,6 +491,12 @@ SELECT batch_id || ':' || COALESCE(reason, 'expiry') || ':' || request_id AS mov
        COALESCE(reason, 'expiry') AS movement_type, -qty AS quantity, 0 AS remaining_quantity,
        {NOW} AS movement_date, 'Batch disposed: ' || batch_number AS notes, user_id AS performed_by
 FROM dfound WHERE qty > 0""", _DISPOSE_REQ)
+ORACLE["dispose_replay"] = q(f"""
+SELECT batch_id || ':' || COALESCE(reason, 'expiry') || ':' || request_id AS movement_id, batch_id,
+       COALESCE(reason, 'expiry') AS movement_type, -qty AS quantity, 0 AS remaining_quantity,
+       {NOW} AS movement_date, 'Batch disposed: ' || batch_number AS notes, user_id AS performed_by
+FROM (SELECT * FROM dfound UNION ALL SELECT * REPLACE ('Z' || request_id AS request_id, 0 AS qty) FROM dfound)""",
+                             _DISPOSE_REQ)
 ORACLE["dispose_rejects"] = q("""
 SELECT request_id, 'invalid_reason' AS reject_reason FROM dreq WHERE reason = 'lost'
 UNION ALL
@@ -502,7 +508,7 @@ ORACLE["dispose_state"] = q("""
 SELECT b.batch_id, b.product_id,
        CASE WHEN d.batch_id IS NULL THEN b.quantity ELSE 0 END AS quantity,
        CASE WHEN d.batch_id IS NULL THEN b.status ELSE 'depleted' END AS status,
-       CAST(CASE WHEN o.units IS NULL THEN p.current_stock ELSE GREATEST(0, p.current_stock - o.units) END AS INTEGER)
+       CAST(CASE WHEN o.units IS NULL THEN p.current_stock ELSE GREATEST(0, p.current_stock - o.units) END AS BIGINT)
          AS current_stock
 FROM product_batches b
 LEFT JOIN (SELECT DISTINCT batch_id FROM dfound WHERE qty > 0) d ON d.batch_id = b.batch_id
@@ -526,12 +532,12 @@ SELECT r.batch_id || ':restock:' || r.request_id AS movement_id, r.batch_id, 're
        CAST(NULL AS BIGINT) AS performed_by
 FROM areq r JOIN product_batches b ON b.batch_id = r.batch_id""", _ADJUST_REQ)
 ORACLE["adjust_state"] = q(f"""
-SELECT b.batch_id, b.product_id, CAST(b.quantity + COALESCE(t.added, 0) AS INTEGER) AS quantity,
+SELECT b.batch_id, b.product_id, CAST(b.quantity + COALESCE(t.added, 0) AS BIGINT) AS quantity,
        CASE WHEN t.added IS NULL THEN b.status
             WHEN b.quantity + t.added = 0 THEN 'depleted'
             WHEN b.expiry_date < {AS_OF} THEN 'expired'
             WHEN b.quantity + t.added <= 10 THEN 'low_stock' ELSE 'available' END AS status,
-       CAST(p.current_stock + COALESCE(pa.added, 0) AS INTEGER) AS current_stock
+       CAST(p.current_stock + COALESCE(pa.added, 0) AS BIGINT) AS current_stock
 FROM product_batches b
 LEFT JOIN (SELECT batch_id, SUM(added_stock) AS added FROM areq WHERE batch_id IS NOT NULL GROUP BY 1) t
   ON t.batch_id = b.batch_id
@@ -545,6 +551,13 @@ SELECT batch_id, quantity,
             WHEN quantity <= 10 THEN 'low_stock' ELSE 'available' END AS status
 FROM product_batches""")
 
+ORACLE["reclassify_updated"] = q("""
+SELECT batch_id, quantity,
+       CASE WHEN expiry_date > DATE '1999-06-01' THEN status
+            WHEN quantity = 0 THEN 'depleted' WHEN expiry_date < DATE '1998-11-28' THEN 'expired'
+            WHEN quantity <= 10 THEN 'low_stock' ELSE 'available' END AS status
+FROM product_batches""")
+
 _NEW_REQ = """nreq AS (
   SELECT s_suppkey AS request_id, trim('  ' || s_name || ' kit ') AS product_name,
          'Medical Supplies & Equipment' AS category, CAST(s_acctbal AS DECIMAL(10,2)) AS price
@@ -730,6 +743,15 @@ FROM events e JOIN customer c ON c.c_custkey = e.user_id
 WHERE e.event_type IN ('purchase', 'error')
 ORDER BY e.ts DESC, e.event_id DESC LIMIT 10"""
 
+ORACLE["stream_feed"] = ORACLE["activity_feed"]     # the stream's last state is the report
+
+# O-1 .. O-3: the reports in their order (tests compare the sequence).
+ORDERED = {"repurchase_ordered": ("repurchase_list", "stocks_needed DESC, product_id"),
+           "reorder_ordered": ("reorder_list", "current_stock, product_id"),
+           "expiring_ordered": ("expiring_batches", "expiry_date_zero DESC, expiry_date, batch_id")}
+for _name, (_report, _order) in ORDERED.items():
+    ORACLE[_name] = f"SELECT * FROM ({ORACLE[_report]}) ORDER BY {_order}"
+
 # S-3: documents flattened, pages of 4 batches.
 ORACLE["batch_documents"] = q(f"""
 SELECT d.product_id, CAST((d.pos - 1) // 4 AS BIGINT) AS page, t.total_stock, t.active_count, t.label,

@@ -104,7 +104,7 @@ def receive(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResult:
         "quantity", F.col("quantity").alias("remaining_quantity"), asof.t.alias("movement_date"),
         F.concat(F.lit("New batch added: "), F.col("batch_number")).alias("notes"),
         F.col("user_id").alias("performed_by")))
-    added_units = first.groupBy("product_id").agg(F.sum("quantity").cast("int").alias("_add"))
+    added_units = first.groupBy("product_id").agg(F.sum("quantity").alias("_add"))
     products = (inv.products.join(added_units, "product_id", "left")
                 .withColumn("current_stock", F.col("current_stock") + F.coalesce("_add", F.lit(0)))
                 .withColumn("updated_at", F.when(F.col("_add").isNotNull(), asof.t).otherwise(F.col("updated_at")))
@@ -169,7 +169,7 @@ def dispose(requests: DataFrame, inv: Inventory, asof: AsOf, replay: bool = Fals
                .withColumn("status", F.when(F.col("_hit"), F.lit("depleted")).otherwise(F.col("status")))
                .withColumn("updated_at", F.when(F.col("_hit"), asof.t).otherwise(F.col("updated_at")))
                .select(*inv.batches.columns))
-    per_product = effective.groupBy("product_id").agg(F.sum("_units").cast("int").alias("_out"))
+    per_product = effective.groupBy("product_id").agg(F.sum("_units").alias("_out"))
     products = (inv.products.join(per_product, "product_id", "left")
                 .withColumn("current_stock", F.when(F.col("_out").isNull(), F.col("current_stock"))
                             .otherwise(labels.non_negative(F.col("current_stock") - F.col("_out"))))
@@ -205,14 +205,14 @@ def adjust(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResult:
         (F.col("_old") + F.col("_run")).alias("remaining_quantity"), asof.t.alias("movement_date"),
         F.lit("Stock updated via inventory management").alias("notes"), F.col("user_id").alias("performed_by")))
     per_batch = valid.where(F.col("batch_id").isNotNull()).groupBy("batch_id") \
-        .agg(F.sum("added_stock").cast("int").alias("_add"))
+        .agg(F.sum("added_stock").alias("_add"))
     batches = inv.batches.join(per_batch, "batch_id", "left")
     touched = F.col("_add").isNotNull()
     batches = (batches.withColumn("quantity", F.col("quantity") + F.coalesce("_add", F.lit(0)))
                .withColumn("status", F.when(touched, labels.batch_status(asof)).otherwise(F.col("status")))
                .withColumn("updated_at", F.when(touched, asof.t).otherwise(F.col("updated_at")))
                .select(*inv.batches.columns))
-    per_product = valid.groupBy("product_id").agg(F.sum("added_stock").cast("int").alias("_add"))
+    per_product = valid.groupBy("product_id").agg(F.sum("added_stock").alias("_add"))
     products = (inv.products.join(per_product, "product_id", "left")
                 .withColumn("current_stock", F.col("current_stock") + F.coalesce("_add", F.lit(0)))
                 .select(*inv.products.columns))

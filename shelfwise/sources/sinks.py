@@ -63,37 +63,34 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet", partition_by=No
         writer.parquet(path)
 
 
-# Column each stored table is clustered on within its files: the column of the range
-# predicates its reports use, so Parquet row-group min/max statistics skip most groups.
-CLUSTER_ON = {"product_batches": "expiry_date", "batch_movements": "movement_date", "sales": "sale_date",
-              "sale_items": "demand_date"}
+# The range column each stored table is laid out by, the one its reports filter on: files hold
+# consecutive ranges, so file and row-group statistics skip most of them. The key after it
+# splits a day that holds very many rows.
+CLUSTER_ON = {"product_batches": ("expiry_date", "batch_id"), "batch_movements": ("movement_date", "movement_id"),
+              "sales": ("sale_date", "sale_id"), "sale_items": ("demand_date", "sale_item_id")}
 
 
 def write_tables(inv: Inventory, target: str) -> None:
-    """Write the six tables as ``target/<table>.parquet``, each clustered on its range column."""
+    """Write the six tables as ``target/<table>.parquet``, each range-partitioned and sorted on its
+    range column. A table that is already there is an error: readers may still use it."""
     for name, df in inv.as_dict().items():
         if name in CLUSTER_ON:
-            df = df.sortWithinPartitions(CLUSTER_ON[name])
-        df.write.mode("overwrite").parquet(f"{target}/{name}.parquet")
+            df = df.repartitionByRange(*CLUSTER_ON[name]).sortWithinPartitions(*CLUSTER_ON[name])
+        df.write.mode("errorifexists").parquet(f"{target}/{name}.parquet")
 
 
 def write_state(spark: SparkSession, inv: Inventory, root: str, version: str) -> str:
-    """S-5: write all six tables as ``root/v=<version>/<table>.parquet``, then point to it."""
+    """S-5: write all six tables as ``root/v=<version>/<table>.parquet``, then add the version to the
+    log of versions, of which the greatest is current. A crash leaves the old state current. One
+    writer at a time; versions must grow."""
     target = f"{root}/v={version}"
     write_tables(inv, target)
     spark.createDataFrame([(version,)], "version string").coalesce(1) \
-        .write.mode("overwrite").parquet(f"{root}/_current")
+        .write.mode("append").parquet(f"{root}/_versions")
     return target
 
 
 def read_state(spark: SparkSession, root: str) -> Inventory:
-    """The tables of the version the pointer names."""
-    version = spark.read.parquet(f"{root}/_current").first()["version"]
+    """The tables of the current version."""
+    version = spark.read.parquet(f"{root}/_versions").agg(F.max("version").alias("v")).first()["v"]
     return load(spark, f"{root}/v={version}")
-
-
-def money_report(df: DataFrame, cols) -> DataFrame:
-    """C-14 helper: add ``<col>_text`` money columns for printing."""
-    for c in cols:
-        df = df.withColumn(f"{c}_text", labels.money_text(F.col(c)))
-    return df

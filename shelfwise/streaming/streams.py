@@ -5,9 +5,12 @@ current by streaming queries over an append-only event feed:
 
 - X-1 ``daily_sales``: watermarked event-time windows of one day, sum and count.
 - X-2 ``running_stock``: a running total per key (``+1``/``-1`` deltas), update mode.
-- X-3 ``activity``: stream-static join with users; ``foreachBatch`` keeps the newest n.
+- X-3 ``run_feed``: movements and sales as one stream; ``foreachBatch`` joins each micro-batch
+  with batches, products, users and items and keeps the newest n. ``activity`` does so for
+  plain events and users.
 
-Each query de-duplicates repeated deliveries by event id within the watermark. Results
+X-1, X-2 and ``activity`` de-duplicate repeated deliveries by event id within the watermark; the
+feed and the ledger balance do so by key, however late a row comes. Results
 go to Parquet folders under the shared checkpoint folder through ``foreachBatch``: update
 mode writes the changed rows of each micro-batch tagged with the batch id, and
 ``latest`` resolves the current value per key (newest batch wins). Tests and the
@@ -23,7 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfwise.functions.dates import AsOf
+from shelfwise.plans import sales
 from shelfwise.session import scratch_path
+from shelfwise.sources.tables import Inventory
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -83,10 +89,10 @@ def read_events(spark: SparkSession, path: str, max_files: int | None = None) ->
 
 def daily_sales(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """X-1: sales per calendar day (UTC) from purchase events."""
-    sales = (events.where(F.col("event_type") == SALE_EVENT)
-             .withWatermark("ts", watermark)
-             .dropDuplicatesWithinWatermark(["event_id"]))
-    return (sales.groupBy(F.window("ts", "1 day").alias("w"))
+    bought = (events.where(F.col("event_type") == SALE_EVENT)
+              .withWatermark("ts", watermark)
+              .dropDuplicatesWithinWatermark(["event_id"]))
+    return (bought.groupBy(F.window("ts", "1 day").alias("w"))
             .agg(F.sum("value").alias("total_sales"), F.count(F.lit(1)).alias("sales_count"))
             .select(F.to_date(F.col("w.start")).alias("day"), "total_sales", "sales_count"))
 
@@ -233,6 +239,57 @@ def stream_activity(spark: SparkSession, events: DataFrame, users: DataFrame, n:
     return top.select("event_id", "ts", "user_id", "event_type", "value", "username")
 
 
+# ---- X-3 over the ledger and the sales -------------------------------------------------
+FEED_KEY = ["activity_type", "movement_id", "sale_id"]
+
+
+def feed_events(inv: Inventory) -> DataFrame:
+    """Movements and sales as rows of one feed."""
+    moves = inv.movements.select(F.lit("batch").alias("activity_type"), *inv.movements.columns)
+    sold = inv.sales.select(F.lit("sale").alias("activity_type"), F.col("sale_date").alias("movement_date"),
+                            "sale_id", "user_id", "total_amount", "payment_method")
+    return moves.unionByName(sold, allowMissingColumns=True)
+
+
+def run_feed(stream: DataFrame, inv: Inventory, out: str, checkpoint: str, n: int, asof: AsOf | None = None,
+             trigger: str | None = None):
+    """X-3: after each micro-batch of ``feed_events`` keep the newest ``n`` rows of R-15.
+
+    The micro-batch goes through the report's own plan with the current batches, products,
+    users and items, then is merged with the rows kept before. A row delivered again, however
+    late, has the same key and counts once; a replayed batch rewrites its own version. A batch
+    with no row that shows writes its predecessor's rows again.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()      # read for movements and for sales
+        try:
+            once = batch.dropDuplicates(FEED_KEY)
+            moves = once.where(F.col("activity_type") == "batch").select(*inv.movements.columns)
+            sold = once.where(F.col("activity_type") == "sale").withColumnRenamed("movement_date", "sale_date")
+            rows = sales.feed_rows(inv.with_(movements=moves, sales=sold), asof, n)
+            prev = newest_version(batch.sparkSession, out, before=batch_id)
+            if prev is not None:
+                rows = prev.unionByName(rows).dropDuplicates(FEED_KEY)
+            (rows.orderBy(*sales.feed_order()).limit(n).withColumn("_version", F.lit(batch_id).cast("long"))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("_version").parquet(out))
+        finally:
+            batch.unpersist()
+
+    return _start(stream.writeStream.outputMode("append").foreachBatch(write)
+                  .option("checkpointLocation", checkpoint), trigger)
+
+
+def stream_feed(spark: SparkSession, inv: Inventory, asof: AsOf, n: int = 4, parts: int = 4) -> DataFrame:
+    """Replay movements and sales in time order as one stream and return the labelled feed."""
+    landing, out, ckpt = replay_paths(spark, "feed")
+    rows = feed_events(inv)
+    replay_in_order(rows, "movement_date", landing, parts,
+                    lambda: run_feed(spark.readStream.schema(rows.schema).parquet(landing), inv, out, ckpt, n, asof))
+    top = newest_version(spark, out)
+    return sales.label_feed(sales.feed_rows(inv, asof, 0) if top is None else top, asof)
+
+
 # ---- X-2 over the stock ledger itself ------------------------------------------------
 LEDGER_FIELDS = ("movement_id", "batch_id", "movement_type", "quantity", "movement_date")
 LEDGER_SCHEMA = T.StructType([T.StructField("batch_id", T.StringType()), T.StructField("stock", T.LongType()),
