@@ -211,20 +211,18 @@ def batch_counts(inv: Inventory, ids: DataFrame | None = None) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- D-1
-def register_sql_functions(inv: Inventory, asof: AsOf, view: str = "product_batches") -> None:
+def register_sql_functions(inv: Inventory, asof: AsOf, view: str = "allocatable_batches") -> None:
     """D-1 for SQL users: ``available_stock(product_id)`` as a temporary SQL function.
 
     The stored function of the reference becomes a SQL function over a temp view of the
-    batches; Catalyst decorrelates its scalar subquery into one aggregate and a join when
+    batches that pass the stock rule; Catalyst decorrelates its scalar subquery into one aggregate and a join when
     it is called for many products.
     """
     spark = inv.batches.sparkSession
-    inv.batches.createOrReplaceTempView(view)
+    inv.batches.where(rules.stock_filter("allocatable", asof)).createOrReplaceTempView(view)
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION available_stock(pid BIGINT) RETURNS BIGINT
-        RETURN (SELECT COALESCE(SUM(CAST(quantity AS BIGINT)), 0) FROM {view}
-                WHERE product_id = pid AND status IN ('available', 'low_stock')
-                  AND expiry_date > DATE '{asof.day.isoformat()}')""")
+        RETURN (SELECT COALESCE(SUM(CAST(quantity AS BIGINT)), 0) FROM {view} WHERE product_id = pid)""")
 
 
 # --------------------------------------------------------------------------- C-5

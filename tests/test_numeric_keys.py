@@ -35,7 +35,7 @@ def test_fefo_takes_the_smaller_number_first(spark, low, high):
 def test_latest_sale_item_is_the_greatest_number(spark):
     items = conform("sale_items", spark.createDataFrame(
         [(9, 1, 2, 1, 1), (10, 1, 1, 1, 1)], "sale_item_id int, sale_id long, line_no int, product_id long, quantity int"))
-    assert _tags(items).first().tag_item == 10
+    assert _tags(items, items).first().tag_item == 10
 
 
 def test_ledger_of_numbered_movements_balances(spark):
@@ -74,3 +74,13 @@ def test_received_rows_continue_the_numbers_and_share_a_batch_number(spark):
     assert sorted((m.movement_id, m.batch_id) for m in res.added["batch_movements"].collect()) == \
         [(move + 1, batch + 1), (move + 2, batch + 2)]
     assert [(r.request_id, r.reject_reason) for r in res.rejects.collect()] == [("r3", "duplicate_in_request")]
+
+
+def test_allocation_movements_go_on_after_the_ledger(spark):
+    lines = spark.createDataFrame([(1, 5, 1, 1, 7, 12, dt.date(2025, 1, 2))],
+                                  "sale_item_id long, sale_id long, line_no int, product_id long, supp_id long, "
+                                  "quantity int, demand_date date")
+    ledger = spark.createDataFrame([(99, 9), (100, 10)], "movement_id long, batch_id long")
+    res = allocate(lines, _batches(spark, 9, 10), ASOF, ledger=ledger)
+    got = [(r.movement_id, r.batch_id) for r in res.movements.orderBy("movement_id").collect()]
+    assert got == [(101, 9), (102, 10)]
