@@ -1,17 +1,19 @@
 """Language identification by hierarchical discrimination.
 
-A first set of one-versus-one-family linear support vector machines (one against the rest)
-predicts the language family, then one set per family separates its languages. Features are hashed
+A first set of linear support vector machines, one family against the rest, predicts the language
+family; then one machine for each pair of the family's languages votes between the two, and the
+language with most votes wins (at equal votes the larger sum of margins). Features are hashed
 byte 1- to 4-grams of the lower-cased text with every run of non-letters as one blank, as square
 roots of relative frequencies, so a text's vector has length one.
 
 Training reads a bounded sample: ``MAX_TRAIN`` labelled texts at most, the same number of each
 language, drawn by a hash of doc_id. Only texts with a letter and a non-null label count. The
-models (``BUCKETS`` weights per family and language) go to the tasks with the function; prediction
+models (``BUCKETS`` weights per family and pair) go to the tasks with the function; prediction
 is one pass over all texts without a shuffle.
 
-``score`` is the product of the softmax shares of the winning family and, within it, the winning
-language, at margins times ``SHARPNESS``; it says how clearly both won.
+``score`` is the product of the winning family's softmax share and, within it, the winning
+language's share, at margins times ``SHARPNESS``; it says how clearly both won. The language's
+share couples its pairs: 1 / (1 + the sum of its odds against), which for two languages is the softmax.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; if no labelled text is
 there to learn from, every text is ``und``; with one language to learn every other text gets it
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -76,15 +79,16 @@ def features(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.sqrt(total / np.maximum(total.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, classes: list[str]) -> np.ndarray:
-    """One-versus-rest linear SVMs (squared hinge, ridge): a weight column per class, the bias last.
+def train_svm(x: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """Linear SVMs (squared hinge, ridge): a weight column per column of ``sign``, the bias last.
 
-    Classes weigh alike on either side. Accelerated gradient descent from 0, a fixed number of steps.
+    ``sign`` is 1 or -1 by a row's side, 0 if it takes no part. Sides weigh alike. Accelerated
+    gradient descent from 0, a fixed number of steps.
     """
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    sign = np.where(y[:, None] == np.array(classes)[None], 1.0, -1.0).astype(np.float32)
-    share = np.where(sign > 0, 0.5 / np.maximum((sign > 0).sum(0), 1), 0.5 / np.maximum((sign < 0).sum(0), 1)).astype(np.float32)
-    w = seen = np.zeros((x.shape[1], len(classes)), np.float32)
+    share = (np.where(sign > 0, 0.5 / np.maximum((sign > 0).sum(0), 1), 0.5 / np.maximum((sign < 0).sum(0), 1))
+             * (sign != 0)).astype(np.float32)
+    w = seen = np.zeros((x.shape[1], sign.shape[1]), np.float32)
     rate = 1.0 / (4.0 + RIDGE)  # rows have length sqrt(2), shares add up to 1
     for step in range(STEPS):
         slack = np.maximum(0.0, 1.0 - sign * (x @ seen))
@@ -94,9 +98,20 @@ def train_svm(x: np.ndarray, y: np.ndarray, classes: list[str]) -> np.ndarray:
     return w
 
 
+def one_to_rest(y: np.ndarray, classes: list[str]) -> np.ndarray:
+    """Sides of one machine per class: the class against all others."""
+    return np.where(y[:, None] == np.array(classes, object)[None], 1.0, -1.0).astype(np.float32)
+
+
+def one_to_one(y: np.ndarray, classes: list[str]) -> np.ndarray:
+    """Sides of one machine per pair of classes, in the order of ``combinations``."""
+    sides = [np.where(y == a, 1.0, np.where(y == b, -1.0, 0.0)) for a, b in combinations(classes, 2)]
+    return np.stack(sides, axis=1).astype(np.float32)
+
+
 @dataclass
 class Model:
-    """The families' machines and each family's; a family of one language needs none."""
+    """The families' machines and each family's pairs; a family of one language needs none."""
 
     families: list[str]
     members: dict[str, list[str]]
@@ -109,6 +124,19 @@ class Model:
         e = np.exp(margin - margin.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
+    @staticmethod
+    def _duels(x: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the language with most votes of ``n``, and its share."""
+        margin = np.zeros((len(x), n, n))
+        for pair, (i, j) in enumerate(combinations(range(n), 2)):
+            margin[:, i, j] = x @ w[:-1, pair] + w[-1, pair]
+            margin[:, j, i] = -margin[:, i, j]
+        votes, total = (margin > 0).sum(axis=2), margin.sum(axis=2)
+        won = np.where(votes == votes.max(axis=1, keepdims=True), total, -np.inf).argmax(axis=1)
+        own = margin[np.arange(len(x)), won]
+        # The winner's zero margin with itself adds the 1.
+        return won, 1.0 / np.exp(np.minimum(-2.0 * SHARPNESS * own, 500.0)).sum(axis=1)
+
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         top = self._shares(x, self.top) if self.top is not None else np.ones((len(x), 1))
         best = top.argmax(axis=1)
@@ -120,10 +148,9 @@ class Model:
             if family not in self.inner or not len(rows):
                 label[rows] = codes[0]
                 continue
-            inner = self._shares(x[rows], self.inner[family])
-            won = inner.argmax(axis=1)
+            won, share = self._duels(x[rows], self.inner[family], len(codes))
             label[rows] = np.array(codes, object)[won]
-            score[rows] *= inner[np.arange(len(rows)), won]
+            score[rows] *= share
         return label, score
 
 
@@ -160,8 +187,8 @@ def train(labelled: DataFrame, families: Mapping[str, str] = FAMILIES, max_train
     family = np.array([families.get(lang, lang) for lang in y], object)
     names = sorted(set(family))
     members = {f: sorted(set(y[family == f])) for f in names}
-    return Model(names, members, train_svm(x, family, names) if len(names) > 1 else None,
-                 {f: train_svm(x[family == f], y[family == f], m) for f, m in members.items() if len(m) > 1})
+    return Model(names, members, train_svm(x, one_to_rest(family, names)) if len(names) > 1 else None,
+                 {f: train_svm(x[family == f], one_to_one(y[family == f], m)) for f, m in members.items() if len(m) > 1})
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

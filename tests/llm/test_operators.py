@@ -204,6 +204,36 @@ def test_language_models_separate_languages(spark):
     assert langid.train(docs.limit(0)) is None
 
 
+def test_languages_of_a_family_are_told_apart_in_pairs(spark):
+    rng = random.Random(9)
+    mixes = {"da": [60, 30, 10], "nb": [45, 45, 10], "nn": [40, 40, 20], "sv": [30, 60, 10]}
+    rows = [(i, " ".join(rng.choices(["ikke", "inte", "eller"], mixes[code], k=40)), code) for i in range(150) for code in mixes]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    codes, machines = model.members["germanic"], model.inner["germanic"]
+    assert codes == sorted(mixes) and machines.shape[1] == 6  # one machine a pair, not one a language
+    pairs = [(a, b) for i, a in enumerate(codes) for b in codes[i + 1:]]
+    told = collections.defaultdict(list)
+    for r in langid.predict(docs, model).collect():
+        told[r.doc_id].append((r.lang_pred, round(r.score, 4)))
+    want = collections.defaultdict(list)
+    for i, text, _ in rows:
+        data = text.encode()
+        x = langid.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
+        votes, total, odds = collections.Counter(), collections.Counter(), {c: [] for c in codes}
+        for (a, b), w in zip(pairs, machines.T):
+            m = float(x @ w[:-1] + w[-1])
+            votes[a if m > 0 else b] += 1
+            total[a], total[b] = total[a] + m, total[b] - m
+            odds[a].append(np.exp(-12 * m))
+            odds[b].append(np.exp(12 * m))
+        won = max(codes, key=lambda c: (votes[c], total[c]))
+        want[i].append((won, 1 / (1 + sum(odds[won]))))
+    for i, some in want.items():
+        assert sorted(c for c, _ in told[i]) == sorted(c for c, _ in some)
+        assert np.allclose(sorted(s for _, s in told[i]), sorted(s for _, s in some), atol=1e-3)
+
+
 def test_mix_meets_its_targets(spark):
     rows = [(i, "w " * (i % 50), None, ["a", "b", "c", None][min(3, i % 7)], None, "", "", "", "") for i in range(600)]
     done = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
