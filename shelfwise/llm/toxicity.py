@@ -7,19 +7,24 @@ word accounts for nearly all texts with its stem, or a stem with any ending. Ent
 greedily by the toxic texts they newly explain, so words that merely stand beside toxic ones in
 copied texts are left out.
 
-Matching. The trie of the lexicon is intersected with the Levenshtein automaton of distance one
-(substitution, insertion, deletion) for whole words of ``MIN_FUZZY`` letters or more; stems match
-exactly. ``automaton`` determinises the intersection to one transition table, and all words of a
-block of texts walk through it together, letter by letter; most die after two or three letters.
-Misspellings that clean texts of the sample use are ordinary words and never count.
+Matching. The trie of the lexicon is intersected with the Levenshtein automaton (substitution,
+insertion, deletion, swap of two neighbours) of distance one for entries of ``MIN_FUZZY`` letters or
+more and two from ``MIN_TWO`` on; shorter ones (three letters) match exactly. A stem matches a word
+that begins within its distance of it. Digits that stand for letters (``LEET``) match those letters
+in a word that has letters too; such a match counts as misspelled. The intersection is determinised
+state by state as words need it, and all words of a block of texts walk through it together, letter
+by letter; most die after a few letters. The states that the sample needed travel with the lexicon.
+Misspellings that clean texts of the sample use are ordinary words and never count; what an entry's
+other misspellings weigh is limited by how many of them one half of the clean texts has that the
+other half has not, so a short stem that resembles many words gains little by them.
 
 Context. A hit is *quoted* if, in a window of ``WINDOW`` words, a quotation mark opens before it
 and one closes after it, else *abuse*; quoted and other hits are weighed apart. The score is a
 logistic function of the weightiest hit, of the number of hits, and of the quoted share, fitted to
-the sample with a prior by which a quoted or misspelled hit counts less than a plain one.
+the sample (a clean text's hits as if its own half's misspellings were unknown) with a prior by which a quoted or misspelled hit counts less than a plain one.
 
-The lexicon has at most ``MAX_ENTRIES`` entries, so the table goes to the tasks with the function;
-scoring is one pass over all whole texts without a shuffle.
+Each entry is held by a share of a bounded sample, so the lexicon is bounded too and goes to the tasks
+with the function; scoring is one pass over all whole texts without a shuffle.
 
 Edge cases: a null or empty text scores like a text without hits; without toxic or without other
 labelled texts the lexicon is empty and every text scores 0; rows that repeat a doc_id are scored
@@ -39,12 +44,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
-MIN_STEM, MIN_FUZZY = 4, 5
+MIN_STEM, MIN_FUZZY, MIN_TWO = 4, 4, 8
 MIN_SUPPORT, MIN_LIFT = 0.004, 20.0
-MAX_ENTRIES = 300
 WINDOW = 6
 END = "\0"  # marks a whole word among stems
 CHUNK_CHARS = 1 << 20
+LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 
 _WORD = re.compile(r"[^\W_]+")
 # Word characters (letters and digits) below 0x10000; all above count as letters.
@@ -52,79 +57,101 @@ _IS_WORD = np.array([chr(c).isalnum() for c in range(0x10000)])
 _OPEN, _CLOSE = "\"“„«‘", "\"”“»’"
 
 
-@dataclass
 class Automaton:
-    """Transitions by (state, letter class); state 0 is dead. ``entry`` and ``distance`` of the
-    lexicon entry a word matches if it ends in the state (-1: none); in a ``sure`` state it has
-    matched whatever follows."""
-
-    letters: np.ndarray
-    step: np.ndarray
-    entry: np.ndarray
-    distance: np.ndarray
-    sure: np.ndarray
-
+    """The lexicon's trie with the Levenshtein automaton of each entry's distance, determinised as needed.
 
-def automaton(entries: list[str]) -> Automaton:
-    """Determinises the lexicon's trie with the Levenshtein automaton of distance one.
-
-    A state is a set of (entry, letters matched, errors); stems allow no error.
+    A state is a set of (entry, letters matched, errors, whether the second of two swapped letters has
+    come); ``step`` has transitions by (state, letter class), -1 where not yet known; state 0 is dead.
+    ``entry`` and ``distance`` are those of the lexicon entry a word matches if it ends in the state
+    (-1: none); in a ``sure`` state it has matched whatever follows.
     """
-    stems = [not e.endswith(END) for e in entries]
-    terms = [e.rstrip(END) for e in entries]
-    fuzzy = [not s and len(t) >= MIN_FUZZY for s, t in zip(stems, terms)]
-    alphabet = sorted({c for t in terms for c in t})
-    letters = np.zeros(0x10000, np.int64)  # class 0: any letter not in the lexicon
-    for i, c in enumerate(alphabet):
-        if ord(c) < 0x10000:
-            letters[ord(c)] = i + 1
-
-    def close(state: set) -> frozenset:
-        """With letters of the entry left out, as far as errors allow; of two at one place the better."""
-        found = dict()
-        for e, i, d in state:
-            for skip in range(0, 2 - d if fuzzy[e] else 1):
-                if i + skip <= len(terms[e]):
-                    found[e, i + skip] = min(d + skip, found.get((e, i + skip), 9))
-        return frozenset((e, i, d) for (e, i), d in found.items())
-
-    def move(state: frozenset, c: str) -> frozenset:
+
+    def __init__(self, entries: list[str]) -> None:
+        self.stems = [not e.endswith(END) for e in entries]
+        self.terms = [e.rstrip(END) for e in entries]
+        self.most = [(len(t) >= MIN_FUZZY) + (len(t) >= MIN_TWO) for t in self.terms]
+        self.alphabet = ["", *sorted({c for t in self.terms for c in t} | set(LEET))]  # "": any other letter
+        self.letters = np.zeros(0x10000, np.int64)
+        for i, c in enumerate(self.alphabet):
+            if c and ord(c) < 0x10000:
+                self.letters[ord(c)] = i
+        self.number: dict[frozenset, int] = {}
+        self.states: list[frozenset] = []
+        self.step = np.full((1024, len(self.alphabet)), -1, np.int32)
+        self.entry, self.distance = np.full(1024, -1, np.int32), np.zeros(1024, np.int32)
+        self.sure = np.zeros(1024, bool)
+        self._add(frozenset())
+        self.step[0] = 0
+        self._add(self._least({(e, 0, 0, 0) for e in range(len(entries))}))
+
+    def _add(self, state: frozenset) -> int:
+        at = self.number.get(state)
+        if at is None:
+            at = self.number[state] = len(self.states)
+            self.states.append(state)
+            if at == len(self.entry):
+                self.step = np.vstack([self.step, np.full_like(self.step, -1)])
+                self.entry = np.r_[self.entry, np.full_like(self.entry, -1)]
+                self.distance, self.sure = np.r_[self.distance, self.distance * 0], np.r_[self.sure, self.sure & False]
+            done = [(d + len(self.terms[e]) - i, e) for e, i, d, swap in state
+                    if not swap and d + len(self.terms[e]) - i <= self.most[e]]
+            if done:
+                self.distance[at], self.entry[at] = min(done)
+                self.sure[at] = all(self.stems[e] and i == len(self.terms[e]) for e, i, _, _ in state)
+        return at
+
+    def _least(self, found: set) -> frozenset:
+        """Without what cannot lead to a smaller distance than the rest."""
+        matched = [(d + len(self.terms[e]) - i, e) for e, i, d, swap in found
+                   if self.stems[e] and not swap and d + len(self.terms[e]) - i <= self.most[e]]
+        if matched:  # the word's beginning matches a stem: only fewer errors are of interest
+            d, e = min(matched)
+            found = {x for x in found if x[2] < d} | {(e, len(self.terms[e]), d, 0)}
+        best: dict[int, list] = {}
+        for e, i, d, swap in sorted(found, key=lambda x: x[2]):
+            some = best.setdefault(e, [])
+            if swap or not any(not s and abs(i - j) <= d - n for j, n, s in some):
+                some.append((i, d, swap))
+        return frozenset((e, *x) for e, some in best.items() for x in some)
+
+    def _move(self, state: frozenset, c: str) -> frozenset:
         after = set()
-        for e, i, d in state:
-            term = terms[e]
-            if stems[e] and i == len(term):
-                after.add((e, i, d))
+        like = LEET.get(c, "")
+        for e, i, d, swap in state:
+            term, most = self.terms[e], self.most[e]
+            if swap:
+                if term[i] == c:
+                    after.add((e, i + 2, d, 0))
+                continue
+            if self.stems[e] and i == len(term):
+                after.add((e, i, d, 0))
                 continue
-            if i < len(term) and term[i] == c:
-                after.add((e, i + 1, d))
-            if fuzzy[e] and d == 0:
-                after.add((e, i, 1))
+            for skip in range(most - d + 1):  # letters of the entry left out
+                at, n = i + skip, d + skip
+                if at < len(term) and c and (term[at] == c or term[at] in like):
+                    after.add((e, at + 1, n, 0))
+            if d < most:
+                after.add((e, i, d + 1, 0))
                 if i < len(term):
-                    after.add((e, i + 1, 1))
-        return close(after)
-
-    start = close({(e, 0, 0) for e in range(len(entries))})
-    number = {frozenset(): 0, start: 1}
-    todo, rows = [start], {0: [0] * (len(alphabet) + 1)}
-    while todo:
-        state = todo.pop()
-        row = []
-        for c in ["", *alphabet]:
-            after = move(state, c)
-            if after not in number:
-                number[after] = len(number)
-                todo.append(after)
-            row.append(number[after])
-        rows[number[state]] = row
-    step = np.array([rows[i] for i in range(len(number))], np.int32)
-    entry, distance = np.full(len(number), -1, np.int32), np.zeros(len(number), np.int32)
-    sure = np.zeros(len(number), bool)
-    for state, i in number.items():
-        done = [(d, e) for e, at, d in state if at == len(terms[e])]
-        if done:
-            distance[i], entry[i] = min(done)
-            sure[i] = any(stems[e] for _, e in done)
-    return Automaton(letters, step, entry, distance, sure)
+                    after.add((e, i + 1, d + 1, 0))
+                for skip in range(most - d):
+                    at = i + skip
+                    if at + 1 < len(term) and c and term[at + 1] == c != term[at]:
+                        after.add((e, at, d + skip + 1, 1))
+        return self._least(after)
+
+    def walk(self, states: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """The states after one letter each."""
+        after = self.step[states, classes]
+        unknown = after < 0
+        if unknown.any():
+            pairs = np.unique(states[unknown].astype(np.int64) * len(self.alphabet) + classes[unknown])
+            for pair in pairs.tolist():
+                state, c = divmod(pair, len(self.alphabet))
+                reached = self._add(self._move(self.states[state], self.alphabet[c]))
+                self.step[state, c] = reached
+            after = self.step[states, classes]
+        return after
 
 
 def matches(auto: Automaton, codes: np.ndarray, starts: np.ndarray,
@@ -135,7 +162,7 @@ def matches(auto: Automaton, codes: np.ndarray, starts: np.ndarray,
     live, depth = np.arange(len(starts)), 0
     while len(live):
         code = codes[starts[live] + depth]
-        state[live] = auto.step[state[live], auto.letters[np.minimum(code, 0xFFFF)]]
+        state[live] = auto.walk(state[live], np.where(code < 0x10000, auto.letters[np.minimum(code, 0xFFFF)], 0))
         depth += 1
         done = (starts[live] + depth == stops[live]) | auto.sure[state[live]]
         ended[live[done]] = state[live[done]]
@@ -161,7 +188,7 @@ def is_quoted(text: str, starts: np.ndarray, stops: np.ndarray, word: int) -> bo
 @dataclass
 class Lexicon:
     entries: list[str] = field(default_factory=list)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))  # by entry and distance
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)))  # by entry and distance
     ordinary: frozenset[str] = frozenset()
     model: np.ndarray | None = None
     auto: Automaton | None = None
@@ -178,7 +205,9 @@ class Lexicon:
         owner = np.searchsorted(ends, starts[found], side="right")
         for w, e, d, o in zip(found.tolist(), entry.tolist(), distance.tolist(), owner.tolist()):
             word = joined[starts[w]:stops[w]]
-            if d and word in self.ordinary:
+            if d == 0 and not word.startswith(self.auto.terms[e]):
+                d = 1  # digits for letters
+            if d and (word in self.ordinary or word.isdigit()):
                 continue
             first, last = (0 if o == 0 else ends[o - 1]), ends[o] - 1
             a, b = np.searchsorted(starts, first), np.searchsorted(starts, last)
@@ -238,7 +267,7 @@ def _choose(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     chosen: list[str] = []
     open_ = set(range(len(toxic)))
     pool = dict(holders)
-    while pool and len(chosen) < MAX_ENTRIES:
+    while pool:
         best = max(pool, key=lambda s: (len(pool[s] & open_), len(pool[s]), s))
         # What newly explains few texts may still be an entry, if it is as frequent as the others.
         if len(pool[best] & open_) < least:
@@ -246,9 +275,7 @@ def _choose(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
         chosen.append(best)
         open_ -= pool.pop(best)
     typical = np.median([len(holders[s]) for s in chosen]) if chosen else 0
-    chosen += [s for s in sorted(pool) if len(holders[s]) >= max(least, 0.3 * typical)
-               and usual[s] == 0][:MAX_ENTRIES - len(chosen)]
-    return chosen
+    return chosen + [s for s in sorted(pool) if len(holders[s]) >= max(least, 0.3 * typical) and usual[s] == 0]
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -292,21 +319,34 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     entries = _choose(*words)
     if not entries:
         return Lexicon()
-    lexicon = Lexicon(entries, np.zeros((len(entries), 2)), frozenset(), None, automaton(entries))
+    lexicon = Lexicon(entries, np.zeros((len(entries), 3)), frozenset(), None, Automaton(entries))
     seen = [defaultdict(set), defaultdict(set)]
-    ordinary = Counter()
+    misspelled: list[tuple[int, str, int, int]] = []  # in clean texts
+    halves: tuple[set[str], set[str]] = (set(), set())
     for label, some in ((1, toxic), (0, clean)):
         for low in range(0, len(some), 64):
             for o, word, e, d, _ in lexicon.hits(some[low:low + 64]):
                 seen[label][e, d].add(low + o)
-                ordinary[word] += label == 0 and d > 0
-    lexicon.ordinary = frozenset(w for w, n in ordinary.items() if n)
+                if label == 0 and d:
+                    misspelled.append((low + o, word, e, d))
+                    halves[(low + o) % 2].add(word)
+    lexicon.ordinary = frozenset(halves[0] | halves[1])
+    unforeseen = defaultdict(set)
+    for text, word, e, d in misspelled:
+        if word not in halves[1 - text % 2]:
+            unforeseen[e, d].add(text)
     for e in range(len(entries)):
-        plain = np.log(((len(seen[1][e, 0]) + 0.5) / len(toxic)) / ((len(seen[0][e, 0]) + 0.5) / len(clean)))
-        lexicon.weights[e] = max(plain, 0.0), max(0.8 * plain, 0.0)
-    texts = toxic + clean
-    x = np.vstack([lexicon.describe(texts[low:low + 64])[0] for low in range(0, len(texts), 64)])
-    lexicon.model = _fit(x, np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
+        rate = (len(seen[1][e, 0]) + 0.5) / len(toxic)
+        plain = np.log(rate / ((len(seen[0][e, 0]) + 0.5) / len(clean)))
+        most = [np.log(rate / ((len(unforeseen[e, d]) + 0.5) / len(clean))) for d in (1, 2)]
+        lexicon.weights[e] = max(plain, 0.0), max(min(0.8 * plain, most[0]), 0.0), max(min(0.64 * plain, most[1]), 0.0)
+    # Clean texts are described as unseen ones would be: by the ordinary words of the other half.
+    known, x = lexicon.ordinary, []
+    for some, words_known in ((toxic, known), (clean[::2], frozenset(halves[1])), (clean[1::2], frozenset(halves[0]))):
+        lexicon.ordinary = words_known
+        x += [lexicon.describe(some[low:low + 64])[0] for low in range(0, len(some), 64)]
+    lexicon.ordinary = known
+    lexicon.model = _fit(np.vstack(x), np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
     return lexicon
 
 

@@ -190,6 +190,24 @@ def test_toxicity_learns_terms_and_misspellings(spark):
     assert toxicity.learn(table(spark, rows).limit(0), spark.createDataFrame([], "doc_id long, toxic int")).entries == []
 
 
+def test_automaton_matches_misspelled_words_and_stems():
+    entries = ["idiot" + toxicity.END, "scum" + toxicity.END, "wurzelpurg" + toxicity.END, "grumbolt", "fou" + toxicity.END]
+    auto = toxicity.Automaton(entries)
+    want = {"idiot": 0, "idoit": 1, "1d10t": 0, "scvm": 1, "scums": 1, "sucm": 1, "wurzlepugr": 2, "grumbolten": 0, "grumbloten": 1,
+            "gumbolterei": 1, "grvmbplten": 2, "fou": 0, "foo": None, "idts": None, "scaam": None, "grvmbpltx": 2, "gxxmbxlt": None}
+    codes = np.frombuffer("\n".join(want).encode("utf-32-le"), np.uint32)
+    found, _, distance = toxicity.matches(auto, codes, *toxicity.word_bounds(codes))
+    assert dict(zip(found.tolist(), distance.tolist())) == {i: d for i, d in enumerate(want.values()) if d is not None}
+    lexicon = toxicity.Lexicon(entries, np.ones((5, 3)), frozenset(["scam"]), None, auto)
+    assert [(w, d) for _, w, _, d, _ in lexicon.hits(["you 1d10t , scam 5cum grumbloten"])] == [("1d10t", 1), ("5cum", 1), ("grumbloten", 1)]
+
+
+def test_toxic_lexicon_has_no_fixed_size():
+    terms = ["".join(chr(97 + (i // 26 ** k + 7 * k) % 26) for k in range(3)) * 2 for i in range(400)]
+    every = toxicity._choose([set(terms)] * 10, [{"filler"}] * 500)
+    assert len(every) > 300
+
+
 def test_language_models_separate_languages(spark):
     rng = random.Random(8)
     stock = {"en": "the and with that this", "de": "der und mit dass dieses", "fr": "le et avec que cette", "es": "el y con que esta"}
