@@ -7,7 +7,10 @@ least half of an item's seeds are rare, also if copies of the item fill the corp
 ``MIN_SEEDS`` rare seeds of an item stand close together in a document, the item is aligned to
 that passage word by word (Smith-Waterman: ``MATCH`` for equal words, ``MISMATCH``, ``GAP``), so
 edited, cut and paraphrased copies score by what is left of the wording. The score is the
-alignment's, divided by that of an exact copy; from ``THRESHOLD`` on the document is a hit.
+alignment's, divided by that of an exact copy; from ``THRESHOLD`` on the document is a hit. So it is,
+whatever the item's length, from an alignment on that is as good as ``VERBATIM`` words word for word
+and has as many rare seeds as these: a long passage of a longer item is a copy too, a wording that
+many documents have is not.
 
 Scale. The corpus is the large side: it is read twice, once to count the seeds' documents
 (combined map-side, one row per seed and batch) and once to find and align, without shuffling a
@@ -39,6 +42,7 @@ MIN_SEEDS = 2
 MIN_ITEM = 5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 THRESHOLD = 0.5
+VERBATIM = 13
 BLOCK_WORDS = 1_000_000
 
 # ASCII letters and digits stay, other ASCII becomes a blank, bytes of other characters stay.
@@ -194,7 +198,8 @@ def _hits(items: Items, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray,
     text, item, score, n, first, last = (np.concatenate(x) for x in zip(*out))
     order = np.lexsort((first, -score, item, text))
     text, item, score, n, first, last = (x[order] for x in (text, item, score, n, first, last))
-    keep = np.r_[True, (np.diff(text) != 0) | (np.diff(item) != 0)] & (score >= THRESHOLD)
+    keep = np.r_[True, (np.diff(text) != 0) | (np.diff(item) != 0)] & (
+        (score >= THRESHOLD) | (score * items.length[item] >= VERBATIM - 1e-9) & (n > VERBATIM - SEED))
     return tuple(x[keep] for x in (text, item, score, n, first, last))
 
 

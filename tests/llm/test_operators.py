@@ -161,6 +161,19 @@ def test_decontamination_finds_edited_copies(spark):
     assert {r.doc_id for r in decontam.clean(docs, benchmark).collect()} == {100 + i for i in range(0, 60, 2)} | {d for d, _ in ODD}
 
 
+def test_decontamination_finds_cut_copies(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = {0: [word() for _ in range(59)], 1: [word() for _ in range(300)], 2: [word() for _ in range(300)]}
+    around = lambda some: " ".join([*(word() for _ in range(40)), *some, *(word() for _ in range(40))])
+    rows = [(10, around(texts[0][10:39])), (11, around(texts[1][100:240])), (12, around(texts[2][280:])),
+            (13, around(texts[2][50:58])), (14, around([])), (15, around(texts[1][:6] + [word() for _ in range(9)] + texts[1][6:12]))]
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "item_id long, text string")
+    docs = table(spark, rows)
+    assert {(r.doc_id, r.item_id) for r in decontam.hits(docs, benchmark).collect()} == {(10, 0), (11, 1), (12, 2)}
+    assert {r.doc_id for r in decontam.clean(docs, benchmark).collect()} == {13, 14, 15}
+
+
 def test_main_text_leaves_the_rest_out():
     page = ("<html><head><title>T</title><script>var a='<p>';</script></head><body><header>Top</header><nav><a href=x>Menu</a></nav>"
             "<div class='cookie-notice'>We use cookies, of course, all of them.</div><div id=content><h2>Head</h2>"
