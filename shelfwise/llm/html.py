@@ -5,7 +5,10 @@ up to three by length: all of them to its parent, half to the grandparent, less
 element's points are discounted by the share of its text that stands in links. The best element is
 the article's container; it grows to the ``article`` or ``main`` element around it, if there is one,
 and siblings with enough points of their own or plain prose join it. What is marked as menu,
-header, footer, sidebar, notice, advert, form or comment, by tag, role or class, never counts.
+header or footer by tag or role, or is hidden, never counts. What a form, fieldset, aside or dialog
+holds, or an element whose class or id has an unlikely word, is left out at first; it is spared if it
+holds the page's only ``article`` or ``main``, or if what is found without it is under ``LEAST_SHARE``
+of the page's prose and it holds most of that (comments: only if nothing else is found).
 
 Pages are independent, so this is one pass without a shuffle; a page is parsed in time linear in
 its length, by one regular expression and a stack of open elements.
@@ -46,8 +49,10 @@ CLOSES = {  # an element that begins ends an open one of these, up to the neares
 }
 
 # Fixed values of the method: what never belongs to an article, by tag, role and class or id word.
-UNLIKELY_TAGS = frozenset("nav footer aside form button dialog menu fieldset".split())
+UNLIKELY_TAGS = frozenset("nav footer button menu".split())
+DOUBTFUL_TAGS = frozenset("form fieldset aside dialog".split())
 UNLIKELY_ROLES = frozenset("navigation banner contentinfo complementary dialog alertdialog alert search menu menubar toolbar".split())
+COMMENT_WORDS = frozenset("comment comments disqus respond".split())
 UNLIKELY_WORDS = frozenset("""ad ads advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments
 consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices
 overlay pager pagination paywall popup promo promoted promotion related respond rss share sharing sidebar signup social
@@ -59,15 +64,18 @@ START = {"article": 10.0, "main": 10.0, "section": 2.0, "div": 5.0, "pre": 3.0,
          "ol": -3.0, "ul": -3.0, "dl": -3.0, "li": -3.0, "address": -3.0, "th": -5.0, "body": 0.0}
 PARAGRAPH = 25  # characters from which a paragraph counts as one
 ARTICLE = ("article", "main")
+LEAST_SHARE = 0.25
 
 
 class Element:
-    __slots__ = ("tag", "parent", "children", "words", "score", "chars", "linked", "order", "root")
+    __slots__ = ("tag", "parent", "children", "words", "score", "chars", "linked", "order", "root",
+                 "doubtful", "prose")
 
     def __init__(self, tag: str, parent: Element | None, words: frozenset[str] = frozenset(), root: bool = False) -> None:
         self.tag, self.parent, self.words, self.root = tag, parent, words, root
         self.children: list[Element | str] = []
         self.score, self.chars, self.linked, self.order = 0.0, 0, 0, 0
+        self.doubtful, self.prose = False, 0
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -78,7 +86,7 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 def parse(html: str) -> Element:
-    """The tree of a page without the parts that never belong to an article."""
+    """The tree of a page without the parts that never belong to an article; other marks are noted."""
     top = Element("html", None)
     open_: list[Element] = [top]
     hidden: list[int] = []  # depth of the unlikely element that is open, as its subtree is not kept
@@ -108,8 +116,9 @@ def parse(html: str) -> Element:
             if not hidden and tag in ("br", "hr"):
                 open_[-1].children.append("\n")
             continue
-        words, unlikely, marked = _judge(tag, m[3], open_)
+        words, unlikely, doubtful, marked = _judge(tag, m[3], open_)
         made = Element(tag, open_[-1], words, marked)
+        made.doubtful = doubtful
         if not hidden:
             if unlikely:
                 hidden.append(len(open_))
@@ -123,22 +132,23 @@ def parse(html: str) -> Element:
     return top
 
 
-def _judge(tag: str, source: str, open_: list[Element]) -> tuple[frozenset[str], bool, bool]:
-    """Class and id words, whether the element is no part of an article, whether it is marked as one."""
+def _judge(tag: str, source: str, open_: list[Element]) -> tuple[frozenset[str], bool, bool, bool]:
+    """Class and id words, whether the element is no part of an article, whether that is doubtful,
+    whether it is marked as an article."""
     if tag in UNLIKELY_TAGS:
-        return frozenset(), True, False
+        return frozenset(), True, False, False
     if tag == "header" and not any(e.tag in ARTICLE for e in open_):
-        return frozenset(), True, False
+        return frozenset(), True, False, False
     if "=" not in source and "hidden" not in source:
-        return frozenset(), False, False
+        return frozenset(), False, tag in DOUBTFUL_TAGS, False
     attributes = _attributes(source)
     words = frozenset(WORD.findall((attributes.get("class", "") + " " + attributes.get("id", "")).lower()))
     role = attributes.get("role", "").lower()
     unseen = ("hidden" in attributes or attributes.get("aria-hidden") == "true"
               or "display:none" in attributes.get("style", "").replace(" ", "").lower())
     marked = role in ("main", "article") or attributes.get("itemprop", "").lower() == "articlebody"
-    drop = unseen or role in UNLIKELY_ROLES or bool(words & UNLIKELY_WORDS) and tag not in (*ARTICLE, "body")
-    return words, drop, marked
+    doubtful = tag in DOUBTFUL_TAGS or bool(words & UNLIKELY_WORDS) and tag not in (*ARTICLE, "body")
+    return words, unseen or role in UNLIKELY_ROLES, doubtful, marked
 
 
 def _pop(open_: list[Element], hidden: list[int], depth: int) -> None:
@@ -213,6 +223,7 @@ def _measure(top: Element) -> list[Element]:
         order.append(e)
         stack.extend(c for c in reversed(e.children) if not isinstance(c, str))
     for e in order:
+        e.chars = e.linked = 0
         e.score = START.get(e.tag, -5.0 if re.fullmatch("h[1-6]", e.tag) else 0.0)
         if e.words & LIKELY_WORDS:
             e.score += 25.0
@@ -256,11 +267,8 @@ def _links(e: Element) -> float:
     return e.linked / e.chars if e.chars else 0.0
 
 
-def main_text(html: str | None) -> str:
-    """The article's text, blocks joined by one space."""
-    if not html:
-        return ""
-    top = parse(html)
+def _article(top: Element) -> str:
+    """The text of the best element of a tree and of what belongs to it."""
     order = _measure(top)
     best = max((e for e in order if e.chars and e.tag in BLOCK),
                key=lambda e: (e.score * (1.0 - _links(e)), -e.order), default=None)
@@ -285,6 +293,75 @@ def main_text(html: str | None) -> str:
     return " ".join(kept)
 
 
+def _walk(top: Element) -> Iterator[Element]:
+    stack = [top]
+    while stack:
+        e = stack.pop()
+        yield e
+        stack.extend(c for c in reversed(e.children) if not isinstance(c, str))
+
+
+def _doubts(e: Element | None) -> list[Element]:
+    """The doubtful elements that an element is or stands in."""
+    found = []
+    while e is not None:
+        if e.doubtful:
+            found.append(e)
+        e = e.parent
+    return found
+
+
+def _weigh(order: list[Element]) -> None:
+    """Sets ``prose``: the characters of paragraphs in an element, without linked text."""
+    for e in order:
+        e.prose = e.linked = 0
+    for e in reversed(order):
+        if e.tag == "a":
+            e.linked = len(_inline(e))
+        elif e.tag in BLOCK or e.parent is None:
+            n = len(_inline(e)) - e.linked
+            e.prose += n if n >= PARAGRAPH else 0
+        if e.parent is not None:
+            e.parent.prose += e.prose
+            if e.tag not in BLOCK:
+                e.parent.linked += e.linked
+
+
+def _without(doubtful: list[Element], spared: set[Element], top: Element) -> str:
+    """The article of the tree without the doubtful elements that are not spared."""
+    cut = {e for e in doubtful if e not in spared}
+    whole = [(p, p.children) for p in {e.parent for e in cut}]
+    for p, children in whole:
+        p.children = [" " if c in cut else c for c in children]
+    text = _article(top)
+    for p, children in whole:
+        p.children = children
+    return text
+
+
+def main_text(html: str | None) -> str:
+    """The article's text, blocks joined by one space."""
+    if not html:
+        return ""
+    top = parse(html)
+    order = list(_walk(top))
+    doubtful = [e for e in order if e.doubtful]
+    if not doubtful:
+        return _article(top)
+    _weigh(order)
+    marks = [(len(doubts), doubts) for e in order if (e.tag in ARTICLE or e.root) and e.prose and not e.words & UNLIKELY_WORDS
+             for doubts in [_doubts(e)]]
+    least = min((n for n, _ in marks), default=0)
+    spared = {d for n, doubts in marks if n == least for d in doubts}
+    text = _without(doubtful, spared, top)
+    if len(text) < LEAST_SHARE * top.prose:
+        more = {e for e in doubtful if 2 * e.prose > top.prose and not (text and e.words & COMMENT_WORDS)} - spared
+        if more:
+            spared |= more
+            text = _without(doubtful, spared, top)
+    return text or _without(doubtful, set(doubtful), top)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every page."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

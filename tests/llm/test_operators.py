@@ -184,6 +184,20 @@ def test_main_text_leaves_the_rest_out():
     assert html.main_text("just text") == "just text"
 
 
+def test_main_text_inside_doubtful_elements():
+    body = "<p>The first paragraph is long enough, and has a comma.</p><p>The second one is long enough, too, for a text.</p>"
+    text = "The first paragraph is long enough, and has a comma. The second one is long enough, too, for a text."
+    rest = "<nav><a href=x>Menu</a></nav><div class=ad>Buy now, it is cheap, it is good.</div><footer>End of page</footer>"
+    for start, end in (("<form id=aspnetForm>", "</form>"), ("<div id=page class='has-sidebar'>", "</div>"),
+                       ("<div class='content social-enabled'>", "</div>"), ("<form><div class=widget><article>", "</article></div></form>"),
+                       ("<aside><main>", "</main></aside>"), ("<dialog>", "</dialog>"), ("<form><fieldset>", "</fieldset></form>")):
+        assert html.main_text(f"<body>{start}{body}{rest}{end}</body>") == text, start
+    comments = "<div class=comments>" + "<article class=comment><p>I am a reader, and I comment, at length, here.</p></article>" * 20 + "</div>"
+    related = "<aside><article><p>Another text, about something else, that is teased here.</p></article></aside>"
+    assert html.main_text(f"<body><div id=content>{body}</div>{comments}</body>") == text
+    assert html.main_text(f"<body><main>{body}</main>{related}{comments}</body>") == text
+
+
 def test_toxicity_learns_terms_and_misspellings(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(3, 8)))
