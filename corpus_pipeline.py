@@ -37,8 +37,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of what the other stages kept, in training order."""
-    return mixing.curriculum(docs)
+    """The mix of what the other stages kept: every reading of a document, in training order."""
+    return mixing.readings(docs)
 
 
 STAGES = [

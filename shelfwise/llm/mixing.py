@@ -16,8 +16,12 @@ its own demand has the density ``1 + slope * (1 - 2 t)``, slope in [-1, 1] falli
 first source to -1 for the last, so early sources come early. Its integral, the cumulative
 demand ``D(t) = t + slope * t * (1 - t)``, is inverted in closed form at the share of the
 source's words that stands before a document: that is the document's training position (of its
-first reading; epoch e of n reads it at the inverse of (e + share) / n).
-``curriculum`` range-sorts the documents by it.
+first reading, as a share of one epoch). ``curriculum`` range-sorts the documents by it.
+
+Readings. ``readings`` has a row for every time a document is read: epoch e reads the document's
+words from e * (source size) + (the words before it) on, and that running count of the source's taken
+words, divided by its target, is where the cumulative demand is inverted. So a source delivers over all
+of the run, whatever its target, and what is not taken has no row.
 
 Running sums within a source never need a whole source in one task: md5 prefixes cut each source
 into ``BUCKETS`` blocks (by construction of similar size), block totals are combined map-side,
@@ -31,7 +35,7 @@ words get target 0; an empty table gives an empty result; other columns are igno
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_REPEAT = 3
@@ -75,8 +79,8 @@ def targets(by_source: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
         .otherwise(F.lit(0.0)).alias("slope"))
 
 
-def mix(docs: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """doc_id, size, source_size, target, taken, position: one row per document."""
+def _placed(docs: DataFrame, max_repeat: int) -> DataFrame:
+    """``sizes`` with source_size, target, slope and ``_start``, the words of the source before the document."""
     block = ["_none", "_source", "_bucket"]
     sized = sizes(docs).withColumn("_bucket", F.substring("_at", 1, BUCKET_CHARS))
     blocks = sized.groupBy(*block).agg(F.sum("size").alias("_words"))
@@ -84,19 +88,44 @@ def mix(docs: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     running = F.sum("_words").over(Window.partitionBy("_none", "_source").orderBy("_bucket"))
     plan = blocks.withColumn("_before", running - F.col("_words")).drop("_words").join(goals, ["_none", "_source"])
     within = Window.partitionBy(*block).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (sized.join(plan, block)
-              .withColumn("_start", F.col("_before") + F.sum("size").over(within) - F.col("size")))
+    return (sized.join(plan, block)
+            .withColumn("_start", F.col("_before") + F.sum("size").over(within) - F.col("size")))
+
+
+def _inverse(share: Column) -> Column:
+    """The time at which the cumulative demand reaches a share.
+
+    Smaller root of slope * t^2 - (1 + slope) * t + share = 0, in its cancellation-free form.
+    """
+    b = F.lit(1.0) + F.col("slope")
+    root = 2 * share / (b + F.sqrt(F.greatest(b * b - 4 * F.col("slope") * share, F.lit(0.0))))
+    return F.when(share > 0, F.least(root, F.lit(1.0))).otherwise(F.lit(0.0))
+
+
+def mix(docs: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """doc_id, size, source_size, target, taken, position: one row per document."""
+    placed = _placed(docs, max_repeat)
     goal = F.round(F.col("target")).cast("long")
     words = F.greatest(F.col("source_size"), F.lit(1))
     epochs = F.floor(goal / words)
     last = F.least(F.col("size"), F.greatest(goal - epochs * words - F.col("_start"), F.lit(0)))
     share = F.when(F.col("target") > 0, F.least(F.col("_start") / words, F.lit(1.0))).otherwise(F.lit(1.0))
-    # Smaller root of slope * t^2 - (1 + slope) * t + share = 0, in its cancellation-free form.
-    b = F.lit(1.0) + F.col("slope")
-    root = 2 * share / (b + F.sqrt(F.greatest(b * b - 4 * F.col("slope") * share, F.lit(0.0))))
     return placed.select(
         "doc_id", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"),
-        F.when(share > 0, F.least(root, F.lit(1.0))).otherwise(F.lit(0.0)).alias("position"))
+        _inverse(share).alias("position"))
+
+
+def readings(docs: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """doc_id, size, source_size, target, epoch, taken, position: one row per reading, in training order."""
+    goal = F.round(F.col("target")).cast("long")
+    begin = F.col("epoch") * F.col("source_size") + F.col("_start")
+    epochs = F.ceil(goal / F.greatest(F.col("source_size"), F.lit(1))).cast("long")
+    read = (_placed(docs, max_repeat).where((F.col("size") > 0) & (goal > 0))
+            .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs - 1)))
+            .withColumn("taken", F.least(F.col("size"), goal - begin)).where("taken > 0")
+            .withColumn("position", _inverse(F.least(begin / goal, F.lit(1.0))))
+            .select("doc_id", "size", "source_size", "target", "epoch", "taken", "position"))
+    return read.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def curriculum(docs: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:

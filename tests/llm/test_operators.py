@@ -292,6 +292,36 @@ def test_mix_meets_its_targets(spark):
         assert abs(sum(r.taken for r in some) - target) <= 1
 
 
+def test_readings_follow_the_cumulative_demand(spark):
+    rows = [(i, "w " * (1 + i % 5), None, "abc"[0 if i < 30 else 1 if i < 400 else 2], None, "", "", "", "") for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    goals = {(r.source_size, r.target) for r in mixing.mix(docs).select("source_size", "target").distinct().collect()}
+    got = collections.defaultdict(list)
+    for r in mixing.readings(docs).collect():
+        got[r.doc_id].append((r.epoch, r.taken, r.position))
+    slopes = {"a": 1.0, "b": 0.0, "c": -1.0}
+    for source in "abc":
+        some = sorted(((hashlib.md5(str(r[0]).encode()).hexdigest(), r[0], len(r[1].split())) for r in rows if r[3] == source))
+        size = sum(n for _, _, n in some)
+        goal = round(next(t for s, t in goals if s == size))
+        count, epoch, want = 0, 0, collections.defaultdict(list)
+        while count < goal:
+            for _, doc, n in some:
+                if count < goal:
+                    low, high = 0.0, 1.0
+                    for _ in range(60):
+                        t = (low + high) / 2
+                        low, high = (t, high) if t + slopes[source] * t * (1 - t) < count / goal else (low, t)
+                    want[doc].append((epoch, min(n, goal - count), low))
+                    count += n
+            epoch += 1
+        assert max(p for x in want.values() for _, _, p in x) > 0.85  # it delivers to the end
+        for _, doc, _ in some:
+            mine = sorted(got[doc])
+            assert [x[:2] for x in mine] == [x[:2] for x in want[doc]]
+            assert np.allclose([x[2] for x in mine], [x[2] for x in want[doc]], atol=1e-6)
+
+
 OPERATORS = {
     "substring": substring.remove, "minhash": minhash.classes, "suffix": suffix.remove, "mixing": mixing.curriculum,
     "lines": lines.dedup_corpus, "rewrite": lambda d: lines.rewrite(d),
