@@ -1,5 +1,7 @@
 """DuckDB statements that state the results of the operators SQL can express, by plain SQL."""
 
+from shelfwise.llm.licenses import MAX_SHIFT, MAX_STRETCH, MIN_SHARE, MIN_VOTES, TEXTS
+
 OP1 = r"""
 WITH units AS (
   SELECT rid, doc_id, unnest(units) AS unit, unnest(range(1, len(units) + 1)) AS pos
@@ -80,4 +82,74 @@ SELECT max(doc_id) AS doc_id, count(*) AS n_lines, sum(gone::INT)::BIGINT AS n_d
 FROM judged GROUP BY rid
 """
 
-ORACLE: dict[str, str] = {"op1_substring_dedup": OP1, "op5_mixing": OP5, "op7_line_dedup": OP7}
+_WORDS = r"""regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+_TEXT_ROWS = ", ".join("({}, '{}', '{}')".format(t, label, text.replace("'", "''")) for t, (label, text) in enumerate(TEXTS))
+
+OP11 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents
+), grams AS (
+  SELECT rid, i, w AS w0, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3
+  FROM (SELECT rid, unnest(words) AS w, unnest(range(len(words))) AS i FROM docs) WINDOW o AS (PARTITION BY rid ORDER BY i)
+), places AS (
+  SELECT rid, i, CASE WHEN w0 = 'gnu' AND w1 = 'general' AND w2 = 'public' AND w3 = 'license' THEN 'gpl'
+                      WHEN w0 = 'apache' AND w1 = 'license' THEN 'apache'
+                      WHEN w0 = 'cc' AND w1 = 'by' THEN 'cc-by'
+                      WHEN w0 = 'mit' AND w1 = 'license' THEN 'mit' END AS label FROM grams
+), texts AS (
+  SELECT t, label, {_WORDS.format("text")} AS words FROM (VALUES {_TEXT_ROWS}) v(t, label, text)
+), parts AS (
+  SELECT t, label, len(words) AS n, j, w AS w0, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2
+  FROM (SELECT t, label, words, unnest(words) AS w, unnest(range(len(words))) AS j FROM texts)
+  WINDOW o AS (PARTITION BY t ORDER BY j)
+), votes AS (
+  SELECT rid, t, label, n, i - j AS diagonal, j FROM grams g JOIN parts p ON g.w0 = p.w0 AND g.w1 = p.w1 AND g.w2 = p.w2
+), diagonals AS (
+  SELECT rid, t, diagonal, diagonal - lag(diagonal) OVER (PARTITION BY rid, t ORDER BY diagonal) AS apart
+  FROM votes GROUP BY rid, t, diagonal HAVING count(*) >= {MIN_VOTES}
+), numbered AS (
+  SELECT rid, t, diagonal, count(*) FILTER (apart IS NULL OR apart > {MAX_SHIFT}) OVER (PARTITION BY rid, t ORDER BY diagonal) AS span
+  FROM diagonals
+), spans AS (
+  SELECT rid, t, span, any_value(label) AS label, count(DISTINCT j) / (any_value(n) - 2) AS share
+  FROM votes JOIN numbered USING (rid, t, diagonal) GROUP BY rid, t, span
+  HAVING share >= {MIN_SHARE} AND max(diagonal + j) + 3 - min(diagonal + j) <= {MAX_STRETCH} * any_value(n)
+), found AS (
+  SELECT rid, label, 1.0::DOUBLE AS share, i FROM places WHERE label IS NOT NULL
+  UNION ALL SELECT rid, label, share, NULL FROM spans
+), summed AS (
+  SELECT rid, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word, max(share) AS score,
+         list(DISTINCT label) FILTER (i IS NOT NULL) AS base, list(DISTINCT label) AS every
+  FROM found GROUP BY rid
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(every), ','), '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM docs LEFT JOIN summed USING (rid)
+"""
+
+OP12 = """
+WITH kept AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same,
+         CASE WHEN len(a.v) > 0 THEN list_inner_product(a.v, r.v) ELSE 0 END::BIGINT AS score
+  FROM (SELECT * FROM kept WHERE vec_id % 50 = 0) a JOIN kept r ON r.vec_id <> a.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+ORACLE: dict[str, str] = {"op1_substring_dedup": OP1, "op5_mixing": OP5, "op7_line_dedup": OP7,
+                          "op11_license_scan": OP11, "op12_hard_negatives": OP12}

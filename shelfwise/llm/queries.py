@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import ann, decontam, html, langid, lines, minhash, mixing, substring, suffix, toxicity
+from shelfwise.llm import (
+    ann, crosstok, decontam, hardneg, html, langid, licenses, lines, minhash, mixing, substring, suffix, toxicity)
 from shelfwise.llm.common import table
 
+# Where the public vocabularies of op13 lie.
+TOKENIZERS = "/opt/tokenizers"
+
+
 def _fold(of: int) -> Column:
     """The fold of a document: crc32 of its id as text, modulo ``of`` (a null id is in fold 0)."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of, F.lit(0))
@@ -78,6 +83,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "n_hits")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and passages of all ``documents`` by diagonal voting."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the ``embeddings`` whose vec_id is divisible by 50, among all of them."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hardneg.usable(table(spark, sf_dir, "embeddings"), moved)
+    return hardneg.mine(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of all ``documents`` under a byte-level and a sentence-piece vocabulary."""
+    return crosstok.align(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json",
+                          f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -89,4 +112,7 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_html_extraction": op9_html_extraction,
     "op10_toxicity": op10_toxicity,
+    "op11_license_scan": op11_license_scan,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_cross_tokenizer": op13_cross_tokenizer,
 }
