@@ -12,8 +12,9 @@ diagonal are a bit set over ``j``, so they combine before the shuffle and equal
   holds at least ``MIN_SHARE`` of the template's grams and is at most ``MAX_STRETCH`` times as long.
 
 The templates are constants of a few hundred words in all, so the join broadcasts them whatever the
-corpus. Matches are grouped by the text's digest: a copied text is one group of combined votes,
-and results go back to the documents by a join whose right side has unique keys.
+corpus. Matches are grouped by the text's digest: a copied text is one group of combined votes.
+They rest in the shared folder and go back to the documents by a join whose right side has unique
+keys and no grouping of its own, so that the planner may split a digest that very many documents have.
 
 Edge cases: a null text is empty; a text without words has no places and null ``first_word`` and
 ``last_word``; without a label the label columns are the empty string and ``score`` is 0; places
@@ -29,6 +30,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfwise.session import scratch_path
+
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BITS = 63  # votes a long column holds
 MIN_VOTES = 2
@@ -197,6 +200,9 @@ def scan(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES, texts:
         F.max(F.when(base, F.col("first_word"))).cast("long").alias("last_word"),
         _joined(F.collect_set(F.when(base, F.col("label")))).alias("base_labels"),
         _joined(F.collect_set("label")).alias("labels"), F.max("share").alias("score"))
+    path = scratch_path(docs.sparkSession, "licenses")
+    found.write.parquet(path)
+    found = docs.sparkSession.read.parquet(path)
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(whole).alias("digest"),
                         F.size(_words(whole)).cast("long").alias("n_words"))

@@ -84,7 +84,8 @@ def test_license_spans_stand_where_the_words_are(spark):
 
 
 def test_license_scan_uses_no_python_workers(spark):
-    plan = licenses.scan(table(spark, ODD).select("doc_id", "text"))._jdf.queryExecution().toString()
+    docs = table(spark, ODD).select("doc_id", "text")
+    plan = "".join(f(docs)._jdf.queryExecution().toString() for f in (licenses.spans, licenses.scan))
     assert not re.search(r"InArrow|InPandas|PythonUDF|BatchEval|ArrowEval|CartesianProduct|BroadcastNestedLoop", plan)
 
 
