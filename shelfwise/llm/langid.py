@@ -8,7 +8,8 @@ roots of relative frequencies, so a text's vector has length one.
 
 Training reads a bounded sample: ``MAX_TRAIN`` labelled texts at most, the same number of each
 language, drawn by a hash of doc_id. Only texts with a letter and a non-null label count. The
-models (``BUCKETS`` weights per family and pair) go to the tasks with the function; prediction
+machines are fitted in one task, which holds the sample (16 KB a text), so only their weights
+(``BUCKETS`` per family and pair) come to the driver and go to the tasks with the function; prediction
 is one pass over all texts without a shuffle.
 
 ``score`` is the product of the winning family's softmax share and, within it, the winning
@@ -23,6 +24,7 @@ predicted on their own; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from itertools import combinations
@@ -178,17 +180,25 @@ def train(labelled: DataFrame, families: Mapping[str, str] = FAMILIES, max_train
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(rows.start, n),
                      pa.array([v.tobytes() for v in features(data, ends)], pa.binary())], names=["lang", "x"])
-    got = sample.select("lang", "text").mapInArrow(run, "lang string, x binary").toArrow()
-    if not got.num_rows:
-        return None
-    order = sorted(zip(got.column("lang").to_pylist(), got.column("x").to_pylist()))
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(lang, x) for batch in batches for lang, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fit(sorted(got), families))], pa.binary())], names=["model"])
+    sampled = sample.select("lang", "text").mapInArrow(run, "lang string, x binary")
+    # One task holds the bounded sample; only the machines' weights come to the driver.
+    model = sampled.repartition(1).mapInArrow(learn, "model binary").collect()
+    return Model(*pickle.loads(model[0]["model"])) if model else None
+
+
+def _fit(order: list[tuple[str, bytes]], families: Mapping[str, str]) -> tuple:
+    """The parts of a ``Model`` of the sample's rows (language, features)."""
     y = np.array([lang for lang, _ in order], object)
     x = np.frombuffer(b"".join(v for _, v in order), np.float32).reshape(len(y), BUCKETS)
     family = np.array([families.get(lang, lang) for lang in y], object)
     names = sorted(set(family))
     members = {f: sorted(set(y[family == f])) for f in names}
-    return Model(names, members, train_svm(x, one_to_rest(family, names)) if len(names) > 1 else None,
-                 {f: train_svm(x[family == f], one_to_one(y[family == f], m)) for f, m in members.items() if len(m) > 1})
+    return (names, members, train_svm(x, one_to_rest(family, names)) if len(names) > 1 else None,
+            {f: train_svm(x[family == f], one_to_one(y[family == f], m)) for f, m in members.items() if len(m) > 1})
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
