@@ -27,8 +27,9 @@ from shelfwise.functions.dates import AsOf
 from shelfwise.oracle import ORACLE
 from shelfwise.plans import checks, jobs, reports, sales
 from shelfwise.plans.allocation import allocate_sales, allocate_sales_by_day
+from shelfwise.session import scratch_path
 from shelfwise.sources import requests as req
-from shelfwise.sources import sinks
+from shelfwise.sources import sinks, state
 from shelfwise.sources.derived import DRIVER_AS_OF, load_driver_inventory, with_faults
 from shelfwise.streaming import streams
 
@@ -124,6 +125,17 @@ def _receive_stock(spark, sf_dir, inv):
     return res.inventory.products.select("product_id", "current_stock")
 
 
+def _state_after_receipt(spark, sf_dir, inv):
+    """S-5: the tables stored, the receipts brought in where they belong, and read back."""
+    root = scratch_path(spark, "state")
+    state.write_state(spark, inv, root, 1)
+    res = jobs.receive(req.receive_requests(spark, sf_dir), state.read_state(spark, root), ASOF)
+    state.write_changes(spark, root, res, 2)
+    now = state.read_state(spark, root)
+    return now.batches.select("batch_id", "product_id", "quantity", "status").join(
+        now.products.select("product_id", "current_stock"), "product_id", "left")
+
+
 def _next_numbers(spark, sf_dir, inv):
     """W-5 / C-16: proposed batch numbers for the receipt requests."""
     return jobs.next_batch_numbers(req.receive_requests(spark, sf_dir), inv)
@@ -293,6 +305,7 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "receive_batches": _job(_receive),
         "receive_rejects": _job(_receive_rejects),
         "receive_stock": _job(_receive_stock),
+        "state_after_receipt": _job(_state_after_receipt),
         "next_batch_number": _job(_next_numbers),
         "dispose_batches": _job(_dispose),
         "dispose_rejects": _job(_dispose_rejects),

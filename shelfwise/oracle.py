@@ -451,6 +451,14 @@ ORACLE["receive_stock"] = q("""
 SELECT p.product_id, CAST(p.current_stock + COALESCE(a.units, 0) AS BIGINT) AS current_stock
 FROM products p LEFT JOIN (SELECT product_id, SUM(quantity) AS units FROM rec WHERE reject_reason IS NULL GROUP BY 1) a
   ON a.product_id = p.product_id""", _RECEIVE_REQ)
+ORACLE["state_after_receipt"] = q("""
+SELECT b.batch_id, b.product_id, b.quantity, b.status, CAST(p.current_stock + COALESCE(a.units, 0) AS INTEGER) AS current_stock
+FROM (SELECT batch_id, product_id, quantity, status FROM product_batches
+      UNION ALL
+      SELECT CAST(product_id AS VARCHAR) || ':' || bn, product_id, quantity, 'available' FROM rec WHERE reject_reason IS NULL) b
+LEFT JOIN products p ON p.product_id = b.product_id
+LEFT JOIN (SELECT product_id, SUM(quantity) AS units FROM rec WHERE reject_reason IS NULL GROUP BY 1) a
+  ON a.product_id = b.product_id""", _RECEIVE_REQ)
 ORACLE["next_batch_number"] = q("""
 SELECT r.request_id, r.product_id,
        COALESCE(c.n, 0) + ROW_NUMBER() OVER (PARTITION BY r.product_id ORDER BY r.request_id) AS sequence,

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.dates import AsOf
 from shelfwise.operators.fefo import FefoResult, allocate, allocate_by_day
-from shelfwise.sources.tables import Inventory
+from shelfwise.plans.jobs import JobResult
+from shelfwise.sources.tables import Inventory, conform
 
 
 def demand_lines(inv: Inventory, start: dt.date | None = None, end: dt.date | None = None):
@@ -32,3 +33,16 @@ def allocate_sales_by_day(inv: Inventory, mode: str = "partial",
     """FEFO with each line served at the as-of of its own day."""
     return allocate_by_day(demand_lines(inv, start, end), inv.batches, mode=mode, products=inv.products,
                            sale_items=inv.sale_items, ledger=inv.movements)
+
+
+def allocation_changes(inv: Inventory, res: FefoResult) -> JobResult:
+    """An allocation as a job's result, which ``sources.state.write_changes`` can persist; what is
+    short is its rejects."""
+    moves = conform("batch_movements", res.movements)
+    out = inv.with_(batches=res.batches, movements=inv.movements.unionByName(moves),
+                    **({"products": res.products} if res.products is not None else {}))
+    changed = {"product_batches": res.allocations.select("batch_id").distinct()}
+    if res.products is not None:
+        changed["products"] = res.allocations.select("product_id").distinct()
+    rejects = res.shortfalls.select(F.col("sale_item_id").alias("request_id"), F.lit("short").alias("reject_reason"))
+    return JobResult(out, {"batch_movements": moves}, rejects, changed=changed)

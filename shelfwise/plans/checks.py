@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import labels
@@ -48,14 +48,32 @@ def check_foreign_keys(inv: Inventory) -> DataFrame:
     return _union(rows)
 
 
+def outside(col: str, domain) -> Column:
+    """The value is not NULL and not in the column's enum domain."""
+    return F.col(col).isNotNull() & ~F.col(col).isin(*domain)
+
+
+def missing(df: DataFrame, col: str) -> Column:
+    """The value is NULL and does not stand for a zero date."""
+    isnull = F.col(col).isNull()
+    return isnull & ~F.coalesce(F.col(f"{col}_zero"), F.lit(False)) if f"{col}_zero" in df.columns else isnull
+
+
+def _tall(wide: DataFrame, table: str, cols: list[str], count: str) -> DataFrame:
+    """One row per column of a one-row table of counts."""
+    pairs = ", ".join(f"'{c}', `{c}`" for c in cols)
+    return (wide.selectExpr(f"stack({len(cols)}, {pairs}) as (column_name, {count})")
+            .select(F.lit(table).alias("table_name"), "column_name", count))
+
+
 def check_domains(inv: Inventory) -> DataFrame:
-    """I-3: non-NULL values outside the column's enum domain."""
-    tables = inv.as_dict()
+    """I-3: non-NULL values outside the column's enum domain, one scan per table."""
     rows = []
-    for name, col, domain in schemas.DOMAINS:
-        bad = tables[name].agg(F.count(F.when(F.col(col).isNotNull() & ~F.col(col).isin(*domain), 1))
-                               .alias("violations"))
-        rows.append(bad.select(F.lit(name).alias("table_name"), F.lit(col).alias("column_name"), "violations"))
+    for name, df in inv.as_dict().items():
+        domains = {c: domain for table, c, domain in schemas.DOMAINS if table == name}
+        if domains:
+            wide = df.agg(*[F.count(F.when(outside(c, d), 1)).alias(c) for c, d in domains.items()])
+            rows.append(_tall(wide, name, list(domains), "violations"))
     return _union(rows)
 
 
@@ -64,17 +82,8 @@ def check_nulls(inv: Inventory) -> DataFrame:
     tables = inv.as_dict()
     rows = []
     for name, cols in schemas.NOT_NULL.items():
-        df = tables[name]
-        exprs = []
-        for c in cols:
-            isnull = F.col(c).isNull()
-            if f"{c}_zero" in df.columns:
-                isnull = isnull & ~F.coalesce(F.col(f"{c}_zero"), F.lit(False))
-            exprs.append(F.count(F.when(isnull, 1)).alias(c))
-        wide = df.agg(*exprs)
-        pairs = ", ".join(f"'{c}', `{c}`" for c in cols)
-        rows.append(wide.selectExpr(f"stack({len(cols)}, {pairs}) as (column_name, nulls)")
-                    .select(F.lit(name).alias("table_name"), "column_name", "nulls"))
+        wide = tables[name].agg(*[F.count(F.when(missing(tables[name], c), 1)).alias(c) for c in cols])
+        rows.append(_tall(wide, name, cols, "nulls"))
     return _union(rows)
 
 

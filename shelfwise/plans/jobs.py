@@ -9,12 +9,13 @@ Keys of added rows go on after the table's largest whole-number key, in request
 Every movement a run writes is dated ``asof.now``; within a run the ledger order is the
 request order, and successive runs must use increasing
 ``now`` so that the ledger's (date, id) order is the order the runs happened in.
-Nothing is written; ``sources.sinks.write_state`` persists a new table version.
+Nothing is written; ``sources.state`` persists a result: whole tables, or only what changed, for
+which a result names the keys of the rows it changed and deleted.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +30,14 @@ from shelfwise.sources.tables import Inventory, conform
 
 @dataclass
 class JobResult:
+    """New tables, added rows, rejects; ``changed`` and ``deleted`` hold, per table, the keys of the
+    rows that were there before and now differ or are gone."""
+
     inventory: Inventory
     added: dict[str, DataFrame]
     rejects: DataFrame
+    changed: dict[str, DataFrame] = field(default_factory=dict)
+    deleted: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def _reject(df: DataFrame, reason: str) -> DataFrame:
@@ -114,7 +120,8 @@ def receive(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResult:
                           _reject(repeat, "duplicate_in_request")])
     out = inv.with_(batches=inv.batches.unionByName(new_batches),
                     movements=inv.movements.unionByName(new_moves), products=products)
-    return JobResult(out, {"product_batches": new_batches, "batch_movements": new_moves}, rejects)
+    return JobResult(out, {"product_batches": new_batches, "batch_movements": new_moves}, rejects,
+                     changed={"products": added_units.select("product_id")})
 
 
 # --------------------------------------------------------------------------- W-5
@@ -177,7 +184,8 @@ def dispose(requests: DataFrame, inv: Inventory, asof: AsOf, replay: bool = Fals
     rejects = _union_all([odd.select("request_id", "reject_reason"), _reject(missing, "batch_not_found")]
                          + [_reject(s, "nothing_to_dispose") for s in skipped])
     out = inv.with_(batches=batches, movements=inv.movements.unionByName(moves), products=products)
-    return JobResult(out, {"batch_movements": moves}, rejects)
+    return JobResult(out, {"batch_movements": moves}, rejects,
+                     changed={"product_batches": hit.select("batch_id"), "products": per_product.select("product_id")})
 
 
 # --------------------------------------------------------------------------- M-4
@@ -187,8 +195,9 @@ def adjust(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResult:
     Legacy stock becomes the table's current value plus the added units (the client's
     stale "current" is not trusted). A named batch gets the units and a ``restock``
     movement whose remaining quantity is the running batch total over the run's requests.
+    A request without units is rejected.
     """
-    req = requests
+    req, no_units = rules.split_valid(requests, {"invalid_units": F.col("added_stock").isNotNull()})
     known = req.join(inv.products.select("product_id"), "product_id", "left_semi")
     no_product = req.join(inv.products.select("product_id"), "product_id", "left_anti")
     named = known.where(F.col("batch_id").isNotNull())
@@ -216,9 +225,11 @@ def adjust(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResult:
     products = (inv.products.join(per_product, "product_id", "left")
                 .withColumn("current_stock", F.col("current_stock") + F.coalesce("_add", F.lit(0)))
                 .select(*inv.products.columns))
-    rejects = _union_all([_reject(no_product, "product_not_found"), _reject(no_batch, "batch_not_found")])
+    rejects = _union_all([no_units.select("request_id", "reject_reason"), _reject(no_product, "product_not_found"),
+                          _reject(no_batch, "batch_not_found")])
     out = inv.with_(batches=batches, movements=inv.movements.unionByName(moves), products=products)
-    return JobResult(out, {"batch_movements": moves}, rejects)
+    return JobResult(out, {"batch_movements": moves}, rejects,
+                     changed={"product_batches": per_batch.select("batch_id"), "products": per_product.select("product_id")})
 
 
 # --------------------------------------------------------------------------- M-5
@@ -304,7 +315,7 @@ def update_products(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResul
             cols.append(F.col(c))
     products = j.select(cols)
     rejects = _union_all([bad.select("request_id", "reject_reason"), _reject(missing, "not_found")])
-    return JobResult(inv.with_(products=products), {}, rejects)
+    return JobResult(inv.with_(products=products), {}, rejects, changed={"products": last.select("product_id")})
 
 
 # --------------------------------------------------------------------------- M-8
@@ -325,10 +336,12 @@ def delete_products(ids: DataFrame, inv: Inventory) -> JobResult:
     gone_batches = inv.batches.join(gone, "product_id", "left_semi").select("batch_id")
     batches = inv.batches.join(gone, "product_id", "left_anti")
     movements = inv.movements.join(gone_batches, "batch_id", "left_anti")
+    gone_moves = inv.movements.join(gone_batches, "batch_id", "left_semi").select("movement_id")
     rejects = _union_all([_reject(not_found, "not_found"), _reject(later, "not_found"), _reject(refused, "has_sales")])
     return JobResult(inv.with_(products=products, batches=batches, movements=movements),
                      {"deleted_products": gone, "deleted_requests": first.select("request_id", "product_id"),
-                      "deleted_batches": gone_batches}, rejects)
+                      "deleted_batches": gone_batches}, rejects,
+                     deleted={"products": gone, "product_batches": gone_batches, "batch_movements": gone_moves})
 
 
 # --------------------------------------------------------------------------- M-9

@@ -218,7 +218,7 @@ def with_faults(inv: Inventory) -> Inventory:
 def materialize(spark: SparkSession, inv: Inventory, path: str) -> Inventory:
     """Write the six tables as Parquet under ``path`` (clustered like stored state) and
     read them back."""
-    from shelfwise.sources.sinks import write_tables
+    from shelfwise.sources.state import write_tables
     from shelfwise.sources.tables import load
     write_tables(inv, path)
     return load(spark, path)

@@ -1,21 +1,15 @@
-"""Sinks: S-3 batch documents, S-4 report output, S-5 versioned table state.
-
-Plain Parquet has no UPDATE, so a state change writes a complete new version of the
-tables next to the old one and then moves a one-row pointer table to it; readers follow
-the pointer, so they see either the old or the new version, never a mix. Two jobs must
-not write the same state root at once.
-"""
+"""Sinks: S-3 batch documents, S-4 report output. Stored tables (S-5) are in ``sources.state``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import dates
 from shelfwise.functions.dates import AsOf
 from shelfwise.operators.scan import running_count
 from shelfwise.plans.reports import drilldown_totals
-from shelfwise.sources.tables import Inventory, load
+from shelfwise.sources.tables import Inventory
 
 DOCUMENT_FIELDS = ("batch_id", "batch_number", "quantity", "expiry_date", "status", "manufactured_date",
                    "supplier_name")
@@ -61,36 +55,3 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet", partition_by=No
         writer.json(path)
     else:
         writer.parquet(path)
-
-
-# The range column each stored table is laid out by, the one its reports filter on: files hold
-# consecutive ranges, so file and row-group statistics skip most of them. The key after it
-# splits a day that holds very many rows.
-CLUSTER_ON = {"product_batches": ("expiry_date", "batch_id"), "batch_movements": ("movement_date", "movement_id"),
-              "sales": ("sale_date", "sale_id"), "sale_items": ("demand_date", "sale_item_id")}
-
-
-def write_tables(inv: Inventory, target: str) -> None:
-    """Write the six tables as ``target/<table>.parquet``, each range-partitioned and sorted on its
-    range column. A table that is already there is an error: readers may still use it."""
-    for name, df in inv.as_dict().items():
-        if name in CLUSTER_ON:
-            df = df.repartitionByRange(*CLUSTER_ON[name]).sortWithinPartitions(*CLUSTER_ON[name])
-        df.write.mode("errorifexists").parquet(f"{target}/{name}.parquet")
-
-
-def write_state(spark: SparkSession, inv: Inventory, root: str, version: str) -> str:
-    """S-5: write all six tables as ``root/v=<version>/<table>.parquet``, then add the version to the
-    log of versions, of which the greatest is current. A crash leaves the old state current. One
-    writer at a time; versions must grow."""
-    target = f"{root}/v={version}"
-    write_tables(inv, target)
-    spark.createDataFrame([(version,)], "version string").coalesce(1) \
-        .write.mode("append").parquet(f"{root}/_versions")
-    return target
-
-
-def read_state(spark: SparkSession, root: str) -> Inventory:
-    """The tables of the current version."""
-    version = spark.read.parquet(f"{root}/_versions").agg(F.max("version").alias("v")).first()["v"]
-    return load(spark, f"{root}/v={version}")
