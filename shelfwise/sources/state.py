@@ -22,6 +22,7 @@ domains of the rows it writes (I-3, I-4); the counts are in the returned ``Writt
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass, field
 
@@ -170,9 +171,9 @@ def read_state(spark: SparkSession, root: str) -> Inventory:
     return load(spark, _current(_log(spark, root), root))
 
 
-def _stage(spark: SparkSession, name: str, base: str, staged: str, result: JobResult) -> Written:
+def _stage(spark: SparkSession, done: Written, name: str, base: str, staged: str, result: JobResult) -> set[str]:
     """Write what a table will get: ``parts`` (complete new parts) and ``more`` (rows to append)."""
-    done = Written(staged)
+    kinds = set()
     key = _key(name)
     added = result.added[name] if name in result.added else None
     touched = [d[name].select(*key) for d in (result.changed, result.deleted) if name in d]
@@ -191,42 +192,37 @@ def _stage(spark: SparkSession, name: str, base: str, staged: str, result: JobRe
             rows = rows.unionByName(added.where(part_of(name).isin(parts)).withColumn("_new", F.lit(True)))
         _write(done, name, rows, f"{staged}/parts/{name}", new=F.col("_new"))
         spark.createDataFrame([(p,) for p in parts], "part string").write.parquet(f"{staged}/touched/{name}")
+        kinds.add("parts")
     if added is not None:
         _write(done, name, added.where(~part_of(name).isin(parts)) if parts else added, f"{staged}/more/{name}")
-    return done
-
-
-def _read(spark: SparkSession, path: str, schema) -> DataFrame | None:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+        kinds.add("more")
+    return kinds
 
 
-def _apply(spark: SparkSession, root: str, base: str, number: int, name_of_change: str) -> None:
+def _apply(spark: SparkSession, root: str, base: str, number: int, change: str) -> None:
     """Bring staged files into the tables; doing it again changes nothing."""
-    staged = f"{root}/_changes/{name_of_change}"
+    what = json.loads(change)
+    staged = f"{root}/_changes/{what['folder']}"
     for name in schemas.SCHEMAS:
         target = f"{base}/{name}.parquet"
-        stored = spark.read.parquet(target).schema
-        touched = _read(spark, f"{staged}/touched/{name}", "part string")
-        if touched is not None:
+        if name in what["parts"]:
+            stored = spark.read.parquet(target).schema
             new = spark.read.schema(stored).parquet(f"{staged}/parts/{name}")
             (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(target))
             # A part that lost its last row has no staged row that would overwrite it.
+            touched = spark.read.parquet(f"{staged}/touched/{name}")
             for r in touched.join(new.select("part").distinct(), "part", "left_anti").collect():
                 new.drop("part").limit(0).write.mode("overwrite").parquet(f"{target}/part={r['part']}")
-        more = _read(spark, f"{staged}/more/{name}", stored)
-        if more is not None:
+        if name in what["more"]:
+            stored = spark.read.parquet(target).schema
+            more = spark.read.schema(stored).parquet(f"{staged}/more/{name}")
             parts = [r["part"] for r in more.select("part").distinct().collect()]
             there = spark.read.schema(stored).parquet(target).where(F.col("part").isin(parts)).select(*_key(name))
             # The keys that an interrupted run has appended are left out. The check reads keys of these parts only.
             fresh = more.join(there, _key(name), "left_anti")
             (fresh.repartitionByRange("part", *CLUSTER_ON[name]).sortWithinPartitions("part", *CLUSTER_ON[name])
              .write.mode("append").partitionBy("part").parquet(target))
-    _note(spark, root, number, name_of_change, "applied")
+    _note(spark, root, number, change, "applied")
 
 
 def write_changes(spark: SparkSession, root: str, result: JobResult, version: str | int) -> Written:
@@ -235,14 +231,11 @@ def write_changes(spark: SparkSession, root: str, result: JobResult, version: st
     parts are appended."""
     log = _log(spark, root)
     base, number = _current(log, root), _next(log, version)
-    change = f"{number}-{uuid.uuid4().hex[:8]}"  # a try that died leaves its own folder behind
-    staged, done = f"{root}/_changes/{change}", Written(base)
-    for name in schemas.SCHEMAS:
-        if any(name in d for d in (result.added, result.changed, result.deleted)):
-            part = _stage(spark, name, base, staged, result)
-            done.rows |= part.rows
-            done.nulls |= part.nulls
-            done.outside |= part.outside
+    folder = f"{number}-{uuid.uuid4().hex[:8]}"  # a try that died leaves its own folder behind
+    done = Written(base)
+    kinds = {name: _stage(spark, done, name, base, f"{root}/_changes/{folder}", result) for name in schemas.SCHEMAS
+             if any(name in d for d in (result.added, result.changed, result.deleted))}
+    change = json.dumps({"folder": folder, **{k: [n for n, some in kinds.items() if k in some] for k in ("parts", "more")}})
     _note(spark, root, number, change, "staged")
     _apply(spark, root, base, number, change)
     return done

@@ -5,12 +5,15 @@ current by streaming queries over an append-only event feed:
 
 - X-1 ``daily_sales``: watermarked event-time windows of one day, sum and count.
 - X-2 ``running_stock``: a running total per key (``+1``/``-1`` deltas), update mode.
-- X-3 ``run_feed``: movements and sales as one stream; ``foreachBatch`` joins each micro-batch
-  with batches, products, users and items and keeps the newest n. ``activity`` does so for
+- X-3 ``run_feed``: movements, and sales joined with their items as a stream-stream join, so a sale
+  shows once an item of it has come, whichever is delivered first; ``foreachBatch`` joins each
+  micro-batch with batches, products and users and keeps the newest n. ``activity`` does so for
   plain events and users.
 
 X-1, X-2 and ``activity`` de-duplicate repeated deliveries by event id within the watermark; the
-feed and the ledger balance do so by key, however late a row comes. Results
+feed and the ledger balance do so by key, however late a row comes (the feed's join may be given a
+time after which it forgets). The ledger balance is read from the query's own state, one row a
+batch (``ledger_balance``). Other results
 go to Parquet folders under the shared checkpoint folder through ``foreachBatch``: update
 mode writes the changed rows of each micro-batch tagged with the batch id, and
 ``latest`` resolves the current value per key (newest batch wins). Tests and the
@@ -63,6 +66,8 @@ def time_slices(df: DataFrame, ts_col: str, parts: int) -> list:
         cond = F.col(ts_col) >= F.lit(lo + step * i)
         if i < parts - 1:
             cond = cond & (F.col(ts_col) < F.lit(lo + step * (i + 1)))
+        else:
+            cond = cond | F.col(ts_col).isNull()
         conds.append(cond)
     return conds
 
@@ -243,33 +248,61 @@ def stream_activity(spark: SparkSession, events: DataFrame, users: DataFrame, n:
 FEED_KEY = ["activity_type", "movement_id", "sale_id"]
 
 
-def feed_events(inv: Inventory) -> DataFrame:
-    """Movements and sales as rows of one feed."""
-    moves = inv.movements.select(F.lit("batch").alias("activity_type"), *inv.movements.columns)
-    sold = inv.sales.select(F.lit("sale").alias("activity_type"), F.col("sale_date").alias("movement_date"),
-                            "sale_id", "user_id", "total_amount", "payment_method")
-    return moves.unionByName(sold, allowMissingColumns=True)
+def sold_items(sold: DataFrame, items: DataFrame, keep: str | None = None) -> DataFrame:
+    """The stream of (sale, item) pairs of a stream of sales and one of sale items.
+
+    Both sides wait in the state store for the other, so a sale may come before or after its items,
+    and each item of a sale gives one row. Repeated deliveries count once. Without ``keep`` nothing
+    is forgotten. With it (an interval such as ``"3 days"``) an item belongs to its sale only if their times
+    lie at most that far apart, rows later than that behind the newest one are dropped, and state
+    that can meet no row any more goes.
+    """
+    s = sold.select("sale_id", "user_id", "total_amount", "payment_method", F.col("sale_date").alias("movement_date"))
+    i = items.select(F.col("sale_id").alias("_sale"), "sale_item_id", F.col("created_at").alias("_at"))
+    if keep is None:
+        s, i, near = s.dropDuplicates(["sale_id"]), i.dropDuplicates(["sale_item_id"]), F.lit(True)
+    else:
+        s = s.withWatermark("movement_date", keep).dropDuplicatesWithinWatermark(["sale_id"])
+        i = i.withWatermark("_at", keep).dropDuplicatesWithinWatermark(["sale_item_id"])
+        span = F.expr(f"interval {keep}")
+        near = F.col("_at").between(F.col("movement_date") - span, F.col("movement_date") + span)
+    return (s.join(i, (F.col("sale_id") == F.col("_sale")) & near)
+            .select(F.lit("sale").alias("activity_type"), *s.columns, "sale_item_id"))
+
+
+def feed_stream(moves: DataFrame, sold: DataFrame, items: DataFrame, keep: str | None = None) -> DataFrame:
+    """Movements and (sale, item) pairs as rows of one stream, from three."""
+    return (moves.select(F.lit("batch").alias("activity_type"), *[c for c in moves.columns if c != "sale_item_id"])
+            .unionByName(sold_items(sold, items, keep), allowMissingColumns=True))
 
 
 def run_feed(stream: DataFrame, inv: Inventory, out: str, checkpoint: str, n: int, asof: AsOf | None = None,
              trigger: str | None = None):
-    """X-3: after each micro-batch of ``feed_events`` keep the newest ``n`` rows of R-15.
+    """X-3: after each micro-batch of ``feed_stream`` keep the newest ``n`` rows of R-15.
 
-    The micro-batch goes through the report's own plan with the current batches, products,
-    users and items, then is merged with the rows kept before. A row delivered again, however
-    late, has the same key and counts once; a replayed batch rewrites its own version. A batch
-    with no row that shows writes its predecessor's rows again.
+    The micro-batch goes through the report's own plan with the current batches, products and
+    users, then is merged with the rows kept before: a movement delivered again, however late, has the
+    same key and counts once, and a sale's items of several micro-batches add up. A sale that has left
+    the newest n cannot come back, so its count is not needed. A replayed batch rewrites its own
+    version. A batch with no row that shows writes its predecessor's rows again.
     """
+    rest = [c for c in sales.FEED_COLS if c not in (*FEED_KEY, "items_count")]
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()      # read for movements and for sales
+        batch.persist()      # read for movements, sales and items
         try:
-            once = batch.dropDuplicates(FEED_KEY)
-            moves = once.where(F.col("activity_type") == "batch").select(*inv.movements.columns)
-            sold = once.where(F.col("activity_type") == "sale").withColumnRenamed("movement_date", "sale_date")
-            rows = sales.feed_rows(inv.with_(movements=moves, sales=sold), asof, n)
+            moves = (batch.where(F.col("activity_type") == "batch").dropDuplicates(["movement_id"])
+                     .select(*[c for c in inv.movements.columns if c != "sale_item_id"]))
+            pairs = batch.where(F.col("activity_type") == "sale")
+            sold = (pairs.dropDuplicates(["sale_id"]).withColumnRenamed("movement_date", "sale_date")
+                    .select("sale_id", "user_id", "total_amount", "payment_method", "sale_date"))
+            rows = sales.feed_rows(inv.with_(movements=moves, sales=sold, sale_items=pairs.select("sale_id", "sale_item_id")),
+                                   asof, n)
             prev = newest_version(batch.sparkSession, out, before=batch_id)
             if prev is not None:
-                rows = prev.unionByName(rows).dropDuplicates(FEED_KEY)
+                rows = (prev.unionByName(rows).groupBy(*FEED_KEY)
+                        .agg(F.sum("items_count").alias("items_count"), F.max(F.struct(*rest)).alias("_r"))
+                        .select(*FEED_KEY, "items_count", "_r.*"))
             (rows.orderBy(*sales.feed_order()).limit(n).withColumn("_version", F.lit(batch_id).cast("long"))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("_version").parquet(out))
@@ -280,22 +313,26 @@ def run_feed(stream: DataFrame, inv: Inventory, out: str, checkpoint: str, n: in
                   .option("checkpointLocation", checkpoint), trigger)
 
 
-def stream_feed(spark: SparkSession, inv: Inventory, asof: AsOf, n: int = 4, parts: int = 4) -> DataFrame:
-    """Replay movements and sales in time order as one stream and return the labelled feed."""
+def stream_feed(spark: SparkSession, inv: Inventory, asof: AsOf, n: int = 4, parts: int = 4,
+                keep: str | None = None) -> DataFrame:
+    """Replay movements, sales and sale items, each in its own time order, as three streams and
+    return the labelled feed. Most items come after their sales."""
     landing, out, ckpt = replay_paths(spark, "feed")
-    rows = feed_events(inv)
-    replay_in_order(rows, "movement_date", landing, parts,
-                    lambda: run_feed(spark.readStream.schema(rows.schema).parquet(landing), inv, out, ckpt, n, asof))
+    tables = {"moves": (inv.movements, "movement_date"), "sales": (inv.sales, "sale_date"),
+              "items": (inv.sale_items.select("sale_id", "sale_item_id", "created_at"), "created_at")}
+    slices = {name: time_slices(df, ts, parts) for name, (df, ts) in tables.items()}
+    for i in range(parts):
+        for name, (df, _) in tables.items():
+            if i < len(slices[name]):
+                df.where(slices[name][i]).write.mode("append").parquet(f"{landing}/{name}")
+        streams = [spark.readStream.schema(df.schema).parquet(f"{landing}/{name}") for name, (df, _) in tables.items()]
+        run_feed(feed_stream(*streams, keep), inv, out, ckpt, n, asof)
     top = newest_version(spark, out)
     return sales.label_feed(sales.feed_rows(inv, asof, 0) if top is None else top, asof)
 
 
 # ---- X-2 over the stock ledger itself ------------------------------------------------
 LEDGER_FIELDS = ("movement_id", "batch_id", "movement_type", "quantity", "movement_date")
-LEDGER_SCHEMA = T.StructType([T.StructField("batch_id", T.StringType()), T.StructField("stock", T.LongType()),
-                              T.StructField("movements", T.LongType())])
-
-
 def ledger_stock(movements: DataFrame) -> DataFrame:
     """X-2 on the ledger: stock per batch as the running sum of signed movements.
 
@@ -308,12 +345,24 @@ def ledger_stock(movements: DataFrame) -> DataFrame:
                                      F.count(F.lit(1)).alias("movements"))
 
 
+def run_ledger(stream: DataFrame, checkpoint: str, trigger: str | None = None):
+    """Keep the balances of ``ledger_stock`` in the query's state; nothing else is written."""
+    return _start(stream.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint), trigger)
+
+
+def ledger_balance(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(batch_id, stock, movements) as the last micro-batch left them: the rows of the aggregation's
+    state, one a batch, read in parallel by state partition. No micro-batch's output is read again."""
+    operators = spark.read.format("state-metadata").load(checkpoint).where("operatorName = 'stateStoreSave'")
+    (aggregation,) = [r["operatorId"] for r in operators.select("operatorId").distinct().collect()]
+    state = spark.read.format("statestore").option("operatorId", aggregation).load(checkpoint)
+    return state.select("key.batch_id", F.col("value.sum").alias("stock"), F.col("value.count").alias("movements"))
+
+
 def stream_ledger_stock(spark: SparkSession, movements: DataFrame, parts: int = 4) -> DataFrame:
     """Replay a ledger table in time order as a stream and return stock per batch."""
-    landing, out, ckpt = replay_paths(spark, "ledger-stock")
+    landing, _, ckpt = replay_paths(spark, "ledger-stock")
     typed = movements.select(*LEDGER_FIELDS)
-    schema = typed.schema
     replay_in_order(typed, "movement_date", landing, parts,
-                    lambda: run_update(ledger_stock(spark.readStream.schema(schema).parquet(landing)),
-                                       out, ckpt))
-    return latest(spark, out, ["batch_id"], LEDGER_SCHEMA)
+                    lambda: run_ledger(ledger_stock(spark.readStream.schema(typed.schema).parquet(landing)), ckpt))
+    return ledger_balance(spark, ckpt)
