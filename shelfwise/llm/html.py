@@ -32,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?][^>]*>",
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?][^>]*>",
                    re.S)
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=/]+)")
 
 # Fixed values of HTML: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea title iframe svg math object select canvas".split())
+RAW = frozenset("script style template textarea title iframe svg select".split())
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot
 th thead tr ul""".split())
@@ -91,22 +92,28 @@ def parse(html: str) -> Element:
     open_: list[Element] = [top]
     hidden: list[int] = []  # depth of the unlikely element that is open, as its subtree is not kept
     at, n = 0, len(html)
+    last = html.rfind(">")  # no tag ends after it: what follows is text, but for a comment that is left open
+    unclosed: set[str] = set()
     while at < n:
-        m = TOKEN.search(html, at)
+        m = (TOKEN.search(html, at, last + 1) if at <= last else None) or COMMENT.search(html, at)
         stop = m.start() if m else n
         if stop > at and not hidden:
             open_[-1].children.append(unescape(html[at:stop]))
         if not m:
             break
         at = m.end()
-        if m[2] is None:
+        if m.re is COMMENT or m[2] is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break  # a comment left open hides the rest
             continue
         tag = m[2].lower()
         if m[1]:
             _end(tag, open_, hidden)
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(html, at)
+            if not close:
+                unclosed.add(tag)
             at = close.end() if close else n if tag in ("script", "style") else at
             continue
         if tag in ("html", "head"):

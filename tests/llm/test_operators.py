@@ -198,6 +198,21 @@ def test_main_text_inside_doubtful_elements():
     assert html.main_text(f"<body><main>{body}</main>{related}{comments}</body>") == text
 
 
+def test_pages_cut_off_inside_tags_take_linear_time():
+    import time
+    for part in ("<a", "x<y", "<a href='", "<!-", "<select>", "<div", 'x > <b "', "</p"):
+        start = time.perf_counter()
+        html.main_text(part * 20000)
+        assert time.perf_counter() - start < 5, part
+    assert html.main_text("<p>one, two <b") == "one, two <b"
+    assert html.main_text("<p>one, two <!-- three > four") == html.main_text("<p>one, two <!-- three") == "one, two"
+
+
+def test_formulas_and_embedded_text_stay():
+    body = "<p>The area is <math><mi>&#960;</mi><mi>r</mi></math> squared, of course, and so on.</p><object>A chart, described.</object>"
+    assert html.main_text(f"<body><article>{body}</article></body>") == "The area is πr squared, of course, and so on. A chart, described."
+
+
 def test_toxicity_learns_terms_and_misspellings(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(3, 8)))
