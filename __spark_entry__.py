@@ -29,7 +29,7 @@ from shelfwise.plans import checks, jobs, reports, sales
 from shelfwise.plans.allocation import allocate_sales, allocate_sales_by_day
 from shelfwise.session import scratch_path
 from shelfwise.sources import requests as req
-from shelfwise.sources import sinks, state
+from shelfwise.sources import sinks, state, tables
 from shelfwise.sources.derived import DRIVER_AS_OF, load_driver_inventory, with_faults
 from shelfwise.streaming import streams
 
@@ -263,6 +263,33 @@ def _documents(spark, sf_dir, inv):
     return sinks.flatten_documents(sinks.batch_documents(inv, ASOF, page_size=DOC_PAGE))
 
 
+def _text_dates(spark, sf_dir, inv):
+    """S-2: products whose expiry dates are stored as text, some zero and some malformed, read back apart."""
+    key, day = F.col("product_id"), F.col("expiry_date")
+    text = (F.when(F.col("expiry_date_zero"), F.lit("0000-00-00")).when(key % 11 == 0, F.date_format(day, "dd/MM/yyyy"))
+            .when(key % 17 == 0, F.lit("1998-02-30")).when(key % 19 == 0, F.lit("")).otherwise(day.cast("string")))
+    path = scratch_path(spark, "text-dates")
+    inv.products.withColumn("expiry_date", text).drop("expiry_date_zero").write.parquet(path)
+    clean, apart = tables.split_dates(spark.read.parquet(path), ["expiry_date"])
+    return clean.select("product_id", "expiry_date", "expiry_date_zero", F.lit(None).cast("string").alias("reject_reason")) \
+        .unionByName(apart.select("product_id", F.lit(None).cast("date").alias("expiry_date"),
+                                  F.lit(False).alias("expiry_date_zero"), "reject_reason"))
+
+
+def _report_files(spark, sf_dir, inv):
+    """S-4: the repurchase list written in its order over files of 100 rows, and read back."""
+    path = scratch_path(spark, "report")
+    sinks.write_ordered(reports.repurchase_list(inv, ASOF), path, ["-stocks_needed", "product_id"], rows_per_file=100)
+    return spark.read.parquet(path).select("position", "product_id", "stocks_needed")
+
+
+def _stock_by_sql(spark, sf_dir, inv):
+    """D-1: the stored function as a SQL function, called for every product."""
+    reports.register_sql_functions(inv, ASOF)
+    inv.products.createOrReplaceTempView("listed_products")
+    return spark.sql("SELECT product_id, available_stock(product_id) AS available FROM listed_products")
+
+
 DOC_PAGE = 4
 
 
@@ -329,6 +356,9 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "check_status": _job(_check(checks.check_status, with_asof=True)),
         "check_dates": _job(_check(checks.check_dates)),
         "batch_documents": _job(_documents),
+        "text_dates": _job(_text_dates),
+        "report_files": _job(_report_files),
+        "available_stock_sql": _job(_stock_by_sql),
         "stream_daily_sales": _stream("daily"),
         "stream_batch_stock": _stream("stock"),
         "stream_activity": _stream("activity"),

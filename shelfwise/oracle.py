@@ -167,7 +167,7 @@ SELECT batch_id, batch_number, product_id, product_name, category, quantity, soo
         WHERE days <= top ORDER BY top LIMIT 1) AS urgency_level
 FROM soon JOIN products USING (product_id)""", f"""soon AS (
   SELECT *, CAST(expiry_date - {AS_OF} AS INTEGER) AS days FROM product_batches
-  WHERE expiry_date - {AS_OF} <= 90 AND quantity <> 0 AND status IN ('available', 'low_stock', 'expired'))""")
+  WHERE quantity > 0 AND status <> 'depleted' AND expiry_date <= {AS_OF} + 90)""")
 
 # R-3
 ORACLE["reorder_list"] = q(f"""
@@ -179,6 +179,8 @@ FROM s WHERE stock <= reorder_level""", _stock_cte("s", UNEXPIRED))
 ORACLE["available_stock"] = q("""
 SELECT product_id, stock AS available FROM s""", _stock_cte("s", ALLOCATABLE))
 
+ORACLE["available_stock_sql"] = ORACLE["available_stock"]     # the same figures through the SQL function
+
 # R-5 + R-6
 ORACLE["inventory_kpis"] = q(f"""
 SELECT *,
@@ -209,6 +211,17 @@ ORACLE["repurchase_totals"] = q(f"""
 SELECT COUNT(*) AS total_items, CAST(COALESCE(SUM(stocks_needed), 0) AS BIGINT) AS total_units_needed
 FROM ({_REPURCHASE.format(extra="")})""", _stock_cte("s", FRESH))
 
+ORACLE["report_files"] = q(f"""
+SELECT row_number() OVER (ORDER BY stocks_needed DESC, product_id) AS position, product_id, stocks_needed
+FROM ({_REPURCHASE.format(extra="")})""", _stock_cte("s", FRESH))
+ORACLE["text_dates"] = q("""
+SELECT product_id, CASE WHEN product_id % 11 <> 0 AND product_id % 17 <> 0 AND product_id % 19 <> 0 THEN expiry_date END AS expiry_date,
+       expiry_date_zero,
+       CASE WHEN expiry_date_zero THEN NULL
+            WHEN product_id % 11 = 0 THEN 'expiry_date: ' || strftime(expiry_date, '%d/%m/%Y')
+            WHEN product_id % 17 = 0 THEN 'expiry_date: 1998-02-30' END AS reject_reason
+FROM products""")
+
 # R-9 with each filter, R-10
 ORACLE["catalog_all"] = _catalog_sql()
 ORACLE["catalog_search"] = _catalog_sql(

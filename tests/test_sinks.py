@@ -46,3 +46,36 @@ def test_report_formats_round_trip(spark, inv):
         reader = spark.read.option("header", True) if fmt == "csv" else spark.read
         back = getattr(reader, fmt)(path)
         assert back.count() == df.count()
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
+def test_ordered_report_files_read_one_after_another_are_the_report(spark, inv, fmt):
+    df = reports.repurchase_list(inv, ASOF)
+    path = scratch_path(spark, f"ordered-{fmt}")
+    sinks.write_ordered(df, path, ["-stocks_needed", "product_id"], fmt=fmt, rows_per_file=5)
+    want = [r.product_id for r in reports.repurchase_list(inv, ASOF, ordered=True).collect()]
+    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    held = [getattr(reader, fmt)(f).select(F.col("position").cast("int"), F.col("product_id").cast("long")).collect()
+            for f in sorted(getattr(reader, fmt)(path).inputFiles())]
+    assert all(len(rows) <= 5 for rows in held) and len(held) >= len(want) / 5
+    assert [tuple(r) for rows in held for r in rows] == list(enumerate(want, 1))
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_rows_with_malformed_dates_are_read_apart(spark, inv, fmt):
+    from shelfwise.sources.tables import load_apart
+    root = scratch_path(spark, "dates")
+    for name, df in inv.as_dict().items():
+        if name == "product_batches":
+            day = F.when(F.col("expiry_date_zero"), F.lit("0000-00-00")).when(F.col("batch_id") == "15", F.lit("2026-13-01")) \
+                .when(F.col("batch_id") == "16", F.lit("soon")).otherwise(F.col("expiry_date").cast("string"))
+            df = df.withColumn("expiry_date", day).drop("expiry_date_zero")
+        getattr(df.write.option("header", True), fmt)(f"{root}/{name}.{fmt}")
+    some = {r.batch_id for r in inv.batches.where("batch_id in ('15', '16')").collect()}
+    got, apart = load_apart(spark, root, fmt)
+    assert {(r.batch_id, r.reject_reason) for r in apart["product_batches"].collect()} \
+        == {x for x in (("15", "expiry_date: 2026-13-01"), ("16", "expiry_date: soon")) if x[0] in some}
+    assert got.batches.count() == 42 - len(some) and got.batches.where("expiry_date_zero").count() == 2
+    assert apart["sales"].count() == 0 and got.products.count() == 39
+    lenient = load(spark, root, fmt).batches
+    assert lenient.count() == 42 and lenient.where("expiry_date is null and not expiry_date_zero").count() == len(some)
