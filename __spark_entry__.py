@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
+from shelfwise.functions import rules
 from shelfwise.functions.dates import AsOf
 from shelfwise.oracle import ORACLE
 from shelfwise.plans import checks, jobs, reports, sales
@@ -276,6 +277,14 @@ def _text_dates(spark, sf_dir, inv):
                                   F.lit(False).alias("expiry_date_zero"), "reject_reason"))
 
 
+def _search_accents(spark, sf_dir, inv):
+    """F-1, F-2: products whose names and categories carry accents, found blind to them, with a wildcard."""
+    marked = {c: F.when(F.col("product_id") % 2 == 0, F.translate(c, "aeiouAEIOU", "áéïôùÂÈÍÖÛ")).otherwise(F.col(c))
+              for c in ("product_name", "category")}
+    found = rules.by_category(rules.search(inv.products.withColumns(marked), "BL_É"), "prömo")
+    return found.select("product_id", "product_name", "category")
+
+
 def _report_files(spark, sf_dir, inv):
     """S-4: the repurchase list written in its order over files of 100 rows, and read back."""
     path = scratch_path(spark, "report")
@@ -356,6 +365,7 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "check_status": _job(_check(checks.check_status, with_asof=True)),
         "check_dates": _job(_check(checks.check_dates)),
         "batch_documents": _job(_documents),
+        "search_accents": _job(_search_accents),
         "text_dates": _job(_text_dates),
         "report_files": _job(_report_files),
         "available_stock_sql": _job(_stock_by_sql),

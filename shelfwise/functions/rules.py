@@ -11,6 +11,8 @@ form for negation and output columns, ``stock_filter`` the pushable form for ``w
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,28 +78,39 @@ def stock_filter(name: str, asof: AsOf) -> Column:
     return STOCK_RULES[name](asof)
 
 
-def search(df: DataFrame, term: str | None, accent_insensitive: bool = False) -> DataFrame:
-    """F-1: case-insensitive substring search on name or category.
+# Letters that are a plain letter with marks, and that letter, by Unicode's own decomposition (Latin and its
+# extensions); then the marks that stand alone, which fold to nothing.
+_MARKED = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])
+           if unicodedata.normalize("NFD", c) != c and c == c.lower()}
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def folded(text: Column) -> Column:
+    """Text without case and accents, as the source's collation compares it."""
+    return F.translate(F.lower(text), "".join(_MARKED) + _MARKS, "".join(_MARKED.values()))
+
+
+def search(df: DataFrame, term: str | None, accent_insensitive: bool = True) -> DataFrame:
+    """F-1: substring search on name or category, blind to case and (by default) to accents.
 
     Empty and ``"0"`` mean no filter (PHP truthiness). ``%`` and ``_`` typed by the user
-    stay wildcards, as in the reference. ``accent_insensitive`` matches the reference's
-    collation more closely (case- and accent-blind) with a literal substring test.
+    stay wildcards, as in the reference.
     """
     if not term or term == "0":
         return df
     if accent_insensitive:
-        t = F.lit(term)
-        return df.where(F.contains(F.collate(F.col("product_name"), "UNICODE_CI_AI"), t)
-                        | F.contains(F.collate(F.col("category"), "UNICODE_CI_AI"), t))
+        pattern = F.concat(F.lit("%"), folded(F.lit(term)), F.lit("%"))
+        return df.where(F.like(folded(F.col("product_name")), pattern) | F.like(folded(F.col("category")), pattern))
     pattern = f"%{term}%"
     return df.where(F.col("product_name").ilike(pattern) | F.col("category").ilike(pattern))
 
 
 def by_category(df: DataFrame, category: str | None) -> DataFrame:
-    """F-2: category equality, in any case (as the source's collation has it); empty means no filter."""
+    """F-2: category equality, blind to case, accents and blanks at the end (as the source's collation
+    has it); empty means no filter."""
     if not category or category == "0":
         return df
-    return df.where(F.lower("category") == F.lower(F.lit(category)))
+    return df.where(folded(F.rtrim(F.col("category"))) == folded(F.rtrim(F.lit(category))))
 
 
 def by_stock_level(df: DataFrame, level: str | None, col: str = "total_stock") -> DataFrame:

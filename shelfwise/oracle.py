@@ -214,6 +214,14 @@ FROM ({_REPURCHASE.format(extra="")})""", _stock_cte("s", FRESH))
 ORACLE["report_files"] = q(f"""
 SELECT row_number() OVER (ORDER BY stocks_needed DESC, product_id) AS position, product_id, stocks_needed
 FROM ({_REPURCHASE.format(extra="")})""", _stock_cte("s", FRESH))
+ORACLE["search_accents"] = q("""
+SELECT product_id, product_name, category
+FROM (SELECT product_id, CASE WHEN product_id % 2 = 0 THEN translate(product_name, 'aeiouAEIOU', 'áéïôùÂÈÍÖÛ') ELSE product_name END
+               AS product_name,
+             CASE WHEN product_id % 2 = 0 THEN translate(category, 'aeiouAEIOU', 'áéïôùÂÈÍÖÛ') ELSE category END AS category
+      FROM products)
+WHERE (strip_accents(lower(product_name)) LIKE '%bl_e%' OR strip_accents(lower(category)) LIKE '%bl_e%')
+  AND strip_accents(lower(category)) = 'promo'""")
 ORACLE["text_dates"] = q("""
 SELECT product_id, CASE WHEN product_id % 11 <> 0 AND product_id % 17 <> 0 AND product_id % 19 <> 0 THEN expiry_date END AS expiry_date,
        expiry_date_zero,

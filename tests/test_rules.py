@@ -161,8 +161,17 @@ def test_null_reorder_level_is_dropped_by_having(spark):
 
 def test_accent_insensitive_search(spark):
     df = spark.createDataFrame([("Paracétamol", "OTC"), ("Ibuprofen", "OTC")], "product_name string, category string")
-    assert rules.search(df, "paracetamol").count() == 0
-    assert rules.search(df, "PARACETAMOL", accent_insensitive=True).count() == 1
+    assert rules.search(df, "paracetamol", accent_insensitive=False).count() == 0
+    assert rules.search(df, "PARACETAMOL").count() == 1
+    assert rules.search(df, "pära%t_mòl").count() == 1 and rules.search(df, "para_tamol").count() == 0  # wildcards
+
+
+def test_text_folds_as_the_collation_does(spark):
+    pairs = [("CRÈME brûlée", "creme brulee"), ("e\u0301té", "ete"), ("Ệ", "e"), ("Łódź", "łodz"), ("ñ%_", "n%_"), ("漢字", "漢字")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert all(r.x == r.b for r in df.select(rules.folded(df.a).alias("x"), "b").collect())
+    named = spark.createDataFrame([("Santé ",), ("sante",), ("SANTÉ",), ("santés",)], "category string")
+    assert named.transform(rules.by_category, "sanTè  ").count() == 3
 
 
 def test_sql_function_matches_available_stock(spark):
