@@ -30,8 +30,8 @@ Leaders and members meet sorted by leader, and a leader of many gets a share of
 (``PIECE``), so no task holds a whole group.
 
 Edge cases: null text is empty; texts without words are equal to their exact copies only; a null
-doc_id ranks last; rows that repeat a doc_id each get their class; an empty table gives an empty
-result; other columns are ignored.
+doc_id ranks last (a class of such documents only has a null id); different texts under one doc_id, or
+under none, are documents of their own, equal ones are one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import NULL_ID, chunks, keyed_texts, mix64, shingle_hashes, word_hashes, words
+from shelfwise.llm.common import NULL_ID, chunks, id_key, keyed_texts, mix64, shingle_hashes, word_hashes, words
 from shelfwise.llm.components import components
 from shelfwise.session import cut_lineage, scratch_path
 
@@ -53,6 +53,7 @@ BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 LEAST_ESTIMATE = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / SIZE) ** 0.5
 PIECE = 256
+OWN_NODES = 1 << 62  # from here on: nodes of texts that share a doc_id or have none; doc_ids lie below
 
 
 def bags(data: np.ndarray, ends: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,18 +296,28 @@ def _named(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
     return rows.join(known, "rep", "left").withColumn(name, F.coalesce("_root", "rep")).drop("_root")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id): one row per row of ``docs``; equal class ids are near duplicates."""
+def _nodes(signed: DataFrame) -> DataFrame:
+    """(body, _doc, rep, sig): each text with its smallest doc_id, which is also its node unless another
+    text has the same; texts that share theirs (or have none) get nodes of their own, from their digest."""
+    reps = signed.groupBy("body").agg(F.min("_k").alias("_doc"), F.any_value("sig").alias("sig"))
+    shared = reps.groupBy("_doc").agg(F.count("*").alias("_n")).where("_n > 1").select("_doc", F.lit(True).alias("_shared"))
+    own = F.lit(OWN_NODES) + F.shiftrightunsigned(F.xxhash64("body"), 2)
+    return (reps.join(shared, "_doc", "left")
+            .select("body", "_doc", F.when(F.col("_shared"), own).otherwise(F.col("_doc")).alias("rep"), "sig"))
+
+
+def _classed(docs: DataFrame) -> DataFrame:
+    """(_k, body, class_id) of every row; a class has the smallest doc_id of its texts (``NULL_ID`` if none)."""
     signed = cut_lineage(sign(docs))
-    reps = signed.groupBy("body").agg(F.min("_k").alias("rep"), F.any_value("sig").alias("sig"))
+    reps = cut_lineage(_nodes(signed))
     met = cut_lineage(band_rows(reps).where("rep > lead").groupBy("rep", "lead").agg(F.count("*").alias("_n")))
 
     # The texts that share a band with another one; all that follows reads only these.
     some = met.select("rep").union(met.select("lead")).distinct()
     path = scratch_path(docs.sparkSession, "near-duplicates")
     (reps.join(some.hint("merge"), "rep")
-     .join(keyed_texts(docs).select(F.col("_k").alias("rep"), _body().alias("body"), F.lower("text").alias("text")),
-           ["rep", "body"]).select("rep", "sig", "text").write.parquet(path))
+     .join(keyed_texts(docs).select(F.col("_k").alias("_doc"), _body().alias("body"), F.lower("text").alias("text")),
+           ["_doc", "body"]).select("rep", "sig", "text").write.parquet(path))
     texts = docs.sparkSession.read.parquet(path)
 
     # One leader each: of the leaders in its buckets, the one met most often.
@@ -319,13 +330,27 @@ def classes(docs: DataFrame) -> DataFrame:
     members = _named(_named(texts, groups, "grp"), components(links), "comp")
     roots = components(links.unionByName(connect(members)))
 
-    named = _named(reps.select("body", "rep"), roots, "comp").select("body", "comp")
-    return signed.join(named.hint("merge"), "body").select(
-        F.when(F.col("_k") != NULL_ID, F.col("_k")).alias("doc_id"),
-        F.when(F.col("comp") != NULL_ID, F.col("comp")).alias("class_id"))
+    named = _named(reps.select("body", "_doc", "rep"), roots, "comp")
+    # Only texts with a node of their own can have a doc_id under their class's least node.
+    low = named.where(F.col("rep") != F.col("_doc")).groupBy("comp").agg(F.min("_doc").alias("_low"))
+    doc_of = F.when(F.col("comp") < OWN_NODES, F.col("comp"))
+    named = named.join(low, "comp", "left").select(
+        "body", F.coalesce(F.least(doc_of, F.col("_low")), F.lit(NULL_ID)).alias("class_id"))
+    return signed.join(named.hint("merge"), "body").select("_k", "body", "class_id")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id): one row per row of ``docs``; equal class ids are near duplicates.
+
+    A document is its doc_id and its text: different texts under one doc_id are documents of their own.
+    """
+    return _classed(docs).select(F.when(F.col("_k") != NULL_ID, F.col("_k")).alias("doc_id"),
+                                 F.when(F.col("class_id") != NULL_ID, F.col("class_id")).alias("class_id"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of the smallest doc_id of each class."""
-    first = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    first = _classed(docs).where("_k = class_id").select(F.col("_k").alias("_id"), F.col("body").alias("_b")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.struct("*").alias("_row"), id_key("doc_id").alias("_id"), text.alias("text"))
+    return (keyed.select("_row", "_id", _body().alias("_b")).join(first, ["_id", "_b"], "left_semi").select("_row.*"))

@@ -93,6 +93,20 @@ def test_near_duplicate_classes_equal_brute_force(spark, monkeypatch):
     assert got == {d: find(d) for d in bags}
 
 
+def test_texts_that_share_a_doc_id_do_not_join_their_neighbours(spark):
+    rng = random.Random(11)
+    text = lambda: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80)]
+    one, two, three = text(), text(), text()
+    near = lambda w: " ".join([*w[:-1], "other"])
+    for shared in (5, None):
+        rows = [(1, " ".join(one)), (2, " ".join(two)), (shared, near(one)), (shared, near(two)), (7, " ".join(three)), (shared, near(three))]
+        got = sorted((r.doc_id or 0, r.class_id) for r in minhash.classes(table(spark, rows)).collect())
+        low = 5 if shared else 7  # the third class: its smallest doc_id
+        assert got == sorted([(1, 1), (2, 2), (shared or 0, 1), (shared or 0, 2), (7, low), (shared or 0, low)])
+        kept = sorted((r.doc_id, r.text) for r in minhash.representatives(table(spark, rows)).collect())
+        assert kept == sorted([rows[0], rows[1], rows[5] if shared else rows[4]])
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     some = np.sort(rng.integers(0, 2**63, 40).astype(np.uint64))
