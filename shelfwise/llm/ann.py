@@ -3,8 +3,8 @@
 Vectors are cut in two halves and each half is quantised by a codebook of its own (k-means on at
 most ``MAX_SAMPLE`` vectors); every vector is an entry of the cell of its two centroids. A query
 walks through pairs of centroids by growing sum of their squared distances to its halves, taken
-from a heap (``nearest_cells``), until the cells passed hold ``SHARE`` of all entries (and at least
-``MIN_ENTRIES``). All entries of these cells are reranked by exact distance.
+from a heap (``nearest_cells``), until the cells passed hold ``SHARE`` of all entries (at any size;
+``k`` and the query's own at least, so that ``k`` are found where there are as many). All entries of these cells are reranked by exact distance.
 
 ``SHARE`` is high since distances of vectors without structure lie close together. Recall against
 brute force, measured on the test tables, is in the README.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 CENTROIDS = 32
 MAX_SAMPLE = 20_000
 ROUNDS = 15
-SHARE, MIN_ENTRIES = 0.6, 2_000
+SHARE = 0.6
 BLOCK, QUERIES = 8_192, 2_048
 
 FOUND = "query_id long, rank int, vec_id long, score double"
@@ -154,10 +154,10 @@ class Index:
                                                      names=["vec_id", "v", "cell"])
         return self.vectors.mapInArrow(run, "vec_id long, v array<double>, cell long")
 
-    def visits(self, queries: DataFrame) -> DataFrame:
+    def visits(self, queries: DataFrame, k: int) -> DataFrame:
         """(vec_id, v, block, cells): the blocks a query visits and the cells it wants of each."""
         index = self._light()
-        need = max(MIN_ENTRIES, int(np.ceil(SHARE * self.total)))
+        need = max(k + 1, int(np.ceil(SHARE * self.total)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -217,7 +217,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     entries = index.assigned().select(
         "vec_id", "v", "cell", (F.element_at(tables[1], (F.col("cell") + 1).cast("int")) + piece).alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    wishes = index.visits(asked).withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
+    wishes = index.visits(asked, k).withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(wish: pa.Table, entry: pa.Table) -> pa.Table:
