@@ -309,7 +309,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
     drawn = marked.where(draw < F.when(F.col("toxic") == 1, max_toxic / counts[1]).otherwise(max_clean / counts[0]))
     drawn = F.broadcast(drawn.limit(2 * (max_toxic + max_clean)))  # bounded by the limit
-    got = (_texts(docs).join(drawn, "doc_id").dropDuplicates(["text"]).select("text", "toxic")
+    got = (_texts(docs).join(drawn, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
            .limit(2 * (max_toxic + max_clean)).toArrow())
     rows = sorted(zip(got.column("toxic").to_pylist(), got.column("text").to_pylist()))
     toxic, clean = ([t for y, t in rows if y == want] for want in (1, 0))
