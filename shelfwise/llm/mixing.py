@@ -14,14 +14,12 @@ floor(target / source size) times and, in the last epoch, as far as the remainde
 Curriculum. Over training time t in [0, 1] source weights change linearly: a source's share of
 its own demand has the density ``1 + slope * (1 - 2 t)``, slope in [-1, 1] falling from +1 for the
 first source to -1 for the last, so early sources come early. Its integral, the cumulative
-demand ``D(t) = t + slope * t * (1 - t)``, is inverted in closed form at the share of the
-source's words that stands before a document: that is the document's training position (of its
-first reading, as a share of one epoch). ``curriculum`` range-sorts the documents by it.
-
-Readings. ``readings`` has a row for every time a document is read: epoch e reads the document's
-words from e * (source size) + (the words before it) on, and that running count of the source's taken
-words, divided by its target, is where the cumulative demand is inverted. So a source delivers over all
-of the run, whatever its target, and what is not taken has no row.
+demand ``D(t) = t + slope * t * (1 - t)``, is inverted in closed form: epoch e reads a document's
+words from e * (source size) + (the words of its source before it) on, and that running count of the
+source's taken words, divided by its target, is the share at which the demand is inverted. That is the
+training position of the reading. So a source delivers over all of the run, whatever its target, and what
+is not taken has no position. ``curriculum`` has a row for every document, range-sorted by its first
+position; ``readings`` a row for every reading, range-sorted by its own.
 
 Running sums within a source never need a whole source in one task: md5 prefixes cut each source
 into ``BUCKETS`` blocks (by construction of similar size), block totals are combined map-side,
@@ -30,7 +28,7 @@ and only those totals (sources x BUCKETS rows) are summed up over a source.
 Edge cases: null text has size 0; a null source is a source of its own, ranked last; a null
 doc_id is ordered by the md5 of the empty text; rows that repeat a doc_id are told apart by their
 text's md5, and equal rows have equal results up to the order among themselves; sources without
-words get target 0; an empty table gives an empty result; other columns are ignored.
+words get target 0; documents without taken words have no position and come last; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -103,16 +101,25 @@ def _inverse(share: Column) -> Column:
 
 
 def mix(docs: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """doc_id, size, source_size, target, taken, position: one row per document."""
+    """doc_id, size, source_size, target, taken, position, positions: one row per document.
+
+    ``positions`` has a training position for each reading, ``position`` is the first (null if never read).
+    """
     placed = _placed(docs, max_repeat)
     goal = F.round(F.col("target")).cast("long")
     words = F.greatest(F.col("source_size"), F.lit(1))
     epochs = F.floor(goal / words)
     last = F.least(F.col("size"), F.greatest(goal - epochs * words - F.col("_start"), F.lit(0)))
-    share = F.when(F.col("target") > 0, F.least(F.col("_start") / words, F.lit(1.0))).otherwise(F.lit(1.0))
-    return placed.select(
-        "doc_id", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"),
-        _inverse(share).alias("position"))
+
+    def begin(epoch: Column) -> Column:
+        return epoch * F.col("source_size") + F.col("_start")
+
+    every = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(goal / words).cast("long") - 1, F.lit(0)))
+    read = F.filter(every, lambda e: (F.col("size") > 0) & (begin(e) < goal))
+    positions = F.transform(read, lambda e: _inverse(F.least(begin(e) / F.greatest(goal, F.lit(1)), F.lit(1.0))))
+    return (placed.withColumn("positions", positions)
+            .select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"),
+                    F.get("positions", F.lit(0)).alias("position"), "positions"))
 
 
 def readings(docs: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -129,6 +136,7 @@ def readings(docs: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
 
 
 def curriculum(docs: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """``mix`` range-sorted by training position (ties by doc_id): read in order, it is the run."""
+    """``mix`` range-sorted by first training position (ties by doc_id, documents that are not read last)."""
     mixed = mix(docs, max_repeat)
-    return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last()]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order)

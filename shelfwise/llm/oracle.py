@@ -3,26 +3,46 @@
 from shelfwise.llm.licenses import MAX_SHIFT, MAX_STRETCH, MIN_SHARE, MIN_VOTES, TEXTS
 
 OP1 = r"""
-WITH units AS (
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), units AS (
   SELECT rid, doc_id, unnest(units) AS unit, unnest(range(1, len(units) + 1)) AS pos
-  FROM (SELECT row_number() OVER () AS rid, doc_id,
-               regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+|[^.!?\n]+') AS units FROM documents)
+  FROM (SELECT rid, doc_id, regexp_extract_all(text, '[^.!?。！？\n]*[.!?。！？\n][.!?。！？ \t\n\x0b\x0c\r]*|[^.!?。！？\n]+') AS units
+        FROM texts)
 ), keyed AS (
-  SELECT *, lower(trim(regexp_replace(regexp_replace(unit, '[.!?\n]+$', ''), '[ \t\n\x0b\x0c\r]+', ' ', 'g'))) AS key
-  FROM units
+  SELECT rid, doc_id, pos, unit, lower(ltrim(regexp_replace(regexp_replace(
+           unit, '[.!?。！？ \t\n\x0b\x0c\r]+$', ''), '[ \t\n\x0b\x0c\r]+', ' ', 'g'))) AS key,
+         sum(length(unit)) OVER w - length(unit) AS start,
+         count(*) FILTER (length(unit) - length(replace(unit, chr(10), '')) > 1) OVER w
+           - (length(unit) - length(replace(unit, chr(10), '')) > 1)::INT AS para
+  FROM units WINDOW w AS (PARTITION BY rid ORDER BY pos)
+), paras AS (
+  SELECT rid, para, row_number() OVER (PARTITION BY whole ORDER BY doc_id NULLS LAST, rid, para) > 1 AS copied
+  FROM (SELECT rid, doc_id, para, string_agg(key, chr(10) ORDER BY pos) AS whole
+        FROM keyed WHERE key <> '' GROUP BY rid, doc_id, para)
 ), judged AS (
-  SELECT *, length(key) - length(replace(key, ' ', '')) + 1 >= 8
-            AND row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS LAST, rid, pos) > 1 AS gone
-  FROM keyed
+  SELECT *, key = '' OR row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS LAST, rid, pos) > 1 AS again FROM keyed
+), runs AS (
+  SELECT j.*, coalesce(copied, FALSE) AS copied, pos - row_number() OVER (PARTITION BY j.rid, again ORDER BY pos) AS run
+  FROM judged j LEFT JOIN paras p ON p.rid = j.rid AND p.para = j.para
+), marked AS (
+  SELECT *, again AND (copied OR sum(length(key)) OVER (PARTITION BY rid, again, run) >= 100) AS gone FROM runs
+), islands AS (
+  SELECT rid, min(start) AS start, max(start + length(unit)) AS stop
+  FROM (SELECT *, pos - row_number() OVER (PARTITION BY rid ORDER BY pos) AS island FROM marked WHERE gone)
+  GROUP BY rid, island
+), spans AS (
+  SELECT rid, string_agg(start || '-' || stop, ',' ORDER BY start) AS spans FROM islands GROUP BY rid
 ), done AS (
   SELECT rid, count(*) AS n_units, sum(gone::INT) AS n_removed,
          coalesce(sum(length(unit)) FILTER (gone), 0) AS n_chars_removed,
          coalesce(string_agg(unit, '' ORDER BY pos) FILTER (NOT gone), '') AS kept
-  FROM judged GROUP BY rid
+  FROM marked GROUP BY rid
 )
-SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
-       coalesce(n_chars_removed, 0)::BIGINT AS n_chars_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) d LEFT JOIN done USING (rid)
+SELECT t.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_chars_removed, 0)::BIGINT AS n_chars_removed, coalesce(spans, '') AS spans,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts t LEFT JOIN done USING (rid) LEFT JOIN spans USING (rid)
 """
 
 OP5 = r"""
@@ -49,18 +69,25 @@ WITH sized AS (
          CASE WHEN n > 1 THEN 1.0::DOUBLE - 2.0::DOUBLE * (rk - 1) / (n - 1) ELSE 0.0::DOUBLE END AS slope
   FROM weighed, water
 ), placed AS (
-  SELECT s.*, g.source_size, g.target, g.slope, round(target)::BIGINT AS goal, greatest(source_size, 1) AS total,
+  SELECT s.*, g.source_size, g.target, g.slope, round(target)::BIGINT AS goal,
          sum(size) OVER (PARTITION BY s.source ORDER BY place ROWS UNBOUNDED PRECEDING) - size AS start
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
-), shared AS (
-  SELECT *, CASE WHEN target > 0 THEN least(start::DOUBLE / total, 1.0) ELSE 1.0 END AS share, 1.0::DOUBLE + slope AS b
-  FROM placed
+), reads AS (
+  SELECT *, unnest([0, 1, 2]) AS epoch FROM placed
+), timed AS (
+  SELECT *, epoch * source_size + start < goal AND size > 0 AS taken,
+         least((epoch * source_size + start)::DOUBLE / greatest(goal, 1), 1.0) AS share, 1.0::DOUBLE + slope AS b FROM reads
+), placed_reads AS (
+  SELECT *, CASE WHEN NOT taken THEN NULL
+                 WHEN share > 0 THEN least(2 * share / (b + sqrt(greatest(b * b - 4 * slope * share, 0.0))), 1.0)
+                 ELSE 0.0 END AS position
+  FROM timed
 )
 SELECT doc_id, size, source_size, target,
-       ((goal // total) * size + least(size, greatest(goal - (goal // total) * total - start, 0)))::BIGINT AS taken,
-       CASE WHEN share > 0 THEN least(2 * share / (b + sqrt(greatest(b * b - 4 * slope * share, 0.0))), 1.0)
-            ELSE 0.0 END AS position
-FROM shared
+       sum(CASE WHEN taken THEN least(size, goal - epoch * source_size - start) ELSE 0 END)::BIGINT AS taken,
+       max(position) FILTER (epoch = 0) AS position, max(position) FILTER (epoch = 1) AS position_2,
+       max(position) FILTER (epoch = 2) AS position_3
+FROM placed_reads GROUP BY doc_id, place, size, source_size, target, source, start
 """
 
 OP7 = r"""

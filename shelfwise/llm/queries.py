@@ -24,9 +24,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentence-hash dedup of ``documents``: removed units and spans, and the digest of the rest."""
+    """Paragraph and sentence dedup of ``documents``: removed units, their offsets, and the digest of the rest."""
     done = substring.remove(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_units", "n_removed", "n_chars_removed", "kept_sha256")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["stop"])), ",")
+    return done.select("doc_id", "n_units", "n_removed", "n_chars_removed", spans.alias("spans"), "kept_sha256")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +48,10 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mix of all ``documents`` to target weights, in training order."""
-    return mixing.curriculum(table(spark, sf_dir, "documents"))
+    """Mix of all ``documents`` to target weights, in training order; a position for each of up to three readings."""
+    return mixing.curriculum(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "position",
+        *(F.get("positions", F.lit(e)).alias(f"position_{e + 1}") for e in (1, 2)))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfwise.llm import ann, decontam, html, langid, lines, minhash, mixing, substring, suffix, toxicity
 
@@ -158,6 +159,32 @@ def test_search_finds_the_nearest(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_the_index_finds_nine_of_ten(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], "a", 0) for i in range(6000)],
+                               "vec_id long, embedding array<double>, cell string, block int")  # names of the index's own columns
+    found = collections.defaultdict(set)
+    for r in ann.search(df, df.where("vec_id % 100 = 0")).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 6000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(found[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 540
+    index = ann.Index(ann.usable(df))  # and the index decides: a query does not meet all entries
+    for r in index.visits(ann.usable(df).where("vec_id % 1000 = 0"), 10).groupBy("vec_id").agg(F.flatten(F.collect_list("cells")).alias("c")).collect():
+        assert 3600 <= sum(int(index.entries[c]) for c in set(r.c)) < 4500
+
+
+def test_search_with_few_vectors_and_ties(spark):
+    rows = [(i, [1.0 + i % 2, 2.0]) for i in range(9)] + [(4, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in ann.search(df, df.where("vec_id = 0")).collect())
+    assert [v for _, v, _ in got if v != 4] == [2, 6, 8, 1, 3, 5, 7] and [r for r, _, _ in got] == list(range(1, len(got) + 1))
+
+
 def test_decontamination_finds_edited_copies(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
@@ -314,7 +341,9 @@ def test_mix_meets_its_targets(spark):
     by = collections.defaultdict(list)
     for r in done:
         by[(r.source_size, r.target)].append(r)
-        assert 0 <= r.taken <= 3 * r.size and 0.0 <= r.position <= 1.0
+        assert 0 <= r.taken <= 3 * r.size and (r.position is None) == (r.taken == 0)
+        assert r.positions == sorted(r.positions) and all(0.0 <= p <= 1.0 for p in r.positions)
+        assert len(r.positions) == -(-r.taken // max(1, r.size)) and r.positions[:1] == [r.position][:r.taken]
     total = sum(r.size for r in done)
     assert abs(sum(t for _, t in by) - total) < 1e-6 * total
     for (_, target), some in by.items():
@@ -368,8 +397,59 @@ def test_odd_rows_and_empty_tables(spark, name):
     assert OPERATORS[name](docs.limit(0)).collect() == []
 
 
-def test_sentence_dedup_keeps_the_first(spark):
-    same = "A sentence of more than eight words stands here twice."
-    rows = [(1, f"Start. {same} End."), (2, f"Other words! {same}"), (3, f"{same} {same.upper()}"), (4, "Few words. Few words.")]
-    got = {r.doc_id: (r.n_removed, r.kept_text) for r in substring.remove(table(spark, rows)).collect()}
-    assert got == {1: (0, rows[0][1]), 2: (1, "Other words!"), 3: (2, ""), 4: (0, rows[3][1])}
+def test_substring_dedup_keeps_the_first(spark):
+    same = "A long sentence, of a hundred code points and some more, stands here twice, so that it is a repeated passage."
+    short = "Yes. No!\nSo it is.\nShort lines, many of them. Each is too short to count, but not all of them together, as a run of lines."
+    rows = [(1, f"Start. {same} End."), (2, f"Other words! {same}"), (3, f"{same} {same.upper()}"), (4, "Few words. Few words."),
+            (5, short), (6, f"New one. {short} New two. Yes. New three."), (7, "页面。\n\n另一个段落。" + "很长的中文句子" * 20 + "。"),
+            (8, "另一个段落。" + "很长的中文句子" * 20 + "。新的。"), (9, "Tiny page. Ok."), (10, "New page.\n\nTINY  page? Ok...\r\n\r\nEnd.")]
+    got = {r.doc_id: (r.n_removed, r.kept_text, [tuple(s) for s in r.spans]) for r in substring.remove(table(spark, rows)).collect()}
+    kept = {1: rows[0][1], 2: "Other words! ", 3: "", 4: rows[3][1], 5: short, 6: "New one. New two. Yes. New three.", 7: rows[6][1],
+            8: "新的。", 9: rows[8][1], 10: "New page.\n\nEnd."}
+    assert {d: t for d, (_, t, _) in got.items()} == kept
+    for d, text in rows:
+        n, rest, spans = got[d]
+        assert "".join(text[b:e] for b, e in zip([0, *(e for _, e in spans)], [*(b for b, _ in spans), len(text)])) == rest
+        assert spans == sorted(spans) and (n > 0) == bool(spans)
+
+
+def test_substring_dedup_equals_brute_force(spark):
+    rng = random.Random(21)
+    stock = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    rows = [(i, "".join(rng.choice(stock) + rng.choice([". ", "! ", "\n", ".\n\n", " \n \n", "。", "? "])
+                        for _ in range(rng.randint(0, 14)))) for i in range(120)]
+    rows += [(200 + i, t) for i, (_, t) in enumerate(rows[:30])] + [(300, None), (301, "...\n\n!")]
+    marks, blank = ".!?。！？", " \t\n\x0b\x0c\r"
+    seen, copied, want = set(), set(), {}
+    for d, text in sorted(rows):
+        text, at, units, para = text or "", 0, [], 0
+        while at < len(text):  # units, character by character
+            stop = at
+            while stop < len(text) and text[stop] not in marks + "\n":
+                stop += 1
+            while stop < len(text) and text[stop] in marks + blank:
+                stop += 1
+            unit = text[at:stop]
+            units.append((para, unit, " ".join(unit.rstrip(marks + blank).split()).lower()))
+            para += unit.count("\n") > 1
+            at = stop
+        again, gone = [], set()
+        for _, _, key in units:
+            again.append(not key or key in seen)
+            seen.add(key)
+        for p in range(para + 1):
+            mine = [i for i, u in enumerate(units) if u[0] == p]
+            whole = tuple(units[i][2] for i in mine if units[i][2])
+            gone |= set(mine) if whole and whole in copied else set()
+            copied.add(whole)
+        for i in range(len(units)):
+            low, high = i, i
+            while again[i] and low > 0 and again[low - 1]:
+                low -= 1
+            while again[i] and high < len(units) - 1 and again[high + 1]:
+                high += 1
+            if again[i] and sum(len(u[2]) for u in units[low:high + 1]) >= 100:
+                gone.add(i)
+        want[d] = (len(units), len(gone), "".join(u[1] for i, u in enumerate(units) if i not in gone))
+    got = {r.doc_id: (r.n_units, r.n_removed, r.kept_text) for r in substring.remove(table(spark, rows)).collect()}
+    assert got == want and 30 < sum(n > 0 for _, n, _ in want.values()) < len(want)
