@@ -20,8 +20,11 @@ input. Running values use ``operators.scan`` (no single task per product).
 
 Modes:
 - ``partial``: what fits stays taken; a line that is short keeps its partial take.
-- ``strict``: a line that does not fit whole takes nothing (the caller rolls back).
-  Acceptance is decided in at most 64 rounds of prefix sums (see ``strict_accept``).
+- ``strict``: a line that does not fit whole takes nothing (the caller rolls back). Each line
+  depends on the one before it, so a product's lines are served in order by one task, with a
+  constant amount of memory (``serve_in_order``: one shuffle for all products). A product of more
+  than ``LINES_PER_TASK`` lines is decided by all tasks in at most 64 rounds of prefix sums
+  (``strict_accept``).
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ from shelfwise.session import cut_lineage
 SUPPLY_ORDER = ["expiry_date", "received_date", "batch_id"]
 DEMAND_ORDER = ["demand_date", "sale_id", "line_no", "supp_id", "sale_item_id"]
 LINE_FIELDS = ["sale_item_id", "sale_id", "tag_item", "user_id"]
+# Strict demand lines of one product that one task serves (about a second's work); both ways decide alike.
+LINES_PER_TASK = 1_000_000
 
 
 @dataclass
@@ -181,6 +186,69 @@ def strict_accept(lines: DataFrame, sup_total: DataFrame, order=DEMAND_ORDER, by
     return out
 
 
+def serve_in_order(lines: DataFrame, sup_total: DataFrame, order=DEMAND_ORDER) -> DataFrame:
+    """Serve each product's ``lines`` (as for ``strict_accept``) one by one in ``order``.
+
+    The supply totals travel with the lines as rows that sort before them, so there is no join:
+    one shuffle by product, a sort, and a pass that keeps a product's position and total only.
+    Adds ``accepted`` and ``d_lo``, where an accepted line starts on the supply line (else NULL).
+    """
+    supply = (sup_total.where(F.col("product_id").isNotNull())
+              .select("product_id", F.lit(True).alias("_supply"), F.col("s_total").alias("q")))
+    rows = (supply.unionByName(lines.withColumn("_supply", F.lit(False)), allowMissingColumns=True)
+            .repartition("product_id")
+            .sortWithinPartitions("product_id", F.col("_supply").desc(), *order))
+
+    def serve(batches):
+        import pyarrow as pa
+
+        product, total, at = object(), 0, 0
+        for batch in batches:
+            accepted, start = [], []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist()
+                       for c in ("product_id", "_supply", "q", "floor")]
+            for key, is_supply, q, floor in zip(*columns):
+                if key != product:
+                    product, total, at = key, 0, 0
+                if is_supply:
+                    total = q
+                    accepted.append(None)
+                    start.append(None)
+                    continue
+                at = max(at, floor)
+                fits = q <= total - at
+                accepted.append(fits)
+                start.append(at if fits else None)
+                at += q if fits else 0
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(accepted, pa.bool_()), pa.array(start, pa.int64())],
+                [*batch.schema.names, "accepted", "d_lo"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType()),
+                           T.StructField("d_lo", T.LongType())])
+    return rows.mapInArrow(serve, schema).where(~F.col("_supply")).drop("_supply")
+
+
+def _strict(lines: DataFrame, sup_total: DataFrame, demand: DataFrame, order, by_day: bool) -> tuple[DataFrame, DataFrame]:
+    """The demand intervals of the lines that fit whole, and the decision on every line."""
+    interval = ["product_id", *LINE_FIELDS, "d_hi", "d_lo"]
+    # Counted on the demand as given, of which ``lines`` are a part: at most one product a million rows.
+    hot = cut_lineage(demand.groupBy("product_id").count().where(F.col("count") > LINES_PER_TASK).select("product_id"))
+    any_hot = bool(hot.take(1))
+    served = cut_lineage(serve_in_order(lines.join(hot, "product_id", "left_anti") if any_hot else lines,
+                                        sup_total, order))
+    intervals = served.where("accepted").withColumn("d_hi", F.col("d_lo") + F.col("q")).select(*interval)
+    decisions = served.select("sale_item_id", "accepted")
+    if not any_hot:
+        return intervals, decisions
+    long = cut_lineage(lines.join(hot, "product_id", "left_semi"))
+    wanted = list(dict.fromkeys(["product_id", "sale_item_id", "q", "floor", *order]))
+    ruled = strict_accept(long.select(*wanted), sup_total, order, by_day)
+    kept = long.join(ruled.where("accepted").select("sale_item_id"), "sale_item_id", "left_semi")
+    return (intervals.unionByName(_demand_intervals(kept, order, by_day).select(*interval)),
+            decisions.unionByName(ruled))
+
+
 def _tags(items: DataFrame, demand: DataFrame) -> DataFrame:
     """W-3: the latest sale item of each (sale, product) that has demand: the greatest key.
 
@@ -215,12 +283,11 @@ def _run(demand: DataFrame, batches: DataFrame, allocatable: Column, touched_aso
     sup, live = _positions(cand, live, order, by_day)
     if mode == "strict":
         totals = cand.groupBy("product_id").agg(F.sum("s_qty").alias("s_total"))
-        wanted = list(dict.fromkeys(["product_id", "sale_item_id", "q", "floor", *order]))
-        decisions = strict_accept(live.select(*wanted), totals, order, by_day)
-        live = live.join(decisions.where("accepted").select("sale_item_id"), "sale_item_id", "left_semi")
+        wanted, decisions = _strict(live, totals, demand, order, by_day)
     else:
+        wanted = _demand_intervals(live, order, by_day)
         decisions = live.select("sale_item_id", F.lit(True).alias("accepted"))
-    alloc = overlap_sweep(sup, _demand_intervals(live, order, by_day))
+    alloc = overlap_sweep(sup, wanted)
     if by_day:
         alloc = alloc.join(demand.select("sale_item_id", F.col(order[0]).alias("day")), "sale_item_id")
 

@@ -155,6 +155,41 @@ def test_allocation_by_day_matches_sequential(spark, mode):
     assert got == _simulate_days(batches, lines, mode)
 
 
+@pytest.mark.parametrize("by_day", [False, True])
+def test_long_products_are_decided_alike(spark, monkeypatch, by_day):
+    """Products over the line limit go by rounds, the others in order by one task: same rows."""
+    from shelfwise.operators import fefo
+    batches, lines = _data(33, hot_share=0.5, n_batches=60, n_lines=120)
+    b = conform("product_batches", spark.createDataFrame(
+        batches, "batch_id string, product_id long, batch_number string, quantity int, original_quantity int, "
+                 "expiry_date date, received_date date, status string"))
+    d = spark.createDataFrame(lines, "sale_item_id string, sale_id long, line_no int, product_id long, "
+                                     "supp_id long, quantity int, demand_date date")
+
+    def run():
+        res = fefo.allocate_by_day(d, b, "strict") if by_day else fefo.allocate(d, b, ASOF, "strict")
+        return (sorted(map(str, res.allocations.select("sale_item_id", "batch_id", "taken", "remaining_after").collect())),
+                sorted(map(str, res.decisions.select("sale_item_id", "accepted").collect())))
+
+    one_task = run()
+    monkeypatch.setattr(fefo, "LINES_PER_TASK", 20)      # product 1 alone has more
+    assert run() == one_task
+
+
+def test_strict_serves_in_one_shuffle(spark):
+    """Lines, product keys that are null or without supply, and text keys; no join, one exchange."""
+    from shelfwise.operators import fefo
+    lines = spark.createDataFrame([("a", 1, 3, 0), ("a", 2, 9, 0), ("a", 3, 2, 6), ("a", 4, 2, 6), ("b", 5, 1, 0), (None, 6, 1, 0)],
+                                  "product_id string, sale_item_id long, q long, floor long")
+    totals = spark.createDataFrame([("a", 9), (None, 5), ("c", 4)], "product_id string, s_total long")
+    out = fefo.serve_in_order(lines, totals, ["sale_item_id"])
+    assert {r.sale_item_id: (r.accepted, r.d_lo) for r in out.collect()} == {
+        1: (True, 0), 2: (False, None), 3: (True, 6), 4: (False, None), 5: (False, None), 6: (False, None)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan
+    assert fefo.serve_in_order(lines.limit(0), totals, ["sale_item_id"]).count() == 0
+
+
 def test_strict_rounds_do_not_grow_with_the_lines(spark, monkeypatch):
     """Lines 1, 20, 1, 19, 1, 18, ... on 20 units: each large line just misses."""
     from shelfwise.operators import fefo
