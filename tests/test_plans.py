@@ -43,3 +43,13 @@ def test_feed_joins_only_its_top_rows(spark, tmp_path):
     plan = _plan(sales.activity_feed(inv, DRIVER_AS_OF, n=4))
     assert "TakeOrderedAndProject" in plan and "LeftSemi" in plan
     assert "In(batch_id" not in plan                          # no keys were collected while planning
+
+
+def test_feed_cuts_the_ledger_before_its_shuffle(spark, tmp_path):
+    from shelfwise.plans import sales
+    from shelfwise.sources.derived import DRIVER_AS_OF, load_driver_inventory, materialize
+    inv = materialize(spark, load_driver_inventory(spark, SF001), str(tmp_path / "g"))
+    plan = sales.activity_feed(inv, DRIVER_AS_OF, n=4)._jdf.queryExecution().executedPlan().toString().splitlines()
+    steps = [step for line in plan for step in ("Final", "Exchange", "Partial")
+             if ("WindowGroupLimit" in line and line.endswith(step)) or (step == "Exchange" and "hashpartitioning(batch_id" in line)]
+    assert steps[:3] == ["Final", "Exchange", "Partial"]       # printed from the top
