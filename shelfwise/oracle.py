@@ -727,6 +727,7 @@ SELECT 'running_balance', COUNT(*) FROM (
 UNION ALL
 SELECT 'orphan_movements', COUNT(DISTINCT batch_id) FROM f_batch_movements
 WHERE batch_id NOT IN (SELECT batch_id FROM f_product_batches)""", _FAULTS)
+ORACLE["check_ledger_by_parts"] = ORACLE["check_ledger"]
 ORACLE["check_status"] = q(f"""
 SELECT COUNT(*) AS batches,
        COUNT(CASE WHEN status IS DISTINCT FROM (CASE WHEN quantity = 0 THEN 'depleted'

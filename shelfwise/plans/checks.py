@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import labels
 from shelfwise.functions.dates import AsOf
 from shelfwise.operators.scan import running_sum
+from shelfwise.session import cut_lineage
 from shelfwise.sources import schemas
 from shelfwise.sources.tables import Inventory
 
@@ -108,6 +109,73 @@ def check_ledger(inv: Inventory) -> DataFrame:
                    orphans.select(F.lit("orphan_movements").alias("check_name"), F.col("n").alias("mismatches"))])
 
 
+def _position() -> Column:
+    return F.struct("movement_date", "movement_id")
+
+
+def _by_batch(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """Join on the batch, rows without one among themselves; ``other``'s key is dropped."""
+    joined = df.join(other.withColumnRenamed("batch_id", "_batch"), F.col("batch_id").eqNullSafe(F.col("_batch")), how)
+    return joined.drop("_batch")
+
+
+def _ledger_counts(running: DataFrame) -> DataFrame:
+    """Per batch: balance, last position and wrong remaining quantities of rows with their running ``_bal``."""
+    return running.groupBy("batch_id").agg(
+        F.sum("quantity").cast("long").alias("balance"), F.max(_position()).alias("last"),
+        F.count(F.when(F.col("_bal") != F.col("remaining_quantity"), 1)).alias("mismatches"))
+
+
+def _running(movements: DataFrame) -> DataFrame:
+    return running_sum(movements.select("batch_id", "movement_date", "movement_id", "quantity", "remaining_quantity"),
+                       ["batch_id"], ["movement_date", "movement_id"], "quantity", "_bal")
+
+
+def ledger_state(movements: DataFrame) -> DataFrame:
+    """W-4 to be stored: one row per batch of the ledger with its ``balance``, its ``last`` position
+    (date, id) and the ``mismatches`` among its rows."""
+    return _ledger_counts(_running(movements))
+
+
+def advance_ledger(state: DataFrame, added: DataFrame, movements: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """``ledger_state`` after the ``added`` rows, from the state before them; ``movements`` is the ledger
+    with them.
+
+    Rows after their batch's last position go on from its balance, so only they are read. A row at or
+    before it (it comes late) changes balances that are already audited: its batch is counted anew from
+    ``movements``, which is read only then. So are the batches of ``touched`` (``batch_id``), whose rows
+    were changed or deleted; one that has no rows any more leaves the state. A row without a date sorts
+    first, as in the audit of the whole ledger.
+    """
+    first = added.groupBy("batch_id").agg(F.min(_position()).alias("_first"))
+    late = (_by_batch(first, state.select("batch_id", "last"), "inner")
+            .where(F.col("_first") <= F.col("last")).select("batch_id"))
+    anew = cut_lineage((late if touched is None else late.unionByName(touched.select("batch_id"))).distinct())
+    recount = bool(anew.take(1))
+    if recount:
+        added = _by_batch(added, anew, "left_anti")
+        state = _by_batch(state, anew, "left_anti")
+    opening = state.select("batch_id", F.col("balance").alias("_opening"))
+    onward = _by_batch(_running(added), opening, "left").withColumn(
+        "_bal", F.coalesce(F.col("_bal") + F.col("_opening"), "_bal", "_opening"))
+    now = (state.unionByName(_ledger_counts(onward)).groupBy("batch_id")
+           .agg(F.sum("balance").alias("balance"), F.max("last").alias("last"), F.sum("mismatches").alias("mismatches")))
+    if not recount:
+        return now
+    return now.unionByName(ledger_state(_by_batch(movements, anew, "left_semi")))
+
+
+def check_ledger_state(state: DataFrame, batches: DataFrame) -> DataFrame:
+    """I-5 from a stored ``ledger_state``: the rows of ``check_ledger``, without reading the ledger."""
+    b = batches.select("batch_id", "quantity")
+    sums = (b.join(state.select("batch_id", "balance"), "batch_id", "left")
+            .agg(F.count(F.when(F.coalesce("balance", F.lit(0)) != F.col("quantity"), 1)).alias("mismatches")))
+    balance = state.agg(F.coalesce(F.sum("mismatches"), F.lit(0)).alias("mismatches"))
+    orphans = state.join(b, "batch_id", "left_anti").agg(F.count(F.lit(1)).alias("mismatches"))
+    return _union([df.select(F.lit(name).alias("check_name"), "mismatches") for name, df in
+                   (("sum_vs_quantity", sums), ("running_balance", balance), ("orphan_movements", orphans))])
+
+
 def check_status(inv: Inventory, asof: AsOf) -> DataFrame:
     """I-6: stored batch status that differs from the trigger rule (C-3) at as_of."""
     diff = F.coalesce(F.col("status") != labels.batch_status(asof), F.lit(True))
