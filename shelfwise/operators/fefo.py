@@ -16,15 +16,17 @@ Matching intervals is done by a sweep, not by a join on product (which would tes
 pairs of a product): supply starts and demand starts are merged in position order and
 each start carries forward the interval of the other side that contains it. Every
 overlapping pair starts at exactly one of these starts, so the output is linear in the
-input. Running values use ``operators.scan`` (no single task per product).
+input. The batches and lines of all products are dealt to tasks by product once, and every running
+value is a window over what a task has (``_by_product``). The batches and lines of a product of more than
+``LINES_PER_TASK`` rows are spread over all tasks instead (``operators.scan.ranged_scan``).
 
 Modes:
 - ``partial``: what fits stays taken; a line that is short keeps its partial take.
 - ``strict``: a line that does not fit whole takes nothing (the caller rolls back). Each line
   depends on the one before it, so a product's lines are served in order by one task, with a
-  constant amount of memory (``serve_in_order``: one shuffle for all products). A product of more
-  than ``LINES_PER_TASK`` lines is decided by all tasks in at most 64 rounds of prefix sums
-  (``strict_accept``).
+  constant amount of memory (``_serve``), and its batches and lines are dealt a second time for the
+  sweep. A product of more than ``LINES_PER_TASK`` rows is decided by all tasks in at most 64 rounds
+  of prefix sums (``strict_accept``).
 """
 
 from __future__ import annotations
@@ -32,20 +34,20 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.functions import labels, rules
 from shelfwise.functions.dates import AsOf
 from shelfwise.operators.keys import new_keys
-from shelfwise.operators.scan import ordered_scan, running_sum
-from shelfwise.session import cut_lineage
+from shelfwise.operators.scan import large_keys, ranged_scan, windowed_scan, with_keys
+from shelfwise.session import cut_lineage, rested
 
 SUPPLY_ORDER = ["expiry_date", "received_date", "batch_id"]
 DEMAND_ORDER = ["demand_date", "sale_id", "line_no", "supp_id", "sale_item_id"]
 LINE_FIELDS = ["sale_item_id", "sale_id", "tag_item", "user_id"]
-# Strict demand lines of one product that one task serves (about a second's work); both ways decide alike.
+# Lines, or batches, of one product that one task serves (about a second's work); both ways decide alike.
 LINES_PER_TASK = 1_000_000
 
 
@@ -73,14 +75,14 @@ def _positions(cand: DataFrame, lines: DataFrame, order, by_day: bool) -> tuple[
     """
     lines = lines.withColumn("q", F.col("quantity").cast("long"))
     if not by_day:
-        sup = running_sum(cand, ["product_id"], SUPPLY_ORDER, "s_qty", "s_hi")
+        sup = ranged_scan(cand, ["product_id"], SUPPLY_ORDER, sums={"s_hi": F.col("s_qty")})
         return _supply(sup), lines.withColumn("floor", F.lit(0).cast("long"))
     s = cand.select("product_id", F.col("expiry_date").alias("_on"), F.lit(0).alias("_side"), "s_qty",
                     *[F.col(c).alias(f"_so{i}") for i, c in enumerate(SUPPLY_ORDER)], "batch_id")
     d = lines.select("product_id", F.col(order[0]).alias("_on"), F.lit(1).alias("_side"),
                      *[F.col(c).alias(f"_do{i}") for i, c in enumerate(order)],
                      F.struct(*lines.columns).alias("_line"))
-    merged = ordered_scan(
+    merged = ranged_scan(
         s.unionByName(d, allowMissingColumns=True), ["product_id"],
         ["_on", "_side", *[f"_so{i}" for i in range(len(SUPPLY_ORDER))], *[f"_do{i}" for i in range(len(order))]],
         sums={"s_hi": F.coalesce("s_qty", F.lit(0).cast("long"))})
@@ -95,10 +97,10 @@ def _supply(sup: DataFrame) -> DataFrame:
 def _demand_intervals(lines: DataFrame, order, by_day: bool) -> DataFrame:
     """[d_lo, d_hi) per line: ``d_hi`` is the running demand plus the running maximum of how far
     a line's floor lies above the demand before it."""
-    dem = running_sum(lines, ["product_id"], order, "q", "_sum")
+    dem = ranged_scan(lines, ["product_id"], order, sums={"_sum": F.col("q")})
     if by_day:
-        dem = ordered_scan(dem, ["product_id"], order,
-                           maxes={"_skip": F.col("floor") - (F.col("_sum") - F.col("q"))})
+        dem = ranged_scan(dem, ["product_id"], order,
+                          maxes={"_skip": F.col("floor") - (F.col("_sum") - F.col("q"))})
         hi = F.col("_sum") + F.greatest(F.col("_skip"), F.lit(0))
     else:
         hi = F.col("_sum")
@@ -115,8 +117,12 @@ def overlap_sweep(sup: DataFrame, dem: DataFrame) -> DataFrame:
     d_ev = dem.select("product_id", F.col("d_lo").alias("pos"), F.lit(1).alias("kind"),
                       F.col("sale_item_id").cast("string").alias("tb"),
                       F.lit(None).cast(sup.select(b_struct).schema[0].dataType).alias("b"), d_struct.alias("d"))
-    scanned = ordered_scan(s_ev.unionByName(d_ev), ["product_id"], ["pos", "kind", "tb"],
-                           fills={"cb": "b", "cd": "d"})
+    return _pairs(ranged_scan(s_ev.unionByName(d_ev), ["product_id"], ["pos", "kind", "tb"],
+                              fills={"cb": "b", "cd": "d"}))
+
+
+def _pairs(scanned: DataFrame) -> DataFrame:
+    """The overlaps that start at the scanned events: ``b`` and ``d`` of the event itself, ``cb`` and ``cd`` carried."""
     b = F.when(F.col("kind") == 0, F.col("b")).otherwise(F.col("cb"))
     d = F.when(F.col("kind") == 1, F.col("d")).otherwise(F.col("cd"))
     pairs = scanned.select("product_id", b.alias("b"), d.alias("d")).where(
@@ -153,13 +159,13 @@ def strict_accept(lines: DataFrame, sup_total: DataFrame, order=DEMAND_ORDER, by
     while state.take(1):
         state = state.withColumn("p", F.expr("if(total > at, shiftleft(1L, length(bin(total - at)) - 1), 0L)"))
         small = F.col("q") < F.col("p")
-        scanned = running_sum(state.withColumn("small", small), ["product_id"], order,
-                              F.when(small, F.col("q")).otherwise(F.lit(0).cast("long")), "_sum")
+        scanned = ranged_scan(state.withColumn("small", small), ["product_id"], order,
+                              sums={"_sum": F.when(small, F.col("q")).otherwise(F.lit(0).cast("long"))})
         scanned = scanned.withColumn("_before", F.col("_sum") - F.when(F.col("small"), F.col("q"))
                                      .otherwise(F.lit(0).cast("long")))
         if by_day:
-            scanned = ordered_scan(scanned, ["product_id"], order,
-                                   maxes={"_skip": F.greatest("at", F.col("floor") - F.col("_before"))})
+            scanned = ranged_scan(scanned, ["product_id"], order,
+                                  maxes={"_skip": F.greatest("at", F.col("floor") - F.col("_before"))})
             before = F.col("_skip") + F.col("_before")
         else:
             before = F.col("at") + F.col("_before")
@@ -199,6 +205,11 @@ def serve_in_order(lines: DataFrame, sup_total: DataFrame, order=DEMAND_ORDER) -
             .repartition("product_id")
             .sortWithinPartitions("product_id", F.col("_supply").desc(), *order))
 
+    return _serve(rows).where(~F.col("_supply")).drop("_supply")
+
+
+def _serve(rows: DataFrame) -> DataFrame:
+    """``rows`` lie by product, the units of its supply (``_supply``, ``q``) first, then its lines in order."""
     def serve(batches):
         import pyarrow as pa
 
@@ -211,7 +222,7 @@ def serve_in_order(lines: DataFrame, sup_total: DataFrame, order=DEMAND_ORDER) -
                 if key != product:
                     product, total, at = key, 0, 0
                 if is_supply:
-                    total = q
+                    total += q
                     accepted.append(None)
                     start.append(None)
                     continue
@@ -226,39 +237,93 @@ def serve_in_order(lines: DataFrame, sup_total: DataFrame, order=DEMAND_ORDER) -
 
     schema = T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType()),
                            T.StructField("d_lo", T.LongType())])
-    return rows.mapInArrow(serve, schema).where(~F.col("_supply")).drop("_supply")
-
-
-def _strict(lines: DataFrame, sup_total: DataFrame, demand: DataFrame, order, by_day: bool) -> tuple[DataFrame, DataFrame]:
-    """The demand intervals of the lines that fit whole, and the decision on every line."""
-    interval = ["product_id", *LINE_FIELDS, "d_hi", "d_lo"]
-    # Counted on the demand as given, of which ``lines`` are a part: at most one product a million rows.
-    hot = cut_lineage(demand.groupBy("product_id").count().where(F.col("count") > LINES_PER_TASK).select("product_id"))
-    any_hot = bool(hot.take(1))
-    served = cut_lineage(serve_in_order(lines.join(hot, "product_id", "left_anti") if any_hot else lines,
-                                        sup_total, order))
-    intervals = served.where("accepted").withColumn("d_hi", F.col("d_lo") + F.col("q")).select(*interval)
-    decisions = served.select("sale_item_id", "accepted")
-    if not any_hot:
-        return intervals, decisions
-    long = cut_lineage(lines.join(hot, "product_id", "left_semi"))
-    wanted = list(dict.fromkeys(["product_id", "sale_item_id", "q", "floor", *order]))
-    ruled = strict_accept(long.select(*wanted), sup_total, order, by_day)
-    kept = long.join(ruled.where("accepted").select("sale_item_id"), "sale_item_id", "left_semi")
-    return (intervals.unionByName(_demand_intervals(kept, order, by_day).select(*interval)),
-            decisions.unionByName(ruled))
-
-
-def _tags(items: DataFrame, demand: DataFrame) -> DataFrame:
-    """W-3: the latest sale item of each (sale, product) that has demand: the greatest key.
+    return rows.mapInArrow(serve, schema)
+
+
+def _by_product(cand: DataFrame, lines: DataFrame, mode: str, order, by_day: bool,
+                own_tags: bool) -> tuple[DataFrame, DataFrame]:
+    """The allocations of products that a task can serve alone, and the decision on every live line.
+
+    Batches and lines are dealt by product once. Supply comes before the lines, day by day the batches of a
+    date before its lines (they have expired on it), so one order gives the running supply, each
+    line's floor and the running demand; the sweep then orders the same rows by position. With
+    ``own_tags`` the lines are the items too (``_tags``): those that are not ``_live`` only tag others.
+    """
+    so, do = [f"_so{i}" for i in range(len(SUPPLY_ORDER))], [f"_do{i}" for i in range(len(order))]
+    zero = F.lit(0).cast("long")
+    s = cand.select("product_id", F.lit(True).alias("_supply"), F.col("s_qty").alias("q"), F.lit(True).alias("_live"),
+                    *[F.col(c).alias(n) for c, n in zip(SUPPLY_ORDER, so)])
+    fields = [c for c in LINE_FIELDS if c not in order]
+    d = lines.select("product_id", F.lit(False).alias("_supply"), F.col("quantity").cast("long").alias("q"), "_live",
+                     *[F.col(c).alias(n) for c, n in zip(order, do)], *[c for c in fields if not (own_tags and c == "tag_item")],
+                     *(["line_no"] if own_tags and "line_no" not in order and "line_no" in lines.columns else []))
+    rows = s.unionByName(d, allowMissingColumns=True).repartition("product_id")
+    supply = F.col("_supply")
+    merged = ([F.when(supply, F.col(so[0])).otherwise(F.col(do[0]))] if by_day else []) + [supply.desc(), *so, *do]
+    sums = {"_hi": F.when(supply, F.col("q")).otherwise(zero)}
+    if mode == "partial":
+        sums["_sum"] = F.when(~supply & F.col("_live"), F.col("q")).otherwise(zero)
+    rows = windowed_scan(rows, ["product_id"], merged, sums)
+    rows = rows.withColumn("floor", F.col("_hi") if by_day else zero)
+    at = {c: F.col(n) for c, n in zip(order, do)}
+    item, sale = at.get("sale_item_id", F.col("sale_item_id")), at.get("sale_id", F.col("sale_id"))
+    if mode == "partial":
+        before = F.col("_sum") - F.col("q")
+        if by_day:
+            rows = windowed_scan(rows, ["product_id"], merged,
+                                 maxes={"_skip": F.when(~supply & F.col("_live"), F.col("floor") - before)})
+            before = before + F.greatest(F.col("_skip"), zero)
+        rows = rows.withColumn("d_lo", F.when(~supply, before))
+    if own_tags:
+        numeric = isinstance(lines.schema["sale_item_id"].dataType, T.IntegralType)
+        latest = item if numeric else F.struct(at.get("line_no", F.col("line_no")) if "line_no" in lines.columns
+                                               else F.lit(None), item.alias("_item"))
+        rows = (rows.withColumn("_sale", sale)
+                .withColumn("_tag", F.max(F.when(~supply, latest)).over(Window.partitionBy("product_id", "_sale")))
+                .withColumn("tag_item", F.when(sale.isNotNull() & F.col("product_id").isNotNull(),
+                                               F.col("_tag") if numeric else F.col("_tag._item")))
+                .drop("_sale", "_tag"))
+    rows = rows.where("_live")
+    if mode == "strict":
+        rows = _serve(rows.sortWithinPartitions("product_id", supply.desc(), *do))
+        decisions = rows.where(~supply).select(item.alias("sale_item_id"), "accepted")
+        rows = rows.where(supply | F.col("accepted"))
+    else:
+        decisions = rows.where(~supply).select(item.alias("sale_item_id"), F.lit(True).alias("accepted"))
+    given = {"sale_item_id": item, "sale_id": sale}
+    line = [at.get(c, given.get(c, F.col(c))).alias(c) for c in LINE_FIELDS]
+    events = rows.select(
+        "product_id", F.when(supply, 0).otherwise(1).alias("kind"),
+        F.when(supply, F.col("_hi") - F.col("q")).otherwise(F.col("d_lo")).alias("pos"),
+        F.when(supply, F.col(so[-1]).cast("string")).otherwise(item.cast("string")).alias("tb"),
+        F.when(supply, F.struct(F.col(so[-1]).alias("batch_id"), (F.col("_hi") - F.col("q")).alias("s_lo"),
+                                F.col("_hi").alias("s_hi"))).alias("b"),
+        F.when(~supply, F.struct(*line, (F.col("d_lo") + F.col("q")).alias("d_hi"), "d_lo")).alias("d"))
+    return _pairs(windowed_scan(events, ["product_id"], ["pos", "kind", "tb"], fills={"cb": "b", "cd": "d"})), decisions
+
+
+def _spread(cand: DataFrame, live: DataFrame, mode: str, order, by_day: bool) -> tuple[DataFrame, DataFrame]:
+    """As ``_by_product`` for products of any size, each spread over all tasks."""
+    sup, live = _positions(cand, live, order, by_day)
+    if mode == "strict":
+        live = cut_lineage(live)
+        wanted = list(dict.fromkeys(["product_id", "sale_item_id", "q", "floor", *order]))
+        totals = cand.groupBy("product_id").agg(F.sum("s_qty").alias("s_total"))
+        decisions = strict_accept(live.select(*wanted), totals, order, by_day)
+        live = live.join(decisions.where("accepted").select("sale_item_id"), "sale_item_id", "left_semi")
+    else:
+        decisions = live.select("sale_item_id", F.lit(True).alias("accepted"))
+    return overlap_sweep(sup, _demand_intervals(live, order, by_day)), decisions
+
+
+def _tags(items: DataFrame) -> DataFrame:
+    """W-3: the latest sale item of each (sale, product): the greatest key.
 
     Text keys end in their line's number, which does not sort as text, so the line leads.
     """
-    wanted = demand.select("sale_id", "product_id").distinct()
     numeric = isinstance(items.schema["sale_item_id"].dataType, T.IntegralType)
     latest = F.col("sale_item_id") if numeric else F.struct("line_no", "sale_item_id")
-    return (items.join(wanted, ["sale_id", "product_id"], "left_semi")
-            .groupBy("sale_id", "product_id").agg(F.max_by("sale_item_id", latest).alias("tag_item")))
+    return items.groupBy("sale_id", "product_id").agg(F.max_by("sale_item_id", latest).alias("tag_item"))
 
 
 def _run(demand: DataFrame, batches: DataFrame, allocatable: Column, touched_asof: AsOf, instant: Column,
@@ -267,32 +332,42 @@ def _run(demand: DataFrame, batches: DataFrame, allocatable: Column, touched_aso
     if mode not in ("partial", "strict"):
         raise ValueError(f"unknown mode {mode!r}")
     order = list(order)
+    own_tags = sale_items is None or sale_items is demand
     if "user_id" not in demand.columns:
         demand = demand.withColumn("user_id", F.lit(None).cast("long"))
-    lines = demand.join(_tags(demand if sale_items is None else sale_items, demand),
-                        ["sale_id", "product_id"], "left")
     served = F.col("quantity") > 0
-    if sale_items is not None:
-        served = served & F.col("tag_item").isNotNull()
+    if own_tags and sale_items is not None:     # a line without a sale or product has no item
+        served = served & F.col("sale_id").isNotNull() & F.col("product_id").isNotNull()
     if by_day:
         served = served & F.col(order[0]).isNotNull()
-    needed = list(dict.fromkeys(["product_id", "quantity", *LINE_FIELDS, *order]))
-    live = lines.where(served).select(*needed)
+    lines = demand
+    if not own_tags:
+        lines = demand.join(_tags(sale_items), ["sale_id", "product_id"], "left")
+        served = served & F.col("tag_item").isNotNull()
+    lines = lines.withColumn("_live", F.coalesce(served, F.lit(False)))
 
     cand = _candidates(batches, allocatable)
-    sup, live = _positions(cand, live, order, by_day)
-    if mode == "strict":
-        totals = cand.groupBy("product_id").agg(F.sum("s_qty").alias("s_total"))
-        wanted, decisions = _strict(live, totals, demand, order, by_day)
+    key = ["product_id"]
+    hot = [h for h in (large_keys(demand, key, LINES_PER_TASK), large_keys(batches, key, LINES_PER_TASK)) if h is not None]
+    if not hot:
+        alloc, decisions = _by_product(cand, lines, mode, order, by_day, own_tags)
     else:
-        wanted = _demand_intervals(live, order, by_day)
-        decisions = live.select("sale_item_id", F.lit(True).alias("accepted"))
-    alloc = overlap_sweep(sup, wanted)
+        large = hot[0] if len(hot) == 1 else hot[0].unionByName(hot[1]).distinct()
+        alloc, decisions = _by_product(with_keys(cand, key, large, "left_anti"), with_keys(lines, key, large, "left_anti"),
+                                       mode, order, by_day, own_tags)
+        long = with_keys(lines, key, large, "left_semi")
+        if own_tags:
+            long = long.join(_tags(with_keys(demand, key, large, "left_semi")), ["sale_id", "product_id"], "left")
+        needed = list(dict.fromkeys(["product_id", "quantity", *LINE_FIELDS, *order]))
+        more, ruled = _spread(with_keys(cand, key, large, "left_semi"), long.where("_live").select(*needed),
+                              mode, order, by_day)
+        alloc, decisions = alloc.unionByName(more), decisions.unionByName(ruled)
     if by_day:
         alloc = alloc.join(demand.select("sale_item_id", F.col(order[0]).alias("day")), "sale_item_id")
+    alloc = rested(alloc, "allocations")    # every result below reads it
 
     per_line = alloc.groupBy("sale_item_id").agg(F.sum("taken").cast("long").alias("allocated"))
-    shortfalls = (lines.join(per_line, "sale_item_id", "left")
+    shortfalls = (demand.join(per_line, "sale_item_id", "left")
                   .select("sale_item_id", "sale_id", "product_id",
                           F.col("quantity").alias("requested"),
                           F.coalesce("allocated", F.lit(0).cast("long")).alias("allocated"))
@@ -323,7 +398,7 @@ def _run(demand: DataFrame, batches: DataFrame, allocatable: Column, touched_aso
 
     new_products = None
     if products is not None:
-        sold = (lines.where(F.col("quantity") > 0)
+        sold = (demand.where(F.col("quantity") > 0)
                 .join(shortfalls.select("sale_item_id"), "sale_item_id", "left_anti")
                 .join(decisions.where("accepted").select("sale_item_id"), "sale_item_id", "left_semi")
                 .groupBy("product_id").agg(F.sum("quantity").alias("_sold")))

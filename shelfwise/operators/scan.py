@@ -1,7 +1,9 @@
 """Ordered scans per key (running sums and maxima, forward fill) that tolerate one huge key.
 
 ``Window.partitionBy(key).orderBy(...)`` sends a whole key group to one task; when a
-product holds a third of all rows that task holds a third of the data. This operator
+product holds a third of all rows that task holds a third of the data. ``ordered_scan`` counts
+the rows per key first: keys of up to ``ROWS_PER_TASK`` rows go through that window, one shuffle
+and nothing written. Larger keys, and scans without a key, go through ``ranged_scan``, which
 computes the same inclusive running values in two levels:
 
 1. ``repartitionByRange`` on (keys, order) cuts the ordered data into contiguous
@@ -34,12 +36,31 @@ from pyspark.sql import functions as F
 from shelfwise.session import cut_lineage
 
 _PART = "_scan_part"
+# Rows of one key that one task scans (a window spills, so this bounds time, not memory); both ways give the same.
+ROWS_PER_TASK = 1_000_000
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def large_keys(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame | None:
+    """The keys with more than ``most`` rows, or None if there are none."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most)
+    large = cut_lineage(counted.select(*keys))
+    return large if large.take(1) else None
+
+
+def with_keys(df: DataFrame, keys: Sequence[str], large: DataFrame, how: str) -> DataFrame:
+    """The rows of ``df`` whose keys are (``left_semi``) or are not (``left_anti``) in ``large``, at most one
+    key a ``most`` rows. A NULL key is a key like others."""
+    named = F.broadcast(large.select(*[F.col(k).alias(f"_large_{k}") for k in keys]))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_large_{k}"))
+    return df.join(named, same, how)
+
+
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  sums: dict[str, Column] | None = None,
                  fills: dict[str, str] | None = None,
@@ -47,6 +68,37 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  maxes: dict[str, Column] | None = None) -> DataFrame:
     """Add inclusive running ``sums``, ``maxes`` and forward ``fills`` per ``keys`` in ``order``.
 
+    Keys with more than ``ROWS_PER_TASK`` rows are scanned by ranges (all of them if ``partitions`` or
+    ``balanced`` is given), the others by one window.
+    """
+    keys, order = list(keys), list(order)
+    if not keys or partitions or balanced:
+        return ranged_scan(df, keys, order, sums, fills, partitions, balanced, maxes)
+    if not sums and not fills and not maxes:
+        return df
+    large = large_keys(df, keys, ROWS_PER_TASK)
+    if large is None:
+        return windowed_scan(df, keys, order, sums, fills, maxes)
+    return (windowed_scan(with_keys(df, keys, large, "left_anti"), keys, order, sums, fills, maxes)
+            .unionByName(ranged_scan(with_keys(df, keys, large, "left_semi"), keys, order, sums, fills, maxes=maxes)))
+
+
+def windowed_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column] | None = None,
+                  fills: dict[str, str] | None = None, maxes: dict[str, Column] | None = None) -> DataFrame:
+    """The running values by one window, a key in one task."""
+    w = (Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumns({**{name: F.sum(expr).over(w) for name, expr in (sums or {}).items()},
+                           **{name: F.max(expr).over(w) for name, expr in (maxes or {}).items()},
+                           **{name: F.last(F.col(src), ignorenulls=True).over(w) for name, src in (fills or {}).items()}})
+
+
+def ranged_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+                sums: dict[str, Column] | None = None,
+                fills: dict[str, str] | None = None,
+                partitions: int | None = None, balanced: bool = False,
+                maxes: dict[str, Column] | None = None) -> DataFrame:
+    """The running values by ranges, whatever the size of a key.
+
     ``sums`` and ``maxes`` map an output name to a numeric expression; ``fills`` maps an output
     name to a column whose last non-NULL value (up to and including the row) is carried.
     ``balanced`` places the range pieces by range instead of by hash for the local

@@ -62,3 +62,10 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared folder (never ``localCheckpoint``)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def rested(df, name: str):
+    """``df`` written once as Parquet to the shared folder and read back: a compressed checkpoint."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

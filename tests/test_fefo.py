@@ -206,3 +206,37 @@ def test_strict_rounds_do_not_grow_with_the_lines(spark, monkeypatch):
         left -= q if want[i] else 0
     assert got == want
     assert len(cuts) <= 1 + 6       # the start, and a round for each binary digit of 20 and one for none left
+
+
+def _shelf(spark):
+    batches, lines = _data(5, hot_share=0.5, n_batches=40, n_lines=60)
+    return (conform("product_batches", spark.createDataFrame(
+                batches, "batch_id string, product_id long, batch_number string, quantity int, original_quantity int, "
+                         "expiry_date date, received_date date, status string")),
+            spark.createDataFrame(lines, "sale_item_id string, sale_id long, line_no int, product_id long, "
+                                         "supp_id long, quantity int, demand_date date"))
+
+
+@pytest.mark.parametrize("by_day,mode", [(False, "partial"), (False, "strict"), (True, "partial"), (True, "strict")])
+def test_products_a_task_can_serve_are_dealt_once(spark, monkeypatch, by_day, mode):
+    """No scan by ranges and no checkpointed lines: batches and lines are dealt by product, and only the
+    allocations are written. Spread over ranges, as larger products are, they give the same rows."""
+    from shelfwise.operators import fefo, scan
+    b, d = _shelf(spark)
+
+    def run():
+        res = (fefo.allocate_by_day(d, b, mode, sale_items=d) if by_day else fefo.allocate(d, b, ASOF, mode, sale_items=d))
+        return [sorted(map(str, df.collect())) for df in
+                (res.allocations.select("sale_item_id", "tag_item", "batch_id", "taken", "remaining_after"), res.shortfalls,
+                 res.batches.select("batch_id", "quantity", "status"), res.decisions.select("sale_item_id", "accepted"))]
+
+    ranged = fefo.ranged_scan
+    def refuse(*args, **kwargs):
+        raise AssertionError("scanned by ranges")
+    monkeypatch.setattr(fefo, "ranged_scan", refuse)
+    monkeypatch.setattr(scan, "ranged_scan", refuse)
+    dealt = run()
+    assert dealt[0]
+    monkeypatch.setattr(fefo, "ranged_scan", ranged)
+    monkeypatch.setattr(fefo, "LINES_PER_TASK", 10)
+    assert run() == dealt
