@@ -145,3 +145,23 @@ def test_items_before_their_sale_and_state_that_is_forgotten(spark, shop):
     # item 21 lies 47 hours after its sale: too far with a bound of 10 hours, no matter without
     assert kept == [[], [("sale", 1, 2)], [("sale", 1, 2), ("sale", 4, 1)], [("sale", 1, 2), ("sale", 4, 1)]]
     assert _feed(spark, shop, steps)[-1] == [("sale", 1, 2), ("sale", 2, 1), ("sale", 4, 1)]
+
+
+def test_state_rests_on_disk_whatever_the_session_has(spark):
+    """Spark's default keeps the state on the heap; the stream takes RocksDB, and the session's setting is put back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    moves = spark.createDataFrame([("a", "b1", "restock", 5, BASE), ("b", "b1", "sale", -2, BASE + dt.timedelta(days=9)),
+                                   ("a", "b1", "restock", 5, BASE + dt.timedelta(days=3))],
+                                  "movement_id string, batch_id string, movement_type string, quantity int, movement_date timestamp")
+    was = spark.conf.get(key)
+    spark.conf.set(key, streams.HEAP_STATE)
+    try:
+        landing, _, ckpt = streams.replay_paths(spark, "heap-test")
+        moves.write.parquet(landing)
+        streams.run_ledger(streams.ledger_stock(spark.readStream.schema(moves.schema).parquet(landing)), ckpt)
+        assert spark.conf.get(key) == streams.HEAP_STATE
+        assert [tuple(r) for r in streams.ledger_balance(spark, ckpt).collect()] == [("b1", 3, 2)]
+        told = "".join(r.value for r in spark.read.text(f"{ckpt}/offsets/0").collect())
+        assert "RocksDBStateStoreProvider" in told and "HDFSBacked" not in told
+    finally:
+        spark.conf.set(key, was)
