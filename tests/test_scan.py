@@ -71,3 +71,24 @@ def test_running_sum_property(spark, rows, parts):
         totals[k] = totals.get(k, 0) + v
         want[i] = totals[k]
     assert got == want
+
+
+def test_keys_a_task_can_scan_go_by_one_window(spark, monkeypatch):
+    """One shuffle, nothing checkpointed; larger keys, a NULL one among them, go by ranges and give the same."""
+    from shelfwise.operators import scan
+    df = spark.createDataFrame([(k, i, i % 5, f"t{i}" if i % 3 == 0 else None) for i in range(120) for k in (1, 2, None) if k != 2 or i < 9],
+                               "k long, id long, v long, tag string")
+
+    def run():
+        out = scan.ordered_scan(df, ["k"], ["id"], sums={"cum": F.col("v")}, maxes={"top": F.col("v")}, fills={"last": "tag"})
+        return out, sorted(map(str, out.collect()))
+
+    ranged = scan.ranged_scan
+    monkeypatch.setattr(scan, "ranged_scan", None)
+    out, want = run()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "RepartitionByExpression" not in plan and "Join" not in plan
+    asked = []
+    monkeypatch.setattr(scan, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(scan, "ranged_scan", lambda rows, *a, **k: asked.append({r.k for r in rows.collect()}) or ranged(rows, *a, **k))
+    assert len(run()[1]) == len(want) and asked == [{1, None}]
