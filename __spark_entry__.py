@@ -130,7 +130,7 @@ def _state_after_receipt(spark, sf_dir, inv):
     """S-5: the tables stored, the receipts brought in where they belong, and read back."""
     root = scratch_path(spark, "state")
     state.write_state(spark, inv, root, 1)
-    res = jobs.receive(req.receive_requests(spark, sf_dir), state.read_state(spark, root), ASOF)
+    res = jobs.receive(req.receive_requests(spark, sf_dir), state.read_state(spark, root), ASOF, once=True)
     state.write_changes(spark, root, res, 2)
     now = state.read_state(spark, root)
     return now.batches.select("batch_id", "product_id", "quantity", "status").join(

@@ -24,6 +24,7 @@ from shelfwise.functions import labels, rules
 from shelfwise.functions.dates import AsOf
 from shelfwise.operators.keys import new_keys
 from shelfwise.operators.scan import running_count, running_sum
+from shelfwise.session import rested
 from shelfwise.sources import schemas
 from shelfwise.sources.tables import Inventory, conform
 
@@ -72,14 +73,15 @@ def _first_per_key(req: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
 
 
 # --------------------------------------------------------------------------- M-1
-def receive(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResult:
+def receive(requests: DataFrame, inv: Inventory, asof: AsOf, once: bool = False) -> JobResult:
     """M-1: add batches (the add-batch procedure) after validation and duplicate checks.
 
     Requests: request_id, product_id, batch_number, quantity, manufactured_date,
     expiry_date, supplier_name, purchase_price, user_id. The new batch is ``available``
     whatever its size (the status trigger only runs on updates), received today, with a
     ``restock`` movement; legacy stock grows by the quantity. A batch number is unique
-    within its product only: two products may share one.
+    within its product only: two products may share one. With ``once`` the accepted receipts are worked out
+    here and rest in the shared folder, for a result of which several tables are written.
     """
     req = (requests.withColumn("batch_number", F.trim("batch_number"))
            .withColumn("supplier_name", F.trim("supplier_name")))
@@ -99,6 +101,8 @@ def receive(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResult:
     first = new_keys(first, inv.movements, "movement_id", ["request_id"],
                      F.concat_ws(":", F.col("batch_id").cast("string"), F.lit("restock"),
                                  F.date_format(asof.t, "yyyyMMddHHmmss")))
+    if once:
+        first = rested(first, "receipts")
 
     new_batches = conform("product_batches", first.select(
         "batch_id", "product_id", "batch_number", "quantity",

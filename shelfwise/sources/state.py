@@ -47,6 +47,7 @@ MONTH_OF = {"product_batches": "received_date", "batch_movements": "movement_dat
 IDS_OF = {"products": "product_id", "users": "id"}
 IDS_PER_PART = 1_000
 MONTH = "'m'yyyy-MM"
+PACKED = "zstd"     # what the stored tables and staged changes are compressed with
 LOG = "version long, name string, step string"
 
 
@@ -96,7 +97,7 @@ def _write(done: Written, name: str, df: DataFrame, path: str, parts: bool = Tru
     # The stored types are the schema's, whatever a job's sums have grown to; open keys stay as they are.
     columns = [F.col(f.name) if f.name in schemas.OPEN_KEYS else F.col(f.name).cast(f.dataType)
                for f in schemas.SCHEMAS[name]] + ["part"] * parts
-    writer = df.observe(seen, *_audit(name, df, new)).select(*columns).write.mode("errorifexists")
+    writer = df.observe(seen, *_audit(name, df, new)).select(*columns).write.option("compression", PACKED).mode("errorifexists")
     (writer.partitionBy("part") if parts else writer).parquet(path)
     got = seen.get
     done.rows[name] = done.rows.get(name, 0) + got["rows"]
@@ -208,7 +209,7 @@ def _apply(spark: SparkSession, root: str, base: str, number: int, change: str)
         if name in what["parts"]:
             stored = spark.read.parquet(target).schema
             new = spark.read.schema(stored).parquet(f"{staged}/parts/{name}")
-            (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(target))
+            (new.write.option("compression", PACKED).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(target))
             # A part that lost its last row has no staged row that would overwrite it.
             touched = spark.read.parquet(f"{staged}/touched/{name}")
             for r in touched.join(new.select("part").distinct(), "part", "left_anti").collect():
@@ -218,10 +219,12 @@ def _apply(spark: SparkSession, root: str, base: str, number: int, change: str)
             more = spark.read.schema(stored).parquet(f"{staged}/more/{name}")
             parts = [r["part"] for r in more.select("part").distinct().collect()]
             there = spark.read.schema(stored).parquet(target).where(F.col("part").isin(parts)).select(*_key(name))
-            # The keys that an interrupted run has appended are left out. The check reads keys of these parts only.
-            fresh = more.join(there, _key(name), "left_anti")
-            (fresh.repartitionByRange("part", *CLUSTER_ON[name]).sortWithinPartitions("part", *CLUSTER_ON[name])
-             .write.mode("append").partitionBy("part").parquet(target))
+            # The keys that an interrupted run has appended are left out. The check reads keys of these parts only;
+            # parts that hold nothing yet get the staged files, which lie by range already, as they are.
+            if there.take(1):
+                more = (more.join(there, _key(name), "left_anti").repartitionByRange("part", *CLUSTER_ON[name]))
+            (more.sortWithinPartitions("part", *CLUSTER_ON[name])
+             .write.option("compression", PACKED).mode("append").partitionBy("part").parquet(target))
     _note(spark, root, number, change, "applied")
 
 

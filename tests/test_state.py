@@ -169,3 +169,23 @@ def test_adjustments_without_units_are_rejected(spark, inv):
     res = jobs.adjust(req, inv, ASOF)
     assert [(r.request_id, r.reject_reason) for r in res.rejects.collect()] == [("a", "invalid_units")]
     assert res.added["batch_movements"].count() == 0
+
+
+def test_receipts_are_worked_out_once(spark):
+    """Every table that a stored receipt writes reads the same rested rows: no join in their plans."""
+    from shelfwise.functions.dates import AsOf
+    from shelfwise.plans import jobs
+    from shelfwise.sources.tables import Inventory, conform
+    asof = AsOf.of("1998-06-01", "1998-06-01 10:00:00")
+    empty = {n: conform(n, spark.createDataFrame([], "x int")) for n in ("product_batches", "batch_movements", "sales", "sale_items", "users")}
+    products = conform("products", spark.createDataFrame([(1, 4)], "product_id long, current_stock int"))
+    inv = Inventory(products, empty["product_batches"], empty["batch_movements"], empty["sales"], empty["sale_items"], empty["users"])
+    asked = spark.createDataFrame([("r1", 1, "L1", 7), ("r2", 1, "L1", 9), ("r3", 2, "L2", 1)],
+                                  "request_id string, product_id long, batch_number string, quantity int").selectExpr(
+        "*", "date'1998-01-01' as manufactured_date", "date'2000-01-01' as expiry_date", "'s' as supplier_name",
+        "cast(1 as decimal(10,2)) as purchase_price", "cast(1 as bigint) as user_id")
+    lazy, once = jobs.receive(asked, inv, asof), jobs.receive(asked, inv, asof, once=True)
+    for name in ("product_batches", "batch_movements"):
+        assert sorted(map(str, once.added[name].collect())) == sorted(map(str, lazy.added[name].collect()))
+        assert "Join" not in once.added[name]._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.current_stock for r in once.inventory.products.collect()] == [11]
