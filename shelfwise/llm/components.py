@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.session import cut_lineage
+from shelfwise.session import rested
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -31,14 +31,14 @@ def components(edges: DataFrame) -> DataFrame:
     Each step keeps edges pointing at smaller ids and ends when all point at their component's
     least node, after a logarithmic number of rounds in practice. A hub costs one row per task in
     the grouping, and its join can be split as the other side has unique keys. Every round rests in
-    the shared checkpoint folder.
+    the shared folder and leaves no shuffle files behind.
     """
-    edges = cut_lineage(edges.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other"))
-                        .where("node <> other").distinct())
+    edges = rested(edges.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other"))
+                   .where("node <> other").distinct(), "edges")
     before = None
     while True:
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("node", "other").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             return edges.select("node", F.col("other").alias("root"))
         before = now
-        edges = cut_lineage(_small_star(_large_star(edges).distinct()).distinct())
+        edges = rested(_small_star(_large_star(edges).distinct()).distinct(), "edges")

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.common import NULL_ID, chunks, id_key, keyed_texts, mix64, shingle_hashes, word_hashes, words
 from shelfwise.llm.components import components
-from shelfwise.session import cut_lineage, scratch_path
+from shelfwise.session import rested
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -308,22 +308,21 @@ def _nodes(signed: DataFrame) -> DataFrame:
 
 def _classed(docs: DataFrame) -> DataFrame:
     """(_k, body, class_id) of every row; a class has the smallest doc_id of its texts (``NULL_ID`` if none)."""
-    signed = cut_lineage(sign(docs))
-    reps = cut_lineage(_nodes(signed))
-    met = cut_lineage(band_rows(reps).where("rep > lead").groupBy("rep", "lead").agg(F.count("*").alias("_n")))
+    signed = rested(sign(docs), "signatures")
+    reps = rested(_nodes(signed), "nodes")
+    met = rested(band_rows(reps).where("rep > lead").groupBy("rep", "lead").agg(F.count("*").alias("_n")), "met")
 
     # The texts that share a band with another one; all that follows reads only these.
     some = met.select("rep").union(met.select("lead")).distinct()
-    path = scratch_path(docs.sparkSession, "near-duplicates")
-    (reps.join(some.hint("merge"), "rep")
-     .join(keyed_texts(docs).select(F.col("_k").alias("_doc"), _body().alias("body"), F.lower("text").alias("text")),
-           ["_doc", "body"]).select("rep", "sig", "text").write.parquet(path))
-    texts = docs.sparkSession.read.parquet(path)
+    texts = rested(
+        reps.join(some.hint("merge"), "rep")
+        .join(keyed_texts(docs).select(F.col("_k").alias("_doc"), _body().alias("body"), F.lower("text").alias("text")),
+              ["_doc", "body"]).select("rep", "sig", "text"), "near-duplicates")
 
     # One leader each: of the leaders in its buckets, the one met most often.
     first = (met.groupBy("rep").agg(F.max(F.struct("_n", (-F.col("lead")).alias("_l"))).alias("_best"))
              .select(F.col("rep").alias("node"), (-F.col("_best._l")).alias("other")))
-    links = cut_lineage(verify(first, texts))
+    links = rested(verify(first, texts), "links")
 
     # Then all that is connected by buckets, as far as it is not one component.
     groups = components(met.select(F.col("rep").alias("node"), F.col("lead").alias("other")))

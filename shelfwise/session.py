@@ -64,8 +64,22 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+# A write's shuffle files go as it ends; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def rested(df, name: str):
-    """``df`` written once as Parquet to the shared folder and read back: a compressed checkpoint."""
+    """``df`` written once as Parquet to the shared folder and read back: a compressed checkpoint.
+
+    It leaves no shuffle files behind, and many small parts are read as few partitions."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    kept = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if kept is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, kept)
     return spark.read.schema(df.schema).parquet(path)

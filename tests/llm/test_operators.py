@@ -453,3 +453,24 @@ def test_substring_dedup_equals_brute_force(spark):
         want[d] = (len(units), len(gone), "".join(u[1] for i, u in enumerate(units) if i not in gone))
     got = {r.doc_id: (r.n_units, r.n_removed, r.kept_text) for r in substring.remove(table(spark, rows)).collect()}
     assert got == want and 30 < sum(n > 0 for _, n, _ in want.values()) < len(want)
+
+
+def test_rounds_leave_no_shuffle_files(spark):
+    """Every round's shuffle files go with its end, not when the driver happens to collect its garbage."""
+    from shelfwise.llm.components import components
+    from shelfwise.session import CLEANUP, rested
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = blocks.getAllBlocks()
+        return {n for n in (found.apply(i).name() for i in range(found.size())) if n.startswith("shuffle_")}
+    chain = spark.range(200).selectExpr("id + 1 as node", "id as other")
+    before = files()
+    grouped = rested(chain.groupBy("other").count().repartition("count"), "test")
+    assert not files() - before and grouped.count() == 200 and spark.conf.get(CLEANUP, None) is None
+    before = files()
+    roots = components(chain)
+    left = files() - before
+    assert {(r.node, r.root) for r in roots.collect()} == {(i, 0) for i in range(1, 201)}
+    rounds = 12
+    assert len(left) <= 3 * 8 * rounds  # only what the check for the end has gathered
