@@ -38,6 +38,8 @@ from shelfwise.session import cut_lineage
 _PART = "_scan_part"
 # Rows of one key that one task scans (a window spills, so this bounds time, not memory); both ways give the same.
 ROWS_PER_TASK = 1_000_000
+# Counts of key hashes that a task sends, before any key is counted itself.
+HASHES = 4096
 
 
 def _col(c) -> Column:
@@ -45,8 +47,17 @@ def _col(c) -> Column:
 
 
 def large_keys(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame | None:
-    """The keys with more than ``most`` rows, or None if there are none."""
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most)
+    """The keys with more than ``most`` rows, or None if there are none.
+
+    Rows are counted by a hash of their keys first, ``HASHES`` counts a task; only keys whose hash has more than
+    ``most`` rows are counted themselves, so without large keys no key is shuffled.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(HASHES))
+    full = (df.groupBy(bucket.alias("_hash")).agg(F.count(F.lit(1)).alias("_rows"))
+            .where(F.col("_rows") > most).select("_hash").collect())
+    if not full:
+        return None
+    counted = df.where(bucket.isin([r["_hash"] for r in full])).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most)
     large = cut_lineage(counted.select(*keys))
     return large if large.take(1) else None
 
@@ -65,18 +76,19 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  sums: dict[str, Column] | None = None,
                  fills: dict[str, str] | None = None,
                  partitions: int | None = None, balanced: bool = False,
-                 maxes: dict[str, Column] | None = None) -> DataFrame:
+                 maxes: dict[str, Column] | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Add inclusive running ``sums``, ``maxes`` and forward ``fills`` per ``keys`` in ``order``.
 
     Keys with more than ``ROWS_PER_TASK`` rows are scanned by ranges (all of them if ``partitions`` or
-    ``balanced`` is given), the others by one window.
+    ``balanced`` is given), the others by one window. ``counted`` has about as many rows a key as ``df``
+    but is cheaper to count; it decides only which way a key goes.
     """
     keys, order = list(keys), list(order)
     if not keys or partitions or balanced:
         return ranged_scan(df, keys, order, sums, fills, partitions, balanced, maxes)
     if not sums and not fills and not maxes:
         return df
-    large = large_keys(df, keys, ROWS_PER_TASK)
+    large = large_keys(df if counted is None else counted, keys, ROWS_PER_TASK)
     if large is None:
         return windowed_scan(df, keys, order, sums, fills, maxes)
     return (windowed_scan(with_keys(df, keys, large, "left_anti"), keys, order, sums, fills, maxes)
@@ -165,8 +177,8 @@ def ranged_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str | Column,
-                out: str, partitions: int | None = None) -> DataFrame:
-    return ordered_scan(df, keys, order, sums={out: _col(value)}, partitions=partitions)
+                out: str, partitions: int | None = None, counted: DataFrame | None = None) -> DataFrame:
+    return ordered_scan(df, keys, order, sums={out: _col(value)}, partitions=partitions, counted=counted)
 
 
 def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,

@@ -209,7 +209,8 @@ def adjust(requests: DataFrame, inv: Inventory, asof: AsOf) -> JobResult:
     no_batch = named.join(b, "batch_id", "left_anti")
     valid = known.join(no_batch.select("request_id"), "request_id", "left_anti")
     to_batch = running_sum(valid.where(F.col("batch_id").isNotNull()).join(b, "batch_id", "inner"),
-                           ["batch_id"], ["request_id"], "added_stock", "_run")
+                           ["batch_id"], ["request_id"], "added_stock", "_run",
+                           counted=requests.where(F.col("batch_id").isNotNull()))
     to_batch = new_keys(to_batch, inv.movements, "movement_id", ["request_id"],
                         F.concat_ws(":", F.col("batch_id").cast("string"), F.lit("restock"),
                                     F.col("request_id").cast("string")))

@@ -92,3 +92,26 @@ def test_keys_a_task_can_scan_go_by_one_window(spark, monkeypatch):
     monkeypatch.setattr(scan, "ROWS_PER_TASK", 50)
     monkeypatch.setattr(scan, "ranged_scan", lambda rows, *a, **k: asked.append({r.k for r in rows.collect()}) or ranged(rows, *a, **k))
     assert len(run()[1]) == len(want) and asked == [{1, None}]
+
+
+def test_no_key_is_counted_without_a_full_hash(spark, monkeypatch):
+    """Without large keys only counts by hash are shuffled; with them, only keys of full hashes are counted."""
+    from shelfwise.operators import scan
+    df = spark.range(5000).selectExpr("id % 2500 as k", "id").unionByName(spark.range(60).selectExpr("null as k", "id"))
+    cut, asked = scan.cut_lineage, []
+    monkeypatch.setattr(scan, "cut_lineage", lambda rows: asked.append(1) or cut(rows))
+    assert scan.large_keys(df, ["k"], 200) is None and not asked
+    assert [r.k for r in scan.large_keys(df, ["k"], 50).collect()] == [None] and asked == [1]
+    assert [r.k for r in scan.large_keys(df, ["k"], 1).groupBy().count().selectExpr("count as k").collect()] == [2501]
+
+
+def test_the_way_of_a_key_follows_the_counted_rows(spark, monkeypatch):
+    from shelfwise.operators import scan
+    df, rows = _frame(spark, n=300, seed=4)
+    monkeypatch.setattr(scan, "ROWS_PER_TASK", 1000)
+    want = sorted(map(str, ordered_scan(df, ["k"], ["o", "id"], sums={"cum": F.col("q")}).collect()))
+    many = df.crossJoin(spark.range(20).select("id").withColumnRenamed("id", "_copy"))
+    asked, ranged = [], scan.ranged_scan
+    monkeypatch.setattr(scan, "ranged_scan", lambda *a, **k: asked.append(1) or ranged(*a, **k))
+    got = ordered_scan(df, ["k"], ["o", "id"], sums={"cum": F.col("q")}, counted=many)
+    assert sorted(map(str, got.collect())) == want and asked == [1]
