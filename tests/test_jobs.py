@@ -157,3 +157,20 @@ def test_next_batch_numbers(spark, inv):
     n6 = inv.batches.where("product_id = 6").count()
     n1 = inv.batches.where("product_id = 1").count()
     assert got == {"a": f"BTH-6{n6 + 1:03d}", "b": f"BTH-6{n6 + 2:03d}", "c": f"BTH-1{n1 + 1:03d}"}
+
+
+def test_the_ledger_audited_by_parts_is_derived_once(spark, monkeypatch):
+    """Every later step reads the stored ledger; the counts are those of the audit of the whole."""
+    import __spark_entry__ as entry
+    from conftest import SF001
+    from shelfwise.plans import checks
+    from shelfwise.sources.derived import load_driver_inventory, with_faults
+    asked, rested = [], entry.rested
+    monkeypatch.setattr(entry, "rested", lambda df, name: asked.append(name) or rested(df, name))
+    advance, seen = checks.advance_ledger, []
+    monkeypatch.setattr(checks, "advance_ledger", lambda state, added, moves: seen.extend(
+        d._jdf.queryExecution().optimizedPlan().toString() for d in (added, moves)) or advance(state, added, moves))
+    got = {r.check_name: r.mismatches for r in entry.queries()["check_ledger_by_parts"](spark, SF001).collect()}
+    whole = checks.check_ledger(with_faults(load_driver_inventory(spark, SF001)))
+    assert got == {r.check_name: r.mismatches for r in whole.collect()}
+    assert asked == ["ledger"] and not any("l_shipdate" in p for p in seen)
