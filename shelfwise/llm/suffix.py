@@ -7,16 +7,19 @@ together, equal pieces of text are folded, and what is left is sorted bucket by
 1. ``anchors``. Each ``SPAN``-byte window has an anchor: the ``GRAM``-byte string in it with the
    smallest hash (leftmost of equals). It depends on the window's bytes alone, so equal windows
    have equal anchors. The consecutive windows of one anchor form a piece (at most 81 windows),
-   emitted as (hash of the anchor, hash of the piece, position).
+   emitted as (hash of the anchor, hash of the piece, position). Pieces equal to an earlier one of
+   the same chunk of texts are known repeats: they are dealt apart, not to their anchor's task.
 2. ``settle``. Pieces are dealt by anchor and sorted by (anchor, piece, position). All windows of
    a piece that came before are repeats. The first of each wording stays open, but only if other
    wordings share its anchor; the rest is done.
 3. ``fetch`` cuts the open pieces out of the texts. Where more than ``BUCKET`` wordings share an
    anchor (a hot passage between ever different neighbours), pieces are cut into single windows
-   dealt by their own hash instead, folded first in each task: equal strings still meet.
-4. ``sort_blocks`` gathers whole buckets into blocks, builds a suffix array of each by two-stage
-   sorting, and takes the runs of neighbours with 100 common bytes: in a run all but the earliest
-   position are repeats.
+   dealt by their own 128-bit hash instead, folded first in each task: equal strings still meet. Of
+   these windows only the hash travels.
+4. ``sort_blocks`` gathers whole buckets into blocks, leaves out what no window of another place can
+   equal (by a rolling hash of the windows), builds a suffix array of the rest by two-stage sorting,
+   and takes the runs of neighbours with 100 common bytes: in a run all but the earliest position are
+   repeats. Of windows dealt by their hash all but the earliest of a hash are.
 5. ``remove`` unites the repeated windows of each document and cuts the bytes they cover.
 
 Two-stage sorting (``suffix_array``): only suffixes smaller than their successor are sorted
@@ -38,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,8 +105,31 @@ def _pack(version, offset, windows):
     return (version << (_N_BITS + _OFFSET_BITS)) | (offset << _N_BITS) | windows
 
 
+def _earliest(one: np.ndarray, two: np.ndarray, k: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the rows, sorted by all four, are the first of their hashes, and which lie elsewhere than that one."""
+    new = np.r_[True, (np.diff(one) != 0) | (np.diff(two) != 0)][:len(one)]
+    start = np.maximum.accumulate(np.where(new, np.arange(len(one)), 0))
+    return new, (k != k[start]) | (at != at[start])
+
+
+def _folded(h: np.ndarray, c: np.ndarray, k: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The pieces, those with an earlier equal one among them marked by ``~at``; these are dealt by document
+    and segment, not by anchor."""
+    both = h * np.int64(-0x61C8864680B583EB) ^ c
+    by = np.argsort(both)
+    same = np.diff(both[by]) == 0
+    some = np.flatnonzero(np.r_[False, same][:len(by)] | np.r_[same, False][:len(by)])
+    by = by[some]
+    by = by[np.lexsort((at[by], k[by], c[by], h[by]))]
+    _, again = _earliest(h[by], c[by], k[by], at[by])
+    again = by[again]
+    h[again] = mix64((k[again] * np.int64(0x9E3779B9) + (at[again] >> (_N_BITS + 20))).view(np.uint64)).view(np.int64)
+    c[again], at[again] = 0, ~at[again]
+    return h, c, k, at
+
+
 def anchors(texts: DataFrame) -> DataFrame:
-    """(h, c, _k, at): the pieces of (_k, _v, text) rows."""
+    """(h, c, _k, at): the pieces of (_k, _v, text) rows, folded in each chunk of texts (``_folded``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k, v = (np.asarray(batch.column(i), np.int64) for i in (0, 1))
@@ -110,7 +137,7 @@ def anchors(texts: DataFrame) -> DataFrame:
                 for h, c, owner, offset, windows in _pieces(data, ends):
                     at = _pack(v[rows][owner], offset, windows)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (h.view(np.int64), c.view(np.int64), k[rows][owner], at)],
+                        [pa.array(x) for x in _folded(h.view(np.int64), c.view(np.int64), k[rows][owner], at)],
                         names=["h", "c", "_k", "at"])
     return texts.select("_k", "_v", "text").mapInArrow(run, "h long, c long, _k long, at long")
 
@@ -136,6 +163,11 @@ def settle(pieces: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             h, c, k, at = (np.asarray(batch.column(i), np.int64) for i in range(4))
+            past = at < 0
+            yield emit(k[past], ~at[past], 0, h[past])
+            h, c, k, at = (x[~past] for x in (h, c, k, at))
+            if not len(h):
+                continue
             if last is not None:
                 h, c, k, at = (np.concatenate([[x], y]) for x, y in zip(last, (h, c, k, at)))
             new = np.empty(len(h), bool)
@@ -175,35 +207,84 @@ def settle(pieces: DataFrame) -> DataFrame:
             .mapInArrow(run, "_k long, at long, kind int, h long"))
 
 
+def _window_hashes(data: np.ndarray, starts: np.ndarray, *codes: np.ndarray) -> Iterator[np.ndarray]:
+    """A 64-bit hash of each ``SPAN``-byte window that begins at ``starts``, per code of the 256 bytes."""
+    forward, back = powers(len(data) + 1)
+    for code in codes:
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(code[data] * forward[:len(data)], out=total[1:])
+        yield mix64((total[starts + SPAN] - total[starts]) * back[starts])
+
+
+_CODES = mix64(np.arange(1, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, 256)
+
+
+def _runs(k: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(_k, at) of single windows as runs of at most ``SPAN`` neighbours."""
+    by = np.lexsort((at, k))
+    k, place = k[by], at[by] >> _N_BITS
+    new = np.r_[True, (np.diff(k) != 0) | (np.diff(place) > 1)][:len(k)]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+    new |= (place - place[first]) % SPAN == 0
+    new[1:] &= (np.diff(place) != 0) | (np.diff(k) != 0)
+    begin = np.flatnonzero(new)
+    last = np.r_[begin[1:], len(k)] - 1
+    return k[begin], place[begin] << _N_BITS | (place[last[:len(begin)]] - place[begin] + 1)
+
+
+def single_windows(k: np.ndarray, at: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, ...]:
+    """The windows of pieces, folded: two hashes, _k and ``at`` of the earliest of each, and (_k, at) of the others."""
+    lengths = np.array([len(p) for p in pieces], np.int64)
+    first = np.cumsum(lengths) - lengths
+    windows = lengths - SPAN + 1
+    starts = ranges(first, windows)
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    one, two = (x.view(np.int64) for x in _window_hashes(data, starts, *_CODES))
+    k, at = np.repeat(k, windows), _pack(0, np.repeat(at >> _N_BITS, windows) + starts - np.repeat(first, windows), 1)
+    by = np.lexsort((at, k, two, one))
+    one, two, k, at = one[by], two[by], k[by], at[by]
+    new, again = _earliest(one, two, k, at)
+    return one[new], two[new], k[new], at[new], k[again], at[again]
+
+
 def fetch(texts: DataFrame, settled: DataFrame) -> DataFrame:
-    """(h, _k, at, piece): the open pieces with their bytes; a null piece is a repeat found here."""
+    """(h, _k, at, piece): the open pieces with their bytes, or single windows with 8 bytes of their hash; a null
+    piece is a repeat found here."""
     schema = pa.schema([("h", pa.int64()), ("_k", pa.int64()), ("at", pa.int64()), ("piece", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def singles(held: list[tuple]) -> pa.RecordBatch:
+            one, two, k, at, again_k, again_at = single_windows(
+                *(np.array([x[i] for x in held], np.int64) for i in (0, 1)), [x[2] for x in held])
+            again_k, again_at = _runs(again_k, again_at)
+            # The second hash as 8 bytes; nulls for the repeats.
+            piece = pa.Array.from_buffers(pa.binary(8), len(two), [None, pa.py_buffer(np.ascontiguousarray(two))])
+            piece = pa.concat_arrays([piece.cast(pa.binary()), pa.nulls(len(again_k), pa.binary())])
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[one, again_k]), pa.array(np.r_[k, again_k]),
+                                               pa.array(np.r_[at, again_at]), piece], schema=schema)
+
         for batch in batches:
-            first: dict[bytes, tuple[int, int]] = {}  # single windows of hot anchors: earliest so far
-            again: list[tuple[int, int]] = []
+            hot: list[tuple] = []  # pieces of hot anchors, about a segment of bytes at a time
+            size = 0
             rows: list[tuple] = []
             for k, text, open_ in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 data = text.as_buffer()
                 for x in open_:
-                    version, offset, n = x["at"] >> 43, x["at"] >> _N_BITS & _OFFSET_MASK, x["at"] & _N_MASK
+                    offset, n = x["at"] >> _N_BITS & _OFFSET_MASK, x["at"] & _N_MASK
+                    piece = data.slice(offset, n + SPAN - 1).to_pybytes()
                     if x["kind"] == 1:
-                        rows.append((x["h"], k, x["at"], data.slice(offset, n + SPAN - 1).to_pybytes()))
+                        rows.append((x["h"], k, x["at"], piece))
                         continue
-                    for j in range(offset, offset + n):
-                        window, place = data.slice(j, SPAN).to_pybytes(), (k, _pack(version, j, 1))
-                        held = first.setdefault(window, place)
-                        if held != place:
-                            first[window] = min(held, place)
-                            again.append(max(held, place))
+                    hot.append((k, x["at"], piece))
+                    size += len(piece)
                 if len(rows) >= 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
                     rows = []
-            for window, (k, at) in first.items():
-                bucket = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
-                rows.append((bucket, k, at, window))
-            rows += [(k, k, at, None) for k, at in again]
+                if size >= SEGMENT:
+                    yield singles(hot)
+                    hot, size = [], 0
+            if hot:
+                yield singles(hot)
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
     # The columns that are not used here keep both sides equal to those that ``remove`` joins, so
@@ -285,8 +366,33 @@ def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     return found
 
 
+def _alike(k: np.ndarray, at: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The pieces cut to their windows, first to last, whose hash another window of the block has too.
+
+    Equal windows have equal hashes, so no repeat is lost; windows of equal hashes need not be equal."""
+    lengths = np.array([len(p) for p in pieces], np.int64)
+    first = np.cumsum(lengths) - lengths
+    windows = lengths - SPAN + 1
+    starts = ranges(first, windows)
+    (value,) = _window_hashes(np.frombuffer(b"".join(pieces), np.uint8), starts, _CODES[0])
+    by = np.argsort(value)
+    same = np.diff(value[by]) == 0
+    some = np.zeros(len(value), bool)
+    some[by[1:][same]] = some[by[:-1][same]] = True
+    found = np.flatnonzero(some)
+    owner = np.repeat(np.arange(len(pieces)), windows)[found]
+    new = np.r_[True, np.diff(owner) != 0][:len(owner)]
+    low, owner = (starts[found] - first[owner])[new], owner[new]
+    stop = (starts[found[np.r_[np.flatnonzero(new)[1:], len(found)][:len(owner)] - 1]] - first[owner]) + SPAN
+    return (k[owner], at[owner] + (low << _N_BITS),
+            [pieces[i][a:b] for i, a, b in zip(owner.tolist(), low.tolist(), stop.tolist())])
+
+
 def repeated_windows(k: np.ndarray, at: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(_k, at) of the runs of windows of a block of pieces that also start earlier in the block."""
+    k, at, pieces = _alike(k, at, pieces)
+    if not pieces:
+        return k, at
     lengths = np.array([len(p) for p in pieces], np.int64)
     first = np.cumsum(lengths + 1) - lengths - 1
     data = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
@@ -323,24 +429,32 @@ def sort_blocks(fetched: DataFrame) -> DataFrame:
                                               names=["_k", "at"])
         held: list[tuple] = []
         size = 0
+        last = None  # the earliest window of the hash that may go on in the next batch
         for batch in batches:
-            again_k, again_at = [], []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if row[3] is None:
-                    again_k.append(row[1])
-                    again_at.append(row[2])
-                    continue
+            width = pc.fill_null(pc.binary_length(batch.column(3)), 0).to_numpy(zero_copy_only=False)
+            none = width == 0
+            yield found(*(batch.column(i).to_numpy()[none] for i in (1, 2)))
+            single = batch.filter(pa.array(width == 8))
+            if single.num_rows:
+                one, k, at = (single.column(i).to_numpy() for i in range(3))
+                two = np.frombuffer(b"".join(single.column(3).to_pylist()), np.int64)
+                if last is not None:
+                    one, two, k, at = (np.concatenate([[x], y]) for x, y in zip(last, (one, two, k, at)))
+                new, again = _earliest(one, two, k, at)
+                i = np.flatnonzero(new)[-1]
+                last = (one[i], two[i], k[i], at[i])
+                yield found(*_runs(k[again], at[again]))
+            for row in zip(*(x.to_pylist() for x in batch.filter(pa.array(width >= SPAN)).columns)):
                 if size >= BLOCK_BYTES and row[0] != held[-1][0]:
                     yield found(*repeated_windows(*(np.array([x[i] for x in held], np.int64) for i in (1, 2)),
                                                   [x[3] for x in held]))
                     held, size = [], 0
                 held.append(row)
                 size += len(row[3])
-            yield found(again_k, again_at)
         if held:
             yield found(*repeated_windows(*(np.array([x[i] for x in held], np.int64) for i in (1, 2)),
                                           [x[3] for x in held]))
-    return (fetched.repartition("h").sortWithinPartitions("h", "_k", "at").select("h", "_k", "at", "piece")
+    return (fetched.repartition("h").sortWithinPartitions("h", "piece", "_k", "at").select("h", "_k", "at", "piece")
             .mapInArrow(run, "_k long, at long"))
 
 

@@ -60,6 +60,46 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def test_repeats_within_a_chunk_are_not_dealt_to_their_anchor(spark):
+    """A hot passage's task gets one row of a chunk for each wording, not one a document."""
+    line = "".join(random.Random(4).choices("abcdefgh ", k=300))
+    texts = spark.createDataFrame([(d, 0, line) for d in range(200)], "_k long, _v long, text string").coalesce(1)
+    dealt = suffix.anchors(texts)
+    assert dealt.where("at >= 0").groupBy("h", "c").count().agg(F.max("count")).first()[0] == 1
+    assert dealt.where("at >= 0").agg(F.max("_k")).first()[0] == 0 and dealt.where("at < 0").select("h").distinct().count() == 199
+    assert suffix.settle(dealt).agg(F.countDistinct("_k"), F.min("kind"), F.max("kind"), F.min("_k")).first()[:] == (199, 0, 0, 1)
+
+
+def test_windows_of_hot_anchors_travel_as_hashes(spark):
+    texts = [bytes(random.Random(d).choices(b"ab", k=150)) for d in (1, 2, 1)] + [b"a" * 40 + bytes(random.Random(1).choices(b"ab", k=150))]
+    k, at = np.arange(4), np.array([suffix._pack(5, 3, 51)] * 4)
+    one, two, k1, at1, k2, at2 = suffix.single_windows(k, at, [t[:150] for t in texts])
+    want, again = {}, set()
+    for d, t in enumerate(texts):
+        for j in range(51):
+            place = (d, suffix._pack(5, 3 + j, 1))
+            if want.setdefault(t[j:j + 100], place) != place:
+                again.add(place)
+    assert set(zip(k1.tolist(), at1.tolist())) == set(want.values()) and len(set(zip(one, two))) == len(want)
+    assert set(zip(k2.tolist(), at2.tolist())) == again
+    runs = [(d, a & 127) for d, a in zip(*(x.tolist() for x in suffix._runs(k2, at2)))]
+    assert runs == [(2, 51), (3, 11)]  # neighbours travel as one row
+    settled = spark.sql("select 1L as _k, 0L as _v, array(named_struct('h', 7L, 'at', 50L, 'kind', 2)) as open, array(0L) as again")
+    fetched = suffix.fetch(spark.sql("select 1L as _k, 0L as _v, 1L as doc_id, repeat('abcdefghij ', 20) as text"), settled)
+    assert {len(r.piece) for r in fetched.collect() if r.piece is not None} == {8}
+
+
+def test_only_windows_that_another_place_may_hold_are_sorted(monkeypatch):
+    rng, sizes = random.Random(2), []
+    anchor, shared = bytes(rng.choices(b"abcdefgh", k=20)), bytes(rng.choices(b"abcdefgh", k=110))
+    pieces = [bytes(rng.choices(b"abcdefgh", k=80)) + anchor + bytes(rng.choices(b"abcdefgh", k=80)) for _ in range(300)]
+    pieces += [b"x" * 30 + shared, b"y" * 40 + shared]
+    sort = suffix.suffix_array
+    monkeypatch.setattr(suffix, "suffix_array", lambda symbols: sizes.append(len(symbols)) or sort(symbols))
+    k, at = suffix.repeated_windows(np.arange(302), np.array([suffix._pack(0, 9, len(p) - 99) for p in pieces]), pieces)
+    assert list(zip(k.tolist(), at.tolist())) == [(301, suffix._pack(0, 9 + 40, 11))] and sizes == [2 * 111]
+
+
 def test_two_stage_sorting_equals_plain_sorting():
     rng = random.Random(1)
     for _ in range(60):
