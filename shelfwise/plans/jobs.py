@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import labels, rules
@@ -72,6 +72,13 @@ def _first_per_key(req: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
     return first, later
 
 
+def _first_where_dealt(req: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
+    """``_first_per_key`` for requests that a join has just dealt by ``keys``: they are neither derived nor shuffled again."""
+    least = F.min("request_id").over(Window.partitionBy(*keys))
+    told = req.withColumn("_first", F.coalesce(F.col("request_id") == least, F.lit(False)))
+    return told.where("_first").drop("_first"), told.where(~F.col("_first")).drop("_first")
+
+
 # --------------------------------------------------------------------------- M-1
 def receive(requests: DataFrame, inv: Inventory, asof: AsOf, once: bool = False) -> JobResult:
     """M-1: add batches (the add-batch procedure) after validation and duplicate checks.
@@ -95,7 +102,7 @@ def receive(requests: DataFrame, inv: Inventory, asof: AsOf, once: bool = False)
     existing = inv.batches.select("product_id", "batch_number")
     dup = known.join(existing, ["product_id", "batch_number"], "left_semi")
     fresh_req = known.join(existing, ["product_id", "batch_number"], "left_anti")
-    first, repeat = _first_per_key(fresh_req, ["product_id", "batch_number"])
+    first, repeat = (_first_where_dealt if once else _first_per_key)(fresh_req, ["product_id", "batch_number"])
     first = new_keys(first, inv.batches, "batch_id", ["request_id"],
                      F.concat_ws(":", F.col("product_id").cast("string"), "batch_number"))
     first = new_keys(first, inv.movements, "movement_id", ["request_id"],

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -68,18 +69,25 @@ def cut_lineage(df, eager: bool = True):
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def rested(df, name: str):
-    """``df`` written once as Parquet to the shared folder and read back: a compressed checkpoint.
-
-    It leaves no shuffle files behind, and many small parts are read as few partitions."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+@contextmanager
+def shuffles_cleaned(spark: SparkSession):
+    """Writes in here drop their shuffle files as they end."""
     kept = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         if kept is None:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, kept)
+
+
+def rested(df, name: str):
+    """``df`` written once as Parquet to the shared folder and read back: a compressed checkpoint.
+
+    It leaves no shuffle files behind, and many small parts are read as few partitions."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    with shuffles_cleaned(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

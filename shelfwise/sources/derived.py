@@ -70,7 +70,8 @@ def batch_rows(lineitem: DataFrame, supplier: DataFrame, asof: AsOf) -> DataFram
     key = F.concat_ws("-", F.lit("BTH"), p.cast("string"), s.cast("string"), day)
     number = F.concat_ws("-", F.lit("LOT"), s.cast("string"), day)   # unique within a product only
     names = supplier.select(F.col("s_suppkey").alias("supp_id"), F.col("s_name").alias("supplier_name"))
-    out = (grouped
+    # The names come before the derived columns, so that these texts and dates are not shuffled for them.
+    out = (grouped.join(names, "supp_id", "left")
            .withColumn("quantity", qty)
            .withColumn("expiry_date", F.date_add("received_date", shelf_days))
            .withColumn("manufactured_date", F.date_sub("received_date", 30))
@@ -79,8 +80,7 @@ def batch_rows(lineitem: DataFrame, supplier: DataFrame, asof: AsOf) -> DataFram
            .withColumn("batch_number", number)
            .withColumn("batch_id", key)
            .withColumn("created_at", F.col("received_date").cast("timestamp"))
-           .withColumn("updated_at", asof.t)
-           .join(names, "supp_id", "left"))
+           .withColumn("updated_at", asof.t))
     return out.withColumn("status", labels.batch_status(asof))
 
 

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.plans import checks
 from shelfwise.plans.jobs import JobResult
+from shelfwise.session import shuffles_cleaned
 from shelfwise.sources import schemas
 from shelfwise.sources.tables import Inventory, conform, load
 
@@ -98,7 +99,8 @@ def _write(done: Written, name: str, df: DataFrame, path: str, parts: bool = Tru
     columns = [F.col(f.name) if f.name in schemas.OPEN_KEYS else F.col(f.name).cast(f.dataType)
                for f in schemas.SCHEMAS[name]] + ["part"] * parts
     writer = df.observe(seen, *_audit(name, df, new)).select(*columns).write.option("compression", PACKED).mode("errorifexists")
-    (writer.partitionBy("part") if parts else writer).parquet(path)
+    with shuffles_cleaned(df.sparkSession):
+        (writer.partitionBy("part") if parts else writer).parquet(path)
     got = seen.get
     done.rows[name] = done.rows.get(name, 0) + got["rows"]
     for label, n in got.items():
@@ -209,7 +211,9 @@ def _apply(spark: SparkSession, root: str, base: str, number: int, change: str)
         if name in what["parts"]:
             stored = spark.read.parquet(target).schema
             new = spark.read.schema(stored).parquet(f"{staged}/parts/{name}")
-            (new.write.option("compression", PACKED).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(target))
+            with shuffles_cleaned(spark):
+                (new.write.option("compression", PACKED).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                 .partitionBy("part").parquet(target))
             # A part that lost its last row has no staged row that would overwrite it.
             touched = spark.read.parquet(f"{staged}/touched/{name}")
             for r in touched.join(new.select("part").distinct(), "part", "left_anti").collect():
@@ -220,11 +224,12 @@ def _apply(spark: SparkSession, root: str, base: str, number: int, change: str)
             parts = [r["part"] for r in more.select("part").distinct().collect()]
             there = spark.read.schema(stored).parquet(target).where(F.col("part").isin(parts)).select(*_key(name))
             # The keys that an interrupted run has appended are left out. The check reads keys of these parts only;
-            # parts that hold nothing yet get the staged files, which lie by range already, as they are.
-            if there.take(1):
-                more = (more.join(there, _key(name), "left_anti").repartitionByRange("part", *CLUSTER_ON[name]))
-            (more.sortWithinPartitions("part", *CLUSTER_ON[name])
-             .write.option("compression", PACKED).mode("append").partitionBy("part").parquet(target))
+            # if there is none, the staged files, which lie by range already, are appended as they are.
+            with shuffles_cleaned(spark):
+                if there.take(1) and more.select(*_key(name)).join(there, _key(name), "left_semi").take(1):
+                    more = more.join(there, _key(name), "left_anti").repartitionByRange("part", *CLUSTER_ON[name])
+                (more.sortWithinPartitions("part", *CLUSTER_ON[name])
+                 .write.option("compression", PACKED).mode("append").partitionBy("part").parquet(target))
     _note(spark, root, number, change, "applied")
 
 

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from shelfwise.functions.dates import AsOf
 from shelfwise.plans import checks, jobs
 from shelfwise.plans.allocation import allocate_sales, allocation_changes
-from shelfwise.session import scratch_path
-from shelfwise.sources import state
+from shelfwise.session import CLEANUP, scratch_path
+from shelfwise.sources import schemas, state
 from shelfwise.sources.derived import DRIVER_AS_OF, load_driver_inventory, materialize, with_faults
-from shelfwise.sources.tables import load
+from shelfwise.sources.tables import Inventory, conform, load
 from conftest import SF001
 
 ASOF = AsOf.of("2025-11-17", "2025-11-17 10:00:00")
@@ -189,3 +189,42 @@ def test_receipts_are_worked_out_once(spark):
         assert sorted(map(str, once.added[name].collect())) == sorted(map(str, lazy.added[name].collect()))
         assert "Join" not in once.added[name]._jdf.queryExecution().optimizedPlan().toString()
     assert [r.current_stock for r in once.inventory.products.collect()] == [11]
+
+
+def test_writes_drop_their_shuffle_files(spark, derived, monkeypatch):
+    root, seen = scratch_path(spark, "cleaned"), []
+    writer = type(derived.sales.write)
+    write = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda w, path, *a, **kw: seen.append((path, spark.conf.get(CLEANUP, None))) or write(w, path, *a, **kw))
+    kept = spark.conf.get(CLEANUP, None)
+    state.write_state(spark, derived, root, 1)
+    state.write_changes(spark, root, jobs.receive(receipts(spark, 40), state.read_state(spark, root), DRIVER_AS_OF, once=True), 2)
+    tables = [on for path, on in seen if path.startswith((f"{root}/v=", f"{root}/_changes")) and "/touched/" not in path]
+    assert len(tables) == 12 and set(tables) == {"true"} and spark.conf.get(CLEANUP, None) == kept
+
+
+def test_rows_added_to_a_part_in_use_are_not_shuffled_again(spark, derived, monkeypatch):
+    root = scratch_path(spark, "as-they-lie")
+    state.write_state(spark, derived, root, 1)
+    res = jobs.receive(receipts(spark, 40), state.read_state(spark, root), DRIVER_AS_OF, once=True)
+    want, dealt = rows(res.inventory), []
+    kind = type(derived.sales)
+    deal = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda df, *by: dealt.append(by) or deal(df, *by))
+    state.write_changes(spark, root, res, 2)
+    assert len(dealt) == 3  # products, batches and movements as they are staged
+    assert rows(state.read_state(spark, root)) == want
+
+
+def test_first_receipts_are_the_same_worked_out_once(spark):
+    asof = AsOf.of("1998-06-01", "1998-06-01 10:00:00")
+    none = {t: spark.createDataFrame([], s) for t, s in schemas.SCHEMAS.items()}
+    inv = Inventory(spark.createDataFrame([(1,), (2,)], "product_id long").transform(lambda d: conform("products", d)),
+                    none["product_batches"], none["batch_movements"], none["sales"], none["sale_items"], none["users"])
+    asked = spark.createDataFrame([("b", 1, "n"), ("a", 1, "n"), ("a", 1, "n"), (None, 1, "n"), (None, 2, "m"), ("c", 2, "k")],
+                                  "request_id string, product_id long, batch_number string").selectExpr(
+        "*", "5 as quantity", "date'1998-01-01' as manufactured_date", "date'2000-01-01' as expiry_date", "'s' as supplier_name",
+        "cast(1 as decimal(10,2)) as purchase_price", "cast(1 as bigint) as user_id")
+    lazy, once = jobs.receive(asked, inv, asof), jobs.receive(asked, inv, asof, once=True)
+    assert sorted(map(str, once.added["product_batches"].collect())) == sorted(map(str, lazy.added["product_batches"].collect()))
+    assert sorted(map(str, once.rejects.collect())) == sorted(map(str, lazy.rejects.collect()))
