@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from shelfwise.streaming import streams
@@ -165,3 +166,18 @@ def test_state_rests_on_disk_whatever_the_session_has(spark):
         assert "RocksDBStateStoreProvider" in told and "HDFSBacked" not in told
     finally:
         spark.conf.set(key, was)
+
+
+def test_a_feeds_state_and_micro_batches_stay_off_the_heap(spark, shop, monkeypatch):
+    """A join keeps one store a partition, not four; what a micro-batch holds is kept on disk while it is read."""
+    levels, paths = [], []
+    kind, replay = type(shop.sales), streams.replay_paths
+    persist = kind.persist
+    monkeypatch.setattr(kind, "persist", lambda df, *level: levels.append(level) or persist(df, *level))
+    monkeypatch.setattr(streams, "replay_paths", lambda *a: paths.append(replay(*a)) or paths[-1])
+    key = "spark.sql.streaming.join.stateFormatVersion"
+    was = spark.conf.get(key, None)
+    assert _feed(spark, shop, [{"sales": "true", "items": "true"}]) == [[("sale", 1, 2), ("sale", 2, 1), ("sale", 4, 1)]]
+    assert levels == [(StorageLevel.DISK_ONLY,)] and spark.conf.get(key, None) == was
+    stores = spark.read.format("state-metadata").load(paths[0][2]).where("operatorName = 'symmetricHashJoin'")
+    assert stores.select("stateStoreName").distinct().count() == 1
