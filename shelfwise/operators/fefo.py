@@ -316,11 +316,13 @@ def _spread(cand: DataFrame, live: DataFrame, mode: str, order, by_day: bool) ->
     return overlap_sweep(sup, _demand_intervals(live, order, by_day)), decisions
 
 
-def _tags(items: DataFrame) -> DataFrame:
-    """W-3: the latest sale item of each (sale, product): the greatest key.
+def _tags(items: DataFrame, demand: DataFrame | None = None) -> DataFrame:
+    """W-3: the latest sale item of each (sale, product): the greatest key; of those in ``demand``, if it is given.
 
     Text keys end in their line's number, which does not sort as text, so the line leads.
     """
+    if demand is not None:
+        items = items.join(demand.select("sale_id", "product_id").distinct(), ["sale_id", "product_id"], "left_semi")
     numeric = isinstance(items.schema["sale_item_id"].dataType, T.IntegralType)
     latest = F.col("sale_item_id") if numeric else F.struct("line_no", "sale_item_id")
     return items.groupBy("sale_id", "product_id").agg(F.max_by("sale_item_id", latest).alias("tag_item"))
